@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from functools import lru_cache
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -173,16 +174,29 @@ def md_to_html(col: Column) -> Column:
 
 _BLOCK_TAG = r"(?i)<(?:(?:p|br|li|div|h[1-4])(?:\s[^>]*)?/?|/(?:p|li|div|h[1-4])\s*)>"
 _ANY_TAG = r"<[^>]+>"
-_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"),
-             ("&nbsp;", " "), ("&amp;", "&"))
+_ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+
+
+def _entity_char(token: Column) -> Column:
+    """Character of one entity; an unknown name stays as it is."""
+    name = F.substring(token, F.lit(2), F.length(token) - 2)
+    digits = match(name, r"^#([0-9]+)$", 1).cast("int")
+    hexed = F.conv(match(name, r"^#[xX]([0-9a-fA-F]+)$", 1), 16, 10).cast("int")
+    code = F.coalesce(digits, hexed)
+    valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+    char = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+    names = F.create_map(*[F.lit(x) for n, c in name2codepoint.items() for x in (n, chr(c))])
+    return F.coalesce(F.try_element_at(names, name), char, token)
 
 
 def unescape(col: Column) -> Column:
-    """The common named entities; the ampersand last, so nothing is decoded twice."""
-    out = col
-    for entity, char in _ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return out
+    """Entities to characters in one pass, so that nothing is decoded twice."""
+    tokens = F.regexp_extract_all(col, F.lit(f"({_ENTITY})"), F.lit(1))
+    decoded = F.zip_with(
+        F.split(col, _ENTITY, -1), tokens,
+        lambda piece, token: F.concat(piece, F.coalesce(_entity_char(token), F.lit(""))),
+    )
+    return F.when(col.contains("&"), F.array_join(decoded, "")).otherwise(col)
 
 
 def html_text(col: Column, dialect: str = "visible") -> Column:
@@ -205,9 +219,9 @@ def replace_banned(col: Column) -> Column:
     """Overused phrases to plain ones, whole words, any case, in the listed order."""
     out = col
     for phrase, plain in BANNED_REPLACEMENTS.items():
-        out = F.regexp_replace(out, rf"(?iu)\b{phrase}\b", plain)
+        out = F.regexp_replace(out, rf"(?iU)\b{phrase}\b", plain)
     anything = "|".join(BANNED_REPLACEMENTS)
-    return F.when(col.rlike(rf"(?iu)\b(?:{anything})\b"), out).otherwise(col)
+    return F.when(col.rlike(rf"(?iU)\b(?:{anything})\b"), out).otherwise(col)
 
 
 # --- trims ----------------------------------------------------------------------

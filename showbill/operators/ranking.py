@@ -159,21 +159,12 @@ def taste_bias(weighted: DataFrame, by: str) -> DataFrame:
     return weighted.groupBy(F.lower(F.col(by)).alias(by)).agg(F.sum("weight").alias("bias"))
 
 
-def leaders(weighted: DataFrame, by: str, depth: int = 2) -> DataFrame:
-    """The strongest liked events per category or venue, ties by title.
-
-    Two are kept so that a pick never cites itself.
-    """
-    w = Window.partitionBy("bucket").orderBy(F.col("weight").desc(), "title", "event_key")
-    liked = weighted.where((F.col("weight") > 0) & (F.coalesce("title", F.lit("")) != "")).withColumn(
-        "bucket", F.lower(F.col(by)))
-    ranked = liked.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= depth)
-    return ranked.select("bucket", "rank", "title", "weight", "event_key")
-
-
 def leader(weighted: DataFrame, by: str) -> DataFrame:
-    """Title and weight of the one leader of every category or venue."""
-    return leaders(weighted, by, 1).select(F.col("bucket").alias(by), "title", "weight")
+    """The strongest liked event of every category or venue; ties go to the smallest title."""
+    liked = weighted.where((F.col("weight") > 0) & (F.coalesce("title", F.lit("")) != ""))
+    return liked.groupBy(F.lower(F.col(by)).alias(by)).agg(
+        F.min(F.struct((-F.col("weight")).alias("w"), "title")).alias("lead")
+    ).select(by, "lead.title", (-F.col("lead.w")).alias("weight"))
 
 
 def attach_taste(picks: DataFrame, weighted: DataFrame) -> DataFrame:
