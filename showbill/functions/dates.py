@@ -23,9 +23,14 @@ def day(value: str | date) -> date:
     return value if isinstance(value, date) else date.fromisoformat(value)
 
 
+def present(col: Column) -> Column:
+    """The text, null when it is empty; the expression is evaluated once."""
+    return F.get(F.filter(F.array(col), lambda x: x != ""), F.lit(0))
+
+
 def match(col: Column, pattern: str, group: int = 1) -> Column:
     """A regex group, null when the pattern or the group is absent."""
-    return F.nullif(F.regexp_extract(col, pattern, group), F.lit(""))
+    return present(F.regexp_extract(col, pattern, group))
 
 
 def let(value: Column, body) -> Column:

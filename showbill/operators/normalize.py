@@ -168,7 +168,7 @@ def season_row(df: DataFrame, expected_type: str, expected_venue: str | None) ->
         return F.trim(F.coalesce(F.col(name), F.lit("")))
 
     def items(name: str) -> Column:
-        kept = F.filter(F.transform(name, F.trim), lambda x: x != "")
+        kept = F.filter(F.transform(name, lambda x: F.trim(x)), lambda x: x != "")
         return F.coalesce(kept, F.array().cast("array<string>"))
 
     venue = F.coalesce(F.nullif(text("venue_name"), F.lit("")), F.nullif(text("venue"), F.lit("")), F.lit(expected_venue))

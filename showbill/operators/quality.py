@@ -215,3 +215,16 @@ def coverage_vs_truth(scraped: DataFrame, truth: DataFrame, keys: Sequence[str]
         (F.count("hit") / F.count("*")).alias("coverage"))
     return ratio, joined.where(F.col("hit").isNull()).select(*keys)
 
+
+
+def view_counts(screening: DataFrame, today) -> DataFrame:
+    """Events per view: today, the next seven days, the weekend; one pass over the widest range."""
+    from showbill.operators.filters import view_bounds
+    from showbill.operators.ranking import in_range
+
+    views = {v: view_bounds(v, today) for v in ("today", "week", "weekend")}
+    rows = in_range(screening, min(a for a, _ in views.values()), max(b for _, b in views.values()))
+    per_event = rows.groupBy("event_key").agg(*[
+        F.bool_or(F.col("d").between(F.lit(a), F.lit(b))).alias(v) for v, (a, b) in views.items()])
+    counts = per_event.agg(*[F.count_if(v).alias(v) for v in views])
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(v).alias("view"), F.col(v).alias("events")) for v in views])))
