@@ -18,6 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stream(spark: SparkSession, sf_dir: str, name: str, max_files: int = 100) -> DataFrame:
+    """A table as a stream of its files.
+
+    The path is written as a pattern, which a file stream accepts for a folder of parts
+    and for a single file alike.
+    """
+    schema = table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
 def _padded(col: str, width: int):
     return F.lpad(F.col(col).cast("string"), width, "0")
 
@@ -30,10 +40,13 @@ def category_of(part_type):
     return out
 
 
-def screening(spark: SparkSession, sf_dir: str, person: bool = False) -> DataFrame:
-    """One row per showing, with its natural ``DateType`` column ``d`` for pruning."""
+def screening(spark: SparkSession, sf_dir: str, person: bool = False, lineitem: DataFrame | None = None) -> DataFrame:
+    """One row per showing, with its natural ``DateType`` column ``d`` for pruning.
+
+    ``lineitem`` may be a stream of the same rows.
+    """
     rows = (
-        table(spark, sf_dir, "lineitem")
+        (table(spark, sf_dir, "lineitem") if lineitem is None else lineitem)
         .join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
         .join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     )
