@@ -202,13 +202,13 @@ def j06(spark, sf):
 @query("j07_new_names", """
   WITH c AS (SELECT c_custkey AS ord, concat(' Club  ', c_custkey % 97, CASE WHEN c_custkey % 2 = 0 THEN ' HALL' ELSE ' hall' END) AS name FROM customer),
   n AS (SELECT *, lower(trim(regexp_replace(name, '\\s+', ' ', 'g'))) AS name_key FROM c)
-  SELECT name_key, ord, name FROM n WHERE name_key NOT IN (SELECT concat('club ', s_suppkey, ' hall') FROM supplier)
+  SELECT name_key, ord, name FROM n WHERE name_key NOT IN (SELECT concat('club ', s_suppkey, ' hall') FROM supplier WHERE s_acctbal > 3000)
   QUALIFY row_number() OVER (PARTITION BY name_key ORDER BY ord) = 1""")
 def j07(spark, sf):
     k = F.col("c_custkey")
     cand = T.table(spark, sf, "customer").select(k.alias("ord"), F.concat(
         F.lit(" Club  "), (k % 97).cast("string"), F.when(k % 2 == 0, " HALL").otherwise(" hall")).alias("name"))
-    known = T.table(spark, sf, "supplier").select(F.concat(F.lit("Club "), F.col("s_suppkey").cast("string"), F.lit("  Hall ")).alias("name"))
+    known = T.table(spark, sf, "supplier").where("s_acctbal > 3000").select(F.concat(F.lit("Club "), F.col("s_suppkey").cast("string"), F.lit("  Hall ")).alias("name"))
     return J.new_names(cand, known)
 
 

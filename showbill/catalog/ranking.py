@@ -214,11 +214,11 @@ def w08_head(spark, sf):
 @query("w11_composer_upcoming", with_(SCREENING, PERSON, EVENT_PERSON) + f"""
   , nxt AS (SELECT event_key, min(concat(date, ' ', time)) AS nx FROM screening WHERE d >= DATE '{TODAY}' GROUP BY event_key)
   SELECT person, event_key, title, nx[1:10] AS first_date, nx[12:16] AS first_time
-  FROM event_person JOIN nxt USING (event_key) WHERE lower(person) = 'customer#000000007'
-  QUALIFY row_number() OVER (PARTITION BY title ORDER BY event_key) = 1""")
+  FROM event_person JOIN nxt USING (event_key)
+  QUALIFY row_number() OVER (PARTITION BY person, title ORDER BY event_key) = 1""")
 def w11(spark, sf):
-    rows = R.composer_upcoming(T.event(spark, sf, person=True), T.screening(spark, sf), "person", "Customer#000000007", TODAY)
-    return rows.select(F.lit("Customer#000000007").alias("person"), "event_key", "title", "first_date", "first_time")
+    rows = R.composer_upcoming(T.event(spark, sf, person=True), T.screening(spark, sf), "person", TODAY)
+    return rows.select("person", "event_key", "title", "first_date", "first_time")
 
 
 @query("w13_sample_per_source", with_(SCREENING) + """

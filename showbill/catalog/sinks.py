@@ -82,7 +82,7 @@ def k03(spark, sf):
 
 @query("k03_top_picks_text", with_(SCREENING, CALENDAR) + """
   SELECT uid, concat('BEGIN:VEVENT', chr(10), 'UID:', uid, chr(10), 'DTSTART:', strftime(start_utc, '%Y%m%dT%H%M%SZ'), chr(10), 'DTEND:', strftime(start_utc + INTERVAL 2 HOUR, '%Y%m%dT%H%M%SZ'),
-    chr(10), 'SUMMARY:', summary, chr(10), 'DESCRIPTION:', replace(replace(replace(details, ';', '\;'), ',', '\\,'), chr(10), '\\n'), chr(10), 'LOCATION:', venue, chr(10), 'URL:', url, chr(10),
+    chr(10), 'SUMMARY:', summary, chr(10), 'DESCRIPTION:', replace(replace(replace(details, ';', '\\;'), ',', '\\,'), chr(10), '\\n'), chr(10), 'LOCATION:', venue, chr(10), 'URL:', url, chr(10),
     'CATEGORIES:', tags, chr(10), 'END:VEVENT') AS value FROM rows_ WHERE rating >= 7""")
 def k03_text(spark, sf):
     return PB.calendar_text(PB.top_calendar(calendar(spark, sf))).select("uid", "value")

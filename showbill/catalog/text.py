@@ -142,6 +142,8 @@ def p20(spark, sf):
     CASE WHEN len(plain) <= 240 THEN plain
       WHEN contains(p240, '. ') AND len(p240) - position(' .' IN reverse(p240)) - 1 >= 120
         THEN p240[1:len(p240) - position(' .' IN reverse(p240))]
+      WHEN contains(p240, '! ') AND len(p240) - position(' !' IN reverse(p240)) - 1 >= 120
+        THEN p240[1:len(p240) - position(' !' IN reverse(p240))]
       ELSE concat(rtrim(CASE WHEN contains(p240, ' ') THEN p240[1:len(p240) - position(' ' IN reverse(p240))] ELSE p240 END, ',;:'), '…') END AS excerpt
   FROM cuts""")
 def p26(spark, sf):

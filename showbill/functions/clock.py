@@ -28,15 +28,21 @@ def afternoon(hour: Column, half: Column) -> Column:
     )
 
 
+def _reading(text: Column, pattern: str, h: int = 1, m: int | None = 2, half: int | None = None) -> Column:
+    """``HH:mm`` of the groups of a pattern; each group is read once."""
+    parts = F.struct(
+        match(text, pattern, h).cast("int").alias("h"),
+        (match(text, pattern, m) if m else F.lit("00")).alias("m"),
+        (match(text, pattern, half) if half else F.lit(None).cast("string")).alias("half"),
+    )
+    return F.when(text.rlike(pattern), let(parts, lambda c: hhmm(
+        afternoon(c["h"], c["half"]) if half else c["h"], F.coalesce(c["m"], F.lit("00")))))
+
+
 def normalize_time(col: Column) -> Column:
     """``HH:mm`` where some known format reads the text; any other text is kept as it is."""
-    hour12 = match(col, _H12, 1).cast("int")
     return F.coalesce(
-        F.when(col.rlike(r"^\d{2}:\d{2}$"), col),
-        hhmm(match(col, _H24, 1), match(col, _H24, 2)),
-        hhmm(afternoon(hour12, match(col, _H12, 3)), match(col, _H12, 2)),
-        col,
-    )
+        F.when(col.rlike(r"^\d{2}:\d{2}$"), col), _reading(col, _H24), _reading(col, _H12, half=3), col)
 
 
 def normalize_times(arr: Column) -> Column:
@@ -65,26 +71,23 @@ _STRICT = r"(?i)^\s*(\d{1,2}):(\d{2})\s*([AP]M)\s*$"
 
 def to_24h(col: Column) -> Column:
     """"5:15 PM" -> "17:15"; anything else null."""
-    hour = match(col, _STRICT, 1).cast("int")
-    return hhmm(afternoon(hour, match(col, _STRICT, 3)), match(col, _STRICT, 2))
+    return _reading(col, _STRICT, half=3)
 
 
 def is_clock_12h(col: Column) -> Column:
     """A 12-hour reading with the hour in 1..12 and the minute in 0..59."""
-    hour, minute = match(col, _STRICT, 1).cast("int"), match(col, _STRICT, 2).cast("int")
-    return F.coalesce(hour.between(1, 12) & minute.between(0, 59), F.lit(False))
+    return F.coalesce(col.rlike(r"(?i)^\s*(?:1[0-2]|0?[1-9]):[0-5]\d\s*[AP]M\s*$"), F.lit(False))
+
+
+_PAGE12 = r"^(1[0-2]|0[1-9]|[1-9]):([0-5]\d|\d)\s+([AP]M)$"
+_PAGE_HOUR = r"^(1[0-2]|0[1-9]|[1-9])\s+([AP]M)$"
+_PAGE24 = r"^(2[0-3]|[01]\d|\d):([0-5]\d|\d)$"
 
 
 def listing_time(col: Column) -> Column:
     """Page times: "7:30 p.m.", "7 PM" or "19:30"; else null."""
-    text = F.replace(F.upper(F.trim(col)), F.lit("."), F.lit(""))
-    full, bare = r"^(1[0-2]|0[1-9]|[1-9]):([0-5]\d|\d)\s+([AP]M)$", r"^(1[0-2]|0[1-9]|[1-9])\s+([AP]M)$"
-    day24 = r"^(2[0-3]|[01]\d|\d):([0-5]\d|\d)$"
-    return F.coalesce(
-        hhmm(afternoon(match(text, full, 1).cast("int"), match(text, full, 3)), match(text, full, 2)),
-        hhmm(afternoon(match(text, bare, 1).cast("int"), match(text, bare, 2)), F.lit("00")),
-        hhmm(match(text, day24, 1), match(text, day24, 2)),
-    )
+    return let(F.replace(F.upper(F.trim(col)), F.lit("."), F.lit("")), lambda t: F.coalesce(
+        _reading(t, _PAGE12, half=3), _reading(t, _PAGE_HOUR, m=None, half=2), _reading(t, _PAGE24)))
 
 
 _FEED = r"^(\d{1,2})(?::(\d{1,2}))?(AM|PM)$"
@@ -170,11 +173,13 @@ def duration_minutes(col: Column) -> Column:
 def clock_12h(col: Column, style: str = "long") -> Column:
     """"19:30" -> "7:30 PM"; ``short`` gives "7:30pm" and drops ":00". Other text is kept."""
     shape = r"^(\d{1,2}):(\d{2})$"
-    hour, minute = match(col, shape, 1).cast("int"), match(col, shape, 2)
-    h12 = F.when(hour % 12 == 0, F.lit(12)).otherwise(hour % 12).cast("string")
-    if style == "short":
-        tail = F.when(minute == "00", F.lit("")).otherwise(F.concat(F.lit(":"), minute))
-        out = F.concat(h12, tail, F.when(hour >= 12, "pm").otherwise("am"))
-    else:
-        out = F.concat(h12, F.lit(":"), minute, F.when(hour >= 12, " PM").otherwise(" AM"))
-    return F.coalesce(out, col, F.lit(""))
+
+    def show(c: Column) -> Column:
+        h12 = F.when(c["h"] % 12 == 0, F.lit(12)).otherwise(c["h"] % 12).cast("string")
+        if style == "short":
+            tail = F.when(c["m"] == "00", F.lit("")).otherwise(F.concat(F.lit(":"), c["m"]))
+            return F.concat(h12, tail, F.when(c["h"] >= 12, "pm").otherwise("am"))
+        return F.concat(h12, F.lit(":"), c["m"], F.when(c["h"] >= 12, " PM").otherwise(" AM"))
+
+    parts = F.struct(match(col, shape, 1).cast("int").alias("h"), match(col, shape, 2).alias("m"))
+    return F.when(col.rlike(shape), let(parts, show)).otherwise(F.coalesce(col, F.lit("")))

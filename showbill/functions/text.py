@@ -9,7 +9,7 @@ from html.entities import name2codepoint
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from showbill.functions.dates import match
+from showbill.functions.dates import let, match
 from showbill.values import (
     BANNED_REPLACEMENTS, NAME_ALIASES, NAME_BLOCKED_PARTS, NAME_BLOCKLIST,
 )
@@ -205,9 +205,12 @@ def html_text(col: Column, dialect: str = "visible") -> Column:
     """
     text = F.coalesce(col, F.lit(""))
     if dialect == "visible":
-        text = F.regexp_replace(text, r"(?s)<!--.*?-->", "")
-        text = F.regexp_replace(F.regexp_replace(text, _BLOCK_TAG, " "), r"</?[A-Za-z!][^>]*>", "")
-        return squeeze(F.translate(unescape(text), " ", " "))
+        def without_tags(t: Column) -> Column:
+            bare = F.regexp_replace(t, r"(?s)<!--.*?-->", "")
+            bare = F.regexp_replace(F.regexp_replace(bare, _BLOCK_TAG, " "), r"</?[A-Za-z!][^>]*>", "")
+            return F.when(t.contains("<"), bare).otherwise(t)
+
+        return let(text, lambda t: let(without_tags(t), lambda x: squeeze(F.translate(unescape(x), "\u00a0", " "))))
     if dialect == "spaced":
         return squeeze(F.regexp_replace(text, _ANY_TAG, " "))
     if dialect == "bare":

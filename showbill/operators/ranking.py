@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from showbill.functions.dates import as_date, day, iso_week, week_bounds
+from showbill.functions.facts import nonblank
 from showbill.functions.text import slug
 from showbill.values import (
     DIGEST_LIMIT, FEED_LIMIT, GROUP_LIMIT, PICKS_LIMIT, SECTION_ORDER, TEXT_DUMP_LIMIT,
@@ -276,16 +277,21 @@ def first_usable_attempt(attempt: DataFrame, key: str = "event_key") -> DataFram
     ).select(key, "hit.attempt_no", "hit.content")
 
 
-def composer_upcoming(event: DataFrame, screening: DataFrame, person: str, name: str, today) -> DataFrame:
-    """Upcoming events of one person, each once, in order."""
+def composer_upcoming(event: DataFrame, screening: DataFrame, person: str, today, name: str | None = None) -> DataFrame:
+    """Upcoming events of one person, or of everyone: each once, in order.
+
+    Events with the same id (or, without one, the same title and first showing) count once.
+    """
     from showbill.operators.grouping import first_row, upcoming
 
-    theirs = event.where(F.lower(F.col(person)) == name.lower())
+    theirs = event.where(nonblank(F.col(person)))
+    if name is not None:
+        theirs = theirs.where(F.lower(F.col(person)) == name.lower())
     first = upcoming(screening, today).groupBy("event_key").agg(F.min(F.struct("date", "time")).alias("next"))
     rows = theirs.join(first, "event_key").select(
-        "event_key", "title", "venue", "rating", slug(F.col("title"), "event_id").alias("id"),
+        "event_key", person, "title", "venue", "rating", slug(F.col("title"), "event_id").alias("id"),
         F.col("next.date").alias("first_date"), F.col("next.time").alias("first_time"))
     key = F.coalesce(F.nullif("id", F.lit("")), F.concat_ws("|", "title", "first_date", "first_time"))
-    once = first_row(rows.withColumn("once", key), ["once"],
+    once = first_row(rows.withColumn("once", key), [person, "once"],
                      ["event_key", "title", "venue", "rating", "first_date", "first_time"], ord="event_key")
-    return once.drop("once").orderBy("first_date", "first_time", F.lower("title"))
+    return once.drop("once").orderBy(person, "first_date", "first_time", F.lower("title"))

@@ -46,6 +46,17 @@ def position_in_group(df: DataFrame, keys: Sequence[str], text: str, prefix: int
         "position", F.col("_rn") + F.col("_before")).drop("_prefix", "_rn", "_before")
 
 
+def parse_rows(df: DataFrame, source: str, parts: Column, parse) -> DataFrame:
+    """One row per part of a text column, with the fields ``parse`` gives for it.
+
+    The fields come out of a generator, so each is computed once however often the
+    following filters and projections read it. (The outer form keeps the optimizer from
+    evaluating the parts a second time to skip empty texts; callers filter the fields.)
+    """
+    return df.select(
+        *[c for c in df.columns if c != source], F.inline_outer(F.transform(parts, lambda p: F.struct(*parse(p)))))
+
+
 def substrings(text: Column) -> Column:
     """Every distinct nonempty substring of a short text."""
     n = F.length(text)

@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from showbill.functions.clock import to_24h
-from showbill.functions.dates import full_month_number, match, month_number, week_start
+from showbill.functions.dates import full_month_number, let, match, month_number, week_start
 from showbill.functions.facts import is_caps_title, is_live_title
 from showbill.functions.text import squeeze, unescape
-from showbill.operators.scale import carry_down
+from showbill.operators.scale import carry_down, parse_rows
 from showbill.values import WEEKDAYS_LONG
 
 
@@ -37,6 +37,7 @@ def schedule_doc(lines: DataFrame, doc: str = "doc") -> DataFrame:
     month. Unreadable times are dropped.
     """
     line = F.rtrim("line")
+    lines = lines.where(F.col("line").rlike(r"^(?:##|-)"))
     marked = lines.select(
         doc, "pos", line.alias("line"),
         match(line, _MONTH_HEAD, 2).cast("int").alias("year"),
@@ -63,16 +64,16 @@ _ROW = r"^([A-Za-z]{3,4})\s+(\d{1,2})\s*\t(.+?)\s*$"
 def schedule_table(lines: DataFrame, doc: str = "doc", default_year: int = 2026,
                    time_12: str = "7:30 PM", time_24: str = "19:30") -> DataFrame:
     """Rows of a tabbed schedule; the year is in the file name, live events are marked."""
+    rows = parse_rows(lines.where(F.col("line").rlike(_ROW)), "line", F.array("line"), lambda line: [
+        match(line, _ROW, 1).alias("month_name"), match(line, _ROW, 2).alias("day"), F.trim(match(line, _ROW, 3)).alias("raw")])
     year = F.coalesce(match(F.col(doc), r"(\d{4})", 1).cast("int"), F.lit(default_year))
-    raw = F.trim(match(F.col("line"), _ROW, 3))
-    month = F.when(F.length(match(F.col("line"), _ROW, 1)) <= 4, month_number(match(F.col("line"), _ROW, 1)))
+    month = month_number("month_name")
     written = F.concat(
-        F.lpad(year.cast("string"), 4, "0"), F.lit("-"), F.lpad(month.cast("string"), 2, "0"), F.lit("-"),
-        F.lpad(match(F.col("line"), _ROW, 2), 2, "0"))
-    return lines.where(F.col("line").rlike(_ROW)).select(
-        doc, "pos", F.trim(F.regexp_replace(raw, r"(?i)\s+\(live event\)\s*$", "")).alias("title"), written.alias("date"),
-        F.lit(time_12).alias("time_12"), F.lit(time_24).alias("time_24"), is_live_title(raw).alias("live"),
-    ).where(F.col("date").isNotNull())
+        F.lpad(year.cast("string"), 4, "0"), F.lit("-"), F.lpad(month.cast("string"), 2, "0"), F.lit("-"), F.lpad("day", 2, "0"))
+    return rows.select(
+        doc, "pos", F.trim(F.regexp_replace("raw", r"(?i)\s+\(live event\)\s*$", "")).alias("title"), written.alias("date"),
+        F.lit(time_12).alias("time_12"), F.lit(time_24).alias("time_24"), is_live_title(F.col("raw")).alias("live"),
+    ).where(month.isNotNull())
 
 
 _BULLET = r"^\s*-\s*\[[ xX]\]\s*(.+?)\s*\(([a-zA-Z_][\w/\- ]*)\)\s*(?:[—–-]+\s*(.+))?$"
@@ -94,18 +95,17 @@ def between_markers(lines: DataFrame, doc: str, begin: str, end: str) -> DataFra
 def prospect_bullets(lines: DataFrame, doc: str = "doc", markers: tuple[str, str] | None = None) -> DataFrame:
     """"- [ ] Name (category) — text — url" lines; the last link counts."""
     rows = lines if markers is None else between_markers(lines, doc, *markers)
-    line = F.col("line")
-    rest = F.coalesce(match(line, _BULLET, 3), F.lit(""))
-    rows = rows.where(line.rlike(_BULLET)).select(
-        doc, "pos", _no_refs(match(line, _BULLET, 1)).alias("name"),
+    rows = parse_rows(rows.where(F.col("line").rlike(_BULLET)), "line", F.array("line"), lambda line: [
+        _no_refs(match(line, _BULLET, 1)).alias("name"),
         F.replace(F.lower(F.trim(match(line, _BULLET, 2))), F.lit(" "), F.lit("_")).alias("category"),
-        rest.alias("rest"), F.regexp_extract_all(rest, F.lit(_URL), F.lit(1)).alias("links"))
-    url = F.coalesce(F.rtrim(F.get("links", F.size("links") - 1), F.lit(").,;")), F.lit(""))
-    at = F.length("rest") - F.position(F.reverse(url), F.reverse("rest")) - F.length(url) + 1
-    before = F.regexp_replace(F.substring(F.col("rest"), F.lit(1), at), r"[\s—–-]+$", "")
+        let(F.coalesce(match(line, _BULLET, 3), F.lit("")), lambda rest: F.struct(
+            rest.alias("text"), F.rtrim(F.element_at(F.concat(
+                F.array(F.lit("")), F.regexp_extract_all(rest, F.lit(_URL), F.lit(1))), -1), F.lit(").,;")).alias("url"))).alias("rest")])
+    text, url = F.col("rest.text"), F.col("rest.url")
+    at = F.length(text) - F.position(F.reverse(url), F.reverse(text)) - F.length(url) + 1
+    before = F.regexp_replace(F.substring(text, F.lit(1), at), r"[\s—–-]+$", "")
     return rows.where(F.col("name") != "").select(
-        doc, "pos", "name", "category",
-        _no_refs(F.when(url != "", before).otherwise(F.col("rest"))).alias("description"), url.alias("url"))
+        doc, "pos", "name", "category", _no_refs(F.when(url != "", before).otherwise(text)).alias("description"), url.alias("url"))
 
 
 _WEEK_FILE = r"^(\d{4}-W\d{2})\.html$"
