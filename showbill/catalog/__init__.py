@@ -20,6 +20,7 @@ MODULES = (
     "sinks",
     "quality",
     "streams",
+    "plans",
 )
 
 

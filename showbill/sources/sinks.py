@@ -98,3 +98,14 @@ def feed_problems(counts: DataFrame, required: dict[str, int]) -> DataFrame:
     joined = wanted.join(counts, "feed", "left")
     problem = F.when(F.col("entries").isNull(), "missing").when(F.col("entries") < F.col("at_least"), "too few entries")
     return joined.withColumn("problem", problem).where(F.col("problem").isNotNull())
+
+
+def write_published(event: DataFrame, path: str, key: str = "event_key", per_file: int = 500) -> None:
+    """Events as JSON arrays of a fixed length, the form the published list is exchanged in.
+
+    Keys are unique numbers, so a file holds ``per_file`` events at most.
+    """
+    json = F.to_json(F.struct(*[c for c in event.columns if c != key]))
+    shard = F.floor(F.col(key) / per_file).alias("shard")
+    arrays = event.groupBy(shard).agg(F.concat(F.lit("["), F.array_join(F.collect_list(json), ","), F.lit("]")).alias("value"))
+    arrays.repartition("shard").write.mode("overwrite").partitionBy("shard").text(path)
