@@ -24,7 +24,7 @@ def f01(spark, sf):
 
 @query("f03_upcoming", with_(SCREENING) + f" SELECT ord, event_key, date, time FROM screening WHERE d >= DATE '{TODAY}'")
 def f03(spark, sf):
-    return G.upcoming(T.screening(spark, sf), TODAY).select("ord", "event_key", "date", "time")
+    return G.upcoming(T.showings(spark, sf), TODAY).select("ord", "event_key", "date", "time")
 
 
 @query("f04_windows", with_(SCREENING) + f"""
@@ -33,7 +33,7 @@ def f03(spark, sf):
   UNION ALL SELECT 'weekend', ord FROM screening WHERE date IN ('1998-06-19', '1998-06-20', '1998-06-21')
   UNION ALL SELECT 'sunday', ord FROM screening WHERE date BETWEEN '1998-06-12' AND '1998-06-14'""")
 def f04(spark, sf):
-    shows = T.screening(spark, sf)
+    shows = T.showings(spark, sf)
     parts = [FL.in_window(shows, v, TODAY).select(F.lit(v).alias("view"), "ord") for v in ("today", "week", "weekend")]
     parts.append(FL.in_window(shows, "weekend", "1998-06-14").select(F.lit("sunday").alias("view"), "ord"))
     out = parts[0]
@@ -52,7 +52,7 @@ QUERIES = {
 @query("f05_date_query", with_(SCREENING) + " SELECT q, ord FROM (" + " UNION ALL ".join(
     f"SELECT '{q}' AS q, ord FROM screening WHERE {w}" for q, w in QUERIES.items()) + ")")
 def f05(spark, sf):
-    shows = T.screening(spark, sf)
+    shows = T.showings(spark, sf)
     out = None
     for q in QUERIES:
         part = FL.on_date(shows, q, TODAY).select(F.lit(q).alias("q"), "ord")
@@ -63,14 +63,14 @@ def f05(spark, sf):
 @query("f06_search_text", with_(SCREENING, EVENT) + """
   SELECT event_key, title FROM event WHERE contains(lower(title), 'bolt') OR contains(lower(venue), 'bolt')""")
 def f06(spark, sf):
-    return FL.search(T.event(spark, sf), T.screening(spark, sf), " Bolt ", TODAY).select("event_key", "title")
+    return FL.search(T.event(spark, sf), T.showings(spark, sf), " Bolt ", TODAY).select("event_key", "title")
 
 
 @query("f06_search_label_or_date", with_(SCREENING, EVENT) + """
   SELECT event_key, 'book club' AS q FROM event WHERE type = 'book_club'
   UNION ALL SELECT event_key, 'june 15' FROM event WHERE event_key IN (SELECT event_key FROM screening WHERE month(d) = 6 AND day(d) = 15)""")
 def f06_label(spark, sf):
-    events, shows = T.event(spark, sf), T.screening(spark, sf)
+    events, shows = T.event(spark, sf), T.showings(spark, sf)
     parts = [FL.search(events, shows, q, TODAY).select("event_key", F.lit(q).alias("q")) for q in ("book club", "june 15")]
     return parts[0].unionByName(parts[1])
 
@@ -82,7 +82,7 @@ def f06_label(spark, sf):
     AND event_key IN (SELECT event_key FROM screening WHERE date >= '1998-06-15' AND date < '1998-06-22')""")
 def f07(spark, sf):
     saved = weighted(spark, sf).where("weight > 0")
-    return FL.filter_events(T.event(spark, sf), T.screening(spark, sf), TODAY, "old", saved, "movie", "week").select("event_key", "title")
+    return FL.filter_events(T.event(spark, sf), T.showings(spark, sf), TODAY, "old", saved, "movie", "week").select("event_key", "title")
 
 
 # F08 ---------------------------------------------------------------------------------------

@@ -41,7 +41,7 @@ weeks AS (SELECT DISTINCT strftime(d, '%G-W%V') AS label, strftime(d - dow, '%Y-
 
 @query("g04_upcoming_weeks", with_(SCREENING, WEEKS) + " SELECT * FROM weeks")
 def g04(spark, sf):
-    return R.upcoming_weeks(T.screening(spark, sf), "1998-06-18", 8).select("label", F.col("monday").cast("string").alias("monday"))
+    return R.upcoming_weeks(T.showings(spark, sf), "1998-06-18", 8).select("label", F.col("monday").cast("string").alias("monday"))
 
 
 @query("g05_all_digests", with_(SCREENING, EVENT, WEEKS) + """
@@ -50,7 +50,7 @@ def g04(spark, sf):
     CAST(row_number() OVER (PARTITION BY label ORDER BY COALESCE(rating, -1) DESC, first_show, event_key) AS INTEGER) AS position
   FROM shown JOIN weeks USING (label) JOIN event USING (event_key) QUALIFY position <= 20""")
 def g05(spark, sf):
-    out = R.all_digests(T.screening(spark, sf), T.event(spark, sf), "1998-06-18", 8)
+    out = R.all_digests(T.showings(spark, sf), T.event(spark, sf), "1998-06-18", 8)
     return out.select("label", "event_key", "title", "rating", F.col("first.date").alias("first_date"), "n_showings", "position")
 
 

@@ -94,7 +94,7 @@ def a02(spark, sf):
     min(concat(date, ' ', time)) AS first, count(*) AS n_showings
   FROM event JOIN (SELECT event_key, date, time FROM screening) USING (event_key) GROUP BY event_key, title""")
 def a03(spark, sf):
-    shows = T.screening(spark, sf)
+    shows = T.showings(spark, sf)
     done = G.finalize(T.event(spark, sf), shows)
     return done.select(
         "event_key", "title", "id", F.array_join("dates", ",").alias("dates"),
@@ -106,7 +106,7 @@ def a03(spark, sf):
 @query("w07_first_occurrence", with_(SCREENING) + """
   SELECT event_key, min(date) AS first_date, arg_min(time, ord) AS first_time FROM screening GROUP BY event_key""")
 def w07(spark, sf):
-    return G.first_occurrence(T.screening(spark, sf)).select("event_key", "first_date", "first_time")
+    return G.first_occurrence(T.showings(spark, sf)).select("event_key", "first_date", "first_time")
 
 
 @query("w09_keep_first_showing", with_(SCREENING) + """

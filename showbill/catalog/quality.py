@@ -150,7 +150,7 @@ def a22(spark, sf):
   UNION ALL SELECT 'week', count(DISTINCT event_key) FROM screening WHERE date >= '{TODAY}' AND date < '1998-06-22'
   UNION ALL SELECT 'weekend', count(DISTINCT event_key) FROM screening WHERE date BETWEEN '1998-06-19' AND '1998-06-21'""")
 def a14_views(spark, sf):
-    return Q.view_counts(T.screening(spark, sf), TODAY)
+    return Q.view_counts(T.showings(spark, sf), TODAY)
 
 
 @query("a20_schema_warnings", with_(SCREENING) + """

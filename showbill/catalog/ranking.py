@@ -47,7 +47,7 @@ def w02_showings(spark, sf):
 @query("w01_top_picks", with_(SCREENING, EVENT, FIRST) + """
   SELECT event_key, title, rating, first_date FROM event JOIN first_occ USING (event_key) WHERE rating >= 7""")
 def w01(spark, sf):
-    first = G.first_occurrence(T.screening(spark, sf))
+    first = G.first_occurrence(T.showings(spark, sf))
     return R.top_picks(T.event(spark, sf), first).select("event_key", "title", "rating", "first_date")
 
 
@@ -61,7 +61,7 @@ feed AS (
 
 
 def feed(spark, sf, limit=30):
-    first = G.first_occurrence(T.screening(spark, sf))
+    first = G.first_occurrence(T.showings(spark, sf))
     return R.feed_rank(T.event(spark, sf), first, TODAY, limit)
 
 
@@ -81,7 +81,7 @@ text_rank AS (
 @query("w04_text_rank", with_(SCREENING, EVENT, FIRST, TEXT_RANK) + """
   SELECT position, event_key, title, rating, first_date FROM text_rank""")
 def w04(spark, sf):
-    first = G.first_occurrence(T.screening(spark, sf))
+    first = G.first_occurrence(T.showings(spark, sf))
     return R.text_rank(T.event(spark, sf), first).select("position", "event_key", "title", "rating", "first_date")
 
 
@@ -95,13 +95,13 @@ def _next(source, by):
 
 @query("w05_next_per_venue", with_(SCREENING, EVENT) + _next("event", "venue"))
 def w05_venue(spark, sf):
-    rows = R.next_per_group(T.event(spark, sf), T.screening(spark, sf), "venue", TODAY)
+    rows = R.next_per_group(T.event(spark, sf), T.showings(spark, sf), "venue", TODAY)
     return rows.select("venue", "event_key", "title", "next_date", "next_time", "position")
 
 
 @query("w05_next_per_person", with_(SCREENING, PERSON, EVENT_PERSON) + _next("event_person", "person"))
 def w05_person(spark, sf):
-    rows = R.next_per_group(T.event(spark, sf, person=True), T.screening(spark, sf), "person", TODAY)
+    rows = R.next_per_group(T.event(spark, sf, person=True), T.showings(spark, sf), "person", TODAY)
     return rows.select("person", "event_key", "title", "next_date", "next_time", "position")
 
 
@@ -150,7 +150,7 @@ def weighted(spark, sf):
 def w06(spark, sf):
     from showbill.functions.dates import week_bounds
 
-    shown = R.week_events(T.screening(spark, sf), *week_bounds(WEEK))
+    shown = R.week_events(T.showings(spark, sf), *week_bounds(WEEK))
     picks = T.event(spark, sf).join(shown, "event_key", "left_semi")
     out = R.rerank_by_taste(picks, weighted(spark, sf))
     return out.select("event_key", "title", "rating", F.col("score").cast("double").alias("score"), "reason", "position")
@@ -188,7 +188,7 @@ reader AS (
 
 
 def reader_rows(spark, sf):
-    first = G.first_occurrence(T.screening(spark, sf))
+    first = G.first_occurrence(T.showings(spark, sf))
     end = F.when(F.col("event_key") % 5 == 0, F.date_add(F.col("first_date").cast("date"), 400).cast("string")).otherwise("")
     return T.event(spark, sf).join(first, "event_key").withColumn("end_date", end)
 
@@ -217,7 +217,7 @@ def w08_head(spark, sf):
   FROM event_person JOIN nxt USING (event_key)
   QUALIFY row_number() OVER (PARTITION BY person, title ORDER BY event_key) = 1""")
 def w11(spark, sf):
-    rows = R.composer_upcoming(T.event(spark, sf, person=True), T.screening(spark, sf), "person", TODAY)
+    rows = R.composer_upcoming(T.event(spark, sf, person=True), T.showings(spark, sf), "person", TODAY)
     return rows.select("person", "event_key", "title", "first_date", "first_time")
 
 
@@ -247,7 +247,7 @@ def w15(spark, sf):
   SELECT event_key, title, first_show[1:10] AS agenda_date, first_show[12:16] AS agenda_time
   FROM event JOIN first_occ USING (event_key)""")
 def w16(spark, sf):
-    first = G.first_occurrence(T.screening(spark, sf))
+    first = G.first_occurrence(T.showings(spark, sf))
     return R.agenda(T.event(spark, sf), first).select("event_key", "title", "agenda_date", "agenda_time")
 
 

@@ -87,7 +87,7 @@ def a09(spark, sf):
     rows = people_rows(spark, sf).withColumns({
         "title": F.when(F.col("event_key") % 5 == 0, F.concat("title", F.lit(" with "), "person")).otherwise(F.col("title")),
         "program": F.when(F.col("event_key") % 2 == 0, F.concat(F.lit("Works by "), F.upper("person")))})
-    return RU.featured_composer(rows, T.screening(spark, sf), ["person", "person2"], TODAY)
+    return RU.featured_composer(rows, T.showings(spark, sf), ["person", "person2"], TODAY)
 
 
 @query("a10_coverage", with_(SCREENING, EVENT, FIRST) + """
@@ -97,7 +97,7 @@ def a09(spark, sf):
 def a10(spark, sf):
     from showbill.values import CATEGORIES
 
-    first = G.first_occurrence(T.screening(spark, sf))
+    first = G.first_occurrence(T.showings(spark, sf))
     return RU.coverage(T.event(spark, sf), first, (*CATEGORIES, "ballet"))
 
 

@@ -119,7 +119,7 @@ def k04(spark, sf):
     concat('URL: https://example.org/events/', replace(title, ' ', '-'), '.html')) AS block
   FROM (SELECT t.*, d.text, trim(regexp_replace(d.text, '\\s+', ' ', 'g')) AS flat FROM text_rank t LEFT JOIN documents d ON doc_id = event_key)""")
 def k05(spark, sf):
-    first = G.first_occurrence(T.screening(spark, sf))
+    first = G.first_occurrence(T.showings(spark, sf))
     docs = T.table(spark, sf, "documents").select(F.col("doc_id").alias("event_key"), F.col("text").alias("description"))
     ranked = R.text_rank(events_with_id(spark, sf), first).join(docs, "event_key", "left")
     return PB.text_blocks(ranked, BASE)
@@ -149,7 +149,7 @@ def k05_stats(spark, sf):
         concat(',"aggregateRating":{"@type":"AggregateRating","ratingValue":', rating, ',"bestRating":10,"worstRating":0,"ratingCount":1}') END, '}') AS json
   FROM event_venue JOIN first_occ USING (event_key)""")
 def k06(spark, sf):
-    first = G.first_occurrence(T.screening(spark, sf))
+    first = G.first_occurrence(T.showings(spark, sf))
     rows = J.attach_venue(events_with_id(spark, sf), *venue_tables(spark, sf)).join(first, "event_key")
     k = F.col("event_key")
     rows = rows.withColumns({

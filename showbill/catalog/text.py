@@ -232,7 +232,7 @@ def p35(spark, sf):
 def p37(spark, sf):
     from showbill.operators.publish import public_shape
 
-    first = G.first_occurrence(T.screening(spark, sf))
+    first = G.first_occurrence(T.showings(spark, sf))
     out = public_shape(T.event(spark, sf), first, "https://example.org/")
     return out.select("id", "title", "type", "rating", "venue", "date", "time", "url", "shell_url", "event_key")
 

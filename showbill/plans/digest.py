@@ -4,26 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from showbill.operators import grouping, ranking
+from showbill.functions.dates import week_bounds
+from showbill.operators import ranking
 from showbill.sources import tables
 
 
 def week_fields(spark: SparkSession, sf_dir: str, week: str) -> DataFrame:
-    """First-row fields of the events that are shown in a week.
+    """Fields of the events that are shown in a week.
 
-    The semi join on the week's keys comes before the aggregation, so only rows of
-    those events are sorted and shuffled.
+    The semi join on the week's keys comes before everything else, so only rows of those
+    events are sorted and shuffled.
     """
-    from showbill.functions.dates import week_bounds
+    keys = ranking.in_range(tables.showings(spark, sf_dir), *week_bounds(week)).select("event_key").distinct()
+    return tables.event(spark, sf_dir, keys=keys)
 
-    monday, sunday = week_bounds(week)
-    shows = tables.screening(spark, sf_dir)
-    keys = ranking.in_range(tables.table(spark, sf_dir, "lineitem").withColumnRenamed("l_shipdate", "shown_at"),
-                            monday, sunday).select("l_partkey").distinct().withColumnRenamed("l_partkey", "event_key")
-    return grouping.first_row(shows.join(keys, "event_key", "left_semi"), ["event_key"], tables.EVENT_FIELDS)
 
-
-def weekly_digest(spark: SparkSession, sf_dir: str, week: str, limit: int | None = None) -> DataFrame:
-    shows = tables.screening(spark, sf_dir)
-    fields = week_fields(spark, sf_dir, week)
-    return ranking.digest(shows, fields, week, limit or ranking.DIGEST_LIMIT)
+def weekly_digest(spark: SparkSession, sf_dir: str, week: str, limit: int = ranking.DIGEST_LIMIT) -> DataFrame:
+    return ranking.digest(tables.showings(spark, sf_dir), week_fields(spark, sf_dir, week), week, limit)

@@ -14,8 +14,22 @@ from pyspark.sql import functions as F
 from showbill.values import PART_TYPE_CATEGORY
 
 
+#: Tables with a row per fact; the others are lookups.
+FACTS = ("lineitem", "documents", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table as it is stored.
+
+    A small fact table is one file with one row group, which a single task would read
+    and carry through all row-wise work. Where a scan has fewer splits than there are
+    cores its rows are dealt out by key; a large table has far more and is left alone.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in FACTS and 2 * df._jdf.queryExecution().toRdd().getNumPartitions() <= cores:
+        return df.repartition(cores, df.columns[0])
+    return df
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str, max_files: int = 100) -> DataFrame:
@@ -40,64 +54,98 @@ def category_of(part_type):
     return out
 
 
-def screening(spark: SparkSession, sf_dir: str, person: bool = False, lineitem: DataFrame | None = None) -> DataFrame:
-    """One row per showing, with its natural ``DateType`` column ``d`` for pruning.
+def _cents():
+    return F.round(F.col("l_extendedprice") * 100).cast("bigint")
 
-    ``lineitem`` may be a stream of the same rows.
-    """
-    rows = (
-        (table(spark, sf_dir, "lineitem") if lineitem is None else lineitem)
-        .join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-        .join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+
+def _ord():
+    return F.concat(
+        _padded("l_orderkey", 13), _padded("l_linenumber", 2), _padded("l_partkey", 12), _padded("l_suppkey", 10),
+        F.lpad(_cents().cast("string"), 12, "0"),
     )
-    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint").cast("string")
-    columns = [
-        F.col("l_partkey").alias("event_key"),
-        F.concat(
-            _padded("l_orderkey", 13), _padded("l_linenumber", 2), _padded("l_partkey", 12),
-            _padded("l_suppkey", 10), F.lpad(cents, 12, "0"),
-        ).alias("ord"),
-        F.concat("p_name", F.lit(" "), (F.col("p_partkey") % 500).cast("string")).alias("title"),
-        category_of(F.col("p_type")).alias("type"),
-        F.col("s_name").alias("venue"),
-        F.date_format("l_shipdate", "yyyy-MM-dd").alias("date"),
-        F.concat(
+
+
+def _showing_columns() -> dict:
+    return {
+        "event_key": F.col("l_partkey"),
+        "ord": _ord(),
+        "date": F.date_format("l_shipdate", "yyyy-MM-dd"),
+        "time": F.concat(
             F.lpad((F.col("l_linenumber") + 10).cast("string"), 2, "0"),
             F.when(F.col("l_quantity") % 2 == 0, ":00").otherwise(":30"),
-        ).alias("time"),
-        F.when(F.col("l_returnflag") == "R", None).otherwise(F.col("p_size") % 11).cast("int").alias("rating"),
-        F.concat(
-            F.lit("https://"), F.lower(F.replace("s_name", F.lit("#"), F.lit(""))),
-            F.lit("/"), F.col("l_partkey").cast("string"),
-        ).alias("url"),
-        F.col("l_shipdate").cast("date").alias("d"),
-        F.weekday("l_shipdate").alias("dow"),
-        F.col("l_linenumber").alias("n"),
-        F.col("l_orderkey").alias("order_key"),
-        F.col("l_suppkey").alias("supp_key"),
-        F.col("l_shipdate").alias("shown_at"),
-    ]
+        ),
+        "d": F.col("l_shipdate").cast("date"),
+        "dow": F.weekday("l_shipdate"),
+        "n": F.col("l_linenumber"),
+        "order_key": F.col("l_orderkey"),
+        "supp_key": F.col("l_suppkey"),
+        "shown_at": F.col("l_shipdate"),
+    }
+
+
+def showings(spark: SparkSession, sf_dir: str, lineitem: DataFrame | None = None) -> DataFrame:
+    """When every event is shown: the fact table alone, without any lookup."""
+    rows = table(spark, sf_dir, "lineitem") if lineitem is None else lineitem
+    return rows.select(*[c.alias(n) for n, c in _showing_columns().items()])
+
+
+def _event_columns(venue_url_key) -> dict:
+    return {
+        "title": F.concat("p_name", F.lit(" "), (F.col("p_partkey") % 500).cast("string")),
+        "type": category_of(F.col("p_type")),
+        "venue": F.col("s_name"),
+        "rating": F.when(F.col("l_returnflag") == "R", None).otherwise(F.col("p_size") % 11).cast("int"),
+        "url": F.concat(
+            F.lit("https://"), F.lower(F.replace("s_name", F.lit("#"), F.lit(""))), F.lit("/"), venue_url_key.cast("string")),
+    }
+
+
+def _with_lookups(rows: DataFrame, spark: SparkSession, sf_dir: str, person: bool) -> DataFrame:
+    """Rows with l_partkey, l_suppkey (and l_orderkey) joined to what these name."""
+    rows = rows.join(
+        table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")
+    ).join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     if person:
         rows = rows.join(
-            table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"),
-            F.col("l_orderkey") == F.col("o_orderkey"),
-        ).join(
-            table(spark, sf_dir, "customer").select("c_custkey", "c_name"),
-            F.col("o_custkey") == F.col("c_custkey"),
-        )
-        columns.append(F.col("c_name").alias("person"))
-    return rows.select(*columns)
+            table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"),
+        ).join(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), F.col("o_custkey") == F.col("c_custkey"))
+    return rows
+
+
+def screening(spark: SparkSession, sf_dir: str, person: bool = False, lineitem: DataFrame | None = None) -> DataFrame:
+    """One row per showing with the fields of its event.
+
+    The stored ``shown_at`` serves for pruning. ``lineitem`` may be a stream of the same rows.
+    """
+    rows = table(spark, sf_dir, "lineitem") if lineitem is None else lineitem
+    columns = {**_showing_columns(), **_event_columns(F.col("l_partkey"))}
+    if person:
+        columns["person"] = F.col("c_name")
+    return _with_lookups(rows, spark, sf_dir, person).select(*[c.alias(n) for n, c in columns.items()])
 
 
 EVENT_FIELDS = ("title", "type", "venue", "rating", "url")
 
 
-def event(spark: SparkSession, sf_dir: str, person: bool = False) -> DataFrame:
-    """One row per event: the fields of its first showing row."""
+def event(spark: SparkSession, sf_dir: str, person: bool = False, keys: DataFrame | None = None) -> DataFrame:
+    """One row per event: the fields of its first showing row.
+
+    The first row is found on the keys alone, so narrow numbers are shuffled; names are
+    looked up afterwards, once per event. ``keys`` limits the result to some events.
+    """
     from showbill.operators.grouping import first_row
 
-    fields = EVENT_FIELDS + (("person",) if person else ())
-    return first_row(screening(spark, sf_dir, person), ["event_key"], fields)
+    rows = table(spark, sf_dir, "lineitem").select(
+        "l_partkey", "l_suppkey", "l_orderkey", "l_returnflag",
+        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", _cents().alias("cents")).alias("at"))
+    if keys is not None:
+        rows = rows.join(keys.select(F.col("event_key").alias("l_partkey")), "l_partkey", "left_semi")
+    kept = ["l_suppkey", "l_returnflag"] + (["l_orderkey"] if person else [])
+    first = first_row(rows, ["l_partkey"], kept, ord="at")
+    columns = {"event_key": F.col("l_partkey"), **_event_columns(F.col("l_partkey"))}
+    if person:
+        columns["person"] = F.col("c_name")
+    return _with_lookups(first, spark, sf_dir, person).select(*[c.alias(n) for n, c in columns.items()])
 
 
 def listing(spark: SparkSession, sf_dir: str, person: bool = False) -> DataFrame:
