@@ -126,10 +126,9 @@ RAW_RANGE = arms(
     CASE event_key % 6 WHEN 0 THEN concat({Y}, '-12-31')
       WHEN 1 THEN CASE WHEN try_cast(concat(cy, '-', md) AS DATE) IS NOT NULL THEN concat(cy, '-12-31') END
       WHEN 2 THEN try_cast(concat(CASE WHEN md < '12-20' THEN cy + 1 ELSE cy END, '-', md) AS DATE)::VARCHAR END AS ends
-  FROM pieces WHERE md <> '02-29'""")
+  FROM pieces""")
 def p07(spark, sf):
-    rows = raw(spark, sf, RAW_RANGE).where(F.expr("NOT (month(d) = 2 AND day(d) = 29)"))
-    out = rows.select("ord", D.date_range(F.col("raw"), TODAY).alias("r"))
+    out = raw(spark, sf, RAW_RANGE).select("ord", D.date_range(F.col("raw"), TODAY).alias("r"))
     return out.select("ord", F.col("r.start").alias("starts"), F.col("r.end").alias("ends"))
 
 

@@ -9,7 +9,7 @@ from showbill.functions import review as R
 from showbill.operators import filters as FL
 from showbill.operators import quality as Q
 from showbill.sources import tables as T
-from showbill.values import NON_JUDGEMENT_PATTERNS, REFUSAL_PATTERNS, REFUSAL_STUB, THIN_EVIDENCE
+from showbill.values import NON_JUDGEMENT_PATTERNS, REFUSAL_PATTERNS, REFUSAL_STUB, SCORE_PATTERNS, THIN_EVIDENCE
 
 
 def lit(text: str) -> str:
@@ -63,14 +63,16 @@ SCORE_HEAD = """CASE doc_id % 9 WHEN 0 THEN '★ Rating: [7.5/10] ' WHEN 1 THEN
 RAW_SCORED = f"concat({SCORE_HEAD}, replace(text, '\n\n', '\n'), ' [3] as said [12].\n\nSources: one, two\nthree\n\nThe end. NOTE ON SOURCES: gone')"
 
 
+SCORES_SQL = "COALESCE(" + ", ".join(f"nullif(regexp_extract(raw, {lit('(?i)' + p)}, 1), '')" for p in SCORE_PATTERNS) + ", '5')"
+NOTE_SQL = "(?is)(?:NOTE ON SOURCES|NOTE ON SOURCE|SOURCES?|SOURCE NOTES?)\\s*:.*?(\\n\\n|\\z)"
+
+
 @query("p22_parse_score", f"""
-  WITH r AS (SELECT doc_id, {RAW_SCORED} AS raw FROM documents WHERE NOT regexp_matches(text, '(?i)sources?\\s*:|/10'))
-  SELECT doc_id, CAST(CASE doc_id % 9 WHEN 0 THEN 8 WHEN 1 THEN 8 WHEN 2 THEN 9 WHEN 3 THEN 2 WHEN 4 THEN 4 WHEN 5 THEN 10 WHEN 6 THEN 1
-      WHEN 7 THEN 0 ELSE 5 END AS INTEGER) AS score,
-    concat(trim({SCORE_HEAD.replace("'★", "'★")}, ''), replace(text, chr(10) || chr(10), chr(10)), '  as said .', chr(10), chr(10), chr(10), chr(10), 'The end.') AS summary
-  FROM documents WHERE NOT regexp_matches(text, '(?i)sources?\\s*:|/10') AND NOT regexp_matches(text, '\\[\\d+\\]')""")
+  WITH r AS (SELECT doc_id, {RAW_SCORED} AS raw FROM documents)
+  SELECT doc_id, CAST(greatest(0, least(10, round_even(CAST({SCORES_SQL} AS DOUBLE), 0))) AS INTEGER) AS score,
+    trim(regexp_replace(regexp_replace(raw, '\\[\\d+\\]', '', 'g'), '{NOTE_SQL}', '\\1', 'g'), ' ' || chr(10)) AS summary FROM r""")
 def p22(spark, sf):
-    docs = T.table(spark, sf, "documents").where(~F.col("text").rlike(r"(?i)sources?\s*:|/10") & ~F.col("text").rlike(r"\[\d+\]"))
+    docs = T.table(spark, sf, "documents")
     return docs.select("doc_id", R.parse_response(F.expr(RAW_SCORED)).alias("p")).select("doc_id", "p.score", "p.summary")
 
 

@@ -102,17 +102,15 @@ def p16(spark, sf):
 
 
 # P19, P20 -------------------------------------------------------------------------------
-RAW_MD = "concat('## ', title, '\n**Venue** ', venue, ' is *', type, '*\n\n### ', date, '\nat **', time, '** and *more* ', text)"
+RAW_MD = "concat('## ', source, '\n**Lang** ', lang, ' is *', source, '*\n\n### ', text)"
 
 
-@query("p19_md_to_html", """
-  SELECT doc_id, concat('<p>', source, '<br><strong>Lang</strong> ', lang, ' is <em>', source, '</em></p><p>',
-     replace(replace(text, chr(10) || chr(10), '</p><p>'), chr(10), '<br>'), '</p>') AS html FROM documents
-  WHERE text NOT LIKE '%*%' AND NOT regexp_matches(text, '(?m)^#')""")
+@query("p19_md_to_html", f"""
+  WITH m AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace({RAW_MD}, '(?m)^#{{1,6}}\\s*', '', 'g'),
+     '\\*\\*(.*?)\\*\\*', '<strong>\\1</strong>', 'g'), '\\*(.*?)\\*', '<em>\\1</em>', 'g') AS x FROM documents)
+  SELECT doc_id, concat('<p>', replace(replace(x, chr(10) || chr(10), '</p><p>'), chr(10), '<br>'), '</p>') AS html FROM m""")
 def p19(spark, sf):
-    docs = T.table(spark, sf, "documents").where(~F.col("text").contains("*") & ~F.col("text").rlike("(?m)^#"))
-    md = F.concat(F.lit("## "), "source", F.lit("\n**Lang** "), "lang", F.lit(" is *"), "source", F.lit("*\n\n### "), "text")
-    return docs.select("doc_id", X.md_to_html(md).alias("html"))
+    return T.table(spark, sf, "documents").select("doc_id", X.md_to_html(F.expr(RAW_MD)).alias("html"))
 
 
 def _banned_sql(expr: str) -> str:

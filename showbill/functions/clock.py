@@ -125,10 +125,9 @@ def utc_of_local(local: Column, zone: str = ZONE) -> Column:
     taken: an hour that converts to the same wall clock again one hour later is
     that repeated hour.
     """
-    earlier = F.convert_timezone(F.lit(zone), F.lit("UTC"), local)
-    later = earlier + F.expr("INTERVAL 1 HOUR")
-    repeated = F.convert_timezone(F.lit("UTC"), F.lit(zone), later) == local
-    return F.when(repeated, later).otherwise(earlier)
+    hour = F.expr("INTERVAL 1 HOUR")
+    return let(F.convert_timezone(F.lit(zone), F.lit("UTC"), local), lambda at: F.when(
+        F.convert_timezone(F.lit("UTC"), F.lit(zone), at + hour) == local, at + hour).otherwise(at))
 
 
 def span(date_text: Column, time_text: Column) -> Column:

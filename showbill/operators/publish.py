@@ -62,9 +62,11 @@ def calendar_rows(showing: DataFrame, uid_domain: str = "showbill.local", zone:
 
     Needs event_id, title, type, rating, hook, venue, url, date, time.
     """
-    start = start_local(F.col("date"), F.col("time"))
     rows = showing.where((F.coalesce("date", F.lit("")) != "") & (F.coalesce("time", F.lit("")) != ""))
-    rows = rows.withColumn("start_local", start).where(F.col("start_local").isNotNull())
+    # Both starts come out of a generator, so the parsing and the zone rules run once per row.
+    starts = let(start_local(F.col("date"), F.col("time")), lambda at: F.struct(
+        at.alias("start_local"), utc_of_local(at, zone).alias("start_utc")))
+    rows = rows.select("*", F.inline_outer(F.array(starts))).where(F.col("start_local").isNotNull())
     rating = F.when(F.col("rating").isNotNull(), F.concat(F.col("rating").cast("string"), F.lit("/10")))
     stamp = F.regexp_replace("time", "[: ]", "")
     hours = F.expr(f"INTERVAL {SHOW_HOURS} HOURS")
@@ -72,8 +74,7 @@ def calendar_rows(showing: DataFrame, uid_domain: str = "showbill.local", zone:
         "*",
         F.concat_ws("-", F.coalesce(F.nullif("event_id", F.lit("")), F.lit("event")), "date",
                     F.concat(stamp, F.lit(f"@{uid_domain}"))).alias("uid"),
-        utc_of_local(F.col("start_local"), zone).alias("start_utc"),
-        (utc_of_local(F.col("start_local"), zone) + hours).alias("end_utc"),
+        (F.col("start_utc") + hours).alias("end_utc"),
         F.concat_ws(" ", F.concat(F.lit("["), rating, F.lit("]")), "title").alias("summary"),
         F.concat_ws(
             "\n\n", F.concat(F.lit("Rating: "), rating), F.nullif("hook", F.lit("")),
