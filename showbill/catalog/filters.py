@@ -2,9 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from showbill.catalog.base import EVENT, EVENT_PERSON, MONTH_NAME, PERSON, SCREENING, TODAY, query, with_
-from showbill.catalog.ranking import FIRST, SIGNAL, weighted
-from showbill.catalog.normalize import arms
+from showbill.catalog.base import EVENT, EVENT_PERSON, PERSON, SCREENING, TODAY, query, with_
+from showbill.catalog.ranking import SIGNAL, weighted
 from showbill.functions.text import slug
 from showbill.operators import filters as FL
 from showbill.operators import grouping as G

@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from showbill.catalog.base import EVENT, LISTING, SCREENING, TODAY, query, with_
-from showbill.catalog.ranking import FIRST
 from showbill.catalog.review import NONJ_SQL, RAW_REPLY, REFUSAL_SQL
 from showbill.functions import review as RV
 from showbill.operators import quality as Q

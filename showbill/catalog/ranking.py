@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from showbill.catalog.base import (
-    EVENT, EVENT_PERSON, LISTING, PERSON, SCREENING, SIGNAL_TODAY, TODAY, query, with_,
+    EVENT, EVENT_PERSON, PERSON, SCREENING, SIGNAL_TODAY, TODAY, query, with_,
 )
 from showbill.operators import grouping as G
 from showbill.operators import ranking as R

@@ -2,9 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from showbill.catalog.base import EVENT, EVENT_PERSON, PERSON, SCREENING, query, with_
+from showbill.catalog.base import EVENT, PERSON, SCREENING, query, with_
 from showbill.catalog.normalize import arms, raw
-from showbill.catalog.ranking import DIGEST, FIRST, W02, WEEK
+from showbill.catalog.ranking import DIGEST, FIRST, WEEK
 from showbill.functions import facts as A
 from showbill.functions import text as X
 from showbill.operators import grouping as G

@@ -125,13 +125,6 @@ def finalize(event: DataFrame, screening: DataFrame, key: str = "event_key") ->
     return event.join(shown, key).withColumn("id", slug(F.col("title"), "event_id"))
 
 
-def ordered_showings(screening: DataFrame) -> DataFrame:
-    """Showings with the sort keys of the published list (absent values last)."""
-    return screening.withColumn("sort_date", F.coalesce(F.nullif("date", F.lit("")), F.lit("9999-12-31"))).withColumn(
-        "sort_time", F.coalesce(F.nullif("time", F.lit("")), F.lit("23:59"))
-    )
-
-
 def first_occurrence(screening: DataFrame, key: str = "event_key") -> DataFrame:
     """First date (the smallest) and first time (the first nonblank one by position)."""
     has_time = F.coalesce(F.col("time"), F.lit("")) != ""

@@ -136,8 +136,11 @@ def merge_companions(event: DataFrame, screening: DataFrame, hint: DataFrame) ->
         F.min("film_key").alias("first_key"), F.max("film_key").alias("film_key"))
     wanted = hint.withColumn("needle", F.lower(F.trim("hint_title"))).where(F.col("needle") != "")
     pairs = containing(films.select(F.col("film_title").alias("text")), wanted).withColumnRenamed("text", "film_title")
-    best = wanted.select("needle", "hint_date").distinct().join(pairs, "needle").join(
-        by_title, ["film_title", "hint_date"]).groupBy("needle", "hint_date").agg(F.min_by("film_key", "first_key").alias("film_key"))
+    # From the films' side each title leads to few hints; from the hints' side a common word
+    # would lead to every film.
+    best = by_title.join(pairs, "film_title").join(
+        wanted.select("needle", "hint_date"), ["needle", "hint_date"], "left_semi").groupBy("needle", "hint_date").agg(
+        F.min_by("film_key", "first_key").alias("film_key"))
     matched = wanted.join(best, ["needle", "hint_date"]).select("event_key", "film_key", "hint_title", "hint_date")
     attached = matched.join(event.select("event_key", "title", "venue", "url"), "event_key")
     return attached, event.join(matched.select("event_key"), "event_key", "left_anti")

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from showbill.functions.dates import day
 from showbill.functions.facts import nonblank
 from showbill.functions.text import clean_name, labelled, slug
 from showbill.operators.grouping import first_row, upcoming
@@ -175,7 +174,3 @@ def reader_groups(event: DataFrame, screening: DataFrame) -> tuple[DataFrame, Da
     once = first_row(shows, ["group_title", "date", "time"], ["ord", "show_venue", "show_url"])
     return groups, once
 
-
-def is_future(group_first_date: Column, today) -> Column:
-    """The reader's rule: only the first showing of a group counts."""
-    return group_first_date >= str(day(today))

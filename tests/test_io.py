@@ -84,6 +84,13 @@ def test_calendar_files(spark, tmp_path):
     assert {"BEGIN:VCALENDAR", "X-WR-CALNAME:All", "UID:1", "END:VCALENDAR"} <= lines
 
 
+def test_text_lines_are_written_in_order(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"line {i:03d}") for i in range(50)], "i int, line string").repartition(4)
+    SK.write_lines(rows, str(tmp_path / "dump"), F.col("i"))
+    parts = sorted((tmp_path / "dump").glob("part-*"))
+    assert [x for p in parts for x in p.read_text().splitlines()] == [f"line {i:03d}" for i in range(50)]
+
+
 def test_replies():
     cut = '{"events": [{"title": "A"}, {"title": "B", "dates": ["x"], "n'
     assert RS.first_object("Sure:\n```json\n{\"a\": {\"b\": 1}}\n``` bye {") == {"a": {"b": 1}}
