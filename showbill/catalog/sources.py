@@ -174,7 +174,7 @@ def s07(spark, sf):
     pages = T.screening(spark, sf).select("ord", F.expr(RAW_SERIES).alias("html"))
     details = spark.createDataFrame([("Voyage Out", "5:00 PM", None, "A regional reading series.")],
                                     "series string, time string, host string, note string")
-    return P.series_entries(P.heading_blocks(pages, ["bm-txt-1", "bm-txt-2"]), details, TODAY, "ord")
+    return P.series_entries(pages, details, TODAY, "ord")
 
 
 # S08, S09, X02 ----------------------------------------------------------------------------------
@@ -226,7 +226,7 @@ RAW_SCHEDULE = f"""concat('# Season', '\n## ', {MONTH_NAME}, ' ', CAST(year(d) A
   UNION ALL SELECT ord, 'NIGHT SHOW', concat(year(d), '-12-05'), '10:00 pm', '22:00' FROM screening""")
 def s10(spark, sf):
     docs = T.screening(spark, sf).select("ord", F.expr(RAW_SCHEDULE).alias("text"))
-    return SC.schedule_doc(SC.split_lines(docs, "ord", "text"), "ord").drop("pos")
+    return SC.schedule_doc(docs, "ord")
 
 
 RAW_TABBED = f"""concat('Schedule\n', {MONTH_SHORT}, ' ', {DD}, '\t', title, '\n', {MONTH_SHORT}, ' ', {DD}, ' \t', title, ' (Live Event) \nSept 3\t', venue, ' Film Festival\nXyz 4\tNothing\nno tab here')"""
@@ -239,7 +239,7 @@ RAW_TABBED = f"""concat('Schedule\n', {MONTH_SHORT}, ' ', {DD}, '\t', title, '\n
   UNION ALL SELECT doc, concat(venue, ' Film Festival'), concat(regexp_extract(doc, '(\\d{4})', 1), '-09-03'), TRUE FROM e""")
 def s11(spark, sf):
     docs = T.screening(spark, sf).select(F.concat("ord", F.lit("-"), F.year("d").cast("string"), F.lit(".md")).alias("doc"), F.expr(RAW_TABBED).alias("text"))
-    return SC.schedule_table(SC.split_lines(docs, "doc", "text")).select("doc", "title", "date", "live")
+    return SC.schedule_table(SC.split_lines(docs)).select("doc", "title", "date", "live")
 
 
 RAW_BULLETS = """concat('- [ ] Before (other) — x\n<!-- BEGIN -->\n- [ ] ', title, ' [2] (', upper(type), ' hall) — Nice place [1] — see https://a.org/x and https://b.org/', CAST(event_key AS STRING), ').\n',
@@ -252,7 +252,7 @@ RAW_BULLETS = """concat('- [ ] Before (other) — x\n<!-- BEGIN -->\n- [ ] ', ti
   UNION ALL SELECT ord, 'Third', 'dance', 'plain text', '' FROM screening""")
 def s12(spark, sf):
     docs = T.screening(spark, sf).select("ord", F.expr(RAW_BULLETS).alias("text"))
-    return SC.prospect_bullets(SC.split_lines(docs, "ord", "text"), "ord", ("BEGIN", "END")).drop("pos")
+    return SC.prospect_bullets(SC.split_lines(docs, "ord"), "ord", ("BEGIN", "END")).drop("pos")
 
 
 # S13, X03 -------------------------------------------------------------------------------------

@@ -219,12 +219,21 @@ def html_text(col: Column, dialect: str = "visible") -> Column:
 
 
 def replace_banned(col: Column) -> Column:
-    """Overused phrases to plain ones, whole words, any case, in the listed order."""
-    out = col
-    for phrase, plain in BANNED_REPLACEMENTS.items():
-        out = F.regexp_replace(out, rf"(?iU)\b{phrase}\b", plain)
-    anything = "|".join(BANNED_REPLACEMENTS)
-    return F.when(col.rlike(rf"(?iU)\b(?:{anything})\b"), out).otherwise(col)
+    """Overused phrases to plain ones, whole words, any case, in the listed order.
+
+    A plain search in the lower-cased text decides which of the patterns have to run at
+    all. No replacement brings in a phrase that was not there before.
+    """
+    def step(low: Column, phrase: str, plain: str):
+        return lambda t: F.when(low.contains(phrase), F.regexp_replace(t, rf"(?iU)\b{phrase}\b", plain)).otherwise(t)
+
+    def chain(low: Column) -> Column:
+        out = col
+        for phrase, plain in BANNED_REPLACEMENTS.items():
+            out = let(out, step(low, phrase, plain))
+        return out
+
+    return let(F.lower(col), chain)
 
 
 # --- trims ----------------------------------------------------------------------

@@ -7,30 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Lines of one document that a single task may sort at a time.
-CHUNK = 10_000
-
-
-def carry_down(lines: DataFrame, doc: str, pos: str, values: Sequence[str], chunk: int = CHUNK) -> DataFrame:
-    """Each value filled from the last row above it that has one.
-
-    A plain running window would sort a whole document in one task. Here rows are
-    cut into chunks of positions: the window runs inside a chunk, and only one row
-    per chunk, its last values, goes through the window over the document.
-    """
-    rows = lines.withColumn("_chunk", F.floor(F.col(pos) / chunk))
-    inside = Window.partitionBy(doc, "_chunk").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-    above = Window.partitionBy(doc).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    closing = rows.groupBy(doc, "_chunk").agg(*[
-        F.max_by(F.col(v), F.when(F.col(v).isNotNull(), F.col(pos))).alias(v) for v in values
-    ])
-    opening = closing.select(doc, "_chunk", *[F.last(v, ignorenulls=True).over(above).alias(f"_in_{v}") for v in values])
-    local = rows.select(*[c for c in rows.columns if c not in values],
-                        *[F.last(v, ignorenulls=True).over(inside).alias(v) for v in values])
-    out = local.join(opening, [doc, "_chunk"])
-    return out.withColumns({v: F.coalesce(v, f"_in_{v}") for v in values}).drop("_chunk", *[f"_in_{v}" for v in values])
-
-
 def position_in_group(df: DataFrame, keys: Sequence[str], text: str, prefix: int = 2) -> DataFrame:
     """1-based position of every row in its group, ordered by a text column.
 

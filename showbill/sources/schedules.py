@@ -11,50 +11,69 @@ from showbill.functions.clock import to_24h
 from showbill.functions.dates import full_month_number, let, match, month_number, week_start
 from showbill.functions.facts import is_caps_title, is_live_title
 from showbill.functions.text import squeeze, unescape
-from showbill.operators.scale import carry_down, parse_rows
+from showbill.operators.scale import parse_rows
 from showbill.values import WEEKDAYS_LONG
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of text files with file name and position; a file is one document."""
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("doc"), "value")
-    return split_lines(text, "doc", "value")
+def read_texts(spark: SparkSession, path: str) -> DataFrame:
+    """Text files as documents: file name and whole text."""
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("doc"), F.col("value").alias("text"))
 
 
-def split_lines(docs: DataFrame, doc: str, text: str) -> DataFrame:
+def split_lines(docs: DataFrame, doc: str = "doc", text: str = "text") -> DataFrame:
     return docs.select(doc, F.posexplode(F.split(text, r"\r?\n")).alias("pos", "line"))
 
 
-_MONTH_HEAD = r"^##\s+([A-Za-z]+)\s+(\d{4})\s*$"
-_DAY_HEAD = r"^###\s+(?:" + "|".join(WEEKDAYS_LONG) + r"),?\s+([A-Za-z]+)\s+(\d{1,2})\s*$"
+_MONTH_HEAD = r"##\s+([A-Za-z]+)\s+(\d{4})\s*$"
+_DAY_HEAD = r"###\s+(?:" + "|".join(WEEKDAYS_LONG) + r"),?\s+([A-Za-z]+)\s+(\d{1,2})\s*$"
 _ENTRY = r"^-\s*\*\*(.+?)\*\*\s*[—–-]\s*(.+?)\s*$"
 
 
-def schedule_doc(lines: DataFrame, doc: str = "doc") -> DataFrame:
+def schedule_doc(docs: DataFrame, doc: str = "doc", text: str = "text") -> DataFrame:
     """Showings of a schedule with month and day headings; only titles in capitals are films.
 
-    Month, year and day carry down from their headings; a day heading may also change the
-    month. Unreadable times are dropped.
+    A document is one row, and headings hold for what follows them, so the text is cut at
+    its month headings, these parts at their day headings, and these at their entries; no
+    row has to meet another one. Unreadable times are dropped.
     """
-    line = F.rtrim("line")
-    lines = lines.where(F.col("line").rlike(r"^(?:##|-)"))
-    marked = lines.select(
-        doc, "pos", line.alias("line"),
-        match(line, _MONTH_HEAD, 2).cast("int").alias("year"),
-        # An unknown month name after "##" leaves no month, written as 0.
-        F.when(line.rlike(_MONTH_HEAD), F.coalesce(full_month_number(match(line, _MONTH_HEAD, 1)), F.lit(0)))
-        .otherwise(full_month_number(match(line, _DAY_HEAD, 1))).alias("month"),
-        match(line, _DAY_HEAD, 2).cast("int").alias("day"),
-    )
-    rows = carry_down(marked, doc, "pos", ["year", "month", "day"]).where(F.col("line").rlike(_ENTRY))
-    written = F.concat_ws(
-        "-", F.lpad(F.col("year").cast("string"), 4, "0"), F.lpad(F.col("month").cast("string"), 2, "0"),
-        F.lpad(F.col("day").cast("string"), 2, "0"))
-    rows = rows.where(F.col("year").isNotNull() & (F.col("month") > 0) & F.col("day").isNotNull()).select(
-        doc, "pos", squeeze(match(F.col("line"), _ENTRY, 1)).alias("title"), written.alias("date"),
-        F.split(match(F.col("line"), _ENTRY, 2), ",").alias("chunks"))
-    rows = rows.where(is_caps_title(F.col("title"))).select(doc, "pos", "title", "date", F.explode("chunks").alias("chunk"))
-    return rows.select(doc, "pos", "title", "date", F.trim("chunk").alias("time_12"), to_24h(F.col("chunk")).alias("time_24")).where(
+    months = F.split(text, rf"(?m)(?=^{_MONTH_HEAD})")
+
+    def entries(part: Column, year: Column, month: Column, day: Column) -> Column:
+        found = F.regexp_extract_all(part, F.lit("(?m)" + _ENTRY), F.lit(0))
+        date = F.concat(F.lpad(year, 4, "0"), F.lit("-"), F.lpad(month.cast("string"), 2, "0"), F.lit("-"), F.lpad(day, 2, "0"))
+        return let(date, lambda d: F.when(d.isNotNull(), F.transform(found, lambda e: F.struct(
+            d.alias("date"), squeeze(match(e, _ENTRY, 1)).alias("title"), match(e, _ENTRY, 2).alias("times")))))
+
+    def day_parts(part: Column, i: Column, head: Column) -> Column:
+        days = F.split(part, rf"(?m)(?=^{_DAY_HEAD})")
+
+        def named(x: Column) -> Column:
+            return full_month_number(match(x, "(?m)^" + _DAY_HEAD, 1))
+
+        # Before its first day heading a month goes on with the last day (and an unknown
+        # month name with the last known one) above.
+        above = F.array_join(F.slice(months, F.lit(1), i), "")
+        last_day = match(F.element_at(F.concat(F.array(F.lit("")), F.regexp_extract_all(
+            above, F.lit(rf"(?m)(^{_DAY_HEAD})"), F.lit(1))), -1), "(?m)" + _DAY_HEAD, 2)
+
+        def one(x: Column, j: Column) -> Column:
+            before = F.filter(F.transform(F.slice(days, F.lit(1), j), named), lambda m: m.isNotNull())
+            month = F.coalesce(named(x), F.get(before, F.size(before) - 1), head["month"])
+            day = F.when(j == 0, F.when(x.rlike("(?m)" + _ENTRY), last_day)).otherwise(match(x, "(?m)^" + _DAY_HEAD, 2))
+            return entries(x, head["year"], month, day)
+
+        return F.flatten(F.filter(F.transform(days, one), lambda x: x.isNotNull()))
+
+    def month_part(part: Column, i: Column) -> Column:
+        starts_month = part.rlike(r"(?m)\A" + _MONTH_HEAD)
+        head = F.struct(
+            match(part, "(?m)^" + _MONTH_HEAD, 2).alias("year"), full_month_number(match(part, "(?m)^" + _MONTH_HEAD, 1)).alias("month"))
+        return F.when(starts_month, let(head, lambda h: day_parts(part, i, h)))
+
+    found = F.flatten(F.filter(F.transform(months, month_part), lambda x: x.isNotNull()))
+    rows = docs.select(doc, F.inline_outer(found)).where(F.col("title").isNotNull())
+    rows = rows.where(is_caps_title(F.col("title"))).select(doc, "title", "date", F.explode(F.split("times", ",")).alias("chunk"))
+    return rows.select(doc, "title", "date", F.trim("chunk").alias("time_12"), to_24h(F.col("chunk")).alias("time_24")).where(
         F.col("time_24").isNotNull())
 
 

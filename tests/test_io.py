@@ -1,6 +1,8 @@
 """Files in and out, replies, and the model seam."""
 
 import json
+import random
+import re
 
 import pandas as pd
 import pytest
@@ -12,6 +14,7 @@ from showbill.sources import responses as RS
 from showbill.sources import schedules as SC
 from showbill.sources import season as SE
 from showbill.sources import sinks as SK
+from showbill.values import MONTHS_LONG
 
 
 def test_season_file(spark, tmp_path):
@@ -40,15 +43,34 @@ def test_published_list_must_be_an_array(spark, tmp_path):
 
 def test_schedule_files(spark, tmp_path):
     (tmp_path / "april-2026.md").write_text("Apr 1\tJaws\nApr 2\tPolar Night! (live event)\nnope\n")
-    got = SC.schedule_table(SC.read_lines(spark, str(tmp_path)))
+    got = SC.schedule_table(SC.split_lines(SC.read_texts(spark, str(tmp_path))))
     assert sorted((r["title"], r["date"], r["live"]) for r in got.collect()) == [("Jaws", "2026-04-01", False), ("Polar Night!", "2026-04-02", True)]
 
 
-def test_day_heading_changes_the_month(spark):
-    text = "## April 2026\n### Thursday, April 30\n- **ONE** — 6:00 PM\n### Friday May 1\n- **TWO** – 7:15 PM, 9:00 PM\n- **Talk** — 5:00 PM"
-    got = SC.schedule_doc(SC.split_lines(spark.createDataFrame([("d", text)], "doc string, t string"), "doc", "t"))
-    assert sorted((r["title"], r["date"], r["time_24"]) for r in got.collect()) == [
-        ("ONE", "2026-04-30", "18:00"), ("TWO", "2026-05-01", "19:15"), ("TWO", "2026-05-01", "21:00")]
+def sequential_schedule(text):
+    """The rule spelled out line by line: headings hold until the next one."""
+    months = {m.lower(): i for i, m in enumerate(MONTHS_LONG, 1)}
+    year = month = day = None
+    out = []
+    for line in text.split("\n"):
+        if hit := re.match(r"^##\s+([A-Za-z]+)\s+(\d{4})\s*$", line):
+            month, year = months.get(hit[1].lower()), int(hit[2])
+        elif hit := re.match(r"^###\s+(?:Thursday|Friday|Saturday),?\s+([A-Za-z]+)\s+(\d{1,2})\s*$", line):
+            month, day = months.get(hit[1].lower(), month), int(hit[2])
+        elif (hit := re.match(r"^- \*\*(\w+)\*\* — (.*)$", line)) and year and month and day:
+            out += [(hit[1], f"{year}-{month:02d}-{day:02d}", t.strip()) for t in hit[2].split(",")]
+    return out
+
+
+def test_headings_hold_until_the_next_one(spark):
+    lines = ["## April 2026", "### Thursday, April 30", "- **ONE** — 6:00 PM", "### Friday May 1", "- **TWO** — 7:15 PM, 9:00 PM", "## Notes",
+             "- **THREE** — 1:00 PM", "## June 2026", "- **FOUR** — 2:00 PM", "### Saturday, Juni 6", "- **FIVE** — 3:00 PM", "## Brumaire 2027",
+             "- **SIX** — 4:00 PM", "### Thursday, July 1", "- **SEVEN** — 5:00 PM", "### Friday, Julius 2", "- **EIGHT** — 5:00 PM"]
+    rnd = random.Random(3)
+    texts = ["\n".join(lines)] + ["\n".join(rnd.sample(lines, len(lines))) for _ in range(20)]
+    docs = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "doc string, text string")
+    got = sorted((r["doc"], r["title"], r["date"], r["time_12"]) for r in SC.schedule_doc(docs).collect())
+    assert got == sorted((str(i), *row) for i, t in enumerate(texts) for row in sequential_schedule(t))
 
 
 def test_digest_archive_and_manifest(spark, tmp_path):

@@ -77,19 +77,6 @@ def test_containing_equals_all_pairs(spark):
     assert {tuple(r) for r in got.collect()} == want
 
 
-@pytest.mark.parametrize("chunk", [3, 7, 1000])
-def test_carry_down_over_chunks(spark, chunk):
-    rnd = random.Random(chunk)
-    rows = [(doc, pos, rnd.choice([None, None, f"a{pos}"]), rnd.choice([None, pos])) for doc in ("x", "y") for pos in range(50)]
-    got = S.carry_down(spark.createDataFrame(rows, "doc string, pos int, a string, b int"), "doc", "pos", ["a", "b"], chunk).collect()
-    want, last = {}, {}
-    for doc, pos, a, b in rows:
-        was = last.get(doc, (None, None))
-        last[doc] = (a if a is not None else was[0], b if b is not None else was[1])
-        want[doc, pos] = last[doc]
-    assert {(r["doc"], r["pos"]): (r["a"], r["b"]) for r in got} == want
-
-
 def test_position_in_group(spark):
     rows = [("hot" if i % 3 else "cold", f"{i * 37 % 100:02d}") for i in range(100)]
     got = S.position_in_group(spark.createDataFrame(rows, "g string, t string"), ["g"], "t", prefix=1).collect()
