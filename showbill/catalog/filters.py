@@ -76,12 +76,12 @@ def f06_label(spark, sf):
 
 @query("f07_filter_events", with_(SCREENING, EVENT, SIGNAL) + """
   SELECT event_key, title FROM event
-  WHERE contains(lower(title), 'old') AND type = 'movie'
+  WHERE contains(lower(title), 'n') AND type = 'movie'
     AND event_key IN (SELECT event_key FROM weighted WHERE weight > 0)
     AND event_key IN (SELECT event_key FROM screening WHERE date >= '1998-06-15' AND date < '1998-06-22')""")
 def f07(spark, sf):
     saved = weighted(spark, sf).where("weight > 0")
-    return FL.filter_events(T.event(spark, sf), T.showings(spark, sf), TODAY, "old", saved, "movie", "week").select("event_key", "title")
+    return FL.filter_events(T.event(spark, sf), T.showings(spark, sf), TODAY, "n", saved, "movie", "week").select("event_key", "title")
 
 
 # F08 ---------------------------------------------------------------------------------------
