@@ -130,7 +130,7 @@ def j15(spark, sf):
 # J05 --------------------------------------------------------------------------------------
 def hints(spark, sf):
     """Non-film events hint at a film: the head of some part's title, on their first date."""
-    first = T.screening(spark, sf).groupBy("event_key").agg(F.min("date").alias("hint_date"))
+    first = T.showings(spark, sf).groupBy("event_key").agg(F.min("date").alias("hint_date"))
     name = T.table(spark, sf, "part").select(F.col("p_partkey").alias("event_key"), "p_name", "p_size")
     rows = T.event(spark, sf).where("type NOT IN ('movie', 'screening')").join(first, "event_key").join(name, "event_key")
     hint = F.when(F.col("p_size") % 3 == 0, F.upper(F.substring_index("p_name", " ", 1))).when(
@@ -151,13 +151,13 @@ matched AS (SELECT event_key, arg_min(film_key, first_key) AS film_key FROM hint
 
 @query("j05_companions", with_(SCREENING, EVENT, COMPANION) + " SELECT event_key, film_key, title, venue FROM matched JOIN event USING (event_key)")
 def j05(spark, sf):
-    attached, _ = J.merge_companions(T.event(spark, sf), T.screening(spark, sf), hints(spark, sf))
+    attached, _ = J.merge_companions(T.event(spark, sf), T.showings(spark, sf), hints(spark, sf))
     return attached.select("event_key", "film_key", "title", "venue")
 
 
 @query("j05_remaining", with_(SCREENING, EVENT, COMPANION) + " SELECT event_key FROM event WHERE event_key NOT IN (SELECT event_key FROM matched)")
 def j05_remaining(spark, sf):
-    _, remaining = J.merge_companions(T.event(spark, sf), T.screening(spark, sf), hints(spark, sf))
+    _, remaining = J.merge_companions(T.event(spark, sf), T.showings(spark, sf), hints(spark, sf))
     return remaining.select("event_key")
 
 
