@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -12,14 +13,14 @@ from pyspark.sql import functions as F
 from showbill.llm.common import text_blocks, stored
 from showbill.llm.words import _WORD, mixed, span_hashes, words
 
-#: A value goes if it is further outside the quartiles than so many quartile distances.
-FENCE = 3.0
+#: How far, in quartile distances, a document may lie outside the quartiles of its group, below
+#: and above, and the least distance that counts as one. Only few tokens of many kinds, or
+#: many bytes, speak against a text, so these have one fence.
+FENCES = {"chars": (3.0, 4.0, 0.02), "bytes": (None, 4.0, 0.02), "entropy": (2.0, None, 0.05)}
 #: Languages (and length classes) with fewer documents have no band and reject nothing.
 LEAST_DOCS = 50
 #: Steps of the histograms from which the quartiles are read.
 STEPS = 1000
-#: Words whose tokens a task remembers.
-REMEMBERED = 200_000
 
 _U = np.uint64
 _SYMBOL = np.zeros(256, bool)
@@ -35,23 +36,18 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 
 class _Tokenizer:
-    """Token ids of single words; frequent words are remembered."""
+    """Token ids of single words."""
 
     def __init__(self, path: str):
         import sentencepiece
 
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=path)
         self.is_byte = np.array([self.pieces.is_byte(i) for i in range(self.pieces.get_piece_size())])
-        self.known: dict[bytes, np.ndarray] = {}
 
-    def encode(self, wanted: list[bytes]) -> list[np.ndarray]:
-        new = [w for w in wanted if w not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = wanted
-        ids = self.pieces.encode([w.decode("utf-8", "replace") for w in new], num_threads=1)
-        self.known.update(zip(new, (np.array(i, np.int32) for i in ids), strict=True))
-        return [self.known[w] for w in wanted]
+    def encode(self, wanted: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words one after another, their number per word)."""
+        ids = self.pieces.encode([w.decode("utf-8", "replace") for w in wanted], num_threads=1) if wanted else []
+        return np.fromiter(chain.from_iterable(ids), np.int64), np.fromiter(map(len, ids), np.int64, len(ids))
 
 
 @lru_cache(maxsize=2)
@@ -78,11 +74,9 @@ def measured(texts: list[bytes], tokenizer: _Tokenizer) -> dict[str, np.ndarray]
     out = {"n_words": np.bincount(of, minlength=n), "n_symbols": per_text(np.flatnonzero(_SYMBOL[data]))}
     points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
     out["word_chars"] = np.bincount(of, weights=points[ends] - points[starts], minlength=n).astype(np.int64)
-    letters = _SCRIPT[data]
-    seen = np.zeros((n, len(_SCRIPT_NAMES)), np.int64)
-    at = np.flatnonzero(letters)
-    np.add.at(seen, (np.searchsorted(first, at, "right") - 1, letters[at]), 1)
-    out["script"] = seen.argmax(axis=1)
+    # the script of most words, by their first characters
+    seen = np.bincount(of * len(_SCRIPT_NAMES) + _SCRIPT[data[starts]], minlength=n * len(_SCRIPT_NAMES))
+    out["script"] = seen.reshape(n, -1).argmax(axis=1)
 
     feeds = np.concatenate(([-1], np.flatnonzero(data == 10), [len(data)]))
     line_starts, line_ends = feeds[:-1] + 1, feeds[1:]
@@ -99,18 +93,16 @@ def measured(texts: list[bytes], tokenizer: _Tokenizer) -> dict[str, np.ndarray]
         at = np.flatnonzero(of[2:] == of[:-2])
         triples = mixed(hashes[at] * _WORD[0] + hashes[at + 1] * _WORD[1] + hashes[at + 2] * _WORD[2]) ^ salt[of[at]]
         at = at[_doubled(triples)]
-        np.add.at(repeated, at, 1)
-        np.add.at(repeated, at + 3, -1)
+        repeated += np.bincount(at, minlength=len(repeated)) - np.bincount(at + 3, minlength=len(repeated))
     out["n_repeat_words"] = np.bincount(of, weights=np.cumsum(repeated)[:len(hashes)] > 0, minlength=n).astype(np.int64)
 
     _, lead, back = np.unique(hashes, return_index=True, return_inverse=True)
-    ids = tokenizer.encode([data[a:b].tobytes() for a, b in zip(starts[lead], ends[lead], strict=True)])
-    sizes = np.array([len(i) for i in ids], np.int64)
-    flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+    joined = data.tobytes()
+    flat, sizes = tokenizer.encode([joined[a:b] for a, b in zip(starts[lead].tolist(), ends[lead].tolist(), strict=True)])
     base = np.cumsum(sizes) - sizes
     take = sizes[back]
     where = np.repeat(base[back], take) + np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take)
-    tokens, token_of = flat[where].astype(np.int64), np.repeat(of, take)
+    tokens, token_of = flat[where], np.repeat(of, take)
     out["n_tokens"] = np.bincount(token_of, minlength=n)
     out["n_byte_tokens"] = np.bincount(token_of, weights=tokenizer.is_byte[tokens], minlength=n).astype(np.int64)
     keys, counts = np.unique(token_of * len(tokenizer.is_byte) + tokens, return_counts=True)
@@ -161,72 +153,74 @@ def _values():
     }
 
 
-def _group(name: str):
-    """A band's group: the language, or the script where it has no language; for the entropy also the length in powers of two."""
-    base = F.coalesce("_lang", F.concat(F.lit("script "), F.col("script")))
-    return F.concat_ws(" ", base, F.floor(F.log2(F.col("n_tokens").cast("double"))).cast("string")) if name == "entropy" else base
+def _group():
+    """A band's group: the language, or the script where it has no language, and the number of tokens in powers of two."""
+    return F.concat_ws(
+        " ", F.coalesce("_lang", F.concat(F.lit("script "), F.col("script"))), F.floor(F.log2(F.col("n_tokens").cast("double"))).cast("string"))
 
 
 def base_failed():
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def bands(rows: DataFrame, fence: float = FENCE, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """(measure, group, low, high) from the quartiles over all documents that pass the base rules.
+def bands(rows: DataFrame, fences: dict = FENCES, least_docs: int = LEAST_DOCS) -> DataFrame:
+    """(group, low and high of each measure) from the quartiles over all documents that pass the base rules.
 
     The quartiles come from counted grid values, which add up over any number of tasks.
     """
-    values = F.array(*[F.struct(F.lit(k).alias("measure"), _group(k).alias("group"), v.alias("value")) for k, v in _values().items()])
+    values = F.array(*[F.struct(F.lit(k).alias("measure"), _group().alias("group"), v.alias("value")) for k, v in _values().items()])
     counts = rows.where(~base_failed()).select(F.explode(values).alias("v")).select("v.*").where("value is not null").groupBy(
         "measure", "group", "value").agg(F.count("*").alias("n"))
     w = Window.partitionBy("measure", "group")
-    below = F.sum("n").over(w.orderBy("value"))
-    ranked = counts.select("*", below.alias("below"), F.sum("n").over(w).alias("all"))
+    ranked = counts.select("*", F.sum("n").over(w.orderBy("value")).alias("below"), F.sum("n").over(w).alias("all"))
 
     def quartile(q):
         return F.min(F.when(F.col("below") >= q * F.col("all"), F.col("value")))
 
-    edges = ranked.groupBy("measure", "group").agg(quartile(0.25).alias("q1"), quartile(0.75).alias("q3"), F.max("all").alias("all"))
-    # at least a twentieth of the middle value, so that a narrow middle rejects no neighbour
-    reach = fence * F.greatest(F.col("q3") - F.col("q1"), F.col("q3") * 0.05)
-    return edges.where(F.col("all") >= least_docs).select("measure", "group", (F.col("q1") - reach).alias("low"), (F.col("q3") + reach).alias("high"))
+    edges = ranked.groupBy("measure", "group").agg(
+        quartile(0.25).alias("q1"), quartile(0.75).alias("q3"), F.max("all").alias("all")).where(F.col("all") >= least_docs)
+    limits = []
+    for name, (below, above, least) in fences.items():
+        reach = F.greatest(F.col("q3") - F.col("q1"), F.lit(least * STEPS))
+        own = F.col("measure") == name
+        limits += [F.max(F.when(own, F.lit(None).cast("double") if k is None else F.col(q) + sign * k * reach)).alias(f"_{edge}_{name}")
+                   for edge, q, sign, k in (("low", "q1", -1, below), ("high", "q3", 1, above))]
+    return edges.groupBy(F.col("group").alias("_group")).agg(*limits)
 
 
 def judged(rows: DataFrame, limits: DataFrame) -> DataFrame:
     """``rows`` with base_failed and kept; the limits have a row per language and length class."""
-    out = rows.withColumn("base_failed", base_failed())
+    out = rows.withColumn("base_failed", base_failed()).join(limits, _group() == F.col("_group"), "left")
     passed = ~F.col("base_failed")
     for name, value in _values().items():
-        own = limits.where(F.col("measure") == name).select(
-            F.col("group").alias("_group"), F.col("low").alias(f"_low_{name}"), F.col("high").alias(f"_high_{name}"))
-        out = out.join(own, _group(name) == F.col("_group"), "left").drop("_group")
-        passed = passed & (F.col(f"_low_{name}").isNull() | value.between(F.col(f"_low_{name}"), F.col(f"_high_{name}")))
-    return out.withColumn("kept", F.coalesce(passed, F.lit(False))).drop(*[f"_{e}_{k}" for k in _values() for e in ("low", "high")])
+        passed = passed & F.coalesce(value >= F.col(f"_low_{name}"), F.lit(True)) & F.coalesce(value <= F.col(f"_high_{name}"), F.lit(True))
+    return out.withColumn("kept", passed).drop(*limits.columns)
 
 
-def quality(docs: DataFrame, vocabulary: str, *kept: str, fence: float = FENCE) -> DataFrame:
+def _judged(docs: DataFrame, vocabulary: str, columns, fences: dict) -> tuple[DataFrame, dict]:
+    renamed = {c: f"_kept_{i}" for i, c in enumerate(columns)}
+    rows = docs.select(*[F.col(c).alias(n) for c, n in renamed.items()], F.col("lang").cast("string").alias("_lang"), "text")
+    rows = stored(measures(rows, vocabulary, *renamed.values(), "_lang"), "quality-measures")
+    # the bands have a few rows a language, and once they are written Spark knows it
+    return judged(rows, stored(bands(rows, fences), "quality-bands")), renamed
+
+
+def quality(docs: DataFrame, vocabulary: str, *kept: str, fences: dict | None = None) -> DataFrame:
     """Every row with its measures, base_failed and kept, and the columns ``kept``.
 
     base_failed: fewer than 50 words, or over half of the words in repeated three-word
     windows. Others are kept if characters per token, byte-fallback share and token entropy
-    lie within the fences of their language (script where lang is null); the entropy is
-    compared among documents of like length. Null and empty texts have no words and fail.
-    Repeated rows are judged alike; an empty table gives no rows. Columns of other names
-    pass through unchanged, whatever their names, if asked for by ``kept``.
+    lie within the fences of the documents of like length in their language (script where
+    lang is null); a group of fewer than LEAST_DOCS has no fences. Null and empty texts have
+    no words and fail. Repeated rows are judged alike; an empty table gives no rows. Columns
+    pass through unchanged if asked for by ``kept``, but for those with a measure's name.
     """
-    renamed = {c: f"_kept_{i}" for i, c in enumerate(kept)}
-    rows = docs.select(*[F.col(c).alias(n) for c, n in renamed.items()], F.col("lang").cast("string").alias("_lang"), "text")
-    rows = stored(measures(rows, vocabulary, *renamed.values(), "_lang"), "quality-measures")
-    # four rows a language: small, and known to Spark as such
-    out = judged(rows, stored(bands(rows, fence), "quality-bands"))
+    out, renamed = _judged(docs, vocabulary, kept, fences or FENCES)
     names = [*MEASURES, "script", "entropy", "base_failed", "kept"]
     return out.select(*[F.col(n).alias(c) for c, n in renamed.items() if c not in names], *names)
 
 
-def drop_low_quality(docs: DataFrame, vocabulary: str, fence: float = FENCE) -> DataFrame:
+def drop_low_quality(docs: DataFrame, vocabulary: str, fences: dict | None = None) -> DataFrame:
     """The documents that are kept, with all their columns."""
-    renamed = {c: f"_kept_{i}" for i, c in enumerate(docs.columns)}
-    rows = docs.select(*[F.col(c).alias(n) for c, n in renamed.items()], F.col("lang").cast("string").alias("_lang"), "text")
-    rows = stored(measures(rows, vocabulary, *renamed.values(), "_lang"), "quality-measures")
-    out = judged(rows, stored(bands(rows, fence), "quality-bands")).where("kept")
-    return out.select(*[F.col(n).alias(c) for c, n in renamed.items()])
+    out, renamed = _judged(docs, vocabulary, docs.columns, fences or FENCES)
+    return out.where("kept").select(*[F.col(n).alias(c) for c, n in renamed.items()])

@@ -31,8 +31,10 @@ GROUP_RUNS = 20_000
 STEP_BYTES = 1 << 20
 
 _U = np.uint64
-_RUN = np.dtype([("h", "<i8"), ("f", "<i8"), ("doc", "<i8"), ("s", "<i8"), ("n", "<i4")])
-_PLACE = np.dtype([("doc", "<i8"), ("s", "<i8"), ("n", "<i4")])
+#: Anchor, fingerprint and place (doc_id, text hash, start) of a run, and its number of starts.
+_RUN = np.dtype([("h", "<i8"), ("f", "<i8"), ("doc", "<i8"), ("t", "<i4"), ("s", "<i8"), ("n", "u1")])
+_PLACE = np.dtype([("doc", "<i8"), ("t", "<i4"), ("s", "<i8"), ("n", "u1")])
+_ORDER = ["h", "f", "doc", "t", "s"]
 
 
 def anchored(data: np.ndarray, first: np.ndarray, last: np.ndarray, length: int = LENGTH):
@@ -66,9 +68,9 @@ def anchored(data: np.ndarray, first: np.ndarray, last: np.ndarray, length: int
 
 
 def _pieces(rows, texts, length, size=4 << 20):
-    """(ids, offsets, texts) with texts of over ``size`` bytes cut into pieces that overlap."""
+    """(rows, offsets, texts) with texts of over ``size`` bytes cut into pieces that overlap."""
     ids, offsets, out = [], [], []
-    for i, text in zip(rows.column(0).to_pylist(), texts, strict=True):
+    for i, text in enumerate(texts):
         for at in range(0, max(1, len(text) - length + 1), size):
             ids.append(i)
             offsets.append(at)
@@ -81,7 +83,8 @@ def _runs(buckets: int, length: int):
 
     def run(batches):
         for rows, texts in text_blocks(batches):
-            ids, offsets, pieces = _pieces(rows, texts, length)
+            row, offsets, pieces = _pieces(rows, texts, length)
+            ids, hashes = (rows.column(i).to_numpy(zero_copy_only=False)[row] for i in (0, 2))
             data = np.frombuffer(b"".join(pieces), np.uint8)
             last = np.cumsum([len(p) for p in pieces])
             first = last - [len(p) for p in pieces]
@@ -90,13 +93,8 @@ def _runs(buckets: int, length: int):
                 continue
             out = np.empty(len(h), _RUN)
             out["h"], out["f"] = h, span_hashes(data, starts, starts + counts + length - 1).view(np.int64)
-            out["doc"], out["s"], out["n"] = ids[owner], starts - first[owner] + offsets[owner], counts
-            out.sort(order=["h", "f", "doc", "s"])
-            new = np.concatenate(([True], _differ(out)))
-            lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-            # rows that repeat a document stand at the same place and copy nothing
-            same = (out["doc"] == out["doc"][lead]) & (out["s"] == out["s"][lead])
-            copies, out = out[~new & ~same], out[new]
+            out["doc"], out["t"], out["s"], out["n"] = ids[owner], hashes[owner], starts - first[owner] + offsets[owner], counts
+            copies, out = _copies(out)
             to = (out["h"].view(_U) % _U(buckets)).astype(np.int64)
             order = np.argsort(to, kind="stable")
             to, out = to[order], out[order]
@@ -115,23 +113,24 @@ def _runs(buckets: int, length: int):
     return run
 
 
-def _differ(runs: np.ndarray) -> np.ndarray:
-    return (runs["h"][1:] != runs["h"][:-1]) | (runs["f"][1:] != runs["f"][:-1])
+def _copies(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(runs with an equal one at an earlier place, the first of each kind); rows that repeat a document stand at one place."""
+    runs = runs[np.lexsort([runs[c] for c in reversed(_ORDER)])]
+    new = np.ones(len(runs), bool)
+    new[1:] = (runs["h"][1:] != runs["h"][:-1]) | (runs["f"][1:] != runs["f"][:-1])
+    lead = runs[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(runs) else runs
+    later = (runs["doc"] != lead["doc"]) | (runs["t"] != lead["t"]) | (runs["s"] != lead["s"])
+    return runs[later], runs[new]
 
 
 def _settled(frame: pd.DataFrame) -> pd.DataFrame:
     """Copies (h is null) and, for anchors with different runs, the first of each (h is set)."""
-    runs = np.frombuffer(b"".join(frame["runs"]), _RUN).copy()
     known = np.frombuffer(b"".join(frame["copies"]), _PLACE)
-    runs.sort(order=["h", "f", "doc", "s"])
-    new = np.concatenate(([True] * bool(len(runs)), _differ(runs)))
-    lead = np.flatnonzero(new)[np.cumsum(new) - 1] if len(runs) else np.zeros(0, np.int64)
-    same = (runs["doc"] == runs["doc"][lead]) & (runs["s"] == runs["s"][lead])
-    copies, firsts = runs[~new & ~same], runs[new]
+    copies, firsts = _copies(np.frombuffer(b"".join(frame["runs"]), _RUN))
     change = np.flatnonzero(np.concatenate(([True] * bool(len(firsts)), firsts["h"][1:] != firsts["h"][:-1])))
     sizes = np.diff(np.concatenate((change, [len(firsts)])))
     several = firsts[np.repeat(sizes, sizes) > 1]
-    out = [pd.DataFrame({"doc_id": x["doc"], "s": x["s"], "n": x["n"], "h": pd.array(h, dtype="Int64")})
+    out = [pd.DataFrame({"doc_id": x["doc"], "t": x["t"], "s": x["s"], "n": x["n"].astype(np.int32), "h": pd.array(h, dtype="Int64")})
            for x, h in ((known, [None] * len(known)), (copies, [None] * len(copies)), (several, several["h"]))]
     return pd.concat(out, ignore_index=True)
 
@@ -200,36 +199,38 @@ def covered_starts(runs: list[bytes], owned: list[int], groups: list[int], lengt
 
 
 def _run_texts(batches):
-    schema = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("s", pa.int64()), ("n", pa.int32()), ("run", pa.binary())])
-    for batch in batches:
-        for rows, texts in text_blocks([batch]):
-            out = [(r["h"], i, r["s"], r["n"], text[r["s"]:r["s"] + r["n"] + r["more"]])
-                   for i, text, runs in zip(rows.column(0).to_pylist(), texts, rows.column(2).to_pylist(), strict=True) for r in runs]
-            yield batch_of(schema, list(zip(*out, strict=True)) if out else [[]] * 5)
+    schema = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("t", pa.int32()), ("s", pa.int64()), ("n", pa.int32()), ("run", pa.binary())])
+    for rows, texts in text_blocks(batches):
+        keys = zip(*(rows.column(i).to_pylist() for i in (0, 2, 3)), strict=True)
+        out = [(r["h"], i, t, r["s"], r["n"], text[r["s"]:r["s"] + r["n"] + r["more"]])
+               for text, (i, t, runs) in zip(texts, keys, strict=True) for r in runs]
+        yield batch_of(schema, list(zip(*out, strict=True)) if out else [[]] * 6)
 
 
 def _factors(length: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("s", pa.int64()), ("n", pa.int32())])
+    schema = pa.schema([("doc_id", pa.int64()), ("t", pa.int32()), ("s", pa.int64()), ("n", pa.int32())])
 
     def settle(rows: list[tuple]):
-        found = covered_starts([r[4] for r in rows], [r[3] for r in rows], np.unique([r[0] for r in rows], return_inverse=True)[1], length)
+        found = covered_starts([r[5] for r in rows], [r[4] for r in rows], np.unique([r[0] for r in rows], return_inverse=True)[1], length)
         out = []
-        for (_, doc, s, _, _), starts in zip(rows, found, strict=True):
+        for (_, doc, t, s, _, _), starts in zip(rows, found, strict=True):
             if len(starts):
                 cuts = np.concatenate(([0], np.flatnonzero(np.diff(starts) > 1) + 1, [len(starts)]))
-                out += [(doc, s + int(starts[a]), int(b - a)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        return batch_of(schema, list(zip(*out, strict=True)) if out else [[]] * 3)
+                out += [(doc, t, s + int(starts[a]), int(b - a)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return batch_of(schema, list(zip(*out, strict=True)) if out else [[]] * 4)
 
     def run(batches):
         """Rows come sorted by anchor and position; whole anchors are settled together."""
         held, size = [], 0
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 if size >= STEP_BYTES and row[0] != held[-1][0]:
                     yield settle(held)
                     held, size = [], 0
+                if held and row[:4] == held[-1][:4]:
+                    continue
                 held.append(row)
-                size += len(row[4])
+                size += len(row[5])
         if held:
             yield settle(held)
 
@@ -238,12 +239,12 @@ def _factors(length: int):
 
 def _by_grouping(runs: DataFrame, length: int) -> DataFrame:
     """Covered starts of anchors with very many different runs: their strings are grouped."""
-    strings = runs.select("doc_id", "s", "run", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i")).select(
-        F.struct("doc_id", (F.col("s") + F.col("i")).alias("s")).alias("at"),
+    strings = runs.select("doc_id", "t", "s", "run", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i")).select(
+        F.struct("doc_id", "t", (F.col("s") + F.col("i")).alias("s")).alias("at"),
         F.substring(F.col("run"), F.col("i") + 1, F.lit(length)).alias("string"))
     first = strings.groupBy("string").agg(F.min("at").alias("first"))
     return strings.join(first, "string").where("at != first").select(
-        "at.doc_id", "at.s", F.lit(1).cast("int").alias("n"))
+        "at.doc_id", "at.t", "at.s", F.lit(1).cast("int").alias("n"))
 
 
 def _removed(length: int):
@@ -277,30 +278,32 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, group_runs: int = GROU
     A byte goes if a string of ``length`` bytes over it also starts at a smaller doc_id, or
     earlier in the document; strings may overlap, and all are judged on the input. Texts
     count as UTF-8 bytes. A null text counts as empty and a null doc_id as the smallest id.
-    Rows that repeat a doc_id stand at the same place, so none of them counts as earlier
-    than another. Texts shorter than ``length`` stay whole. An empty table gives no rows,
+    Rows that repeat a document are one document; different texts under one doc_id are
+    documents ordered by a hash of the text. Texts shorter than ``length`` stay whole. An empty table gives no rows,
     and columns other than doc_id and text are not read. Up to 127 bytes of length.
     """
     if not 1 <= length <= 127:
         raise ValueError("length must be between 1 and 127")
-    docs = docs.select(id_or_least().alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(id_or_least().alias("doc_id"), F.col("text").cast("string").alias("text"), F.hash(F.col("text").cast("string")).alias("t"))
+    key = ["doc_id", "t"]
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, math.ceil(total / BUCKET_BYTES))
     runs = docs.mapInArrow(_runs(buckets, length), "bucket long, runs binary, copies binary")
-    settled = stored(runs.groupBy("bucket").applyInPandas(_settled, "doc_id long, s long, n int, h long"), "repeats-runs")
+    settled = stored(runs.groupBy("bucket").applyInPandas(_settled, "doc_id long, t int, s long, n int, h long"), "repeats-runs")
     different = settled.where("h is not null")
-    texts = different.groupBy("doc_id").agg(F.collect_list(F.struct("h", "s", "n", F.lit(length - 1).alias("more"))).alias("runs"))
-    texts = docs.join(texts, "doc_id").select("doc_id", "text", "runs").mapInArrow(
-        _run_texts, "h long, doc_id long, s long, n int, run binary")
+    texts = different.groupBy(*key).agg(F.collect_list(F.struct("h", "s", "n", F.lit(length - 1).alias("more"))).alias("runs"))
+    # the same rows of a repeated document give equal run texts, which count once
+    texts = docs.join(texts, key).select("doc_id", "text", "t", "runs").mapInArrow(
+        _run_texts, "h long, doc_id long, t int, s long, n int, run binary")
     many = stored(different.groupBy("h").count().where(F.col("count") > group_runs).select("h"), "repeats-many")
     step = texts
-    covered = settled.where("h is null").select("doc_id", "s", "n")
+    covered = settled.where("h is null").select(*key, "s", "n")
     if many.take(1):
         covered = covered.unionByName(_by_grouping(texts.join(many, "h", "left_semi"), length))
         step = texts.join(many, "h", "left_anti")
-    covered = covered.unionByName(step.repartition("h").sortWithinPartitions("h", "doc_id", "s").mapInArrow(
-        _factors(length), "doc_id long, s long, n int"))
-    places = covered.groupBy("doc_id").agg(F.collect_list(F.struct("s", "n")).alias("runs"))
-    out = docs.join(places, "doc_id", "left").select("doc_id", "text", "runs").mapInArrow(
+    covered = covered.unionByName(step.repartition("h").sortWithinPartitions("h", "doc_id", "t", "s").mapInArrow(
+        _factors(length), "doc_id long, t int, s long, n int"))
+    places = covered.groupBy(*key).agg(F.collect_list(F.struct("s", "n")).alias("runs"))
+    out = docs.join(places, key, "left").select("doc_id", "text", "runs").mapInArrow(
         _removed(length), "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
     return out.withColumn("doc_id", id_or_null(F.col("doc_id")))
