@@ -170,7 +170,7 @@ def test_fertility(docs, rows):
 def test_fertility_bands(spark):
     rng = random.Random(11)
     good = [(i, syllables(rng, 200), "en") for i in range(300)]
-    odd = [(1000, " ".join(w + "***" for w in syllables(rng, 200).split()), "en"), (1001, " ".join(rng.choice("日本語漢字") * 3 for _ in range(200)), "en")]
+    odd = [(1000, " ".join(w + "***" for w in syllables(rng, 140).split()), "en"), (1001, " ".join(rng.choice("日本語漢字") * 3 for _ in range(200)), "en")]
     docs = spark.createDataFrame(good + odd, "doc_id long, text string, lang string")
     kept = {r.doc_id for r in fertility.drop_low_quality(docs, Q.quality_vocabulary()).collect()}
     assert kept == set(range(300))
