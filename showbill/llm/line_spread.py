@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from showbill.llm.common import id_or_least
+from showbill.llm.common import id_or_least, stored
 
 #: Sites on which a line must stand to count as boilerplate.
 MIN_SITES = 10
@@ -33,8 +33,11 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, error: float = ERRO
         id_or_least().alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text", F.col("source").cast("string").alias("source"))
     spread = _positions(keyed, "source").groupBy(F.xxhash64("line").alias("line_hash")).agg(
         F.approx_count_distinct("source", error).alias("sites"))
-    wide = spread.where(F.col("sites") >= F.lit(min_sites * (1 - 6 * error)))
-    rows = _positions(keyed, "doc_id", "text_hash", "source").withColumn("line_hash", F.xxhash64("line")).join(wide, "line_hash")
+    # few lines are on several sites; once these are written Spark knows their size and, where
+    # it allows, looks them up without a shuffle of all lines
+    wide = stored(spread.where(F.col("sites") >= F.lit(min_sites * (1 - 6 * error))), "spread-wide")
+    rows = stored(_positions(keyed, "doc_id", "text_hash", "source").withColumn("line_hash", F.xxhash64("line")).join(
+        wide, "line_hash").drop("line_hash"), "spread-lines")
     near = F.col("sites") <= F.lit(min_sites * (1 + 6 * error))
     # the exact count is taken of near lines alone: for the others the site is left out
     sites = rows.groupBy("line", "sites", F.when(near, F.col("source")).alias("site")).agg(
