@@ -19,8 +19,9 @@ SIMILARITY = 85
 #: Pairs whose signatures agree in less than this share are not read in full: 4.7 standard
 #: deviations below 0.85, a chance of about 1e-6.
 AGREE = 0.70
-#: Members of one bucket that are compared in one task at a time.
-BUCKET_BLOCK = 2048
+#: Members of a family, and their shingles, that are compared in one task; larger families are
+#: compared bucket by bucket, in blocks of about half that size.
+FAMILY, FAMILY_SHINGLES = 2048, 2_000_000
 
 _N = BANDS * ROWS
 _U = np.uint64
@@ -118,45 +119,103 @@ def _similar_signatures(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(_agreeing, "a long, b long").distinct()
 
 
-def _across(key, left, right):
-    """Pairs of one bucket block, or of two, whose signatures agree and whose components differ."""
+def common(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Number of common elements of every two of the sets that stand one after another."""
+    n = len(sizes)
+    out = np.zeros((n, n), np.int32)
+    order = np.argsort(values, kind="stable")
+    owner = np.repeat(np.arange(n), sizes)[order]
+    first = np.flatnonzero(np.concatenate(([True] * bool(len(values)), np.diff(values[order]) != 0)))
+    counts = np.diff(np.concatenate((first, [len(values)])))
+    # rare elements are counted pair by pair, frequent ones by a product of matrices
+    for c in np.unique(counts[(counts > 1) & (counts <= max(2, n // 10))]):
+        holders = owner[first[counts == c][:, None] + np.arange(c)]
+        for d in range(1, c):
+            np.add.at(out.reshape(-1), (holders[:, :-d] * n + holders[:, d:]).ravel(), 1)
+    often = np.flatnonzero(counts > max(2, n // 10))
+    for k in range(0, len(often), 4096):
+        own = often[k:k + 4096]
+        held = np.zeros((n, len(own)), np.float32)
+        held[owner[np.repeat(first[own], counts[own]) + _steps(counts[own])], np.repeat(np.arange(len(own)), counts[own])] = 1
+        out += np.triu(held @ held.T, 1).astype(np.int32)
+    return out + out.T
+
+
+def _steps(counts: np.ndarray) -> np.ndarray:
+    """0 .. c - 1 for every count c."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _joined(rep, component, texts, side=None):
+    """One link for every two components of the members that have one (of different sides, where these are given)."""
     import pandas as pd
 
-    def arrays(frame):
-        rep, component, signature = (frame.iloc[:, k] for k in (3, 4, 5))
-        return rep.to_numpy(), component.to_numpy(), np.frombuffer(b"".join(signature), np.uint16).reshape(-1, _N)
+    values, sizes = shingle_sets([t.encode() for t in texts])
+    both = common(values, sizes)
+    linked = np.triu((both > 0) & (100 * both >= SIMILARITY * (sizes[:, None] + sizes[None, :] - both)), 1)
+    linked &= component[:, None] != component[None, :]
+    if side is not None:
+        linked &= side[:, None] != side[None, :]
+    x, y = np.nonzero(linked)
+    links = pd.DataFrame({"a": np.minimum(rep[x], rep[y]), "b": np.maximum(rep[x], rep[y]),
+                          "c": np.minimum(component[x], component[y]), "d": np.maximum(component[x], component[y])})
+    return links.drop_duplicates(["c", "d"])[["a", "b"]]
 
-    out = []
-    if len(left) and len(right):
-        (x, cx, sx), (y, cy, sy) = arrays(left), arrays(right)
-        for i in range(len(x)):
-            other = np.flatnonzero(cy != cx[i])
-            near = other[(sy[other] == sx[i]).mean(axis=1) >= AGREE]
-            out += [(min(x[i], v), max(x[i], v)) for v in y[near]]
-    return pd.DataFrame(sorted(set(out)), columns=["a", "b"], dtype="int64")
 
+def _within(frame):
+    return _joined(*(frame[c].to_numpy() for c in ("rep", "component", "text")))
 
-def _open_pairs(buckets: DataFrame, classes: DataFrame, components: DataFrame, block: int) -> DataFrame:
-    """Pairs in a common bucket that are not yet in one component.
 
-    A bucket is cut into blocks of about ``block`` members, and every two blocks meet in a
-    group of their own, so that no task holds a bucket and only agreeing pairs come out.
+def _across(left, right):
+    import pandas as pd
+
+    if left.iloc[0]["i"] == left.iloc[0]["j"]:
+        return _within(left)
+    right.columns = left.columns
+    both = pd.concat([left, right], ignore_index=True)
+    return _joined(*(both[c].to_numpy() for c in ("rep", "component", "text")), np.arange(len(both)) < len(left))
+
+
+def _open_links(buckets: DataFrame, classes: DataFrame, found: DataFrame, docs: DataFrame, family: int) -> DataFrame | None:
+    """Links between members of a bucket that are not yet in one component; None if all buckets are settled.
+
+    Open buckets that share members make a family, whose members are compared on their full
+    sets within one task; only links come out. A family beyond the bounds is compared bucket
+    by bucket: a bucket is cut into blocks, and every two blocks meet in a task of their own.
     """
-    members = buckets.join(components, F.col("rep") == F.col("node"), "left").select(
+    members = buckets.join(found, F.col("rep") == F.col("node"), "left").select(
         "bucket", "rep", F.coalesce("component", "rep").alias("component"))
-    open_ = members.groupBy("bucket").agg(
-        F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")
-    ).where("low < high").select("bucket", F.ceil(F.col("n") / block).alias("blocks"))
-    rows = members.join(open_, "bucket").withColumn("own", F.pmod(F.xxhash64("rep"), "blocks"))
-    rows = rows.join(classes.select("rep", "signature"), "rep")
-    parts = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-    left = rows.select("*", F.explode(F.filter(parts, lambda i: i >= F.col("own"))).alias("other")).select(
-        "bucket", F.col("own").alias("i"), F.col("other").alias("j"), "rep", "component", "signature")
-    right = rows.select("*", F.explode(F.filter(parts, lambda i: i <= F.col("own"))).alias("other")).select(
-        "bucket", F.col("other").alias("i"), F.col("own").alias("j"), "rep", "component", "signature")
-    right = right.toDF(*[f"{c}_" for c in right.columns])
-    return left.groupBy("bucket", "i", "j").cogroup(right.groupBy("bucket_", "i_", "j_")).applyInPandas(
-        _across, "a long, b long").distinct()
+    open_ = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("rep").alias("center"))
+    rows = stored(members.join(open_.where("low < high").select("bucket", "center"), "bucket"), "near-open")
+    if not rows.take(1):
+        return None
+    families = components(rows.select(F.col("rep").alias("a"), F.col("center").alias("b")), "near-families")
+    reps = rows.select("rep", "component").distinct().join(
+        families.select(F.col("node").alias("rep"), F.col("component").alias("family")), "rep").join(classes.select("rep", "n_shingles"), "rep")
+    bounded = (F.col("members") <= family) & (F.col("total") <= FAMILY_SHINGLES)
+    sizes = stored(reps.groupBy("family").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("total")).select(
+        "family", bounded.alias("bounded")), "near-sizes")
+    reps = stored(reps.join(sizes, "family"), "near-reps")
+    texts = docs.select(id_or_least().alias("rep"), F.col("text").cast("string").alias("text"))
+    links = reps.where("bounded").select("family", "rep", "component").join(texts, "rep").groupBy("family").applyInPandas(
+        _within, "a long, b long")
+    large = reps.where("not bounded").select("rep", "n_shingles")
+    if large.take(1):
+        own = rows.join(large, "rep")
+        blocks = own.groupBy("bucket").agg(F.ceil(F.greatest(
+            F.count("*") / (family / 2), F.sum("n_shingles") / (FAMILY_SHINGLES / 2))).alias("blocks"))
+        own = own.join(blocks, "bucket").withColumn("own", F.pmod(F.xxhash64("rep"), "blocks")).join(texts, "rep")
+        parts = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+        left = own.select("*", F.explode(F.filter(parts, lambda k: k >= F.col("own"))).alias("other")).select(
+            "bucket", F.col("own").alias("i"), F.col("other").alias("j"), "rep", "component", "text")
+        right = own.select("*", F.explode(F.filter(parts, lambda k: k <= F.col("own"))).alias("other")).select(
+            "bucket", F.col("other").alias("i"), F.col("own").alias("j"), "rep", "component", "text")
+        right = right.toDF(*[f"{c}_" for c in right.columns])
+        met = left.groupBy("bucket", "i", "j").cogroup(right.groupBy("bucket_", "i_", "j_"))
+        links = links.unionByName(met.applyInPandas(
+            lambda a, b: _across(a, b) if len(a) and len(b) else a.head(0).rename(columns={"rep": "a", "component": "b"})[["a", "b"]],
+            "a long, b long"))
+    return links.distinct()
 
 
 def components(links: DataFrame, name: str = "links") -> DataFrame:
@@ -193,13 +252,13 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def near_duplicates(docs: DataFrame, block: int = BUCKET_BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, family: int = FAMILY) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
     Documents of one shingle set form a class that is treated as one. Classes that share a
     band are linked to the least of their bucket where the signatures and then the full sets
-    agree; in buckets that still hold several components all pairs between these are
-    compared too. So each link between documents that share a band is found or already
+    agree; in buckets that still hold several components the members of different
+    components are compared too, on their full sets. So each link between documents that share a band is found or already
     implied. A null or empty text has no shingle and is linked with nothing. A null doc_id
     counts as the smallest id. Rows that repeat a doc_id each get a row; equal texts are in
     one component anyway, and classes whose smallest doc_id is the same are one vertex. An
@@ -208,18 +267,17 @@ def near_duplicates(docs: DataFrame, block: int = BUCKET_BLOCK) -> DataFrame:
     signed = stored(signatures(docs), "near-signed")
     full = signed.where("n_shingles > 0")
     classes = stored(full.groupBy("set_id").agg(
-        F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"), F.any_value("signature").alias("signature")),
-        "near-classes")
+        F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("bands").alias("bands"),
+        F.any_value("signature").alias("signature")), "near-classes")
     banded = classes.select("rep", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.min("rep").alias("center"), F.max("rep").alias("last")).where("center < last")
     buckets = stored(banded.join(shared, "bucket").select("bucket", "rep", "center"), "near-buckets")
     pairs = buckets.where("rep != center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
     links = stored(confirm(_similar_signatures(pairs, classes), docs), "near-links")
     found = stored(components(links, "near-first"), "near-first")
-    more = stored(_open_pairs(buckets.select("bucket", "rep"), classes, found, block), "near-open")
-    if more.take(1):
-        links = stored(links.unionByName(confirm(more, docs)), "near-links")
-        found = stored(components(links, "near-all"), "near-all")
+    more = _open_links(buckets.select("bucket", "rep"), classes, found, docs, family)
+    if more is not None:
+        found = stored(components(stored(links.unionByName(more), "near-links"), "near-all"), "near-all")
     names = classes.select("set_id", "rep").join(found, F.col("rep") == F.col("node"), "left").select(
         "set_id", F.coalesce("component", "rep").alias("component"))
     rows = signed.select("doc_id", "n_shingles", "set_id").join(names, "set_id", "left")
@@ -229,7 +287,7 @@ def near_duplicates(docs: DataFrame, block: int = BUCKET_BLOCK) -> DataFrame:
         (F.col("doc_id") == component).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, block: int = BUCKET_BLOCK) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, family: int = FAMILY) -> DataFrame:
     """The documents that stand for their group, each once, with all their columns."""
-    kept = near_duplicates(docs, block).where("kept").select(id_or_least().alias("_kept")).distinct()
+    kept = near_duplicates(docs, family).where("kept").select(id_or_least().alias("_kept")).distinct()
     return docs.join(kept, id_or_least() == F.col("_kept"), "left_semi").dropDuplicates(["doc_id", "text"])

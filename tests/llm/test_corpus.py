@@ -93,8 +93,8 @@ def shingle_set(text):
     return frozenset(tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
 
 
-@pytest.mark.parametrize("block", [2048, 3])
-def test_near_duplicates(docs, rows, block):
+@pytest.mark.parametrize("family", [2048, 4])
+def test_near_duplicates(docs, rows, family):
     sets = [(i, shingle_set(text)) for i, text, *_ in rows]
     up = list(range(len(sets)))
 
@@ -112,7 +112,7 @@ def test_near_duplicates(docs, rows, block):
         k = find(x)
         least[k] = min(least.get(k, i), i, key=order)
     want = Counter((i, len(s), least[find(x)], i == least[find(x)]) for x, (i, s) in enumerate(sets))
-    got = Counter(tuple(r) for r in near_dedup.near_duplicates(docs, block).collect())
+    got = Counter(tuple(r) for r in near_dedup.near_duplicates(docs, family).collect())
     assert got == want
 
 
@@ -127,7 +127,19 @@ def test_buckets_that_stay_open(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     sets = [shingle_set(t) for _, t in rows]
     assert 100 * len(sets[0] & sets[-1]) < 50 * len(sets[0] | sets[-1])
-    assert {r.component_id for r in near_dedup.near_duplicates(docs, 4).collect()} == {0}
+    for family in (2048, 4):
+        assert {r.component_id for r in near_dedup.near_duplicates(docs, family).collect()} == {0}
+
+
+def test_common_elements():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(0, 40)).astype(np.uint64)) for _ in range(50)]
+    got = near_dedup.common(np.concatenate(sets), np.array([len(s) for s in sets]))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            assert i == j or got[i, j] == len(np.intersect1d(a, b))
 
 
 def test_star_components(spark):
