@@ -18,7 +18,7 @@ from showbill.llm.common import batch_of, id_or_least, stored, text_blocks
 from showbill.llm.words import mixed, powers, _BACK, _BASE, _BYTE
 
 #: Labelled documents that are fitted at most, by label.
-MOST_TOXIC, MOST_CLEAN = 2500, 7500
+MOST_TOXIC, MOST_CLEAN = 1500, 4500
 #: Lengths in bytes of the stems that are features beside the word itself.
 STEMS = (4, 5, 6)
 #: Feature weights are held in a table of this size, whatever the vocabulary.
@@ -41,6 +41,18 @@ _TABLE = bytes(10 if b in (10, 11, 12, 13) else 32 if b in (9, 32) else b for b
 class Words:
     """Features and sequences of the words of lower-cased texts."""
 
+    @classmethod
+    def of_many(cls, texts: list[bytes], size: int = 256) -> Words:
+        """The words of any number of texts, read a few at a time; their places are left out."""
+        parts = [cls(texts[i:i + size]) for i in range(0, len(texts), size)] or [cls([])]
+        out = cls.__new__(cls)
+        before = np.cumsum([0, *(len(p.of) for p in parts)])
+        out.of = np.concatenate([p.of + i * size for i, p in enumerate(parts)])
+        out.features = np.concatenate([p.features for p in parts])
+        out.begins = np.concatenate([p.begins + n for p, n in zip(parts, before[:-1], strict=True)])
+        out.lengths = np.concatenate([p.lengths for p in parts])
+        return out
+
     def __init__(self, texts: list[bytes]):
         joined = b"\n".join(texts).translate(_TABLE)
         data = np.frombuffer(joined, np.uint8)
@@ -75,7 +87,7 @@ class Words:
         self.lengths = np.diff(np.concatenate((self.begins, [len(starts)])))
 
     def bins(self) -> np.ndarray:
-        return (self.features >> _U(64 - TABLE_BITS)).astype(np.int64)
+        return (self.features >> _U(64 - TABLE_BITS)).astype(np.int32)
 
 
 class Field:
@@ -88,7 +100,13 @@ class Field:
 
     def emissions(self, words: Words) -> np.ndarray:
         """Log odds of toxic at each word by its features."""
-        return self.weights[words.bins()].sum(axis=1) + self.bias
+        return self._emissions(words.bins())
+
+    def _emissions(self, bins: np.ndarray) -> np.ndarray:
+        out = np.full(len(bins), self.bias, float)
+        for column in bins.T:
+            out += self.weights[column]
+        return out
 
     def chains(self, words: Words, emissions: np.ndarray):
         """Log odds of the forward and of the backward messages at each word."""
@@ -124,10 +142,12 @@ class Field:
         seen = np.bincount(labels[at - 1] * 2 + labels[at], minlength=4).reshape(2, 2)
         squares, bias_square, transition_squares = np.full(len(self.weights), 1e-8), 1e-8, np.full((2, 2), 1e-8)
         for _ in range(epochs):
-            emissions = self.emissions(words)
+            emissions = self._emissions(bins)
             forward, backward = self.chains(words, emissions)
             wrong = labels - 1 / (1 + np.exp(-np.clip(forward + backward, -40, 40)))
-            gradient = np.bincount(bins.ravel(), weights=np.repeat(wrong, bins.shape[1]), minlength=len(self.weights)) / n * 1e3 - decay * self.weights
+            gradient = -decay * self.weights
+            for column in bins.T:
+                gradient += np.bincount(column, weights=wrong, minlength=len(self.weights)) * (1e3 / n)
             x, a, t = emissions[at] + backward[at], forward[at - 1], self.transitions
             cells = np.stack((np.full(len(at), t[0, 0]), t[0, 1] + x, t[1, 0] + a, t[1, 1] + a + x))
             cells = np.exp(cells - cells.max(axis=0))
@@ -145,13 +165,24 @@ class Field:
 
 def toxic_features(words: Words, toxic: np.ndarray) -> np.ndarray:
     """Features that stand in toxic documents far more often than the mix of documents explains."""
-    doc_of, share = words.of, toxic.mean() if len(toxic) else 0.5
-    if not len(doc_of) or share in (0.0, 1.0):
+    share = toxic.mean() if len(toxic) else 0.5
+    if not len(words.of) or share in (0.0, 1.0):
         return np.zeros(0, _U)
-    pairs = np.unique(np.stack((words.features.ravel(), np.repeat(doc_of, words.features.shape[1]).astype(_U)), axis=1), axis=0)
-    names, inverse = np.unique(pairs[:, 0], return_inverse=True)
-    hit = np.bincount(inverse, weights=toxic[pairs[:, 1].astype(np.int64)])
-    miss = np.bincount(inverse) - hit
+    # each feature once a document; the documents' words stand one after another
+    seen = []
+    bounds = np.searchsorted(words.of, np.arange(len(toxic) + 1))
+    for label in (1, 0):
+        own = [np.unique(words.features[bounds[i]:bounds[i + 1]]) for i in np.flatnonzero(toxic == label)]
+        seen.append(np.concatenate(own) if own else np.zeros(0, _U))
+    names, inverse = np.unique(np.concatenate(seen), return_inverse=True)
+    hit = np.bincount(inverse[:len(seen[0])], minlength=len(names))
+    miss = np.bincount(inverse[len(seen[0]):], minlength=len(names))
+    # copies of a document are one witness: a feature counts once after the same word
+    before = np.concatenate((np.zeros(1, _U), words.features[:-1, 0]))
+    own = toxic[words.of] == 1
+    features = words.features[own].ravel()
+    _, lead = np.unique(mixed(features + mixed(np.repeat(before[own], words.features.shape[1]))), return_index=True)
+    hit = np.minimum(hit, np.bincount(np.searchsorted(names, features[lead]), minlength=len(names)))
     pure = hit / (hit + miss)
     with np.errstate(divide="ignore", invalid="ignore"):
         bits = hit * np.log2(pure / share) + np.where(miss > 0, miss * np.log2((1 - pure) / (1 - share)), 0)
@@ -212,13 +243,14 @@ def fitted(texts: list[bytes], toxic: np.ndarray) -> Model:
     """The field from one part of the labelled texts, the score from the other."""
     turn = np.arange(len(texts)) % 10 >= 10 * CALIBRATION
     own = [t for t, k in zip(texts, turn, strict=True) if k]
-    words, labels = Words(own), toxic[turn]
+    words, labels = Words.of_many(own), toxic[turn]
     names = toxic_features(words, labels)
     marked = np.isin(words.features, names).any(axis=1) & (labels[words.of] == 1) if len(names) else np.zeros(len(words.of), bool)
     field = Field()
     if marked.any():
         field.fit(words, marked.astype(np.int64))
-    other = Words([t for t, k in zip(texts, turn, strict=True) if not k])
+    del words
+    other = Words.of_many([t for t, k in zip(texts, turn, strict=True) if not k])
     rest = toxic[~turn]
     if not len(rest) or rest.min() == rest.max():
         return Model(field, np.array([10.0, 0, 0, -2.0]))
