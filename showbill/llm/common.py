@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: Stands for a null doc_id where rows are joined or ordered: a null id sorts first.
 NULL_ID = -(2**63)
 #: Text bytes that the vectorised kernels take at a time; a longer text is a block of its own.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -60,17 +60,23 @@ def raw_texts(column: pa.Array) -> list[bytes]:
 
 
 def text_blocks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = BLOCK_BYTES):
-    """Arrow batches cut into (rows, their texts as bytes) of about ``size`` text bytes."""
+    """Arrow batches cut into (rows, their texts as bytes) of about ``size`` text bytes.
+
+    Texts leave Arrow block by block, and Arrow gives back what a batch took when it is done.
+    """
     for batch in batches:
-        at = batch.schema.get_field_index(column)
-        texts, first, held = raw_texts(batch.column(at)), 0, 0
-        for i, text in enumerate(texts):
-            if held and held + len(text) > size:
-                yield batch.slice(first, i - first), texts[first:i]
+        texts = batch.column(batch.schema.get_field_index(column))
+        lengths = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+        first, held = 0, 0
+        for i, length in enumerate(lengths):
+            if held and held + length > size:
+                yield batch.slice(first, i - first), raw_texts(texts.slice(first, i - first))
                 first, held = i, 0
-            held += len(text)
-        if first < len(texts):
-            yield batch.slice(first), texts[first:]
+            held += length
+        if first < len(lengths):
+            yield batch.slice(first), raw_texts(texts.slice(first))
+        del batch, texts
+        pa.default_memory_pool().release_unused()
 
 
 def batch_of(schema: pa.Schema, columns: list) -> pa.RecordBatch:

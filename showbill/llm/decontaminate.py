@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from showbill.llm.common import batch_of, raw_texts, text_blocks
+from showbill.llm.common import batch_of, text_blocks
 
 #: Length of the q-grams in bytes: one 64-bit number.
 Q = 8
@@ -223,10 +223,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, index_bytes: int =
         text = names[docs.columns.index("text")]
 
         def run(batches, index=index):
-            for batch in batches:
-                lowered = batch.column(batch.num_columns - 1)
-                found = {m[0] for m in index.value.matches(raw_texts(lowered))}
-                yield batch.select(range(batch.num_columns - 1)).filter(pa.array([i not in found for i in range(batch.num_rows)], pa.bool_()))
+            for block, texts in text_blocks(batches, "_lower"):
+                found = {m[0] for m in index.value.matches(texts)}
+                yield block.select(range(block.num_columns - 1)).filter(pa.array([i not in found for i in range(len(texts))], pa.bool_()))
 
         out = rows.withColumn("_lower", F.lower(F.col(text).cast("string"))).mapInArrow(run, rows.schema).toDF(*docs.columns)
     return out

@@ -41,7 +41,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    return _powers(base, 1 << max(20, (n - 1).bit_length()))[:n]
+    return _powers(base, 1 << max(19, (n - 1).bit_length()))[:n]
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
