@@ -60,7 +60,7 @@ def j02(spark, sf):
 
 @query("j02_many_overrides", J02)
 def j02_many(spark, sf):
-    padding = [{"title": f"no such title {i}", "rating": 1} for i in range(J.MAX_INLINE_RULES)]
+    padding = [{"title": f"no such title {i}", "rating": 1} for i in range(500)]
     out = J.apply_overrides(T.event(spark, sf), RULES + padding)
     return out.select("event_key", "override.rule_no", "override.rating")
 

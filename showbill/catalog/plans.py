@@ -16,7 +16,7 @@ from showbill.sources import tables as T
 from showbill.streaming.jobs import work_folder
 
 GROUPS = f"""
-conf AS (SELECT *, CASE WHEN event_key % 7 = 0 THEN 'low' ELSE 'high' END AS review_confidence FROM event WHERE contains(lower(title), 'ring')),
+conf AS (SELECT *, CASE WHEN event_key % 7 = 0 THEN 'low' ELSE 'high' END AS review_confidence FROM event),
 g AS (SELECT title, min(event_key) AS event_key, arg_min(type, event_key) AS type, arg_min(venue, event_key) AS venue,
    arg_min_null(rating, event_key) AS rating, bool_or(review_confidence = 'low') AS low FROM conf GROUP BY title),
 sh AS (SELECT title, min(concat(date, ' ', time)) AS first, count(DISTINCT concat(date, ' ', time)) AS n_showings FROM screening WHERE event_key IN (SELECT event_key FROM conf) GROUP BY title),
@@ -29,7 +29,7 @@ groups AS (SELECT g.*, first[1:10] AS first_date, n_showings,
 def groups(spark, sf):
     conf = F.when(F.col("event_key") % 7 == 0, "low").otherwise("high")
     events = T.event(spark, sf).withColumn("review_confidence", conf)
-    return RD.reader_groups(events, T.screening(spark, sf), TODAY, "ring")
+    return RD.reader_groups(events, T.screening(spark, sf), TODAY)
 
 
 @query("reader_groups", with_(SCREENING, EVENT, GROUPS) + """
@@ -143,7 +143,7 @@ def k07(spark, sf):
   SELECT replace(title, ' ', '-') AS slug, event_key FROM event QUALIFY row_number() OVER (PARTITION BY title ORDER BY event_key) = 1""")
 def k02_written(spark, sf):
     path = work_folder(spark)
-    SK.write_documents(T.event(spark, sf).select("event_key", slug(F.col("title")).alias("slug")), path, shards=16)
+    SK.write_documents(T.event(spark, sf).select("event_key", slug(F.col("title")).alias("slug")), path, shard_rows=100)
     return spark.read.parquet(path).select("slug", "event_key")
 
 

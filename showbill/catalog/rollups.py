@@ -149,7 +149,8 @@ def a19(spark, sf):
 
 
 @query("a19_reader_showings", with_(SCREENING, EVENT) + """
-  SELECT title AS group_title, date, time, arg_min(venue, ord) AS show_venue, arg_min(url, ord) AS show_url FROM screening GROUP BY title, date, time""")
+  SELECT title AS group_title, date, time, venue AS show_venue, url AS show_url FROM screening
+  QUALIFY row_number() OVER (PARTITION BY title, date, time ORDER BY event_key, ord) = 1""")
 def a19_showings(spark, sf):
     rows = T.event(spark, sf).withColumn("review_confidence", F.lit("high"))
     _, shows = RU.reader_groups(rows, T.screening(spark, sf))

@@ -129,7 +129,7 @@ def clean_hook(col: Column) -> Column:
     def without_prefix(text: Column) -> Column:
         out = text
         for prefix in reversed(HOOK_PREFIXES):
-            rest = F.regexp_replace(F.trim(F.substring(text, len(prefix) + 1, 1 << 20)), r"^[:,]\s*", "")
+            rest = F.regexp_replace(F.trim(F.substring(text, F.lit(len(prefix) + 1), F.length(text))), r"^[:,]\s*", "")
             out = F.when(F.startswith(F.lower(text), F.lit(prefix.lower())), rest).otherwise(out)
         return _strip(out)
 

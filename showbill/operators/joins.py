@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,43 +31,29 @@ def attach_venue(event: DataFrame, code_map: DataFrame, venue: DataFrame) -> Dat
 
 # --- ratings -----------------------------------------------------------------------------
 
-#: Override rules up to this number are written into the plan as one CASE.
-MAX_INLINE_RULES = 200
-
-
 def apply_overrides(event: DataFrame, rules: Sequence[dict]) -> DataFrame:
     """Rating, summary and hook of the first rule that fits.
 
-    A rule names any of title (contained, any case), venue and type (equal). Rules are
-    a short hand-kept list, so they become one CASE and need no join; a longer list
-    goes through an equi join on the titles' substrings.
+    A rule names any of title (contained, any case), venue and type (equal). Every rule is
+    one key, title piece, venue and type with a mark for each that it leaves open, and every
+    event looks up the four combinations of its venue and type with the pieces of its title:
+    an equi join for any number of rules. A null title, venue or type fits only rules that
+    leave it open.
     """
-    def verdict(r: dict, no: int) -> Column:
-        return F.struct(F.lit(no).alias("rule_no"), F.lit(r["rating"]).cast("int").alias("rating"),
-                        F.lit(r.get("summary")).cast("string").alias("summary"))
-
-    if len(rules) <= MAX_INLINE_RULES:
-        hit = F.lit(None)
-        for no, r in reversed(list(enumerate(rules, 1))):
-            tests = []
-            if "title" in r:
-                tests.append(F.lower("title").contains(r["title"].lower()))
-            tests += [F.col(f) == r[f] for f in ("venue", "type") if f in r]
-            fits = reduce(lambda a, b: a & b, tests, F.lit(True))
-            hit = F.when(F.coalesce(fits, F.lit(False)), verdict(r, no)).otherwise(hit)
-        return event.withColumn("override", hit)
-
-    # Long lists: every rule is one key (title piece, venue, type) with "*" for "any", and
-    # every event looks up the four combinations of its venue and type.
     table = event.sparkSession.createDataFrame(
-        [(no, r.get("title", "").lower(), r.get("venue", "*"), r.get("type", "*"), r["rating"], r.get("summary"))
+        [(no, r.get("title", "").lower(), "venue" not in r, r.get("venue") or "", "type" not in r, r.get("type") or "", r["rating"], r.get("summary"))
          for no, r in enumerate(rules, 1)],
-        "rule_no int, needle string, v string, t string, rating int, summary string")
-    texts = event.select(F.lower("title").alias("text")).distinct()
-    pieces = containing(texts, table).unionByName(texts.withColumn("needle", F.lit("")))
-    combos = F.array(*[F.struct(v.alias("v"), t.alias("t")) for v in (F.col("venue"), F.lit("*")) for t in (F.col("type"), F.lit("*"))])
+        "rule_no int, needle string, any_v boolean, v string, any_t boolean, t string, rating int, summary string")
+
+    def either(field: str) -> list[tuple[Column, Column]]:
+        return [(F.lit(False), F.col(field)), (F.lit(True), F.lit(""))]
+
+    combos = F.array(*[F.struct(av.alias("any_v"), v.alias("v"), at.alias("any_t"), t.alias("t"))
+                       for av, v in either("venue") for at, t in either("type")])
     keyed = event.select("event_key", F.lower("title").alias("text"), F.explode(combos).alias("c")).select("event_key", "text", "c.*")
-    best = keyed.join(pieces, "text").join(table, ["needle", "v", "t"]).groupBy("event_key").agg(
+    pieces = containing(event.select(F.lower("title").alias("text")).distinct(), table)
+    looked = keyed.join(pieces, "text").unionByName(keyed.withColumn("needle", F.lit(""))).drop("text")
+    best = looked.join(table, ["needle", "any_v", "v", "any_t", "t"]).groupBy("event_key").agg(
         F.min(F.struct("rule_no", "rating", "summary")).alias("override"))
     return event.join(best, "event_key", "left")
 

@@ -160,7 +160,7 @@ def reader_groups(event: DataFrame, screening: DataFrame) -> tuple[DataFrame, Da
     """(events merged by title across categories, their distinct showings).
 
     The first event gives the fields; low confidence of any of them sticks; showings are
-    distinct on date and time, the first one kept.
+    distinct on date and time, that of the first event kept.
     """
     named = event.withColumn("group_title", F.coalesce(F.nullif("title", F.lit("")), F.lit("Untitled")))
     fields = [c for c in event.columns if c not in ("event_key", "title", "review_confidence")]
@@ -170,7 +170,7 @@ def reader_groups(event: DataFrame, screening: DataFrame) -> tuple[DataFrame, Da
         F.min_by(F.lower(F.coalesce("review_confidence", F.lit("unknown"))), "event_key").alias("_confidence"),
     ).select("group_title", "_row.*", F.when(F.col("_low"), "low").otherwise(F.col("_confidence")).alias("review_confidence"))
     shows = screening.select("event_key", "ord", "date", "time", F.col("venue").alias("show_venue"), F.col("url").alias("show_url")).join(
-        named.select("event_key", "group_title"), "event_key")
-    once = first_row(shows, ["group_title", "date", "time"], ["ord", "show_venue", "show_url"])
+        named.select("event_key", "group_title"), "event_key").withColumn("_at", F.struct("event_key", "ord"))
+    once = first_row(shows, ["group_title", "date", "time"], ["ord", "show_venue", "show_url"], ord="_at")
     return groups, once
 

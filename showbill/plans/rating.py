@@ -27,7 +27,7 @@ def _rated(df: DataFrame, score, summary, confidence, origin: str) -> DataFrame:
 
 
 def rate(event: DataFrame, rules: Sequence[dict], cache: DataFrame,
-         attempts: Sequence[Callable[[pd.Series], pd.Series]], prompt, partitions: int = 8) -> DataFrame:
+         attempts: Sequence[Callable[[pd.Series], pd.Series]], prompt, partitions: int | None = None) -> DataFrame:
     """Score, summary and confidence of every event, and where they come from.
 
     In order: an override rule, the default of recurring meetings, the text of ready-made

@@ -80,11 +80,11 @@ def response_events(responses: DataFrame, schema: str, text: str = "text") -> Da
 
 
 def run_model(requests: DataFrame, fn: Callable[[pd.Series], pd.Series], key: str = "event_key",
-              partitions: int = 8, batch: int = 100) -> DataFrame:
+              partitions: int | None = None, batch: int = 100) -> DataFrame:
     """(key, content, error) of the caller's function over (key, prompt) rows.
 
-    ``partitions`` caps how many calls run at the same time, ``batch`` how many prompts one
-    call gets. A call that fails marks its own prompts only.
+    ``partitions`` caps how many calls run at the same time (as many as the rows have, if it
+    is not given), ``batch`` how many prompts one call gets. A call that fails marks its own prompts only.
     """
     def call(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -97,5 +97,6 @@ def run_model(requests: DataFrame, fn: Callable[[pd.Series], pd.Series], key: st
                 yield pd.DataFrame({key: part[key].tolist(), "content": content, "error": error})
 
     kind = dict(requests.dtypes)[key]
-    return requests.select(key, "prompt").repartition(partitions).mapInPandas(call, f"{key} {kind}, content string, error string")
+    rows = requests.select(key, "prompt")
+    return (rows.repartition(partitions) if partitions else rows).mapInPandas(call, f"{key} {kind}, content string, error string")
 

@@ -24,9 +24,10 @@ def split_lines(docs: DataFrame, doc: str = "doc", text: str = "text") -> DataFr
     return docs.select(doc, F.posexplode(F.split(text, r"\r?\n")).alias("pos", "line"))
 
 
-_MONTH_HEAD = r"##\s+([A-Za-z]+)\s+(\d{4})\s*$"
-_DAY_HEAD = r"###\s+(?:" + "|".join(WEEKDAYS_LONG) + r"),?\s+([A-Za-z]+)\s+(\d{1,2})\s*$"
-_ENTRY = r"^-\s*\*\*(.+?)\*\*\s*[—–-]\s*(.+?)\s*$"
+# Headings and entries are lines: blanks within them are never line ends.
+_MONTH_HEAD = r"##[ \t]+([A-Za-z]+)[ \t]+(\d{4})[ \t]*$"
+_DAY_HEAD = r"###[ \t]+(?:" + "|".join(WEEKDAYS_LONG) + r"),?[ \t]+([A-Za-z]+)[ \t]+(\d{1,2})[ \t]*$"
+_ENTRY = r"^-[ \t]*\*\*(.+?)\*\*[ \t]*[—–-][ \t]*(.+?)[ \t]*$"
 
 
 def schedule_doc(docs: DataFrame, doc: str = "doc", text: str = "text") -> DataFrame:

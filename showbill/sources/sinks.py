@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,20 +37,23 @@ def documents_by_slug(df: DataFrame, slug: str = "slug", ord: str = "event_key")
     return keep_first(rows.withColumn("_first", F.col(ord)), [slug], "_first").drop("_first")
 
 
-def write_documents(df: DataFrame, path: str, slug: str = "slug", shards: int = 256) -> None:
+def write_documents(df: DataFrame, path: str, slug: str = "slug", shard_rows: int = 200_000) -> None:
     """Documents as a table keyed by slug, replacing the previous one.
 
-    The shard of a slug is its hash, so a reader opens one folder to find one document,
-    and there are never more files than shards times write tasks.
+    The shard of a slug is its hash, so a reader opens one folder to find one document. There
+    are as many shards as hold about ``shard_rows`` documents each; their number is part of
+    the folder names, so that readers know it.
     """
-    sharded = documents_by_slug(df, slug).withColumn("shard", F.pmod(F.xxhash64(slug), F.lit(shards)).cast("int"))
-    sharded.repartition("shard").sortWithinPartitions("shard", slug).write.mode("overwrite").partitionBy("shard").parquet(path)
+    documents = documents_by_slug(df, slug)
+    shards = max(1, math.ceil(documents.count() / shard_rows))
+    sharded = documents.withColumn("shards", F.lit(shards)).withColumn("shard", F.pmod(F.xxhash64(slug), F.lit(shards)).cast("int"))
+    sharded.repartition(shards, "shard").sortWithinPartitions("shard", slug).write.mode("overwrite").partitionBy("shards", "shard").parquet(path)
 
 
-def read_document(spark: SparkSession, path: str, slug: str, shards: int = 256) -> DataFrame:
+def read_document(spark: SparkSession, path: str, slug: str) -> DataFrame:
     """The document of one slug; only its shard is read."""
-    shard = F.pmod(F.xxhash64(F.lit(slug)), F.lit(shards)).cast("int")
-    return spark.read.parquet(path).where((F.col("shard") == shard) & (F.col("slug") == slug)).drop("shard")
+    shard = F.pmod(F.xxhash64(F.lit(slug)), F.col("shards")).cast("int")
+    return spark.read.parquet(path).where((F.col("shard") == shard) & (F.col("slug") == slug)).drop("shards", "shard")
 
 
 def write_calendar(blocks: DataFrame, path: str, name: str) -> None:

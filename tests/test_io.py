@@ -90,10 +90,10 @@ def test_digest_archive_and_manifest(spark, tmp_path):
 def test_documents_and_snapshots(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a", "x"), (2, "a", "y"), (3, "b", "z"), (4, "", "n")], "event_key int, slug string, v string")
     path = str(tmp_path / "docs")
-    SK.write_documents(rows, path, shards=4)
-    assert [r["v"] for r in SK.read_document(spark, path, "a", shards=4).collect()] == ["x"]
-    SK.write_documents(rows.where("slug = 'b'"), path, shards=4)
-    assert SK.read_document(spark, path, "a", shards=4).count() == 0
+    SK.write_documents(rows, path, shard_rows=1)
+    assert [r["v"] for r in SK.read_document(spark, path, "a").collect()] == ["x"]
+    SK.write_documents(rows.where("slug = 'b'"), path, shard_rows=1)
+    assert SK.read_document(spark, path, "a").count() == 0
     SK.publish(rows, str(tmp_path / "set"), "one")
     SK.publish(rows.limit(1), str(tmp_path / "set"), "two")
     assert SK.read_current(spark, str(tmp_path / "set")).count() == 1

@@ -129,7 +129,7 @@ def test_overrides_first_rule_wins_on_both_paths(spark):
     event = spark.createDataFrame([(1, "Weekly Story Club", "V", "book_club"), (2, "Story", "W", "movie"), (3, "None", "V", "movie")],
                                   "event_key long, title string, venue string, type string")
     rules = [{"title": "story club", "venue": "V", "type": "book_club", "rating": 8}, {"title": "STORY", "rating": 3}, {"venue": "V", "rating": 1}]
-    for padding in (0, J.MAX_INLINE_RULES):
+    for padding in (0, 500):
         out = J.apply_overrides(event, rules + [{"title": f"zz{i}", "rating": 0} for i in range(padding)])
         assert {r["event_key"]: r["override"]["rating"] for r in out.collect()} == {1: 8, 2: 3, 3: 1}
 
@@ -177,3 +177,20 @@ def test_structured_metadata_is_json(spark, sf_dir):
 
     rows = load()["k06_jsonld"][0](spark, sf_dir).limit(20).collect()
     assert all(json.loads(r["json"])["@type"] == "Event" for r in rows)
+
+
+def test_overrides_of_events_without_title(spark):
+    event = spark.createDataFrame([(1, None, "V", "movie"), (2, "Zed", None, "movie"), (3, "Zed *", "*", None)],
+                                  "event_key long, title string, venue string, type string")
+    rules = [{"title": "zed", "venue": "V", "rating": 1}, {"venue": "V", "rating": 2}, {"type": "movie", "rating": 3}, {"title": "zed", "rating": 4}]
+    for padding in (0, 1, 500):
+        out = J.apply_overrides(event, rules + [{"title": f"no such {i}", "rating": 0} for i in range(padding)]).collect()
+        assert {r.event_key: r.override.rule_no for r in out} == {1: 2, 2: 3, 3: 4}
+
+
+def test_schedule_entry_without_times(spark):
+    from showbill.sources.schedules import schedule_doc
+
+    text = "## June 2024\n### Monday, June 3\n- **ALPHA** —\n- **BETA** — 6:00 PM\n"
+    got = schedule_doc(spark.createDataFrame([("d", text)], "doc string, text string")).collect()
+    assert [r.title for r in got] == ["BETA"]
