@@ -115,7 +115,9 @@ def rating_flow(spark, sf):
 @query("refresh_problems", with_(SCREENING, LISTING) + """
   SELECT split_part(p, ':', 1) AS kind, count(*) AS n FROM (
     SELECT CASE WHEN trim(title) = '' OR len(dates) = 0 OR len(dates) <> len(times) THEN 'rejected' END AS p FROM listing WHERE event_key % 7 <> 6
-    UNION ALL SELECT 'invalid' FROM listing WHERE event_key % 7 IN (1, 2) AND len(dates) > 0)
+    UNION ALL SELECT 'invalid' FROM listing WHERE event_key % 7 = 2 AND len(dates) > 0
+    UNION ALL SELECT 'invalid' FROM listing WHERE event_key % 7 <> 6 AND trim(title) <> '' AND len(dates) > 0 AND len(dates) = len(times)
+      AND type NOT IN ('concert', 'opera', 'dance'))
   WHERE p IS NOT NULL GROUP BY 1""")
 def refresh_problems(spark, sf):
     old, _ = season_pair(spark, sf)

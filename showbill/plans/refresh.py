@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from showbill.operators import joins, normalize, quality
 from showbill.sources import sinks
 
+#: Types a season file may hold.
+SEASON_TYPES = ("concert", "opera", "dance")
+
 
 def check_refresh(stored: DataFrame, incoming: DataFrame, expected_type: str, expected_venue: str | None) -> tuple[DataFrame, DataFrame]:
     """(rows to store, problems). Problems are rejects, invalid fields and losses."""
@@ -16,7 +19,7 @@ def check_refresh(stored: DataFrame, incoming: DataFrame, expected_type: str, ex
     rejects = rows.where(F.col("reject").isNotNull()).select(
         F.col("venue_name").alias("venue"), "title", F.concat(F.lit("rejected: "), "reject").alias("problem"))
     named = kept.withColumn("venue", F.col("venue_name"))
-    invalid = quality.validate(named).join(named.select("ord", "venue", "title"), "ord").select(
+    invalid = quality.validate(named, labels=SEASON_TYPES, free_times=True).join(named.select("ord", "venue", "title"), "ord").select(
         "venue", "title", F.concat(F.lit("invalid: "), "message").alias("problem"))
     lost = joins.refresh_regressions(stored, named)
     return named, rejects.unionByName(invalid).unionByName(lost)
