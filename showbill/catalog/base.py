@@ -13,7 +13,6 @@ REGISTRY: dict[str, tuple[Callable, str | None]] = {}
 
 #: Reference dates used by the registered queries.
 TODAY = "1998-06-15"
-SIGNAL_TODAY = "2024-01-15"
 
 
 def query(name: str, sql: str | None = None):

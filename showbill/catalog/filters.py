@@ -3,11 +3,13 @@
 from pyspark.sql import functions as F
 
 from showbill.catalog.base import EVENT, EVENT_PERSON, PERSON, SCREENING, TODAY, query, with_
-from showbill.catalog.ranking import SIGNAL, weighted
+from showbill.catalog.ranking import SIGNAL
 from showbill.functions.text import slug
 from showbill.operators import filters as FL
 from showbill.operators import grouping as G
+from showbill.operators import ranking as R
 from showbill.operators.publish import valid_events
+from showbill.sources import signals
 from showbill.sources import tables as T
 
 
@@ -77,10 +79,12 @@ def f06_label(spark, sf):
 @query("f07_filter_events", with_(SCREENING, EVENT, SIGNAL) + """
   SELECT event_key, title FROM event
   WHERE contains(lower(title), 'n') AND type = 'movie'
-    AND event_key IN (SELECT event_key FROM weighted WHERE weight > 0)
+    AND event_key % 100 IN (SELECT k FROM weight_k WHERE weight > 0)
     AND event_key IN (SELECT event_key FROM screening WHERE date >= '1998-06-15' AND date < '1998-06-22')""")
 def f07(spark, sf):
-    saved = weighted(spark, sf).where("weight > 0")
+    liked = R.reader_weights(signals.taste_signals(spark, sf)).where("weight > 0").select("k").distinct()
+    keys = T.table(spark, sf, "part").select(F.col("p_partkey").alias("event_key"))
+    saved = keys.join(liked, F.col("event_key") % 100 == F.col("k"), "left_semi")
     return FL.filter_events(T.event(spark, sf), T.showings(spark, sf), TODAY, "n", saved, "movie", "week").select("event_key", "title")
 
 

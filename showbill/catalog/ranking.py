@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from showbill.catalog.base import (
-    EVENT, EVENT_PERSON, PERSON, SCREENING, SIGNAL_TODAY, TODAY, query, with_,
+    EVENT, EVENT_PERSON, PERSON, SCREENING, TODAY, query, with_,
 )
 from showbill.operators import grouping as G
 from showbill.operators import ranking as R
@@ -107,18 +107,21 @@ def w05_person(spark, sf):
 
 # --- taste ---------------------------------------------------------------------------
 
+#: The reader the taste queries are run for.
+READER_ID = 14
+
 SIGNAL = f"""
-signal AS (
-  SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, event_id,
-    CASE event_type WHEN 'click' THEN 1 WHEN 'error' THEN -1 END AS thumb,
-    event_type = 'purchase' AS saved
-  FROM events WHERE event_type IN ('click', 'error', 'purchase') AND ts < TIMESTAMP '{SIGNAL_TODAY}'),
+sig AS (
+  SELECT user_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, ts, event_id, event_type
+  FROM events WHERE event_type IN ('click', 'error', 'purchase')),
 weight_k AS (
-  SELECT k, COALESCE(arg_max(thumb, event_id) FILTER (WHERE thumb IS NOT NULL), 0)
-            + max(CAST(saved AS INTEGER)) AS weight FROM signal GROUP BY k),
+  SELECT user_id, k, COALESCE(list_reduce(list_prepend(0,
+      list(CASE event_type WHEN 'click' THEN 1 ELSE -1 END ORDER BY ts, event_id) FILTER (WHERE event_type <> 'purchase')),
+      lambda s, x: CASE WHEN s = x THEN 0 ELSE x END), 0)
+    + CAST(count(*) FILTER (WHERE event_type = 'purchase') % 2 AS INTEGER) AS weight FROM sig GROUP BY user_id, k),
 weighted AS (
   SELECT event_key, title, type, venue, CAST(weight AS INTEGER) AS weight
-  FROM event JOIN weight_k ON event_key % 100 = k WHERE weight <> 0)"""
+  FROM event JOIN weight_k ON event_key % 100 = k WHERE weight <> 0 AND user_id = {READER_ID})"""
 
 BIAS = """
 cat_bias AS (SELECT lower(type) AS cat, sum(weight) AS bias FROM weighted GROUP BY ALL),
@@ -130,9 +133,7 @@ ven_lead AS (SELECT lower(venue) AS ven, title, weight FROM weighted WHERE weigh
 
 
 def weighted(spark, sf):
-    by_k = R.signal_weight(signals.taste_signals(spark, sf, before=SIGNAL_TODAY), "k")
-    return T.event(spark, sf).join(by_k, F.col("event_key") % 100 == F.col("k")).select(
-        "event_key", "title", "type", "venue", "weight")
+    return R.weighted_events(T.event(spark, sf), R.reader_weights(signals.taste_signals(spark, sf)), READER_ID)
 
 
 @query("w06_rerank_by_taste", with_(SCREENING, EVENT, DIGEST, SIGNAL, BIAS) + """
@@ -177,6 +178,12 @@ def j10(spark, sf):
     return out.select("event_key", "cat_bias", "venue_bias", "cat_leader", "venue_leader")
 
 
+@query("w06_reader_weights", with_(SIGNAL.strip().split("\nweighted AS")[0].rstrip(",")) + """
+  SELECT user_id, k, CAST(weight AS INTEGER) AS weight FROM weight_k WHERE weight <> 0""")
+def w06_weights(spark, sf):
+    return R.reader_weights(signals.taste_signals(spark, sf))
+
+
 # --- orders and sections -----------------------------------------------------------------
 
 READER = f"""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from showbill.functions.dates import let, match
 from showbill.functions.text import html_text, strip_ws, trim_words
 from showbill.values import (
-    DEFAULT_SCORE, HOOK_ARTIFACTS, HOOK_META, HOOK_PREFIXES, HOOK_REFUSALS, HOOK_TAILS,
+    DEFAULT_SCORE, EMOJI, HOOK_ARTIFACTS, HOOK_META, HOOK_PREFIXES, HOOK_REFUSALS, HOOK_TAILS,
     NON_JUDGEMENT_PATTERNS, REFUSAL_MIN_CHARS, REFUSAL_PATTERNS, REFUSAL_STUB, SCORE_PATTERNS,
     SOURCE_NOTE, THIN_EVIDENCE,
 )
@@ -75,6 +75,9 @@ _RATING = r"(?i)^★\s*Rating:\s*(\d+(?:\.\d+)?)\s*/\s*10"
 _RATING_BRACKET = r"(?i)^★\s*Rating:\s*\[?\s*(\d+(?:\.\d+)?)\s*/\s*10"
 
 
+EMOJI_CLASS = "".join("-".join(rf"\x{{{end}}}" for end in part.split("-")) for part in EMOJI.split())
+
+
 def paragraphs(col: Column) -> Column:
     """Inner mark-up of every paragraph, in order."""
     return F.regexp_extract_all(F.coalesce(col, F.lit("")), F.lit(_PARAGRAPH), F.lit(1))
@@ -94,10 +97,11 @@ def split_strong(parts: Column) -> Column:
 def section(raw: Column, dialect: str = "digest") -> Column:
     """``struct<rating,emoji,label,body>`` of one paragraph.
 
-    ``digest`` takes the rating without brackets; ``reader`` also with. The emoji is
-    the leading run up to an ASCII letter, digit or space.
+    ``digest`` takes the rating without brackets; ``reader`` also with. The emoji is the
+    leading run up to an ASCII letter, digit or space in a digest, of emoji for a reader.
     """
     pattern = _RATING if dialect == "digest" else _RATING_BRACKET
+    leading = r"^([^\sA-Za-z0-9]*)" if dialect == "digest" else f"^([{EMOJI_CLASS}]*)"
 
     def read(text: Column, label: Column) -> Column:
         at = F.position(label, text)
@@ -105,7 +109,7 @@ def section(raw: Column, dialect: str = "digest") -> Column:
         body = F.regexp_replace(tail, r"^[\s–—\-:]+|\s+$", "")
         return F.struct(
             match(text, pattern, 1).alias("rating"),
-            F.regexp_extract(text, r"^([^\sA-Za-z0-9]*)", 1).alias("emoji"),
+            F.regexp_extract(text, leading, 1).alias("emoji"),
             label.alias("label"),
             F.when((label != "") & (at > 0), body).otherwise(text).alias("body"),
         )

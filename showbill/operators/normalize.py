@@ -114,9 +114,13 @@ def standardize(df: DataFrame, today, default_time: str, page_url: Column) -> Da
 
     Dates are read as ranges (a range's start is the date, its end the end date),
     times to HH:mm, and both arrays fitted pairwise. ``dates`` may also have come
-    under ``date`` or ``start_date``.
+    under ``date`` or ``start_date``, or else under any name that mentions a date
+    but the end date's. Without any date or time column there are none.
     """
-    aliases = [c for c in ("dates", "date", "start_date") if c in df.columns]
+    named = [c for c in ("dates", "date", "start_date") if c in df.columns]
+    others = [c for c in df.columns if "date" in c.lower() and c.lower() != "end_date" and c not in named]
+    aliases = named + [c for c in others if df.schema[c].dataType.simpleString() in ("string", "array<string>")]
+    none = F.lit(None).cast("array<string>")
 
     def as_array(name: str) -> Column:
         col = F.col(name)
@@ -125,10 +129,10 @@ def standardize(df: DataFrame, today, default_time: str, page_url: Column) -> Da
         return F.when(F.size(col) > 0, F.filter(col, lambda x: nonblank(x)))
 
     ranges = F.filter(
-        F.transform(F.coalesce(*[as_array(c) for c in aliases]), lambda v: date_range(v, today)),
+        F.transform(F.coalesce(none, *[as_array(c) for c in aliases]), lambda v: date_range(v, today)),
         lambda r: r["start"].isNotNull(),
     )
-    times = F.coalesce(*[as_array(c) for c in ("times", "time") if c in df.columns])
+    times = F.coalesce(none, *[as_array(c) for c in ("times", "time") if c in df.columns])
     clean = F.filter(F.transform(times, loose_time), lambda t: t.isNotNull())
     empty = F.array().cast("array<string>")
     out = df.withColumns({"_ranges": ranges, "_times": F.coalesce(clean, empty)})
@@ -138,10 +142,10 @@ def standardize(df: DataFrame, today, default_time: str, page_url: Column) -> Da
         "dates": F.coalesce(F.transform("_ranges", lambda r: r["start"]), empty),
         "times": fit_times(F.col("_times"), n, default_time),
         "end_date": F.coalesce(
-            partial_date(F.col("end_date")),
+            partial_date(F.col("end_date")) if "end_date" in df.columns else F.lit(None).cast("string"),
             F.array_max(F.transform("_ranges", lambda r: r["end"])),
         ),
-        "url": F.coalesce(F.when(nonblank(F.col("url")), F.col("url")), page_url),
+        "url": F.coalesce(F.when(nonblank(F.col("url")), F.col("url")), page_url) if "url" in df.columns else page_url,
     })
     reject = (
         F.when(~nonblank(F.col("title")), "no title")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from showbill.functions.dates import day
 from showbill.functions.facts import nonblank
 from showbill.functions.review import (
+    EMOJI_CLASS,
     is_non_judgement, is_refusal, paragraphs, section, split_strong,
 )
 from showbill.functions.text import html_text
@@ -41,11 +42,11 @@ def reader_sections(df: DataFrame, key: str, html: str) -> tuple[DataFrame, Data
     rows = review_sections(df, key, html, "reader").where(F.col("rating").isNull())
     known = F.create_map(*[F.lit(x) for pair in SECTION_EMOJI.items() for x in pair])
     canonical = F.try_element_at(known, F.col("emoji"))
-    own = F.trim(F.substring("label", F.length("emoji") + 1, F.length("label")))
-    plain_label = F.when((F.col("emoji") != "") & F.startswith("label", F.col("emoji")), own).otherwise(F.col("label"))
+    lead = rf"^[{EMOJI_CLASS}\s]+"
+    plain_label = F.when(F.col("emoji") != "", F.trim(F.regexp_replace("label", lead, ""))).otherwise(F.col("label"))
     bare_body = F.regexp_replace(
         F.regexp_replace(
-            F.regexp_replace(F.substring("body", F.length("emoji") + 1, F.length("body")), r"^\s+", ""),
+            F.regexp_replace("body", lead, ""),
             r"^[A-Z][A-Z\s',\-]{3,50}(?=[A-Z][a-z])", ""),
         r"^[A-Z][a-zA-Z\s]{2,30}(?=\s*[A-Z][a-z])", "")
     bare_body = F.regexp_replace(bare_body, r"^[\s–—\-:,.]+|\s+$", "")

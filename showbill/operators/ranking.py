@@ -147,12 +147,45 @@ def reader_order(event: DataFrame, today) -> DataFrame:
 
 # --- taste ------------------------------------------------------------------------
 
-def signal_weight(signal: DataFrame, key: str = "event_key") -> DataFrame:
-    """Weight of every event: thumb (-1, 0, 1) plus one when saved; zero weights drop out."""
-    return signal.groupBy(key).agg(
-        (F.coalesce(F.max_by("thumb", F.when(F.col("thumb").isNotNull(), F.col("ord"))), F.lit(0))
-         + F.max(F.coalesce(F.col("saved").cast("int"), F.lit(0)))).alias("weight")
-    ).where(F.col("weight") != 0)
+def collapse_signals(signal: DataFrame) -> DataFrame:
+    """One row per (reader, event): what a run of signals does to whatever state it meets.
+
+    A thumb equal to the current one clears it, any other one replaces it; a save toggles.
+    So only the closing run of equal thumbs matters: its value, its length, and whether
+    there was a different thumb before it. Counts and maxima give all of these, which
+    Spark combines before the shuffle; no group is ever sorted or held in memory.
+    """
+    keys = ["user_id", "k"]
+    pos = F.struct("ts", "ord")
+    last = signal.groupBy(*keys).agg(
+        F.max(F.when(F.col("thumb") == 1, pos)).alias("last_up"), F.max(F.when(F.col("thumb") == -1, pos)).alias("last_down"))
+    value = F.when(F.col("last_up").isNull() & F.col("last_down").isNull(), 0).when(
+        F.col("last_down").isNull() | (F.col("last_up") > F.col("last_down")), 1).otherwise(-1)
+    other = F.when(value == 1, F.col("last_down")).otherwise(F.col("last_up"))
+    marked = last.select(*keys, value.alias("value"), F.when(value != 0, other).alias("other"))
+    after = F.col("other").isNull() | (pos > F.col("other"))
+    return signal.join(marked, keys).groupBy(*keys, "value").agg(
+        F.count_if((F.col("thumb") == F.col("value")) & after).alias("run"),
+        F.bool_or(F.col("other").isNotNull()).alias("turned"),
+        (F.count_if(F.col("saved")) % 2 == 1).alias("toggles_save"),
+    )
+
+
+def reader_weights(signal: DataFrame) -> DataFrame:
+    """(user_id, k, weight): each reader's thumb (-1, 0, 1) plus one when saved; zero weights drop out.
+
+    The same fold as the stream's, over all signals as one batch.
+    """
+    odd = F.col("run") % 2 == 1
+    thumb = F.when(odd, F.col("value")).otherwise(0)
+    return collapse_signals(signal).select(
+        "user_id", "k", (thumb + F.col("toggles_save").cast("int")).alias("weight")).where(F.col("weight") != 0)
+
+
+def weighted_events(event: DataFrame, weights: DataFrame, reader: int, modulo: int = 100) -> DataFrame:
+    """The events one reader has a weight for, with the fields that bias and leaders need."""
+    own = weights.where(F.col("user_id") == reader).select("k", "weight")
+    return event.join(own, F.col("event_key") % modulo == F.col("k")).select("event_key", "title", "type", "venue", "weight")
 
 
 def taste_bias(weighted: DataFrame, by: str) -> DataFrame:

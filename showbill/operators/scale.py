@@ -7,19 +7,24 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-def position_in_group(df: DataFrame, keys: Sequence[str], text: str, prefix: int = 2) -> DataFrame:
+
+def position_in_group(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     """1-based position of every row in its group, ordered by a text column.
 
-    Groups are cut by the leading characters of the text, which keep the order, so a
-    group of any size is numbered by many tasks.
+    Rows are dealt out in ranges of (keys, text), which Spark finds by sampling, so a group of
+    any size and any spelling is numbered by many tasks; the counts of the ranges before
+    are added. The ranges are checkpointed, since a repeated task must not cut them anew.
     """
-    rows = df.withColumn("_prefix", F.substring(text, 1, prefix))
-    sizes = rows.groupBy(*keys, "_prefix").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*keys, "_prefix", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    w = Window.partitionBy(*keys, "_prefix").orderBy(text)
-    return rows.withColumn("_rn", F.row_number().over(w)).join(offsets, [*keys, "_prefix"]).withColumn(
-        "position", F.col("_rn") + F.col("_before")).drop("_prefix", "_rn", "_before")
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.repartitionByRange(n, *keys, text).withColumn("_part", F.spark_partition_id()).checkpoint()
+    sizes = rows.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*keys, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    w = Window.partitionBy(*keys, "_part").orderBy(text)
+    return rows.withColumn("_rn", F.row_number().over(w)).join(offsets, [*keys, "_part"]).withColumn(
+        "position", F.col("_rn") + F.col("_before")).drop("_part", "_rn", "_before")
 
 
 def parse_rows(df: DataFrame, source: str, parts: Column, parse) -> DataFrame:

@@ -71,16 +71,21 @@ def write_lines(df: DataFrame, path: str, *order: Column) -> None:
 
 
 def publish(df: DataFrame, root: str, snapshot: str) -> str:
-    """A dated snapshot, then the pointer to it; readers never see a half-written set."""
-    path = f"{root}/snapshot={snapshot}"
+    """A dated snapshot, then a further pointer to it; readers never see a half-written set.
+
+    Pointers are only added, so there is no moment without one.
+    """
+    spark, path = df.sparkSession, f"{root}/snapshot={snapshot}"
     df.write.mode("overwrite").parquet(path)
-    df.sparkSession.createDataFrame([(snapshot,)], "snapshot string").coalesce(1).write.mode("overwrite").json(f"{root}/current")
+    pointer = spark.createDataFrame([(snapshot,)], "snapshot string").withColumn("at", F.unix_micros(F.current_timestamp()))
+    pointer.coalesce(1).write.mode("append").json(f"{root}/current")
     return path
 
 
 def read_current(spark: SparkSession, root: str) -> DataFrame:
-    """The snapshot the pointer names."""
-    snapshot = spark.read.schema("snapshot string").json(f"{root}/current").first()["snapshot"]
+    """The snapshot the newest pointer names."""
+    pointers = spark.read.schema("snapshot string, at long").json(f"{root}/current")
+    snapshot = pointers.agg(F.max_by("snapshot", "at")).first()[0]
     return spark.read.parquet(f"{root}/snapshot={snapshot}")
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from showbill.operators.grouping import keep_first
+from showbill.operators.ranking import collapse_signals
 from showbill.operators.scale import ensure_checkpoint_dir
 
 
@@ -34,15 +35,8 @@ def to_table(stream: DataFrame, folder: str) -> str:
 
 
 def _stored(spark: SparkSession, path: str, before: int) -> DataFrame | None:
-    """Rows that earlier batches have written."""
-    from pyspark.errors import AnalysisException
-
-    if before == 0:
-        return None
-    try:
-        return spark.read.parquet(path).where(F.col("batch") < before)
-    except AnalysisException:
-        return None
+    """Rows that earlier batches have written; batch 0 always writes, so a missing table is an error."""
+    return None if before == 0 else spark.read.parquet(path).where(F.col("batch") < before)
 
 
 def each_batch(stream: DataFrame, folder: str, fn: Callable[[DataFrame, DataFrame | None], DataFrame]) -> str:
@@ -84,30 +78,6 @@ def distinct_recent(stream: DataFrame, keys: list[str], at: str, delay: str) ->
 
 # --- taste ----------------------------------------------------------------------------------
 
-def collapse_signals(signal: DataFrame) -> DataFrame:
-    """One row per (reader, event): what a run of signals does to whatever state it meets.
-
-    A thumb equal to the current one clears it, any other one replaces it; a save toggles.
-    So only the closing run of equal thumbs matters: its value, its length, and whether
-    there was a different thumb before it. Counts and maxima give all of these, which
-    Spark combines before the shuffle; no group is ever sorted or held in memory.
-    """
-    keys = ["user_id", "k"]
-    pos = F.struct("ts", "ord")
-    last = signal.groupBy(*keys).agg(
-        F.max(F.when(F.col("thumb") == 1, pos)).alias("last_up"), F.max(F.when(F.col("thumb") == -1, pos)).alias("last_down"))
-    value = F.when(F.col("last_up").isNull() & F.col("last_down").isNull(), 0).when(
-        F.col("last_down").isNull() | (F.col("last_up") > F.col("last_down")), 1).otherwise(-1)
-    other = F.when(value == 1, F.col("last_down")).otherwise(F.col("last_up"))
-    marked = last.select(*keys, value.alias("value"), F.when(value != 0, other).alias("other"))
-    after = F.col("other").isNull() | (pos > F.col("other"))
-    return signal.join(marked, keys).groupBy(*keys, "value").agg(
-        F.count_if((F.col("thumb") == F.col("value")) & after).alias("run"),
-        F.bool_or(F.col("other").isNotNull()).alias("turned"),
-        (F.count_if(F.col("saved")) % 2 == 1).alias("toggles_save"),
-    )
-
-
 def taste_state(log: DataFrame) -> DataFrame:
     """Thumb and save of every (reader, event) after all logged batches.
 

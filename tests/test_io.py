@@ -151,3 +151,31 @@ def test_refresh_is_written_only_without_losses(spark, tmp_path):
     assert refresh.commit_refresh(*refresh.check_refresh(stored, better, "concert", None), root, "1")
     assert not refresh.commit_refresh(*refresh.check_refresh(stored, worse, "concert", None), root, "2")
     assert SK.read_current(spark, root).select(F.size("dates")).first()[0] == 2
+
+
+def test_pages_with_other_quotes_and_nesting(spark):
+    article = ("<article class='x eventlist-event'><h1><a class=eventlist-title-link href='/e/1'>Night</a></h1>"
+               "<time class='event-date' datetime=1998-06-16>x</time><time class=event-time-localized-start>7:00 PM</time>"
+               "<div class='eventlist-excerpt'><div>one</div><div>two <div>three</div></div> four</div></article>")
+    row = P.articles_from_pages(spark.createDataFrame([(1, article)], "k int, html string"), "https://x.org").first()
+    assert (row.title, row.url, row.date, row.description) == ("Night", "https://x.org/e/1", "1998-06-16", "one two three four")
+
+    film = ("<h1>Film</h1><div class='c-screening-content'><div>a</div> b</div><div id='showtime-19980616' class=c>"
+            "<div><a class='c-button'>1:00 PM</a></div><div><div><a class=c-button>2:00 PM</a></div></div></div>"
+            "<div><a class='c-button'>9:00 PM</a></div>")
+    rows = P.film_page_screenings(spark.createDataFrame([(1, film)], "k int, html string")).orderBy("slot").collect()
+    assert [(r.date, r.time, r.description) for r in rows] == [("1998-06-16", "1:00 PM", "a b"), ("1998-06-16", "2:00 PM", "a b")]
+
+    series = "<h2 class='bm-txt-1'>Voyage</h2><h2 class=t>Upcoming</h2><p>Tuesday, June 16 - Emma by Jane</p>"
+    details = spark.createDataFrame([], "series string, time string, host string, note string")
+    row = P.series_entries(spark.createDataFrame([(1, series)], "page_id int, html string"), details, "1998-06-15").first()
+    assert (row.series, row.book, row.author, row.date) == ("Voyage", "Emma", "Jane", "1998-06-16")
+
+    links = spark.createDataFrame([("http://h.org/a", "<a href='/e1'>x</a><A class=b href=/e2>y</A><a data-href='/e3'>z</a><a href=\"/e4\">")], "url string, html string")
+    assert {r.link for r in P.discover_links(links, "/e").collect()} == {f"http://h.org/e{i}" for i in (1, 2, 4)}
+
+
+def test_empty_and_unclosed_elements(spark):
+    rows = spark.createDataFrame([("<div class='a'></div>x",), ("<div class=a>open <div>in</div> on",), ("<p>none</p>",), (None,)], "html string")
+    texts = [r[0] for r in rows.select(P.element(F.col("html"), "div", "a")).collect()]
+    assert texts == [None, "open <div>in</div> on", None, None]
