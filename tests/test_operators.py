@@ -78,8 +78,8 @@ def test_containing_equals_all_pairs(spark):
 
 
 def test_position_in_group(spark):
-    rows = [("hot" if i % 3 else "cold", f"{i * 37 % 100:02d}") for i in range(100)]
-    got = S.position_in_group(spark.createDataFrame(rows, "g string, t string"), ["g"], "t", prefix=1).collect()
+    rows = [("hot" if i % 3 else "cold", f"Person {i * 37 % 100:02d}") for i in range(100)]
+    got = S.position_in_group(spark.createDataFrame(rows, "g string, t string"), ["g"], "t").collect()
     want = {}
     for g in ("hot", "cold"):
         for n, t in enumerate(sorted(t for h, t in rows if h == g), 1):
