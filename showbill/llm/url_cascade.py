@@ -14,7 +14,7 @@ from showbill.llm.common import stored
 #: Rules (host, path, verdict): each fits its host and all subdomains where the path starts so.
 RULES = (
     ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
-    ("com", "/fr", "allow"), ("com", "/de/", "block"),
+    ("com", "/fr/", "allow"), ("com", "/de/", "block"),
 )
 #: Keys of one shard of the cascade, which one task builds.
 SHARD_KEYS = 250_000
