@@ -55,12 +55,13 @@ def g05(spark, sf):
 
 
 @query("u01_union_sources", with_(SCREENING) + """
-  SELECT ord, title, CASE WHEN type = 'movie' THEN rating END AS rating, CASE WHEN type = 'concert' THEN venue END AS hall
-  FROM screening WHERE type IN ('movie', 'concert')""")
+  SELECT ord, title, CASE WHEN event_key % 3 = 0 THEN rating END AS rating, CASE WHEN event_key % 3 = 1 THEN venue END AS hall,
+    CASE WHEN event_key % 3 = 2 THEN url END AS url FROM screening""")
 def u01(spark, sf):
     s = T.screening(spark, sf)
-    return GE.union_sources(s.where("type = 'movie'").select("ord", "title", "rating"),
-                            s.where("type = 'concert'").select(F.col("venue").alias("hall"), "title", "ord"))
+    return GE.union_sources(s.where("event_key % 3 = 0").select("ord", "title", "rating"),
+                            s.where("event_key % 3 = 1").select(F.col("venue").alias("hall"), "title", "ord"),
+                            s.where("event_key % 3 = 2").select("url", "ord", "title"))
 
 
 @query("u04_distinct_values", with_(SCREENING) + """
@@ -73,23 +74,24 @@ def u04(spark, sf):
 
 @query("s16_ingest_rows", with_(SCREENING) + """
   SELECT ord, source, venue, source_venue FROM (
-    SELECT ord, rating, n, 'alpha' AS source, 'alpha' AS venue, NULL AS source_venue FROM screening WHERE type = 'movie'
-    UNION ALL SELECT ord, rating, n, 'beta', CASE WHEN n = 1 THEN 'beta' ELSE venue END, 'beta' FROM screening WHERE type = 'opera')
+    SELECT ord, rating, n, 'alpha' AS source, 'alpha' AS venue, NULL AS source_venue FROM screening WHERE event_key % 3 > 0
+    UNION ALL SELECT ord, rating, n, 'beta', CASE WHEN n = 1 THEN 'beta' ELSE venue END, 'beta' FROM screening WHERE event_key % 3 = 0)
   WHERE rating IS NOT NULL AND n <> 7""")
 def s16(spark, sf):
     return ingested(spark, sf)[0].select("ord", "source", "venue", "source_venue")
 
 
 @query("s16_rejects", with_(SCREENING) + """
-  SELECT ord, CASE WHEN type = 'movie' THEN 'alpha' ELSE 'beta' END AS source, CASE WHEN rating IS NULL THEN 'no rating' ELSE 'late line' END AS reason
-  FROM screening WHERE type IN ('movie', 'opera') AND (rating IS NULL OR n = 7)""")
+  SELECT ord, CASE WHEN event_key % 3 > 0 THEN 'alpha' ELSE 'beta' END AS source, CASE WHEN rating IS NULL THEN 'no rating' ELSE 'late line' END AS reason
+  FROM screening WHERE rating IS NULL OR n = 7""")
 def s16_rejects(spark, sf):
     return ingested(spark, sf)[1].select("ord", "source", "reason")
 
 
 @query("s16_source_log", with_(SCREENING) + """
   SELECT source, count(ord) FILTER (WHERE rating IS NOT NULL AND n <> 7) AS kept, count(ord) FILTER (WHERE rating IS NULL OR n = 7) AS rejected, kept = 0 AS empty
-  FROM (VALUES ('alpha', 'movie'), ('beta', 'opera'), ('gamma', 'ballet')) v(source, type) LEFT JOIN screening USING (type) GROUP BY source""")
+  FROM (VALUES ('alpha'), ('beta'), ('gamma')) v(source) LEFT JOIN (
+    SELECT *, CASE WHEN event_key % 3 > 0 THEN 'alpha' ELSE 'beta' END AS source FROM screening) USING (source) GROUP BY source""")
 def s16_log(spark, sf):
     return ingested(spark, sf)[2]
 
@@ -97,8 +99,8 @@ def s16_log(spark, sf):
 def ingested(spark, sf):
     s = T.screening(spark, sf)
     sources = {
-        "alpha": s.where("type = 'movie'").drop("url"),
-        "beta": s.where("type = 'opera'").withColumn("venue", F.when(F.col("n") == 1, " ").otherwise(F.col("venue"))),
+        "alpha": s.where("event_key % 3 > 0").drop("url"),
+        "beta": s.where("event_key % 3 = 0").withColumn("venue", F.when(F.col("n") == 1, " ").otherwise(F.col("venue"))),
         "gamma": s.where("type = 'ballet'"),
     }
     return GE.ingest(sources, [("no rating", F.col("rating").isNull()), ("late line", F.col("n") == 7)], preserve=["beta"])

@@ -149,10 +149,12 @@ matched AS (SELECT event_key, arg_min(film_key, first_key) AS film_key FROM hint
   ON date = hint_date AND needle <> '' AND contains(film_title, needle) GROUP BY event_key)"""
 
 
-@query("j05_companions", with_(SCREENING, EVENT, COMPANION) + " SELECT event_key, film_key, title, venue FROM matched JOIN event USING (event_key)")
+@query("j05_companions", with_(SCREENING, EVENT, COMPANION) + """
+  SELECT event_key, film_key, title, venue, url, '' AS description, (SELECT min_by(s.time, s.ord) FROM screening s WHERE s.event_key = m.event_key) AS time
+  FROM matched m JOIN event USING (event_key)""")
 def j05(spark, sf):
     attached, _ = J.merge_companions(T.event(spark, sf), T.showings(spark, sf), hints(spark, sf))
-    return attached.select("event_key", "film_key", "title", "venue")
+    return attached.select("event_key", "film_key", "title", "venue", "url", "description", "time")
 
 
 @query("j05_remaining", with_(SCREENING, EVENT, COMPANION) + " SELECT event_key FROM event WHERE event_key NOT IN (SELECT event_key FROM matched)")
@@ -276,11 +278,11 @@ def u02(spark, sf):
 
 
 @query("u03_common_keys", with_(SCREENING) + """
-  SELECT DISTINCT lower(title) AS title FROM screening WHERE type = 'movie' AND n = 1
-  INTERSECT SELECT lower(title) FROM screening WHERE n = 5""")
+  SELECT DISTINCT lower(title) AS title FROM screening WHERE supp_key % 2 = 0
+  INTERSECT SELECT lower(title) FROM screening WHERE supp_key % 2 = 1""")
 def u03(spark, sf):
     s = T.screening(spark, sf).withColumn("title", F.lower("title"))
-    return J.common_keys(s.where("type = 'movie' AND n = 1"), s.where("n = 5"), ["title"])
+    return J.common_keys(s.where("supp_key % 2 = 0"), s.where("supp_key % 2 = 1"), ["title"])
 
 
 # J11, J12, J13, J14 ---------------------------------------------------------------------------
@@ -331,6 +333,24 @@ def j12(spark, sf):
     return J.similarity(short_titles(spark, sf))
 
 
+@query("j12_pair_score", with_(SCREENING) + """
+  , f AS (SELECT event_key, min_by(title, ord) AS t, min_by(date, ord) AS date, min_by(time, ord) AS time FROM screening GROUP BY event_key),
+  p AS (SELECT s.ord, s.title, s.date = f.date AS same_date, s.time = f.time AS same_time,
+    CASE event_key % 4 WHEN 0 THEN concat(' ', upper(f.t)) WHEN 1 THEN split_part(f.t, ' ', 1) WHEN 2 THEN f.t || ' again' ELSE ' ' END AS other
+    FROM screening s JOIN f USING (event_key))
+  SELECT ord, CAST(CASE WHEN trim(other) = '' THEN 0 WHEN lower(trim(other)) = lower(title) AND same_date AND same_time THEN 1
+    WHEN same_date AND same_time THEN 0.9 WHEN same_date THEN 0.7 ELSE 0.4 END AS DOUBLE) AS score FROM p""")
+def j12_pair(spark, sf):
+    from showbill.operators.grouping import first_row
+
+    shows, k = T.screening(spark, sf), F.col("event_key")
+    other = F.when(k % 4 == 0, F.concat(F.lit(" "), F.upper("title"))).when(k % 4 == 1, F.substring_index("title", " ", 1)).when(
+        k % 4 == 2, F.concat("title", F.lit(" again"))).otherwise(" ")
+    first = first_row(shows, ["event_key"], ["title", "date", "time"]).select(
+        "event_key", F.struct(other.alias("title"), "date", "time").alias("first"))
+    return shows.join(first, "event_key").select("ord", J.pair_score(F.struct("title", "date", "time"), F.col("first")).alias("score"))
+
+
 @query("j13_attach_policy", with_(SCREENING) + """
   SELECT ord, supp_key % 4 IN (0, 3) AS to_classify, CASE WHEN supp_key % 4 = 1 THEN 'concert' END AS event_category FROM screening""")
 def j13(spark, sf):

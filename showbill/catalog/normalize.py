@@ -220,6 +220,34 @@ def p14(spark, sf):
     return raw(spark, sf, RAW_BLURB).select("ord", A.film_facts(F.col("raw")).alias("f")).select("ord", "f.*")
 
 
+#: The facts that documents tell by themselves, by the same patterns.
+FACT = "nullif(trim(regexp_extract(t, '{}', 1)), '')"
+
+
+@query("p14_facts_of_documents", f"""
+  WITH d AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) || ' Directed by ' || source || ', shown in ' || CAST(1950 + doc_id % 60 AS VARCHAR) || '.' AS t FROM documents WHERE text IS NOT NULL)
+  SELECT doc_id, {FACT.format('(?i)(?:directed by|director:|dir[.])\\s+([^,.]+)')} AS director,
+    CAST({FACT.format('\\b(19[0-9]{{2}}|20[0-9]{{2}})\\b').replace('{{', '{').replace('}}', '}')} AS INTEGER) AS release_year,
+    CAST(nullif(regexp_extract(t, '(?i)([0-9]{{2,3}})\\s*(?:min|minutes)', 1), '') AS INTEGER) AS runtime_minutes FROM d""")
+def p14_documents(spark, sf):
+    docs = T.table(spark, sf, "documents").where("text IS NOT NULL")
+    told = F.concat(F.trim(F.regexp_replace("text", r"\s+", " ")), F.lit(" Directed by "), "source", F.lit(", shown in "),
+                    (1950 + F.col("doc_id") % 60).cast("string"), F.lit("."))
+    return docs.select("doc_id", A.film_facts(told).alias("f")).select("doc_id", "f.director", "f.release_year", "f.runtime_minutes")
+
+
+@query("p12_languages_of_regions", """
+  SELECT s_suppkey, concat(upper(n_name[1]), lower(n_name[2:]), CASE WHEN s_suppkey % 2 = 0 THEN concat(', ', array_to_string(list_transform(string_split(r_name, ' '),
+    lambda w: upper(w[1]) || lower(w[2:])), ' ')) ELSE '' END) AS languages
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
+def p12_regions(spark, sf):
+    rows = T.table(spark, sf, "supplier").join(T.table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(
+        T.table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    info = F.concat("s_name", F.lit(", In "), "n_name", F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit(" and "), "r_name")).otherwise(
+        F.concat(F.lit(", in "), F.lower("n_name"))), F.lit(" with "), "r_name", F.lit(" subtitles"))
+    return rows.select("s_suppkey", A.languages(info, F.col("n_name")).alias("languages"))
+
+
 RAW_CREDIT = arms("event_key", "'It is directed by Agnes Varda with care'", "'As director Claire Denis shows'",
                   "'Here Chantal Akerman directs herself'", "'A film (dir. Maya Deren)'", "'directed by nobody'")
 

@@ -25,6 +25,14 @@ def a20(spark, sf):
     return Q.validate(rows)
 
 
+@query("a20_field_names", with_(SCREENING, LISTING) + """
+  SELECT ord, 'error' AS level, m AS message FROM (
+    SELECT ord, concat('field name not in snake case: ', unnest(['showUrl', 'End Date'])) AS m, unnest([url, end_date]) AS v FROM listing) WHERE v IS NOT NULL""")
+def a20_names(spark, sf):
+    rows = T.listing(spark, sf).withColumnsRenamed({"url": "showUrl", "end_date": "End Date"})
+    return Q.validate(rows).where(F.col("message").startswith("field name"))
+
+
 HEALTH = """
 health AS (
   SELECT venue, found, sampled, valid, valid / sampled AS rate, rate >= 0.5 AS healthy FROM (

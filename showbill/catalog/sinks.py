@@ -53,10 +53,10 @@ def k02(spark, sf):
 
 CALENDAR = f"""
 cal AS (
-  SELECT ord, {EID} AS event_id, title, type, rating, venue, url, date, CASE WHEN n = 5 THEN '' WHEN n = 6 THEN 'TBD' ELSE time END AS clock,
+  SELECT ord, event_key, {EID} AS event_id, title, type, rating, venue, url, date, CASE WHEN n = 5 THEN '' WHEN n = 6 THEN 'TBD' ELSE time END AS clock,
     CASE WHEN event_key % 2 = 0 THEN 'A hook; yes, this' ELSE '' END AS hook FROM screening),
 rows_ AS (
-  SELECT ord, concat(event_id, '-', date, '-', replace(clock, ':', ''), '@showbill.local') AS uid,
+  SELECT ord, event_key, event_id, concat(event_id, '-', date, '-', replace(clock, ':', ''), '@showbill.local') AS uid,
     CAST(CAST(concat(date, ' ', clock) AS TIMESTAMP) AT TIME ZONE 'America/Chicago' AT TIME ZONE 'UTC' AS TIMESTAMP) AS start_utc,
     concat(CASE WHEN rating IS NULL THEN '' ELSE concat('[', rating, '/10] ') END, title) AS summary,
     concat_ws(chr(10) || chr(10), CASE WHEN rating IS NOT NULL THEN concat('Rating: ', rating, '/10') END, nullif(hook, ''), concat('Details: ', url)) AS details,
@@ -81,11 +81,19 @@ def k03(spark, sf):
 
 
 @query("k03_top_picks_text", with_(SCREENING, CALENDAR) + """
-  SELECT uid, concat('BEGIN:VEVENT', chr(10), 'UID:', uid, chr(10), 'DTSTART:', strftime(start_utc, '%Y%m%dT%H%M%SZ'), chr(10), 'DTEND:', strftime(start_utc + INTERVAL 2 HOUR, '%Y%m%dT%H%M%SZ'),
-    chr(10), 'SUMMARY:', summary, chr(10), 'DESCRIPTION:', replace(replace(replace(details, ';', '\\;'), ',', '\\,'), chr(10), '\\n'), chr(10), 'LOCATION:', venue, chr(10), 'URL:', url, chr(10),
-    'CATEGORIES:', tags, chr(10), 'END:VEVENT') AS value FROM rows_ WHERE rating >= 7""")
+  , f AS (SELECT uid, unnest(['BEGIN:VEVENT', concat('UID:', uid), 'DTSTAMP:20240115T000000Z', strftime(start_utc, 'DTSTART:%Y%m%dT%H%M%SZ'), strftime(start_utc + INTERVAL 2 HOUR, 'DTEND:%Y%m%dT%H%M%SZ'),
+    concat('SUMMARY:', summary), concat('DESCRIPTION:', replace(replace(replace(details, ';', '\\;'), ',', '\\,'), chr(10), '\\n')), concat('LOCATION:', venue), concat('URL:', url),
+    concat('CATEGORIES:', tags), 'END:VEVENT']) AS line, generate_subscripts(range(11), 1) AS pos, ord FROM rows_ WHERE rating >= 7),
+  g AS (SELECT *, regexp_replace(regexp_replace(line, '(.{74})', '\\1' || chr(13) || chr(10) || ' ', 'g'), '\\r\\n $', '') AS cut FROM f)
+  SELECT uid, string_agg(cut, chr(13) || chr(10) ORDER BY pos) AS value FROM g GROUP BY uid, ord""")
 def k03_text(spark, sf):
-    return PB.calendar_text(PB.top_calendar(calendar(spark, sf))).select("uid", "value")
+    return PB.calendar_text(PB.top_calendar(calendar(spark, sf)), "20240115T000000Z").select("uid", "value")
+
+
+@query("k03_event_calendars", with_(SCREENING, CALENDAR) + """
+  SELECT event_id, event_key, count(*) AS entries FROM rows_ JOIN (SELECT event_id, min(event_key) AS event_key FROM rows_ GROUP BY event_id) USING (event_id, event_key) GROUP BY event_id, event_key""")
+def k03_events(spark, sf):
+    return PB.first_events(calendar(spark, sf)).groupBy("event_id", "event_key").agg(F.count("*").alias("entries"))
 
 
 @query("k03_person_calendars", with_(SCREENING, """

@@ -139,12 +139,17 @@ def s06(spark, sf):
 
 RAW_AUTHOR = f"""concat('<div class="h2 article">', venue, ': ', CASE WHEN n = 1 THEN 'The ' ELSE '' END, title, '</div><div class="subtitle">',
   CAST(month(d) AS STRING), '/', {DD}, '/', substring(date, 3, 2), ' ', {H12}, ':', {MIN}, ' ', lower({HALF}), '</div>',
-  '<div class="body-text article w-richtext"><p>About it</p></div>')"""
+  '<div class="body-text article w-richtext"><p>', CASE WHEN event_key % 3 = 0 THEN 'THE 5 TYPES OF WEALTH will teach you' WHEN event_key % 3 = 1
+    THEN concat('In her debut book, RED: A LIFE, ', title, ' at Austin Public Library') ELSE 'About it' END, '</p></div>',
+  CASE WHEN n % 2 = 0 THEN concat('<a href="', url, '?a=1&amp;b=2" class="button _3 tickets w-button">RSVP</a>') ELSE '<a class="button" href="/no">no</a>' END)"""
 
 
 @query("s06_author_events", with_(SCREENING) + f"""
   SELECT ord, concat(venue, ': ', CASE WHEN n = 1 THEN 'The ' ELSE '' END, title) AS title, venue AS author,
-    CASE WHEN n <> 1 THEN title END AS book, 'About it' AS description, concat('20', date[3:]) AS date, concat({H12}, ':', {MIN}, ' ', {HALF}) AS time FROM screening""")
+    CASE WHEN n <> 1 THEN title WHEN event_key % 3 = 0 THEN 'THE 5 TYPES OF WEALTH' WHEN event_key % 3 = 1 THEN 'RED: A LIFE' END AS book,
+    CASE WHEN event_key % 3 = 0 THEN 'THE 5 TYPES OF WEALTH will teach you' WHEN event_key % 3 = 1 THEN concat('In her debut book, RED: A LIFE, ', title, ' at Austin Public Library') ELSE 'About it' END AS description,
+    CASE WHEN n % 2 = 0 THEN concat(url, '?a=1&b=2') END AS rsvp_url, CASE WHEN event_key % 3 = 1 THEN 'Austin Public Library Central Branch' ELSE 'First Light Books' END AS venue,
+    concat('20', date[3:]) AS date, concat({H12}, ':', {MIN}, ' ', {HALF}) AS time FROM screening""")
 def s06_author(spark, sf):
     pages = T.screening(spark, sf).select("ord", F.expr(RAW_AUTHOR).alias("html"))
     return P.author_event(pages)

@@ -112,7 +112,8 @@ def merge_companions(event: DataFrame, screening: DataFrame, hint: DataFrame) ->
 
     ``hint`` has event_key, hint_title, hint_date. The film has a showing on the date and
     its title contains the hinted title; the first such film takes the companion (of
-    films with equal titles, the last one).
+    films with equal titles, the last one). A companion row carries the companion's own title,
+    venue, url, first time and description, absent ones as empty texts.
     """
     films = event.where(F.col("type").isin("movie", "screening")).select(
         F.col("event_key").alias("film_key"), F.lower("title").alias("film_title"))
@@ -127,7 +128,12 @@ def merge_companions(event: DataFrame, screening: DataFrame, hint: DataFrame) ->
         wanted.select("needle", "hint_date"), ["needle", "hint_date"], "left_semi").groupBy("needle", "hint_date").agg(
         F.min_by("film_key", "first_key").alias("film_key"))
     matched = wanted.join(best, ["needle", "hint_date"]).select("event_key", "film_key", "hint_title", "hint_date")
-    attached = matched.join(event.select("event_key", "title", "venue", "url"), "event_key")
+    own = ("title", "venue", "url", "description")
+    fields = event.select("event_key", *[
+        F.coalesce(F.col(c), F.lit("")).alias(c) if c in event.columns else F.lit("").alias(c) for c in own])
+    # only companions' showings are looked for their first time
+    times = first_row(screening.join(matched.select("event_key"), "event_key", "left_semi"), ["event_key"], ["time"])
+    attached = matched.join(fields, "event_key").join(times, "event_key", "left").withColumn("time", F.coalesce("time", F.lit("")))
     return attached, event.join(matched.select("event_key"), "event_key", "left_anti")
 
 
@@ -218,6 +224,24 @@ def refresh_regressions(old: DataFrame, new: DataFrame, protected: Sequence[str]
     return whole.unionByName(rows)
 
 
+def pair_score(a: Column, b: Column) -> Column:
+    """Likeness of two listings, given as structs with title, date and time.
+
+    1.0 for an equal title, date and time; where one title contains the other 0.9 on the same
+    date and time, 0.7 on the same date and else 0.4; 0.0 otherwise. Titles are compared
+    trimmed and lower-cased, blank ones are like nothing, and a null counts as empty.
+    """
+    def text(c: Column) -> Column:
+        return F.coalesce(c.cast("string"), F.lit(""))
+
+    x, y = F.lower(F.trim(text(a["title"]))), F.lower(F.trim(text(b["title"])))
+    day, hour = text(a["date"]) == text(b["date"]), text(a["time"]) == text(b["time"])
+    return (
+        F.when((x == "") | (y == "") | ~(F.contains(x, y) | F.contains(y, x)), 0.0)
+        .when((x == y) & day & hour, 1.0).when(day & hour, 0.9).when(day, 0.7).otherwise(0.4)
+    )
+
+
 def similarity(listing: DataFrame) -> DataFrame:
     """How closely listings resemble each other, per (title, date, time).
 

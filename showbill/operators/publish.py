@@ -88,12 +88,38 @@ def top_calendar(calendar: DataFrame, min_rating: int = TOP_PICK_RATING) -> Data
     return calendar.where(F.col("rating") >= min_rating)
 
 
-def calendar_text(calendar: DataFrame) -> DataFrame:
-    """The text block of every calendar entry."""
+def first_events(calendar: DataFrame, slug: str = "event_id") -> DataFrame:
+    """Calendar entries for a set per slug: of events with one slug the first that has an entry counts.
+
+    Needs event_key; an event none of whose showings is readable has no entries, so it has no
+    set and keeps no other event from its slug. Blank slugs are left out.
+    """
+    rows = calendar.where(F.coalesce(slug, F.lit("")) != "")
+    first = rows.groupBy(slug).agg(F.min("event_key").alias("event_key"))
+    return rows.join(first, [slug, "event_key"], "left_semi")
+
+
+def folded(line: Column) -> Column:
+    """A content line as lines of at most 75 octets, further ones after a blank.
+
+    Lines of single-octet characters are cut at 74 of them, others at 18 characters of up to
+    four octets, so no character is cut in two.
+    """
+    plain = F.octet_length(line) == F.length(line)
+    return F.when(plain, F.regexp_replace(line, r"(.{74})(?=.)", "$1\r\n ")).otherwise(F.regexp_replace(line, r"(.{18})(?=.)", "$1\r\n "))
+
+
+def calendar_text(calendar: DataFrame, stamp: str) -> DataFrame:
+    """The text block of every calendar entry; ``stamp`` (like 20240115T000000Z) is when it was made.
+
+    Lines end in CR LF and are folded. Two showings of one event at one time have one uid,
+    as the same showing in a calendar.
+    """
     utc = "yyyyMMdd'T'HHmmss'Z'"
     lines = [
         F.lit("BEGIN:VEVENT"),
         F.concat(F.lit("UID:"), "uid"),
+        F.lit(f"DTSTAMP:{stamp}"),
         F.concat(F.lit("DTSTART:"), F.date_format("start_utc", utc)),
         F.concat(F.lit("DTEND:"), F.date_format("end_utc", utc)),
         F.concat(F.lit("SUMMARY:"), split_escape(F.col("summary"))),
@@ -103,7 +129,7 @@ def calendar_text(calendar: DataFrame) -> DataFrame:
         F.concat(F.lit("CATEGORIES:"), "tags"),
         F.lit("END:VEVENT"),
     ]
-    return calendar.select("event_id", "uid", F.concat_ws("\n", *lines).alias("value"))
+    return calendar.select("event_id", "uid", F.concat_ws("\r\n", *[folded(line) for line in lines]).alias("value"))
 
 
 # --- feed ------------------------------------------------------------------------------

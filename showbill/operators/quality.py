@@ -84,7 +84,7 @@ def explode_messages(df: DataFrame, key: str, checks: Sequence[tuple[Column, Col
 
 def validate(df: DataFrame, key: str = "ord", required: Sequence[str] = ("title", "venue"),
              labels: Sequence[str] = CATEGORIES, free_times: bool = False) -> DataFrame:
-    """Problems of every listing: absent fields, date and time formats, lengths, category.
+    """Problems of every listing: absent fields, field names, date and time formats, lengths, category.
 
     Season files write times as they like: with ``free_times`` a time only has to be there.
     """
@@ -92,6 +92,7 @@ def validate(df: DataFrame, key: str = "ord", required: Sequence[str] = ("title"
     bad_date = F.get(F.filter("dates", lambda x: ~x.rlike(r"^\d{4}-\d{2}-\d{2}$")), F.lit(0))
     bad_time = F.get(F.filter("times", lambda x: ~x.rlike(r"\S" if free_times else r"^\d{2}:\d{2}$")), F.lit(0))
     checks = [(~nonblank(F.col(c)), F.lit(f"missing {c}")) for c in required]
+    checks += [(F.col(f"`{c}`").isNotNull(), F.lit(f"field name not in snake case: {c}")) for c in df.columns if c != c.lower() or " " in c]
     checks += [
         (n_dates <= 0, F.lit("no dates")),
         (n_times <= 0, F.lit("no times")),

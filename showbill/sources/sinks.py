@@ -7,7 +7,10 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from showbill.functions.text import split_escape
 from showbill.operators.grouping import keep_first
+from showbill.operators.publish import folded
+from showbill.values import ZONE
 
 
 def envelope_header(df: DataFrame, generated_at: str, site_url: str) -> DataFrame:
@@ -56,13 +59,19 @@ def read_document(spark: SparkSession, path: str, slug: str) -> DataFrame:
     return spark.read.parquet(path).where((F.col("shard") == shard) & (F.col("slug") == slug)).drop("shards", "shard")
 
 
-def write_calendar(blocks: DataFrame, path: str, name: str) -> None:
-    """Calendar blocks as text parts, and the opening and closing lines as parts of their own."""
+def write_calendar(blocks: DataFrame, path: str, name: str, description: str = "", product: str = "-//showbill//calendar//EN", zone: str = ZONE) -> None:
+    """Calendar blocks as text parts, and the opening and closing lines as parts of their own.
+
+    Lines end in CR LF. Times are in UTC, so a calendar needs no rules of a time zone; the
+    zone it is shown in is named in the head.
+    """
     spark = blocks.sparkSession
-    head = ["BEGIN:VCALENDAR", "VERSION:2.0", "CALSCALE:GREGORIAN", "METHOD:PUBLISH", f"X-WR-CALNAME:{name}"]
-    blocks.select("value").write.mode("overwrite").text(f"{path}/events")
-    spark.createDataFrame([("\n".join(head),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/head")
-    spark.createDataFrame([("END:VCALENDAR",)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/tail")
+    head = ["BEGIN:VCALENDAR", f"PRODID:{product}", "VERSION:2.0", "CALSCALE:GREGORIAN", "METHOD:PUBLISH", f"X-WR-CALNAME:{name}"]
+    head += [f"X-WR-CALDESC:{description}"] * bool(description) + [f"X-WR-TIMEZONE:{zone}"]
+    ends = spark.createDataFrame([(i, line) for i, line in enumerate(head)], "pos int, line string")
+    blocks.select("value").write.mode("overwrite").option("lineSep", "\r\n").text(f"{path}/events")
+    ends.coalesce(1).sortWithinPartitions("pos").select(folded(split_escape(F.col("line")))).write.mode("overwrite").option("lineSep", "\r\n").text(f"{path}/head")
+    spark.createDataFrame([("END:VCALENDAR",)], "value string").coalesce(1).write.mode("overwrite").option("lineSep", "\r\n").text(f"{path}/tail")
 
 
 def write_lines(df: DataFrame, path: str, *order: Column) -> None:

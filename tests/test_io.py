@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from showbill.operators import publish as PB
 from showbill.plans import refresh
 from showbill.sources import pages as P
 from showbill.sources import responses as RS
@@ -100,10 +101,23 @@ def test_documents_and_snapshots(spark, tmp_path):
 
 
 def test_calendar_files(spark, tmp_path):
-    blocks = spark.createDataFrame([("BEGIN:VEVENT\nUID:1\nEND:VEVENT",)], "value string")
-    SK.write_calendar(blocks, str(tmp_path / "cal"), "All")
-    lines = {r["value"] for r in spark.read.text([str(tmp_path / "cal" / p) for p in ("head", "events", "tail")]).collect()}
-    assert {"BEGIN:VCALENDAR", "X-WR-CALNAME:All", "UID:1", "END:VCALENDAR"} <= lines
+    title = "A long title, of many words; " * 5 + "é" * 60
+    rows = spark.createDataFrame([("e", "u1", title, "v", "", "Movie", "x\ny")], "event_id string, uid string, summary string, venue string, url string, tags string, details string")
+    at = F.lit("2024-01-15 20:00:00").cast("timestamp_ntz")
+    blocks = PB.calendar_text(rows.withColumns({"start_utc": at, "end_utc": at}), "20240101T000000Z")
+    SK.write_calendar(blocks, str(tmp_path / "cal"), "All; " + "c" * 90)
+    raw = b"".join(p.read_bytes() for d in ("head", "events", "tail") for p in sorted((tmp_path / "cal" / d).glob("part-*")))
+    lines = raw.split(b"\r\n")
+    assert lines.pop() == b"" and all(len(line) <= 75 and b"\n" not in line for line in lines)
+    whole = raw.decode().replace("\r\n ", "").split("\r\n")
+    assert whole[0] == "BEGIN:VCALENDAR" and whole[1].startswith("PRODID:") and whole[-2] == "END:VCALENDAR" and "X-WR-CALNAME:All\\; " + "c" * 90 in whole
+    assert "DTSTAMP:20240101T000000Z" in whole and "DTSTART:20240115T200000Z" in whole and "DESCRIPTION:x\\ny" in whole
+    assert "SUMMARY:" + title.replace(",", "\\,").replace(";", "\\;") in whole
+
+
+def test_one_calendar_per_slug(spark):
+    rows = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("a", 1, "z"), ("", 3, "n"), (None, 4, "n")], "event_id string, event_key long, uid string")
+    assert sorted(r["uid"] for r in PB.first_events(rows).collect()) == ["y", "z"]
 
 
 def test_text_lines_are_written_in_order(spark, tmp_path):

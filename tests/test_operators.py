@@ -118,13 +118,22 @@ def test_ratings_minus_one_null_and_zero_rank_apart(spark):
 def test_companion_goes_to_the_film(spark):
     event = spark.createDataFrame([(1, "LANCELOT DU LAC", "movie", "v", "u"), (2, "Paper Cuts - L", "other", "w", "u"), (3, "Other", "other", "w", "u")],
                                   "event_key long, title string, type string, venue string, url string")
-    shows = spark.createDataFrame([(1, "2026-05-01"), (2, "2026-05-01"), (3, "2026-05-01")], "event_key long, date string")
+    shows = spark.createDataFrame([(1, "2026-05-01", "1", "18:00"), (2, "2026-05-02", "3", "20:00"), (2, "2026-05-01", "2", "19:00"), (3, "2026-05-01", "4", "18:00")],
+                                  "event_key long, date string, ord string, time string")
     hint = spark.createDataFrame([(2, "Lancelot du Lac ", "2026-05-01"), (3, "Lancelot", "2026-05-02")], "event_key long, hint_title string, hint_date string")
     attached, rest = J.merge_companions(event, shows, hint)
-    assert [(r["event_key"], r["film_key"]) for r in attached.collect()] == [(2, 1)]
+    assert [(r["event_key"], r["film_key"], r["time"], r["description"], r["url"]) for r in attached.collect()] == [(2, 1, "19:00", "", "u")]
     assert sorted(r["event_key"] for r in rest.collect()) == [1, 3]
 
 
+def test_score_of_a_pair(spark):
+    cases = [("A", "d", "t", " a ", "d", "t", 1.0), ("A b", "d", "t", "b", "d", "t", 0.9), ("b", "d", "t", "a b", "d", "u", 0.7), ("A", "d", "t", "a", "e", "t", 0.4),
+             ("A", "d", "t", "c", "d", "t", 0.0), ("", "d", "t", "", "d", "t", 0.0), (None, "d", "t", "a", "d", "t", 0.0), ("a", None, "t", "a", None, "t", 1.0)]
+    rows = spark.createDataFrame(cases, "title string, date string, time string, t2 string, d2 string, h2 string, want double")
+    score = J.pair_score(F.struct("title", "date", "time"), F.struct(F.col("t2").alias("title"), F.col("d2").alias("date"), F.col("h2").alias("time")))
+    assert rows.where(score != F.col("want")).count() == 0 and rows.where(score.isNull()).count() == 0
+
+
 def test_overrides_first_rule_wins_on_both_paths(spark):
     event = spark.createDataFrame([(1, "Weekly Story Club", "V", "book_club"), (2, "Story", "W", "movie"), (3, "None", "V", "movie")],
                                   "event_key long, title string, venue string, type string")
