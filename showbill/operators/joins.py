@@ -252,10 +252,12 @@ def similarity(listing: DataFrame) -> DataFrame:
     looks up, or adds to, only the titles it contains.
     """
     rows = listing.select(F.lower(F.trim("title")).alias("title"), "date", "time").where(F.col("title") != "")
-    groups = rows.groupBy("title", "date", "time").agg(F.count("*").alias("n"))
-    titles = rows.select(F.col("title").alias("text")).distinct()
+    # all three tiers are read from these counts and from the title pairs, which are made once
+    ensure_checkpoint_dir(listing.sparkSession)
+    groups = rows.groupBy("title", "date", "time").agg(F.count("*").alias("n")).checkpoint()
+    titles = groups.select(F.col("title").alias("text")).distinct()
     pairs = containing(titles, titles.withColumnRenamed("text", "needle")).select(
-        F.col("text").alias("long"), F.col("needle").alias("short")).where("long <> short")
+        F.col("text").alias("long"), F.col("needle").alias("short")).where("long <> short").checkpoint()
 
     def partners(level: Sequence[str], name: str) -> DataFrame:
         totals = groups.groupBy("title", *level).agg(F.sum("n").alias("c"))

@@ -22,12 +22,15 @@ def group_listings(listing: DataFrame, fields: Sequence[str]) -> tuple[DataFrame
     keyed = listing.where(F.size("dates") > 0).withColumn("group_key", F.when(by_title, F.col("title")).otherwise(
         grouping.unique_key(F.col("title"), F.col("dates"), F.col("times"))))
     wanted = ["ord", *fields]
-    films = grouping.first_row(keyed.where(by_title), ["group_key"], wanted)
-    others = grouping.first_row(keyed.where(~by_title), ["group_key"], wanted, last=True)
-    events = films.unionByName(others)
-    shows = grouping.zip_dates_times(keyed).select("group_key", "ord", "type", "date", "time", "venue", "url")
-    kept = shows.join(others.select("group_key", "ord"), ["group_key", "ord"], "left_semi")
-    return events, shows.where(by_title).unionByName(kept)
+    # one pass gives first and last rows; the last listing of an event brings its showings along
+    of_event = ("dates", "times", "type", "venue", "url")
+    row = F.struct(*dict.fromkeys([*wanted, *of_event]))
+    kept = keyed.groupBy("group_key", by_title.alias("_film")).agg(
+        F.when(F.col("_film"), F.min_by(row, "ord")).otherwise(F.max_by(row, "ord")).alias("_row"))
+    events = kept.select("group_key", *[F.col(f"_row.{f}").alias(f) for f in wanted])
+    others = kept.where("not _film").select("group_key", *[F.col(f"_row.{f}").alias(f) for f in ("ord", *of_event)])
+    listed = keyed.where(by_title).select("group_key", "ord", *of_event).unionByName(others)
+    return events, grouping.zip_dates_times(listed).select("group_key", "ord", "type", "date", "time", "venue", "url")
 
 
 def published(listing: DataFrame, code_map: DataFrame, venue: DataFrame, fields: Sequence[str],
