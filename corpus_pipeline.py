@@ -10,6 +10,9 @@ from showbill.llm import bpe, decontaminate, fertility, line_spread, near_dedup
 from showbill.llm.common import documents, stored
 from showbill.llm.queries import quality_vocabulary, ranks
 
+#: Least similarity, in percent, of two documents of which the stage keeps one.
+NEAR_SIMILARITY = 85
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents within the bands of their language; the others go."""
@@ -25,7 +28,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group."""
-    return near_dedup.drop_near_duplicates(docs)
+    return near_dedup.drop_near_duplicates(docs, similarity=NEAR_SIMILARITY)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -12,24 +13,25 @@ from pyspark.sql import functions as F
 from showbill.llm.common import batch_of, id_or_least, id_or_null, raw_texts, stored, text_blocks
 from showbill.llm.words import mixed, shingle_sets
 
-#: 25 bands of 5 minima miss a pair of similarity 0.85 with a chance of 4e-7.
-BANDS, ROWS = 25, 5
-#: Links take 100 * intersection >= SIMILARITY * union.
+#: Minima of a signature at most.
+MINIMA = 125
+#: Links take 100 * intersection >= similarity * union; this is the default.
 SIMILARITY = 85
-#: Pairs whose signatures agree in less than this share are not read in full: 4.7 standard
-#: deviations below 0.85, a chance of about 1e-6.
-AGREE = 0.70
+#: Chance at most that no band holds a pair that is just similar enough.
+MISSED = 5e-7
+#: Pairs whose signatures agree in a share this many standard deviations below the similarity
+#: are not read in full, a chance of about 1e-6.
+DEVIATIONS = 4.7
 #: Members of a family, and their shingles, that are compared in one task; larger families are
 #: compared bucket by bucket, in blocks of about half that size.
 FAMILY, FAMILY_SHINGLES = 2048, 2_000_000
 
-_N = BANDS * ROWS
 _U = np.uint64
 _RNG = np.random.default_rng(51)
-_A = _RNG.integers(0, 2**64, _N, dtype=_U) | _U(1)
-_B = _RNG.integers(0, 2**64, _N, dtype=_U)
-_ROW = _RNG.integers(0, 2**64, ROWS, dtype=_U) | _U(1)
-_BAND = _RNG.integers(0, 2**64, BANDS, dtype=_U)
+_A = _RNG.integers(0, 2**64, MINIMA, dtype=_U) | _U(1)
+_B = _RNG.integers(0, 2**64, MINIMA, dtype=_U)
+_ROW = _RNG.integers(0, 2**64, MINIMA, dtype=_U) | _U(1)
+_BAND = _RNG.integers(0, 2**64, MINIMA, dtype=_U)
 
 _SIGNED = "doc_id long, n_shingles long, set_id binary, bands array<long>, signature binary"
 _SIGNED_ARROW = pa.schema([
@@ -37,34 +39,51 @@ _SIGNED_ARROW = pa.schema([
     ("bands", pa.list_(pa.int64())), ("signature", pa.binary())])
 
 
-def minima(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Least value of every universal hash a * x + b over each nonempty set, sets by hashes."""
+def banding(similarity: int) -> tuple[int, int, float]:
+    """(bands, minima of a band, least share of equal minima) for pairs of this similarity in percent.
+
+    The bands are as narrow as MINIMA allows while MISSED holds: 25 of 5 for 85, 28 of 4 for 80.
+    """
+    share = similarity / 100
+    for rows in range(MINIMA, 0, -1) if 0 < similarity < 100 else ():
+        bands = max(1, math.ceil(math.log(MISSED) / math.log1p(-share**rows)))
+        if bands * rows <= MINIMA:
+            return bands, rows, share - DEVIATIONS * math.sqrt(share * (1 - share) / (bands * rows))
+    raise ValueError(f"{MINIMA} minima do not find pairs of similarity {similarity}")
+
+
+def minima(values: np.ndarray, sizes: np.ndarray, n: int = MINIMA) -> np.ndarray:
+    """Least value of the first ``n`` universal hashes a * x + b over each nonempty set, sets by hashes."""
     starts = np.concatenate(([0], np.cumsum(sizes)))[:-1].astype(np.int64)
-    out, work = np.empty((len(sizes), _N), _U), np.empty_like(values)
-    for i in range(_N):
+    out, work = np.empty((len(sizes), n), _U), np.empty_like(values)
+    for i in range(n):
         np.multiply(values, _A[i], out=work)
         np.add(work, _B[i], out=work)
         out[:, i] = np.minimum.reduceat(work, starts)
     return out
 
 
-def _signed(batches):
-    for rows, texts in text_blocks(batches):
-        values, sizes = shingle_sets(texts)
-        full = np.flatnonzero(sizes)
-        bands, marks = [None] * len(texts), [None] * len(texts)
-        if len(full):
-            # sets stay in the processor's cache while all hashes pass over them
-            least = np.concatenate([
-                minima(values[a:b], sizes[c:d][sizes[c:d] > 0]) for a, b, c, d in _pieces(sizes)])
-            folded = mixed((least.reshape(-1, BANDS, ROWS) * _ROW).sum(axis=2, dtype=_U) + _BAND).view(np.int64)
-            short = mixed(least).astype(np.uint16)
-            for j, i in enumerate(full):
-                bands[i], marks[i] = folded[j], short[j].tobytes()
-        ends = np.cumsum(sizes)
-        names = [hashlib.blake2b(values[e - n:e].tobytes(), digest_size=16).digest() if n else None
-                 for e, n in zip(ends, sizes, strict=True)]
-        yield batch_of(_SIGNED_ARROW, [rows.column(0), sizes, names, bands, marks])
+def _signed(n_bands: int, n_rows: int):
+    def run(batches):
+        for rows, texts in text_blocks(batches):
+            values, sizes = shingle_sets(texts)
+            full = np.flatnonzero(sizes)
+            bands, marks = [None] * len(texts), [None] * len(texts)
+            if len(full):
+                # sets stay in the processor's cache while all hashes pass over them
+                least = np.concatenate([
+                    minima(values[a:b], sizes[c:d][sizes[c:d] > 0], n_bands * n_rows) for a, b, c, d in _pieces(sizes)])
+                folded = (least.reshape(-1, n_bands, n_rows) * _ROW[:n_rows]).sum(axis=2, dtype=_U)
+                folded = mixed(folded + _BAND[:n_bands]).view(np.int64)
+                short = mixed(least).astype(np.uint16)
+                for j, i in enumerate(full):
+                    bands[i], marks[i] = folded[j], short[j].tobytes()
+            ends = np.cumsum(sizes)
+            names = [hashlib.blake2b(values[e - n:e].tobytes(), digest_size=16).digest() if n else None
+                     for e, n in zip(ends, sizes, strict=True)]
+            yield batch_of(_SIGNED_ARROW, [rows.column(0), sizes, names, bands, marks])
+
+    return run
 
 
 def _pieces(sizes: np.ndarray, limit: int = 1 << 14):
@@ -78,45 +97,53 @@ def _pieces(sizes: np.ndarray, limit: int = 1 << 14):
         a, c = b, d
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """Per row: set size, id of the shingle set, band hashes and the shortened signature."""
-    return docs.select(id_or_least().alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_signed, _SIGNED)
+    bands, rows, _ = banding(similarity)
+    return docs.select(id_or_least().alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_signed(bands, rows), _SIGNED)
 
 
-def _agreeing(batches):
-    for batch in batches:
-        a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, _N) for i in (2, 3))
-        yield batch.filter(pa.array((a == b).mean(axis=1) >= AGREE)).select([0, 1])
+def _agreeing(n: int, least: float):
+    def run(batches):
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, n) for i in (2, 3))
+            yield batch.filter(pa.array((a == b).mean(axis=1) >= least)).select([0, 1])
 
+    return run
 
-def _linked(batches):
-    for batch in batches:
-        for first in range(0, batch.num_rows, 64):
-            rows = batch.slice(first, 64)
-            n = rows.num_rows
-            values, sizes = shingle_sets(raw_texts(rows.column(2)) + raw_texts(rows.column(3)))
-            ends = np.cumsum(sizes)
-            keep = []
-            for i in range(n):
-                x, y = (values[ends[k] - sizes[k]:ends[k]] for k in (i, n + i))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both > 0 and 100 * both >= SIMILARITY * (len(x) + len(y) - both))
-            yield rows.filter(pa.array(keep, pa.bool_())).select([0, 1])
+
+def _linked(similarity: int):
+    def run(batches):
+        for batch in batches:
+            for first in range(0, batch.num_rows, 64):
+                rows = batch.slice(first, 64)
+                n = rows.num_rows
+                values, sizes = shingle_sets(raw_texts(rows.column(2)) + raw_texts(rows.column(3)))
+                ends = np.cumsum(sizes)
+                keep = []
+                for i in range(n):
+                    x, y = (values[ends[k] - sizes[k]:ends[k]] for k in (i, n + i))
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    keep.append(both > 0 and 100 * both >= similarity * (len(x) + len(y) - both))
+                yield rows.filter(pa.array(keep, pa.bool_())).select([0, 1])
+
+    return run
 
 
-def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def confirm(pairs: DataFrame, docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """The (a, b) pairs whose full shingle sets are similar enough."""
     texts = docs.select(id_or_least().alias("id"), "text")
     both = (pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
             .join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b"))
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_linked, "a long, b long").distinct()
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(_linked(similarity), "a long, b long").distinct()
 
 
-def _similar_signatures(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _similar_signatures(pairs: DataFrame, classes: DataFrame, similarity: int) -> DataFrame:
     marks = classes.select("rep", "signature")
     both = (pairs.join(marks.select(F.col("rep").alias("a"), F.col("signature").alias("sa")), "a")
             .join(marks.select(F.col("rep").alias("b"), F.col("signature").alias("sb")), "b"))
-    return both.select("a", "b", "sa", "sb").mapInArrow(_agreeing, "a long, b long").distinct()
+    bands, rows, least = banding(similarity)
+    return both.select("a", "b", "sa", "sb").mapInArrow(_agreeing(bands * rows, least), "a long, b long").distinct()
 
 
 def common(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -146,13 +173,13 @@ def _steps(counts: np.ndarray) -> np.ndarray:
     return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-def _joined(rep, component, texts, side=None):
+def _joined(similarity, rep, component, texts, side=None):
     """One link for every two components of the members that have one (of different sides, where these are given)."""
     import pandas as pd
 
     values, sizes = shingle_sets([t.encode() for t in texts])
     both = common(values, sizes)
-    linked = np.triu((both > 0) & (100 * both >= SIMILARITY * (sizes[:, None] + sizes[None, :] - both)), 1)
+    linked = np.triu((both > 0) & (100 * both >= similarity * (sizes[:, None] + sizes[None, :] - both)), 1)
     linked &= component[:, None] != component[None, :]
     if side is not None:
         linked &= side[:, None] != side[None, :]
@@ -162,21 +189,21 @@ def _joined(rep, component, texts, side=None):
     return links.drop_duplicates(["c", "d"])[["a", "b"]]
 
 
-def _within(frame):
-    return _joined(*(frame[c].to_numpy() for c in ("rep", "component", "text")))
+def _within(similarity, frame):
+    return _joined(similarity, *(frame[c].to_numpy() for c in ("rep", "component", "text")))
 
 
-def _across(left, right):
+def _across(similarity, left, right):
     import pandas as pd
 
     if left.iloc[0]["i"] == left.iloc[0]["j"]:
-        return _within(left)
+        return _within(similarity, left)
     right.columns = left.columns
     both = pd.concat([left, right], ignore_index=True)
-    return _joined(*(both[c].to_numpy() for c in ("rep", "component", "text")), np.arange(len(both)) < len(left))
+    return _joined(similarity, *(both[c].to_numpy() for c in ("rep", "component", "text")), np.arange(len(both)) < len(left))
 
 
-def _open_links(buckets: DataFrame, classes: DataFrame, found: DataFrame, docs: DataFrame, family: int) -> DataFrame | None:
+def _open_links(buckets: DataFrame, classes: DataFrame, found: DataFrame, docs: DataFrame, family: int, similarity: int) -> DataFrame | None:
     """Links between members of a bucket that are not yet in one component; None if all buckets are settled.
 
     Open buckets that share members make a family, whose members are compared on their full
@@ -198,7 +225,7 @@ def _open_links(buckets: DataFrame, classes: DataFrame, found: DataFrame, docs:
     reps = stored(reps.join(sizes, "family"), "near-reps")
     texts = docs.select(id_or_least().alias("rep"), F.col("text").cast("string").alias("text"))
     links = reps.where("bounded").select("family", "rep", "component").join(texts, "rep").groupBy("family").applyInPandas(
-        _within, "a long, b long")
+        lambda frame: _within(similarity, frame), "a long, b long")
     large = reps.where("not bounded").select("rep", "n_shingles")
     if large.take(1):
         own = rows.join(large, "rep")
@@ -213,7 +240,7 @@ def _open_links(buckets: DataFrame, classes: DataFrame, found: DataFrame, docs:
         right = right.toDF(*[f"{c}_" for c in right.columns])
         met = left.groupBy("bucket", "i", "j").cogroup(right.groupBy("bucket_", "i_", "j_"))
         links = links.unionByName(met.applyInPandas(
-            lambda a, b: _across(a, b) if len(a) and len(b) else a.head(0).rename(columns={"rep": "a", "component": "b"})[["a", "b"]],
+            lambda a, b: _across(similarity, a, b) if len(a) and len(b) else a.head(0).rename(columns={"rep": "a", "component": "b"})[["a", "b"]],
             "a long, b long"))
     return links.distinct()
 
@@ -252,8 +279,8 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def near_duplicates(docs: DataFrame, family: int = FAMILY) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept.
+def near_duplicates(docs: DataFrame, family: int = FAMILY, similarity: int = SIMILARITY) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, kept; ``similarity`` is the least of a link, in percent.
 
     Documents of one shingle set form a class that is treated as one. Classes that share a
     band are linked to the least of their bucket where the signatures and then the full sets
@@ -264,7 +291,7 @@ def near_duplicates(docs: DataFrame, family: int = FAMILY) -> DataFrame:
     one component anyway, and classes whose smallest doc_id is the same are one vertex. An
     empty table gives no rows; other columns than doc_id and text are not read.
     """
-    signed = stored(signatures(docs), "near-signed")
+    signed = stored(signatures(docs, similarity), "near-signed")
     full = signed.where("n_shingles > 0")
     classes = stored(full.groupBy("set_id").agg(
         F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("bands").alias("bands"),
@@ -273,9 +300,9 @@ def near_duplicates(docs: DataFrame, family: int = FAMILY) -> DataFrame:
     shared = banded.groupBy("bucket").agg(F.min("rep").alias("center"), F.max("rep").alias("last")).where("center < last")
     buckets = stored(banded.join(shared, "bucket").select("bucket", "rep", "center"), "near-buckets")
     pairs = buckets.where("rep != center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
-    links = stored(confirm(_similar_signatures(pairs, classes), docs), "near-links")
+    links = stored(confirm(_similar_signatures(pairs, classes, similarity), docs, similarity), "near-links")
     found = stored(components(links, "near-first"), "near-first")
-    more = _open_links(buckets.select("bucket", "rep"), classes, found, docs, family)
+    more = _open_links(buckets.select("bucket", "rep"), classes, found, docs, family, similarity)
     if more is not None:
         found = stored(components(stored(links.unionByName(more), "near-links"), "near-all"), "near-all")
     names = classes.select("set_id", "rep").join(found, F.col("rep") == F.col("node"), "left").select(
@@ -287,7 +314,7 @@ def near_duplicates(docs: DataFrame, family: int = FAMILY) -> DataFrame:
         (F.col("doc_id") == component).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, family: int = FAMILY) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, family: int = FAMILY, similarity: int = SIMILARITY) -> DataFrame:
     """The documents that stand for their group, each once, with all their columns."""
-    kept = near_duplicates(docs, family).where("kept").select(id_or_least().alias("_kept")).distinct()
+    kept = near_duplicates(docs, family, similarity).where("kept").select(id_or_least().alias("_kept")).distinct()
     return docs.join(kept, id_or_least() == F.col("_kept"), "left_semi").dropDuplicates(["doc_id", "text"])

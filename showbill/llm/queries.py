@@ -19,6 +19,8 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 LEAST_PAGE = 2000
 #: In production the key is a secret of the session.
 PSEUDONYM_KEY = "corpus pseudonyms"
+#: Percent of the union that two documents share at least where the query links them.
+LINKED = 85
 
 
 def quality_vocabulary() -> str:
@@ -58,7 +60,7 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(documents(spark, sf_dir))
+    return near_dedup.near_duplicates(documents(spark, sf_dir), similarity=LINKED)
 
 
 def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:

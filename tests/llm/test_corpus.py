@@ -116,6 +116,40 @@ def test_near_duplicates(docs, rows, family):
     assert got == want
 
 
+@pytest.mark.parametrize("similarity,family", [(80, 2048), (80, 4), (60, 2048)])
+def test_near_duplicates_of_other_similarity(spark, similarity, family):
+    """Pairs between 0.80 and 0.85 are linked if asked for, against brute force."""
+    rng = random.Random(31)
+    rows, between = [], 0
+    for i in range(0, 120, 2):
+        words = syllables(rng, 120).split()
+        rows.append((i, " ".join(words)))
+        for _ in range(rng.randint(1, 5)):
+            words[rng.randrange(len(words))] = "changed" + str(rng.random())
+        rows.append((i + 1, " ".join(words)))
+    sets = [shingle_set(t) for _, t in rows]
+    want = {}
+    for x, a in enumerate(sets):
+        similar = [y for y in range(x) if 100 * len(a & sets[y]) >= similarity * len(a | sets[y])]
+        between += any(100 * len(a & sets[y]) < 85 * len(a | sets[y]) for y in similar)
+        want[x] = min(similar, default=x)
+    assert between >= 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, family, similarity).collect()} == want
+    kept = {r.doc_id for r in near_dedup.drop_near_duplicates(docs, family, similarity).collect()}
+    assert kept == {x for x, y in want.items() if x == y}
+
+
+def test_banding():
+    assert near_dedup.banding(85)[:2] == (25, 5) and near_dedup.banding(80)[:2] == (28, 4)
+    for similarity in range(40, 100):
+        bands, rows, agree = near_dedup.banding(similarity)
+        assert bands * rows <= near_dedup.MINIMA and (1 - (similarity / 100) ** rows) ** bands <= near_dedup.MISSED and agree < similarity / 100
+    for similarity in (0, 2, 100):
+        with pytest.raises(ValueError):
+            near_dedup.banding(similarity)
+
+
 def test_buckets_that_stay_open(spark):
     """A chain of texts in which the least of a bucket is not similar to all others."""
     rng = random.Random(3)
