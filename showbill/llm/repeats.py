@@ -22,6 +22,11 @@ from showbill.llm.words import mixed, powers, span_hashes
 from showbill.llm.words import _BACK, _BASE, _BYTE
 
 LENGTH, GRAM = 100, 32
+#: Low bits of a gram's key that hold its position.
+POSITION_BITS = 24
+#: Text bytes whose runs are cut together; longer texts go in pieces of this size, so that
+#: working arrays do not grow with a text and positions keep within their bits.
+PIECE_BYTES = 1 << 20
 #: Text bytes whose runs meet in one bucket; buckets are as many as the corpus needs.
 BUCKET_BYTES = 16 << 20
 #: Different runs of one anchor that one task compares; anchors with more are settled by
@@ -44,18 +49,21 @@ def anchored(data: np.ndarray, first: np.ndarray, last: np.ndarray, length: int
     none = np.zeros(0, np.int64)
     if grams < window:
         return none, none, none, none
+    if grams > 1 << POSITION_BITS:
+        raise ValueError(f"{grams} grams do not fit {POSITION_BITS} bits of position")
+    position = _U((1 << POSITION_BITS) - 1)
     total = np.zeros(len(data) + 1, _U)
     np.cumsum(_BYTE[data] * powers(_BASE, len(data)), out=total[1:])
     hashes = mixed((total[gram:] - total[:grams]) * powers(_BACK, grams))
     # least by the high bits, leftmost among equals by the position in the low ones
-    key = (hashes & ~_U((1 << 24) - 1)) | np.arange(grams, dtype=_U)
+    key = (hashes & ~position) | np.arange(grams, dtype=_U)
     padded = np.full(-(-grams // window) * window, ~_U(0), _U)
     padded[:grams] = key
     square = padded.reshape(-1, window)
     left = np.minimum.accumulate(square, axis=1).ravel()
     right = np.minimum.accumulate(square[:, ::-1], axis=1)[:, ::-1].ravel()
     n = grams - window + 1
-    anchor = (np.minimum(right[:n], left[window - 1:window - 1 + n]) & _U((1 << 24) - 1)).astype(np.int64)
+    anchor = (np.minimum(right[:n], left[window - 1:window - 1 + n]) & position).astype(np.int64)
     long_ = np.flatnonzero(last - first >= length)
     sizes = (last - first - length + 1)[long_]
     starts = np.repeat(first[long_], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -67,48 +75,58 @@ def anchored(data: np.ndarray, first: np.ndarray, last: np.ndarray, length: int
     return hashes[anchor[cut]].view(np.int64), starts[cut], counts, owner[cut]
 
 
-def _pieces(rows, texts, length, size=4 << 20):
-    """(rows, offsets, texts) with texts of over ``size`` bytes cut into pieces that overlap."""
-    ids, offsets, out = [], [], []
+def _pieces(texts, length, size):
+    """(text index, offset, piece): texts of over ``size`` bytes are cut into pieces that overlap."""
     for i, text in enumerate(texts):
         for at in range(0, max(1, len(text) - length + 1), size):
-            ids.append(i)
-            offsets.append(at)
-            out.append(text if len(text) <= size else text[at:at + size + length - 1])
-    return np.array(ids, np.int64), np.array(offsets, np.int64), out
+            yield i, at, text if len(text) <= size else text[at:at + size + length - 1]
 
 
-def _runs(buckets: int, length: int):
+def _groups(pieces, size):
+    """The pieces as (text indexes, offsets, pieces) of up to ``size`` bytes, one piece at least."""
+    held, total = [], 0
+    for piece in pieces:
+        if held and total + len(piece[2]) > size:
+            yield zip(*held, strict=True)
+            held, total = [], 0
+        held.append(piece)
+        total += len(piece[2])
+    if held:
+        yield zip(*held, strict=True)
+
+
+def _runs(buckets: int, length: int, piece_bytes: int = PIECE_BYTES):
     schema = pa.schema([("bucket", pa.int64()), ("runs", pa.binary()), ("copies", pa.binary())])
 
     def run(batches):
         for rows, texts in text_blocks(batches):
-            row, offsets, pieces = _pieces(rows, texts, length)
-            ids, hashes = (rows.column(i).to_numpy(zero_copy_only=False)[row] for i in (0, 2))
-            data = np.frombuffer(b"".join(pieces), np.uint8)
-            last = np.cumsum([len(p) for p in pieces])
-            first = last - [len(p) for p in pieces]
-            h, starts, counts, owner = anchored(data, first, last, length)
-            if not len(h):
-                continue
-            out = np.empty(len(h), _RUN)
-            out["h"], out["f"] = h, span_hashes(data, starts, starts + counts + length - 1).view(np.int64)
-            out["doc"], out["t"], out["s"], out["n"] = ids[owner], hashes[owner], starts - first[owner] + offsets[owner], counts
-            copies, out = _copies(out)
-            to = (out["h"].view(_U) % _U(buckets)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            to, out = to[order], out[order]
-            cuts = np.concatenate(([0], np.flatnonzero(np.diff(to)) + 1, [len(to)]))
-            names = [int(to[a]) for a in cuts[:-1]]
-            blobs = [out[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            if len(copies):  # settled already: they may go anywhere
-                places = np.empty(len(copies), _PLACE)
-                for c in _PLACE.names:
-                    places[c] = copies[c]
-                names, blobs = [*names, names[int(ids[0]) % len(names)]], [*blobs, b""]
-                yield batch_of(schema, [names, blobs, [b""] * (len(names) - 1) + [places.tobytes()]])
-            else:
-                yield batch_of(schema, [names, blobs, [b""] * len(names)])
+            for row, offsets, pieces in _groups(_pieces(texts, length, piece_bytes), piece_bytes):
+                row, offsets = np.array(row, np.int64), np.array(offsets, np.int64)
+                ids, hashes = (rows.column(i).to_numpy(zero_copy_only=False)[row] for i in (0, 2))
+                data = np.frombuffer(b"".join(pieces), np.uint8)
+                last = np.cumsum([len(p) for p in pieces])
+                first = last - [len(p) for p in pieces]
+                h, starts, counts, owner = anchored(data, first, last, length)
+                if not len(h):
+                    continue
+                out = np.empty(len(h), _RUN)
+                out["h"], out["f"] = h, span_hashes(data, starts, starts + counts + length - 1).view(np.int64)
+                out["doc"], out["t"], out["s"], out["n"] = ids[owner], hashes[owner], starts - first[owner] + offsets[owner], counts
+                copies, out = _copies(out)
+                to = (out["h"].view(_U) % _U(buckets)).astype(np.int64)
+                order = np.argsort(to, kind="stable")
+                to, out = to[order], out[order]
+                cuts = np.concatenate(([0], np.flatnonzero(np.diff(to)) + 1, [len(to)]))
+                names = [int(to[a]) for a in cuts[:-1]]
+                blobs = [out[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                if len(copies):  # settled already: they may go anywhere
+                    places = np.empty(len(copies), _PLACE)
+                    for c in _PLACE.names:
+                        places[c] = copies[c]
+                    names, blobs = [*names, names[int(ids[0]) % len(names)]], [*blobs, b""]
+                    yield batch_of(schema, [names, blobs, [b""] * (len(names) - 1) + [places.tobytes()]])
+                else:
+                    yield batch_of(schema, [names, blobs, [b""] * len(names)])
 
     return run
 
@@ -272,7 +290,8 @@ def _removed(length: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, group_runs: int = GROUP_RUNS) -> DataFrame:
+def remove_repeats(
+        docs: DataFrame, length: int = LENGTH, group_runs: int = GROUP_RUNS, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """One row per input row: doc_id, n_bytes, spans (removed byte ranges, disjoint and maximal), kept (the other bytes).
 
     A byte goes if a string of ``length`` bytes over it also starts at a smaller doc_id, or
@@ -288,7 +307,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, group_runs: int = GROU
     key = ["doc_id", "t"]
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, math.ceil(total / BUCKET_BYTES))
-    runs = docs.mapInArrow(_runs(buckets, length), "bucket long, runs binary, copies binary")
+    runs = docs.mapInArrow(_runs(buckets, length, piece_bytes), "bucket long, runs binary, copies binary")
     settled = stored(runs.groupBy("bucket").applyInPandas(_settled, "doc_id long, t int, s long, n int, h long"), "repeats-runs")
     different = settled.where("h is not null")
     texts = different.groupBy(*key).agg(F.collect_list(F.struct("h", "s", "n", F.lit(length - 1).alias("more"))).alias("runs"))

@@ -88,6 +88,33 @@ def test_repeats(docs, rows, length, group_runs):
     assert got == want
 
 
+def test_repeats_of_small_pieces(docs):
+    """Texts that are cut into many pieces give what whole ones do."""
+    found = [Counter((r.doc_id, tuple((s.start, s.end) for s in r.spans), bytes(r.kept))
+                     for r in repeats.remove_repeats(docs, piece_bytes=size).collect()) for size in (1 << 30, 1000)]
+    assert found[0] == found[1] and any(spans for _, spans, _ in found[0])
+
+
+def test_repeats_beyond_the_position_bits(spark):
+    """A text with more bytes than positions have numbers, with a passage on both sides of the bound."""
+    rng = random.Random(37)
+    far = 1 << repeats.POSITION_BITS
+    passage = "<" + rng.randbytes(300).hex() + ">"
+    text = rng.randbytes(1000).hex() + passage + rng.randbytes(far // 2 + 1000).hex() + passage + rng.randbytes(1000).hex()
+    end = len(text) - 2000
+    docs = spark.createDataFrame([(1, text), (2, rng.randbytes(100).hex() + passage)], "doc_id long, text string")
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in repeats.remove_repeats(docs).collect()}
+    assert got == {1: [(end - len(passage), end)], 2: [(200, 200 + len(passage))]}
+
+
+def test_too_many_positions():
+    import numpy as np
+
+    n = (1 << repeats.POSITION_BITS) + 100
+    with pytest.raises(ValueError):
+        repeats.anchored(np.zeros(n, np.uint8), np.array([0]), np.array([n]))
+
+
 def shingle_set(text):
     words = WORD.findall(lowered(raw(text)))
     return frozenset(tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
