@@ -17,7 +17,8 @@ from showbill.llm.words import _WORD, mixed, span_hashes, words
 #: and above, and the least distance that counts as one. Only few tokens of many kinds, or
 #: many bytes, speak against a text, so these have one fence.
 FENCES = {"chars": (3.0, 4.0, 0.02), "bytes": (None, 4.0, 0.02), "entropy": (2.0, None, 0.05)}
-#: Languages (and length classes) with fewer documents have no band and reject nothing.
+#: Length classes with fewer documents are judged with their neighbours, small languages with
+#: their script and small scripts with all documents.
 LEAST_DOCS = 50
 #: Steps of the histograms from which the quartiles are read.
 STEPS = 1000
@@ -153,44 +154,89 @@ def _values():
     }
 
 
-def _group():
-    """A band's group: the language, or the script where it has no language, and the number of tokens in powers of two."""
-    return F.concat_ws(
-        " ", F.coalesce("_lang", F.concat(F.lit("script "), F.col("script"))), F.floor(F.log2(F.col("n_tokens").cast("double"))).cast("string"))
+def _language():
+    """The language, or the script of a document that has none."""
+    return F.coalesce("_lang", F.concat(F.lit("script "), F.col("script")))
+
+
+def _length():
+    """The length class: the number of tokens in powers of two."""
+    return F.floor(F.log2(F.col("n_tokens").cast("double"))).cast("int")
+
+
+def _levels():
+    """The groups a document can be judged in, from the finest: language, script, all documents."""
+    keys = (F.col("language"), F.col("script"), F.lit(""))
+    return F.explode(F.array(*[F.struct(F.lit(i).alias("level"), k.alias("key")) for i, k in enumerate(keys)])).alias("l")
 
 
 def base_failed():
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
+def _sources(counts: DataFrame, least_docs: int) -> tuple[DataFrame, DataFrame]:
+    """(language, script, length -> the level, key and length it is judged at, the lengths whose documents count there).
+
+    A level serves if its documents of the nearest length classes come to ``least_docs``; no
+    class farther away than needed counts. All documents together always serve.
+    """
+    held = counts.where("measure = 'chars'")
+    sizes = stored(held.select(_levels(), "length", "n").groupBy("l.level", "l.key", "length").agg(F.sum("n").alias("n")), "quality-sizes")
+    near = sizes.select("level", "key", "length").join(sizes.select("level", "key", F.col("length").alias("source"), "n"), ["level", "key"])
+    near = near.withColumn("far", F.abs(F.col("source") - F.col("length")))
+    own = Window.partitionBy("level", "key", "length")
+    within = F.sum("n").over(own.orderBy("far").rangeBetween(Window.unboundedPreceding, 0))
+    reach = F.min(F.when(F.col("within") >= least_docs, F.col("far"))).over(own)
+    near = near.withColumn("within", within).withColumn("reach", reach).withColumn(
+        "reach", F.when(F.col("level") == 2, F.coalesce("reach", F.max("far").over(own))).otherwise(F.col("reach")))
+    near = stored(near.where("far <= reach").select("level", "key", "length", "source"), "quality-near")
+    kinds = held.select("language", "script", "length").distinct()
+    served = kinds.select("language", "script", "length", _levels()).select("language", "script", "length", "l.*").join(
+        near.select("level", "key", "length").distinct(), ["level", "key", "length"])
+    first = served.groupBy("language", "script", "length").agg(F.min(F.struct("level", "key")).alias("at"))
+    return stored(first.select("language", "script", "length", "at.level", "at.key"), "quality-served"), near
+
+
 def bands(rows: DataFrame, fences: dict = FENCES, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """(group, low and high of each measure) from the quartiles over all documents that pass the base rules.
+    """(language, script, length; low and high of each measure) from the quartiles over documents that pass the base rules.
 
-    The quartiles come from counted grid values, which add up over any number of tasks.
+    Every language, script and length class that occurs has a band: its own, or that of the
+    finest group of ``least_docs`` it belongs to. The quartiles come from counted grid values,
+    which add up over any number of tasks.
     """
-    values = F.array(*[F.struct(F.lit(k).alias("measure"), _group().alias("group"), v.alias("value")) for k, v in _values().items()])
-    counts = rows.where(~base_failed()).select(F.explode(values).alias("v")).select("v.*").where("value is not null").groupBy(
-        "measure", "group", "value").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("measure", "group")
+    values = F.array(*[F.struct(F.lit(k).alias("measure"), v.alias("value")) for k, v in _values().items()])
+    counts = rows.where(~base_failed()).select(
+        _language().alias("language"), "script", _length().alias("length"), F.explode(values).alias("v")).select(
+        "language", "script", "length", "v.*").where("value is not null").groupBy(
+        "measure", "language", "script", "length", "value").agg(F.count("*").alias("n"))
+    counts = stored(counts, "quality-counts")
+    served, near = _sources(counts, least_docs)
+    group = ["level", "key", "length"]
+    wanted = near.join(served.select(*group).distinct(), group)
+    counts = counts.select("measure", F.col("length").alias("source"), "value", "n", _levels()).select("measure", "source", "value", "n", "l.*")
+    counts = counts.join(wanted, ["level", "key", "source"]).groupBy("measure", *group, "value").agg(F.sum("n").alias("n"))
+    w = Window.partitionBy("measure", *group)
     ranked = counts.select("*", F.sum("n").over(w.orderBy("value")).alias("below"), F.sum("n").over(w).alias("all"))
 
     def quartile(q):
         return F.min(F.when(F.col("below") >= q * F.col("all"), F.col("value")))
 
-    edges = ranked.groupBy("measure", "group").agg(
-        quartile(0.25).alias("q1"), quartile(0.75).alias("q3"), F.max("all").alias("all")).where(F.col("all") >= least_docs)
+    edges = ranked.groupBy("measure", *group).agg(quartile(0.25).alias("q1"), quartile(0.75).alias("q3"))
     limits = []
     for name, (below, above, least) in fences.items():
         reach = F.greatest(F.col("q3") - F.col("q1"), F.lit(least * STEPS))
         own = F.col("measure") == name
         limits += [F.max(F.when(own, F.lit(None).cast("double") if k is None else F.col(q) + sign * k * reach)).alias(f"_{edge}_{name}")
                    for edge, q, sign, k in (("low", "q1", -1, below), ("high", "q3", 1, above))]
-    return edges.groupBy(F.col("group").alias("_group")).agg(*limits)
+    edges = edges.groupBy(*group).agg(*limits)
+    return served.join(edges, group).drop("level", "key").select(
+        F.col("language").alias("_language"), F.col("script").alias("_script"), F.col("length").alias("_length"), *edges.columns[3:])
 
 
 def judged(rows: DataFrame, limits: DataFrame) -> DataFrame:
-    """``rows`` with base_failed and kept; the limits have a row per language and length class."""
-    out = rows.withColumn("base_failed", base_failed()).join(limits, _group() == F.col("_group"), "left")
+    """``rows`` with base_failed and kept; the limits have a row per language, script and length class."""
+    out = rows.withColumn("base_failed", base_failed()).join(
+        limits, (_language() == F.col("_language")) & (F.col("script") == F.col("_script")) & (_length() == F.col("_length")), "left")
     passed = ~F.col("base_failed")
     for name, value in _values().items():
         passed = passed & F.coalesce(value >= F.col(f"_low_{name}"), F.lit(True)) & F.coalesce(value <= F.col(f"_high_{name}"), F.lit(True))
@@ -211,7 +257,9 @@ def quality(docs: DataFrame, vocabulary: str, *kept: str, fences: dict | None =
     base_failed: fewer than 50 words, or over half of the words in repeated three-word
     windows. Others are kept if characters per token, byte-fallback share and token entropy
     lie within the fences of the documents of like length in their language (script where
-    lang is null); a group of fewer than LEAST_DOCS has no fences. Null and empty texts have
+    lang is null). Where these are fewer than LEAST_DOCS, the nearest length classes join them,
+    then the documents of the script and at last all documents count, so that every document
+    is judged at every table size. Null and empty texts have
     no words and fail. Repeated rows are judged alike; an empty table gives no rows. Columns
     pass through unchanged if asked for by ``kept``, but for those with a measure's name.
     """

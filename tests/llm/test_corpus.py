@@ -249,6 +249,33 @@ def test_fertility_bands(spark):
     assert kept == set(range(300))
 
 
+def test_fertility_judges_small_groups(spark):
+    """Odd documents of rare lengths and languages, and of tiny tables, meet the band of a coarser group."""
+    rng = random.Random(41)
+    good = [(i, syllables(rng, 200), "en") for i in range(100)]
+    good += [(200 + i, syllables(rng, 200 * 2**k), "en") for i, k in enumerate((1, 1, 2, 3, 5))]
+    good += [(300, syllables(rng, 200), "xx"), (301, syllables(rng, 200), None)]
+    junk = [(1000 + i, " ".join(w + "***" for w in syllables(rng, n).split()), lang)
+            for i, (n, lang) in enumerate([(140, "en"), (1500, "en"), (9000, "en"), (140, "xx"), (140, None), (3000, "yy")])]
+    junk += [(2000, " ".join("日本語漢字"[k % 5] * 3 for k in rng.choices(range(50), k=200)), "ja")]
+    frame = [spark.createDataFrame(r, "doc_id long, text string, lang string") for r in (good + junk, good[:20] + junk[:1])]
+    kept = [{r.doc_id for r in fertility.drop_low_quality(f, Q.quality_vocabulary()).collect()} for f in frame]
+    assert kept == [{i for i, *_ in good}, set(range(20))]
+
+
+def test_fertility_bands_of_large_groups_are_their_own(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(400).select(
+        F.lit(100).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_repeat_words"), F.lit("Latin").alias("script"),
+        F.lit(0).cast("long").alias("n_byte_tokens"), F.when(F.col("id") < 390, "en").otherwise("xx").alias("_lang"),
+        F.when(F.col("id") < 200, 100).when(F.col("id") < 385, 200).otherwise(1000).cast("long").alias("n_tokens"),
+        F.lit(5.0).alias("entropy")).withColumn("word_chars", F.col("n_tokens") * F.when(F.col("n_tokens") == 100, 2).otherwise(4))
+    got = {(r._language, r._length): (r._low_chars, r._high_chars) for r in fertility.bands(rows).collect()}
+    # two characters a token at length 6, four at 7; 9 joins 7, and xx is judged with its script
+    assert got == {("en", 6): (1940, 2080), ("en", 7): (3940, 4080), ("en", 9): (3940, 4080), ("xx", 9): (3940, 4080)}
+
+
 @pytest.mark.parametrize("chunk,overlap", [(1 << 15, 1 << 10), (300, 100), (40, 15)])
 def test_bpe(docs, rows, chunk, overlap):
     codec = {"ranks": Q.ranks(), "pattern": public_tokenizers.PATTERN}
