@@ -25,9 +25,15 @@ PATTERNS = {
     "dot_date": r"(?<![\w.])\d{1,2}\.\d{1,2}\.\d{4}(?!\w|\.\d)",
     "ssn": r"(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-])",
     "phone": r"(?<!\w)(?:\+1[ .-]?)?(?:\([2-9]\d{2}\) ?|(?<!\()[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]\d{4}(?![\w-])",
-    "card": r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])",
 }
+#: Groups of digits joined by single blanks or hyphens, of 13 digits at least, up to where
+#: another kind of value begins; cards are looked for within such a stretch.
+_GROUP = r"\d++(?!\w|-(?!\d))"
+PATTERNS["card"] = rf"(?<![\w-])(?=\d(?:[ -]?\d){{12}}){_GROUP}(?:[ -](?!{'|'.join(PATTERNS.values())}){_GROUP})*+"
 _ANY = "|".join(PATTERNS.values())
+#: Digits of a card, and the usual lengths of its groups.
+CARD_DIGITS = (13, 19)
+CARD_GROUPS = ("4,4,4,4", "4,6,5", "4,6,4", "4,4,4,4,3")
 #: First day and number of days of the dates that are permuted: a whole Gregorian cycle of
 #: 400 years, which is 189 * 773 days.
 FIRST_DAY, DAYS_A, DAYS_B = "1800-01-01", 189, 773
@@ -142,6 +148,63 @@ def card(value: Column, key: str) -> Column:
     return _bound(_only_digits(value), change)
 
 
+def _cards(stretch: Column, key: str) -> Column:
+    """struct(text, new) of a stretch of digit groups: its text with the cards replaced, and their pseudonyms.
+
+    A card is a run of whole groups of 13 to 19 digits with a right check digit, wherever it
+    stands in the stretch. Runs in the usual groups, or of one group, go before others, which
+    do not reach into them; then the one that begins first counts, then the longest.
+    """
+    groups = F.regexp_extract_all(stretch, F.lit("([0-9]+)"), F.lit(1))
+
+    def run(at, i, n):
+        return F.array_join(F.slice(at, i + 1, n), "")
+
+    def fits(digits):
+        return F.length(digits).between(*CARD_DIGITS) & (_luhn_sum(digits, 0) % 10 == 0)
+
+    def usual(at, i):
+        sizes = lambda n: F.array_join(F.transform(F.slice(at, i + 1, n), lambda g: F.length(g).cast("string")), ",")
+        out = F.lit(0)
+        for form in sorted(CARD_GROUPS, key=len):
+            n = form.count(",") + 1
+            out = F.when((sizes(F.lit(n)) == form) & fits(run(at, i, F.lit(n))), n).otherwise(out)
+        return F.when(F.length(at[i]).between(*CARD_DIGITS) & fits(at[i]), 1).otherwise(out)
+
+    def loose(at, first, i):
+        """The most groups from the i-th on that are a card and do not reach into a usual one."""
+        most = F.least(F.lit(CARD_DIGITS[1]), F.size(at) - i)
+        free = F.filter(F.sequence(F.lit(1), most), lambda n: F.length(run(at, i, n)).between(*CARD_DIGITS) & ~F.exists(
+            F.slice(first, i + 1, n), lambda m: m > 0))
+        return F.coalesce(F.array_max(F.filter(free, lambda n: fits(run(at, i, n)))), F.lit(0))
+
+    def scanned(s):
+        at, first = s["at"], s["first"]
+        signs = F.concat(F.array(F.lit("")), F.regexp_extract_all(stretch, F.lit("([^0-9])"), F.lit(1)))
+
+        def step(done, i):
+            n = F.when(first[i] > 0, first[i]).otherwise(loose(at, first, i))
+
+            def form(n):
+                return F.array_join(F.transform(F.sequence(F.lit(1), n), lambda k: F.concat(
+                    F.when(k == 1, F.lit("")).otherwise(signs[i + k - 1]), at[i + k - 1])), "")
+
+            found = _bound(n, lambda n: F.when(n > 0, F.struct(n.alias("n"), card(form(n), key).alias("new"))))
+            found = F.when(done["free"] <= i, found)
+            return _bound(found, lambda c: F.struct(
+                F.when(done["free"] > i, done["text"]).otherwise(F.concat(done["text"], signs[i], F.coalesce(c["new"], at[i]))).alias("text"),
+                F.when(c.isNotNull(), F.concat(done["new"], F.array(c["new"]))).otherwise(done["new"]).alias("new"),
+                F.when(c.isNotNull(), i + c["n"]).otherwise(done["free"]).alias("free")))
+
+        start = F.struct(F.lit("").alias("text"), F.array().cast("array<string>").alias("new"), F.lit(0).alias("free"))
+        end = F.aggregate(F.sequence(F.lit(0), F.size(at) - 1), start, step)
+        return _bound(end, lambda e: F.struct(e["text"].alias("text"), e["new"].alias("new")))
+
+    with_usual = _bound(groups, lambda at: F.struct(
+        at.alias("at"), F.transform(F.sequence(F.lit(0), F.size(at) - 1), lambda i: usual(at, i)).alias("first")))
+    return _bound(with_usual, scanned)
+
+
 def _split_number(value: Column, b: int, key: str, tweak: str, a: int) -> Column:
     """A number below a * b permuted."""
     pair = feistel(_div(value, b), F.pmod(value, F.lit(b)), F.lit(a).cast("bigint"), F.lit(b).cast("bigint"), key, F.lit(tweak))
@@ -211,25 +274,35 @@ def email(value: Column, key: str) -> Column:
 
 
 def pseudonym(value: Column, key: str) -> Column:
-    """struct(kind, new) of a match; new is null where the value is not valid."""
+    """struct(text, found) of a match: its text with what is valid replaced, and the kind and pseudonym of each."""
     change = {
         "email": email(value, key), "ip": ip(value, key), "iso_date": date(value, "ymd", "-", key), "us_date": date(value, "mdy", "/", key),
-        "dot_date": date(value, "dmy", ".", key), "ssn": ssn(value, key), "phone": phone(value, key), "card": card(value, key)}
+        "dot_date": date(value, "dmy", ".", key), "ssn": ssn(value, key), "phone": phone(value, key)}
     shape = {
         "email": value.contains("@"), "ip": value.rlike(r"^\d+\.\d+\.\d+\.\d+$"), "iso_date": value.rlike(r"^\d{4}-\d{2}-\d{2}$"),
-        "us_date": value.contains("/"), "dot_date": value.rlike(r"^\d{1,2}\.\d{1,2}\.\d{4}$"), "ssn": value.rlike(r"^\d{3}-\d{2}-\d{4}$"),
-        "phone": value.rlike(r"^(\+1[ .-]?)?\(?\d{3}\)?[ .-]?\d{3}[ .-]\d{4}$"), "card": F.lit(True)}
-    kind, new = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for name in reversed(PATTERNS):
+        "us_date": value.contains("/"), "dot_date": value.rlike(r"^\d{1,2}\.\d{1,2}\.\d{4}$"), "ssn": value.rlike(f"^{PATTERNS['ssn']}$"),
+        "phone": value.rlike(f"^(?:{PATTERNS['phone']})$")}
+    kind, new = F.lit("card"), F.lit(None).cast("string")
+    for name in reversed(change):
         kind, new = F.when(shape[name], name).otherwise(kind), F.when(shape[name], change[name]).otherwise(new)
-    return F.struct(kind.alias("kind"), new.alias("new"))
+    none = F.array().cast("array<struct<kind:string,new:string>>")
+
+    def single(p):
+        return F.struct(F.coalesce(p["new"], value).alias("text"), F.when(p["new"].isNotNull(), F.array(p)).otherwise(none).alias("found"))
+
+    def several(c):
+        return F.struct(c["text"].alias("text"), F.transform(c["new"], lambda v: F.struct(F.lit("card").alias("kind"), v.alias("new"))).alias("found"))
+
+    return _bound(F.struct(kind.alias("kind"), new.alias("new")), lambda p: F.when(
+        p["kind"] == "card", _bound(_cards(value, key), several)).otherwise(single(p)))
 
 
 def pseudonymize(docs: DataFrame, key: str) -> DataFrame:
     """All rows and columns of ``docs`` with the values in ``text`` replaced, plus ``found``: the kind and pseudonym of each.
 
     Values are mail addresses, IPv4 addresses, dates (yyyy-mm-dd, m/d/yyyy, d.m.yyyy), social
-    security and North American phone numbers and payment cards. Only valid ones change:
+    security and North American phone numbers and payment cards, the last also beside other
+    digits: any run of whole digit groups with a right check digit counts. Only valid ones change:
     real days of 1800-2199, a right check digit, ranges in use. A value becomes another of
     its kind and form, one to one under the key; dates agree over all notations. A null text
     stays null with nothing found, an empty text stays empty. Repeated rows fare alike, ids
@@ -242,8 +315,8 @@ def pseudonymize(docs: DataFrame, key: str) -> DataFrame:
     rows = docs.select(*columns, matches.alias("_matches"))
     rows = rows.withColumn("_new", F.transform("_matches", lambda v: pseudonym(v, key)))
     pieces = F.zip_with(
-        F.split(text, _ANY, -1), F.zip_with("_matches", "_new", lambda v, p: F.coalesce(p["new"], v)),
+        F.split(text, _ANY, -1), F.transform("_new", lambda p: p["text"]),
         lambda piece, value: F.concat(piece, F.coalesce(value, F.lit(""))))
     changed = F.when(F.size("_matches") > 0, F.array_join(pieces, "")).otherwise(text)
-    found = F.filter(F.coalesce("_new", F.array().cast("array<struct<kind:string,new:string>>")), lambda p: p["new"].isNotNull())
+    found = F.coalesce(F.flatten(F.transform("_new", lambda p: p["found"])), F.array().cast("array<struct<kind:string,new:string>>"))
     return rows.select(*[changed.alias("text") if c == "text" else F.col(c) for c in columns], found.alias("found"))

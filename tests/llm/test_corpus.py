@@ -438,6 +438,29 @@ def test_pseudonyms(spark):
     assert [r.text for r in got[202]] == ["\n".join(new[v] for v in values)] * 2
 
 
+def test_cards_beside_other_numbers(spark):
+    cards = ["4111111111111111", "4111 1111 1111 1111", "4111-1111-1111-1111", "3782 822463 10005", "378282246310005", "41111 11111 111111"]
+    forms = ["{} 12/27", "{} 123", "2 {}", "7-{}", "{}-123 x", "1234 5678 {}", "12 34 {} 56 78 90", "{} 2024-02-29", "{} 415-555-0199", "x {} 12ab", "{}, {}"]
+    rows = [(i * 100 + k, f.replace("{}", c)) for i, c in enumerate(cards) for k, f in enumerate(forms)]
+    other = ["12345 415-555-0199", "123 456 789 000 111 415-555-0199", "4111 1111 1111 1112", "4111111111111111x", "x4111111111111111", "1 " * 3000, "1234567890" * 500]
+    rows += [(5000 + i, t) for i, t in enumerate(other)]
+    got = {r.doc_id: r for r in pseudonyms.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    for i, c in enumerate(cards[:5]):
+        alone = got[i * 100 + 10].found[0].new
+        assert alone != c and alone[0] == c[0] and luhn(re.sub("[ -]", "", alone)) and re.sub(r"\d", "9", alone) == re.sub(r"\d", "9", c)
+        for k, f in enumerate(forms):
+            r = got[i * 100 + k]
+            assert c not in r.text and alone in [x.new for x in r.found if x.kind == "card"], (f, c, r)
+            if k not in (7, 8):
+                assert r.text == f.replace("{}", alone), (f, c, r)
+            else:
+                assert [x.kind for x in r.found] == ["card", ["iso_date", "phone"][k - 7]]
+    for k, f in enumerate(forms):
+        assert cards[5] not in got[500 + k].text, f
+    assert [[x.kind for x in got[5000 + i].found] for i in range(5)] == [["phone"], ["phone"], [], [], []]
+    assert len(got[5005].text) == 6000 and got[5006].text == other[6]
+
+
 def test_pseudonyms_are_one_to_one(spark):
     from pyspark.sql import functions as F
 
