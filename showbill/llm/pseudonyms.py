@@ -24,7 +24,8 @@ PATTERNS = {
     "us_date": r"(?<![\w/])\d{1,2}/\d{1,2}/\d{4}(?![\w/])",
     "dot_date": r"(?<![\w.])\d{1,2}\.\d{1,2}\.\d{4}(?!\w|\.\d)",
     "ssn": r"(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-])",
-    "phone": r"(?<!\w)(?:\+1[ .-]?)?(?:\([2-9]\d{2}\) ?|(?<!\()[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]\d{4}(?![\w-])",
+    # written out in full, +1 (ddd) ddd-dddd, any ten digits are a number
+    "phone": r"(?<!\w)(?:\+1[ .-]?\(\d{3}\) ?\d{3}[ .-]\d{4}|(?:\+1[ .-]?)?(?:\([2-9]\d{2}\) ?|(?<!\()[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]\d{4})(?![\w-])",
 }
 #: Groups of digits joined by single blanks or hyphens, of 13 digits at least, up to where
 #: another kind of value begins; cards are looked for within such a stretch.
@@ -212,17 +213,24 @@ def _split_number(value: Column, b: int, key: str, tweak: str, a: int) -> Column
 
 
 def phone(value: Column, key: str) -> Column:
-    """Area code and exchange stay in 200-999; a country code stays."""
+    """Area code and exchange stay in 200-999, or not both in it, as they were; a country code stays."""
     def change(d):
-        index = ((F.substring(d, 1, 3).cast("bigint") - 200) * 800 + F.substring(d, 4, 3).cast("bigint") - 200) * 10000 + F.substring(d, 7, 4).cast("bigint")
+        area, exchange, line = (F.substring(d, *at).cast("bigint") for at in ((1, 3), (4, 3), (7, 4)))
+        index = ((area - 200) * 800 + exchange - 200) * 10000 + line
         new = _split_number(index, 80000, key, "phone", 80000)
-        return _bound(new, lambda v: F.concat(
+        used = _bound(new, lambda v: F.concat(
             (_div(v, 8_000_000) + 200).cast("string"), (F.pmod(_div(v, 10_000), F.lit(800)) + 200).cast("string"),
             F.lpad(F.pmod(v, F.lit(10_000)).cast("string"), 4, "0")))
+        # the other numbers: 2 * 10^9 by area code 000-199, then 1.6 * 10^9 by exchange 000-199
+        low = F.lit(2_000_000_000).cast("bigint")
+        rest = F.when(area < 200, (area * 1000 + exchange) * 10000 + line).otherwise(low + ((area - 200) * 200 + exchange) * 10000 + line)
+        unused = _bound(_split_number(rest, 60000, key, "phone, other", 60000), lambda v: F.lpad(F.when(v < low, v).otherwise(
+            _div(v - low, 2_000_000) * 10_000_000 + 2_000_000_000 + F.pmod(v - low, F.lit(2_000_000))).cast("string"), 10, "0"))
+        return F.when((area >= 200) & (exchange >= 200), used).otherwise(unused)
 
     digits = _only_digits(value)
     ten = F.substring(digits, -10, 10)
-    return _bound(change(ten), lambda d: _refilled(value, F.concat(F.substring(digits, F.lit(1), F.length(digits) - 10), d)))
+    return _bound(_bound(ten, change), lambda d: _refilled(value, F.concat(F.substring(digits, F.lit(1), F.length(digits) - 10), d)))
 
 
 def ssn(value: Column, key: str) -> Column:
@@ -303,7 +311,8 @@ def pseudonymize(docs: DataFrame, key: str) -> DataFrame:
     Values are mail addresses, IPv4 addresses, dates (yyyy-mm-dd, m/d/yyyy, d.m.yyyy), social
     security and North American phone numbers and payment cards, the last also beside other
     digits: any run of whole digit groups with a right check digit counts. Only valid ones change:
-    real days of 1800-2199, a right check digit, ranges in use. A value becomes another of
+    real days of 1800-2199, a right check digit, ranges in use (a phone number written out as
+    +1 (ddd) ddd-dddd may have any digits). A value becomes another of
     its kind and form, one to one under the key; dates agree over all notations. A null text
     stays null with nothing found, an empty text stays empty. Repeated rows fare alike, ids
     are not read, and an empty table gives no rows. A column named found is replaced.

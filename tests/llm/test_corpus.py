@@ -461,6 +461,27 @@ def test_cards_beside_other_numbers(spark):
     assert len(got[5005].text) == 6000 and got[5006].text == other[6]
 
 
+def test_phone_numbers_of_any_area(spark):
+    from pyspark.sql import functions as F
+
+    values = ["+1 (017) 555-7713", "+1 (117) 055-7713", "+1 (417) 155-7713", "+1(000) 000-0000", "+1 (415) 555-0199"]
+    rows = [(i, f"call {v}, or {v}.") for i, v in enumerate(values)] + [(10, "call (017) 555-7713 or 415-155-0199")]
+    got = {r.doc_id: r for r in pseudonyms.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    for i, v in enumerate(values):
+        new = got[i].found[0].new
+        area, exchange = re.search(r"\((...)\) (...)", new).groups()
+        assert new != v and re.sub(r"\d", "9", new) == re.sub(r"\d", "9", v) and got[i].text == f"call {new}, or {new}."
+        assert (min(area, exchange) >= "200") == (i == 4)
+    assert got[10].text == rows[-1][1] and got[10].found == []
+    # 10,000 numbers at each edge of the class go to as many others of it
+    edges = [0, 1_999_990_000, 2_000_000_000, 2_001_990_000, 9_990_000_000, 9_991_990_000]
+    numbers = spark.range(60_000).select((F.element_at(F.array(*[F.lit(e) for e in edges]), (F.floor(F.col("id") / 10_000) + 1).cast("int"))
+                                          + F.col("id") % 10_000).cast("long").alias("n")).select(F.lpad(F.col("n").cast("string"), 10, "0").alias("d"))
+    out = numbers.select(pseudonyms.phone(F.concat(F.lit("+1 "), "d"), "k").alias("p"))
+    assert out.distinct().count() == 60_000
+    assert out.where("p not rlike '^[+]1 ([01][0-9]{9}|[2-9][0-9]{2}[01][0-9]{6})$'").count() == 0
+
+
 def test_pseudonyms_are_one_to_one(spark):
     from pyspark.sql import functions as F
 
