@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from showbill.llm import (
-    bpe, decontaminate, fertility, licenses, line_spread, near_dedup, pseudonyms, repeats, toxicity, url_cascade,
+    bpe, decontaminate, divergence, fertility, licenses, line_spread, near_dedup, pseudonyms, repeats, toxicity, url_cascade,
 )
 from showbill.llm.common import documents
 
@@ -89,6 +89,10 @@ def op10_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
 def _pipeline(run, spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(spark, sf_dir)
 
@@ -139,7 +143,33 @@ SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(gone AS INTEGER)) AS BIGINT) A
   sha256(coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id
 """
 
-SQL = {"op5_near_dedup": SQL_OP5, "op7_url_cascade": SQL_OP7, "op10_line_spread": SQL_OP10}
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SHARE = "1 + 1000000000 * ({n} + 5) // ({total} + 5 * v)"
+SQL_OP13 = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all({_LOWERED}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms FROM documents
+), t AS (SELECT r, lang, source, unnest(terms) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t GROUP BY ALL),
+k AS (SELECT lang, term, count(*) AS lang_n FROM t GROUP BY ALL HAVING count(DISTINCT r) >= {divergence.LEAST_DOCS}),
+l AS (SELECT lang, count(*) AS v, CAST(sum(lang_n) AS BIGINT) AS lang_total FROM k GROUP BY lang),
+g AS (SELECT lang, source, coalesce(v, 0) AS v, coalesce(lang_total, 0) AS lang_total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN l USING (lang)),
+s AS (SELECT lang, source, CAST(sum(n) AS BIGINT) AS total FROM c JOIN k USING (lang, term) GROUP BY ALL),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n, {_SHARE.format(n="coalesce(n, 0)", total="coalesce(total, 0)")} AS own,
+    {_SHARE.format(n="lang_n", total="lang_total")} AS whole
+  FROM g JOIN k USING (lang) LEFT JOIN c ON (c.lang, c.source, c.term) = (g.lang, g.source, k.term) LEFT JOIN s ON (s.lang, s.source) = (g.lang, g.source)
+), f AS (
+  SELECT x.lang, x.source, 'pair' AS part, y.source AS item, CAST(coalesce(sum(abs(a.own - b.own)), 0) AS BIGINT) AS value
+  FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source
+  LEFT JOIN p a ON (a.lang, a.source) = (x.lang, x.source) LEFT JOIN p b ON (b.lang, b.source, b.term) = (y.lang, y.source, a.term) GROUP BY ALL
+  UNION ALL SELECT lang, source, 'term', term, own - whole FROM p WHERE n > 0 AND own > whole
+)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM f
+QUALIFY part = 'pair' OR rank <= {divergence.TOP_TERMS}
+"""
+
+SQL = {"op13_divergence": SQL_OP13, "op5_near_dedup": SQL_OP5, "op7_url_cascade": SQL_OP7, "op10_line_spread": SQL_OP10}
 
 
 def load() -> dict:
@@ -147,7 +177,7 @@ def load() -> dict:
     import corpus_pipeline
 
     names = (op1_decontaminate, op2_repeats, op3_toxicity, op4_licenses, op5_near_dedup, op6_pseudonyms, op7_url_cascade,
-             op8_fertility, op9_bpe, op10_line_spread)
+             op8_fertility, op9_bpe, op10_line_spread, op13_divergence)
     out = {f.__name__: (f, SQL.get(f.__name__)) for f in names}
     out["pipeline"] = (partial(_pipeline, corpus_pipeline.run), corpus_pipeline.ORACLE_SQL)
     return out
