@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from showbill.llm import (
-    bpe, decontaminate, divergence, fertility, licenses, line_spread, near_dedup, pseudonyms, repeats, toxicity, url_cascade,
+    bpe, decontaminate, divergence, fertility, licenses, line_spread, near_dedup, pseudonyms, repeats, spelling, toxicity, url_cascade,
 )
 from showbill.llm.common import documents
 
@@ -89,6 +89,10 @@ def op10_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(documents(spark, sf_dir))
 
@@ -144,6 +148,38 @@ SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(gone AS INTEGER)) AS BIGINT) A
 """
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _checksums(polynomial: int = 0xEDB88320) -> list[int]:
+    """The table of the reflected cyclic check sum of 32 bits."""
+    table = list(range(256))
+    for _ in range(8):
+        table = [(x >> 1) ^ (polynomial if x & 1 else 0) for x in table]
+    return table
+
+
+# code points U+00C0 to U+00FF have two bytes, the first of them 195
+_BYTES = "flatten(list_transform(string_split(doc_id || ':' || run, ''), lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)] ELSE [195, ord(c) - 64] END))"
+SQL_OP11 = f"""
+WITH RECURSIVE t AS (SELECT {_checksums()} AS crc),
+r AS (SELECT doc_id, unnest(regexp_extract_all({_LOWERED}, '[a-zÀ-ÿ]+')) AS run FROM documents),
+d AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc_id, run, count(*) AS n FROM r GROUP BY ALL),
+h AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295, list_transform({_BYTES}, lambda b: CAST(b AS BIGINT))),
+  lambda x, b: xor(x >> 8, crc[(xor(x, b) & 255) + 1])), 4294967295) AS h FROM d, t),
+m AS (SELECT CASE WHEN h % 97 = 0 THEN run[1:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, n FROM h),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM m WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+x AS (SELECT word, n, i, word[1:i - 1] || word[i + 1:] AS less FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+e AS (
+  SELECT a.word, b.word AS other, b.n FROM x a JOIN x b ON a.i = b.i AND a.less = b.less AND a.word <> b.word
+  UNION SELECT x.word, w.word, w.n FROM x JOIN w ON x.less = w.word
+  UNION SELECT w.word, x.word, x.n FROM x JOIN w ON x.less = w.word
+), b AS (SELECT word, count(*) AS n_near, min(struct_pack(least := -n, other := other)) AS best FROM e GROUP BY word),
+f AS (SELECT word, CASE WHEN -best.least >= 2 * n THEN best.other END AS form, n, coalesce(n_near, 0) AS n_near,
+  CASE WHEN -best.least >= 2 * n THEN -best.least END AS form_n FROM w LEFT JOIN b USING (word)),
+s AS (SELECT word, word AS root, form AS next FROM f UNION ALL SELECT s.word, f.word, f.form FROM s JOIN f ON f.word = s.next)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN (SELECT word, root FROM s WHERE next IS NULL) USING (word)
+"""
+
 _SHARE = "1 + 1000000000 * ({n} + 5) // ({total} + 5 * v)"
 SQL_OP13 = f"""
 WITH d AS (
@@ -169,7 +205,7 @@ SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value
 QUALIFY part = 'pair' OR rank <= {divergence.TOP_TERMS}
 """
 
-SQL = {"op13_divergence": SQL_OP13, "op5_near_dedup": SQL_OP5, "op7_url_cascade": SQL_OP7, "op10_line_spread": SQL_OP10}
+SQL = {"op11_spelling": SQL_OP11, "op13_divergence": SQL_OP13, "op5_near_dedup": SQL_OP5, "op7_url_cascade": SQL_OP7, "op10_line_spread": SQL_OP10}
 
 
 def load() -> dict:
@@ -177,7 +213,7 @@ def load() -> dict:
     import corpus_pipeline
 
     names = (op1_decontaminate, op2_repeats, op3_toxicity, op4_licenses, op5_near_dedup, op6_pseudonyms, op7_url_cascade,
-             op8_fertility, op9_bpe, op10_line_spread, op13_divergence)
+             op8_fertility, op9_bpe, op10_line_spread, op11_spelling, op13_divergence)
     out = {f.__name__: (f, SQL.get(f.__name__)) for f in names}
     out["pipeline"] = (partial(_pipeline, corpus_pipeline.run), corpus_pipeline.ORACLE_SQL)
     return out
