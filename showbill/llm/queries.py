@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from showbill.llm import (
-    bpe, decontaminate, divergence, fertility, licenses, line_spread, near_dedup, pseudonyms, repeats, spelling, toxicity, url_cascade,
+    bpe, decontaminate, divergence, fertility, jaccard_join, licenses, line_spread, near_dedup, pseudonyms, repeats, spelling, toxicity,
+    url_cascade,
 )
 from showbill.llm.common import documents
 
@@ -93,6 +94,10 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(documents(spark, sf_dir))
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(documents(spark, sf_dir))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(documents(spark, sf_dir))
 
@@ -122,6 +127,8 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = compon
 FROM documents d JOIN c ON c.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 """
 
+SQL_OP12 = SQL_OP5.replace(">= 85 *", f">= {jaccard_join.SIMILARITY} *").replace("component_id, d.doc_id = component_id AS kept", "component_id")
+
 _RULES = " ".join(
     f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{{{i}}}'"
     for i, (h, p, _) in sorted(enumerate(url_cascade.RULES), key=lambda r: -len(r[1][0]) - len(r[1][1])))
@@ -205,7 +212,7 @@ SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value
 QUALIFY part = 'pair' OR rank <= {divergence.TOP_TERMS}
 """
 
-SQL = {"op11_spelling": SQL_OP11, "op13_divergence": SQL_OP13, "op5_near_dedup": SQL_OP5, "op7_url_cascade": SQL_OP7, "op10_line_spread": SQL_OP10}
+SQL = {"op11_spelling": SQL_OP11, "op12_jaccard_join": SQL_OP12, "op13_divergence": SQL_OP13, "op5_near_dedup": SQL_OP5, "op7_url_cascade": SQL_OP7, "op10_line_spread": SQL_OP10}
 
 
 def load() -> dict:
@@ -213,7 +220,7 @@ def load() -> dict:
     import corpus_pipeline
 
     names = (op1_decontaminate, op2_repeats, op3_toxicity, op4_licenses, op5_near_dedup, op6_pseudonyms, op7_url_cascade,
-             op8_fertility, op9_bpe, op10_line_spread, op11_spelling, op13_divergence)
+             op8_fertility, op9_bpe, op10_line_spread, op11_spelling, op12_jaccard_join, op13_divergence)
     out = {f.__name__: (f, SQL.get(f.__name__)) for f in names}
     out["pipeline"] = (partial(_pipeline, corpus_pipeline.run), corpus_pipeline.ORACLE_SQL)
     return out
