@@ -36,9 +36,11 @@ MOST_COMMON = 20_000
 #: Entries of a task's summary of common features.
 SUMMARY = 16_384
 #: Bins of a set's profile. The profiles of two sets differ by no more than the sets do.
-BINS = 64
+BINS = 256
 #: Members, and strays, of a bucket that are compared in one step.
 MEMBERS, STRAYS = 4096, 1024
+#: Pairs that a task remembers, so that it hands on each once for all the buckets that have it.
+REMEMBERED = 200_000
 #: Bytes of a long text that are read at a time.
 PIECE_BYTES = 1 << 20
 
@@ -88,8 +90,8 @@ def _digests(values: np.ndarray, sizes: np.ndarray) -> list[bytes | None]:
 def _profiled(batches):
     for rows, values, sizes in _sets(batches):
         owner = np.repeat(np.arange(len(sizes)), sizes)
-        bins = np.bincount(owner * BINS + (values >> _U(64 - 6)).astype(np.int64), minlength=len(sizes) * BINS).reshape(-1, BINS)
-        bins = np.minimum(bins, 65535).astype(np.uint16)
+        bins = np.bincount(owner * BINS + (values >> _U(64 - 8)).astype(np.int64), minlength=len(sizes) * BINS).reshape(-1, BINS)
+        bins = np.minimum(bins, 255).astype(np.uint8)
         yield batch_of(_SETS, [rows.column(0), sizes, _digests(values, sizes), [b.tobytes() if n else None for b, n in zip(bins, sizes, strict=True)]])
 
 
@@ -204,13 +206,13 @@ def _shared_buckets(batches):
 
 
 def _profiles(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, BINS).astype(np.int32)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)
 
 
 def _possible(similarity, n_a, n_b, profile_a, profile_b):
     """Whether sizes and profiles let two sets be similar enough."""
     alike = 100 * np.minimum(n_a, n_b) >= similarity * np.maximum(n_a, n_b)
-    return alike & ((100 + similarity) * np.abs(profile_a - profile_b).sum(axis=-1) <= (100 - similarity) * (n_a + n_b))
+    return alike & ((100 + similarity) * np.abs(profile_a - profile_b).sum(axis=-1, dtype=np.int64) <= (100 - similarity) * (n_a + n_b))
 
 
 def _plausible(similarity):
@@ -233,7 +235,15 @@ def _met(similarity):
                 yield min(rep[i], rep[j]), max(rep[i], rep[j])
 
     def run(batches):
-        key, held = None, []
+        key, held, seen = None, [], set()
+
+        def handed_on(out):
+            out = set(out) - seen
+            if len(seen) + len(out) > REMEMBERED:
+                seen.clear()
+            seen.update(out)
+            return batch_of(_PAIRS, list(zip(*out, strict=True)) if out else [[], []])
+
         for batch in batches:
             keys = np.stack([np.asarray(batch.column(i)) for i in (0, 1, 2)], 1)
             columns = [np.asarray(batch.column(i)) for i in (3, 4, 5)] + [_profiles(batch.column(6)), batch.column(7).to_numpy(zero_copy_only=False)]
@@ -245,9 +255,8 @@ def _met(similarity):
                     held = []
                 key = tuple(keys[a])
                 held.append([c[a:b] for c in columns])
-            yield batch_of(_PAIRS, list(zip(*set(out), strict=True)) if out else [[], []])
-        out = set(compared(held)) if held else ()
-        yield batch_of(_PAIRS, list(zip(*out, strict=True)) if out else [[], []])
+            yield handed_on(out)
+        yield handed_on(compared(held) if held else ())
 
     return run
 
@@ -292,13 +301,15 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similarity: in
 def _open_pairs(buckets: DataFrame, classes: DataFrame, found: DataFrame, similarity: int) -> DataFrame:
     """Pairs of a bucket that are in two components: each set outside the largest component next to all of the bucket.
 
-    A bucket is compared in steps of bounded size; only pairs that sizes and profiles leave come out.
+    Buckets of the same sets are compared once, in steps of bounded size; only pairs that sizes and profiles leave come out.
     """
     of = found.select(F.col("node").alias("rep"), "component")
     members = buckets.join(of, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    by_part = members.groupBy("sig", "component").agg(F.count("*").alias("n"))
-    shape = by_part.groupBy("sig").agg(F.sum("n").alias("members"), F.max(F.struct("n", "component")).alias("main")).where(
+    by_part = members.groupBy("sig", "component").agg(F.count("*").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("mark"))
+    shape = by_part.groupBy("sig").agg(
+        F.sum("n").alias("members"), F.sum("mark").alias("mark"), F.max(F.struct("n", "component")).alias("main")).where(
         (F.col("members") > 2) & (F.col("members") > F.col("main.n")))
+    shape = shape.groupBy("members", "mark").agg(F.min("sig").alias("sig"), F.max("main").alias("main"))
     shape = shape.select("sig", F.col("main.component").alias("main"), F.ceil(F.col("members") / MEMBERS).alias("member_steps"),
                          F.ceil((F.col("members") - F.col("main.n")) / STRAYS).alias("stray_steps"))
     rows = members.join(shape, "sig").join(classes.select("rep", "n_shingles", "profile"), "rep")
