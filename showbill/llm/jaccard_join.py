@@ -340,7 +340,7 @@ def jaccard_join(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     classes = stored(sets.where("n_shingles > 0").groupBy("set_id").agg(
         F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("profile").alias("profile")), "jaccard-classes")
     own = docs.join(classes.select(F.col("rep").alias("doc_id"), "set_id"), "doc_id")
-    common = common_features(own, classes.count())
+    common = common_features(docs, classes.count())
     sent = docs.sparkSession.sparkContext.broadcast(common)
     signed = own.mapInArrow(_signed(sent, similarity), "sig long, rep long").repartition("sig").sortWithinPartitions("sig", "rep")
     buckets = stored(signed.mapInArrow(_shared_buckets, "sig long, rep long, center long"), "jaccard-buckets")
