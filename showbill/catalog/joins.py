@@ -314,7 +314,7 @@ def j11(spark, sf):
 def short_titles(spark, sf):
     """Titles cut to one or two words, so that some contain others."""
     words = F.when(F.col("n") % 2 == 0, F.substring_index("title", " ", 1)).otherwise(F.substring_index("title", " ", 2))
-    return T.screening(spark, sf).select(words.alias("title"), "date", "time")
+    return T.screening(spark, sf).select("ord", words.alias("title"), "date", "time")
 
 
 @query("j12_similarity", with_(SCREENING) + """
@@ -333,6 +333,36 @@ def j12(spark, sf):
     return J.similarity(short_titles(spark, sf))
 
 
+CLASSES = """
+  , r AS (SELECT ord, CASE WHEN n % 2 = 0 THEN split_part(title, ' ', 1) ELSE concat(split_part(title, ' ', 1), ' ', split_part(title, ' ', 2)) END AS title, date, time FROM screening),
+  g AS (SELECT title, date, time, min(ord) AS class FROM r GROUP BY ALL)"""
+
+
+@query("j12_similar_pairs", with_(SCREENING) + CLASSES + """
+  SELECT least(x.class, y.class) AS a, greatest(x.class, y.class) AS b, CAST(0.9 AS DOUBLE) AS score
+  FROM g x JOIN g y USING (date, time) WHERE x.title <> y.title AND contains(x.title, y.title)""")
+def j12_pairs(spark, sf):
+    return J.similar_pairs(short_titles(spark, sf))[0]
+
+
+@query("j12_similar_members", with_(SCREENING) + CLASSES + " SELECT ord, class FROM r JOIN g USING (title, date, time)")
+def j12_members(spark, sf):
+    return J.similar_pairs(short_titles(spark, sf))[1]
+
+
+@query("j02_overrides_from_table", with_(SCREENING, EVENT) + """
+  , rule AS (SELECT p_partkey AS rule_no, split_part(p_name, ' ', 1) AS needle, CASE WHEN p_partkey % 3 = 0 THEN concat('Supplier#', lpad(CAST(p_partkey % 10 AS VARCHAR), 9, '0')) END AS venue, p_size AS rating FROM part)
+  SELECT event_key, min(rule_no) AS rule_no, CAST(min_by(rule.rating, rule_no) AS INTEGER) AS rating
+  FROM event LEFT JOIN rule ON contains(lower(title), needle) AND (rule.venue IS NULL OR rule.venue = event.venue) GROUP BY event_key""")
+def j02_table(spark, sf):
+    k = F.col("p_partkey")
+    rules = T.table(spark, sf, "part").select(
+        k.alias("rule_no"), F.substring_index("p_name", " ", 1).alias("title"), F.col("p_size").alias("rating"),
+        F.when(k % 3 == 0, F.concat(F.lit("Supplier#"), F.lpad((k % 10).cast("string"), 9, "0"))).alias("venue"))
+    out = J.apply_overrides(T.event(spark, sf), rules)
+    return out.select("event_key", F.col("override.rule_no").cast("long").alias("rule_no"), F.col("override.rating").cast("int").alias("rating"))
+
+
 @query("j12_pair_score", with_(SCREENING) + """
   , f AS (SELECT event_key, min_by(title, ord) AS t, min_by(date, ord) AS date, min_by(time, ord) AS time FROM screening GROUP BY event_key),
   p AS (SELECT s.ord, s.title, s.date = f.date AS same_date, s.time = f.time AS same_time,

@@ -12,7 +12,7 @@ from showbill.functions.review import is_refusal
 from showbill.functions.text import slug, squeeze, title_key
 from showbill.operators.grouping import first_row
 from showbill.operators.ranking import first_usable_attempt
-from showbill.operators.scale import containing, ensure_checkpoint_dir
+from showbill.operators.scale import connected, containing, ensure_checkpoint_dir, written
 from showbill.values import CATEGORIES, DEFAULT_SCORE
 
 
@@ -31,8 +31,25 @@ def attach_venue(event: DataFrame, code_map: DataFrame, venue: DataFrame) -> Dat
 
 # --- ratings -----------------------------------------------------------------------------
 
-def apply_overrides(event: DataFrame, rules: Sequence[dict]) -> DataFrame:
-    """Rating, summary and hook of the first rule that fits.
+def override_rules(rules: DataFrame) -> DataFrame:
+    """A table of rules with the columns that matching needs; absent ones are open, and a null in a rule leaves it open.
+
+    Needs rating, and ``rule_no`` where the order of the rules matters: the least that fits counts.
+    """
+    def field(name: str, kind: str = "string") -> Column:
+        return (F.col(name) if name in rules.columns else F.lit(None)).cast(kind)
+
+    blank = F.lit("")
+    return rules.select(
+        (field("rule_no", "int") if "rule_no" in rules.columns else F.lit(1)).alias("rule_no"),
+        F.coalesce(F.lower(field("title")), blank).alias("needle"),
+        field("venue").isNull().alias("any_v"), F.coalesce(field("venue"), blank).alias("v"),
+        field("type").isNull().alias("any_t"), F.coalesce(field("type"), blank).alias("t"),
+        field("rating", "int").alias("rating"), field("summary").alias("summary"))
+
+
+def apply_overrides(event: DataFrame, rules: Sequence[dict] | DataFrame) -> DataFrame:
+    """Rating, summary and hook of the first rule that fits; rules come as a list or as a table (``override_rules``).
 
     A rule names any of title (contained, any case), venue and type (equal). Every rule is
     one key, title piece, venue and type with a mark for each that it leaves open, and every
@@ -40,10 +57,11 @@ def apply_overrides(event: DataFrame, rules: Sequence[dict]) -> DataFrame:
     an equi join for any number of rules. A null title, venue or type fits only rules that
     leave it open.
     """
-    table = event.sparkSession.createDataFrame(
-        [(no, r.get("title", "").lower(), "venue" not in r, r.get("venue") or "", "type" not in r, r.get("type") or "", r["rating"], r.get("summary"))
-         for no, r in enumerate(rules, 1)],
-        "rule_no int, needle string, any_v boolean, v string, any_t boolean, t string, rating int, summary string")
+    if not isinstance(rules, DataFrame):
+        rules = event.sparkSession.createDataFrame(
+            [(no, r.get("title"), r.get("venue"), r.get("type"), r["rating"], r.get("summary")) for no, r in enumerate(rules, 1)],
+            "rule_no int, title string, venue string, type string, rating int, summary string")
+    table = override_rules(rules)
 
     def either(field: str) -> list[tuple[Column, Column]]:
         return [(F.lit(False), F.col(field)), (F.lit(True), F.lit(""))]
@@ -147,30 +165,60 @@ def showing_key(title: Column, date: Column, time: Column, venue: Column) -> Col
     return F.concat_ws("_", low(title), date, low(time), low(venue))
 
 
-def new_listings(shows: DataFrame, known: DataFrame, key: str = "ord") -> DataFrame:
-    """Listings none of whose showings is known or belongs to an earlier kept listing.
+def _first_come(frame):
+    """Keys of the listings of one group that the sequential rule keeps."""
+    import pandas as pd
 
-    ``shows`` has one row per (listing, showing_key); ``known`` the stored showing keys.
-    The rule is sequential: an earlier listing that is itself dropped blocks nobody. It
-    is settled in rounds. A listing that comes first on all its keys is kept, and all
-    later ones sharing a key with it are dropped; the rest go into the next round. A key
-    shared by very many listings is settled at once; the number of rounds is the length
-    of the longest chain of overlaps, not the number of listings.
-    """
-    ensure_checkpoint_dir(shows.sparkSession)
-    pairs = shows.select(key, "showing_key").distinct()
-    blocked = pairs.join(known.select("showing_key").distinct(), "showing_key", "left_semi").select(key).distinct()
-    open_ = pairs.join(blocked, key, "left_anti").checkpoint()
-    kept = None
+    key = frame.columns[1]
+    taken, kept = set(), []
+    for name, shows in frame.groupby(key, sort=True)["showing_key"]:
+        if taken.isdisjoint(shows):
+            taken.update(shows)
+            kept.append(name)
+    return pd.DataFrame({key: kept})
+
+
+def _kept_in_rounds(open_: DataFrame, key: str) -> DataFrame:
+    """What the sequential rule keeps, settled in as many rounds as the longest chain of overlaps is long."""
+    kept = open_.select(key).limit(0)
     while not open_.isEmpty():
         first = open_.groupBy("showing_key").agg(F.min(key).alias("_first"))
         judged = open_.join(first, "showing_key")
-        winners = judged.groupBy(key).agg(F.bool_and(F.col(key) == F.col("_first")).alias("_wins")).where("_wins").select(key).checkpoint()
-        kept = winners if kept is None else kept.unionByName(winners)
+        winners = written(judged.groupBy(key).agg(F.bool_and(F.col(key) == F.col("_first")).alias("_wins")).where("_wins").select(key), "listing-winners")
+        kept = kept.unionByName(winners)
         taken = open_.join(winners, key, "left_semi").select("showing_key").distinct()
         settled = open_.join(taken, "showing_key", "left_semi").select(key).distinct()
-        open_ = open_.join(settled, key, "left_anti").checkpoint()
-    return kept if kept is not None else pairs.select(key).limit(0)
+        open_ = written(open_.join(settled, key, "left_anti"), "listing-open")
+    return kept
+
+
+def new_listings(shows: DataFrame, known: DataFrame, key: str = "ord", group_rows: int = 100_000) -> DataFrame:
+    """Listings none of whose showings is known or belongs to an earlier kept listing.
+
+    ``shows`` has one row per (listing, showing_key); ``known`` the stored showing keys.
+    The rule is sequential: an earlier listing that is itself dropped blocks nobody. A
+    listing with no shared showing stays. The others fall into groups that overlap, found by
+    contraction in a number of rounds that grows with the logarithm of the longest chain,
+    and each group is settled in order by one task. Only a group of more than ``group_rows``
+    rows is settled in rounds across tasks, one for each link of its longest chain.
+    """
+    pairs = shows.select(key, "showing_key").distinct()
+    blocked = pairs.join(known.select("showing_key").distinct(), "showing_key", "left_semi").select(key).distinct()
+    open_ = written(pairs.join(blocked, key, "left_anti"), "listing-open")
+    shared = open_.groupBy("showing_key").agg(F.min(key).alias("_first"), F.max(key).alias("_last")).where("_first < _last")
+    links = written(open_.join(shared, "showing_key").select(F.col(key).alias("a"), F.col("_first").alias("b"), "showing_key"), "listing-links")
+    free = open_.select(key).distinct().join(links.select(F.col("a").alias(key)), key, "left_anti")
+    # a showing that one listing has alone takes no part in the rule
+    groups = connected(links.select("a", "b"))
+    rows = links.select(F.col("a").alias(key), "showing_key").join(groups.withColumnRenamed("node", key), key)
+    sizes = rows.groupBy("group").agg((F.count("*") <= group_rows).alias("_small"))
+    rows = written(rows.join(sizes, "group").select("group", key, "showing_key", "_small"), "listing-groups")
+    kind = dict(rows.dtypes)[key]
+    kept = rows.where("_small").select("group", key, "showing_key").groupBy("group").applyInPandas(_first_come, f"`{key}` {kind}")
+    large = rows.where("not _small").select(key, "showing_key")
+    if not large.isEmpty():
+        kept = kept.unionByName(_kept_in_rounds(large, key))
+    return free.unionByName(kept)
 
 
 def new_names(candidate: DataFrame, known: DataFrame, name: str = "name") -> DataFrame:
@@ -242,6 +290,39 @@ def pair_score(a: Column, b: Column) -> Column:
     )
 
 
+def similar_pairs(listing: DataFrame, key: str = "ord", least: float = 0.9) -> tuple[DataFrame, DataFrame]:
+    """(pairs, members) of listings with a score of ``least`` (0.9, 0.7 or 0.4) or more.
+
+    Listings of one title, date and time are a class under its smallest key; ``members`` has
+    every listing's key and class. Two listings of a class score 1.0 and are not listed pair
+    by pair. ``pairs`` has (a, b, score) of every two classes, once with a < b, so that a
+    one-word title on many listings costs one pair per class and none per listing. Titles
+    are compared trimmed and lower-cased, blank ones are like nothing, nulls count as empty.
+    """
+    def text(name: str) -> Column:
+        return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+    rows = listing.select(key, F.lower(F.trim(text("title"))).alias("title"), text("date").alias("date"), text("time").alias("time")).where(F.col("title") != "")
+    slot = ["date", "time"] if least > 0.7 else ["date"] if least > 0.4 else []
+    classes = written(rows.groupBy("title", "date", "time").agg(F.min(key).alias("class")), "listing-classes")
+    members = rows.join(classes, ["title", "date", "time"]).select(key, "class")
+    titles = classes.select(F.col("title").alias("text")).distinct()
+    inside = containing(titles, titles.withColumnRenamed("text", "needle")).toDF("title", "short")
+    if "time" in slot:
+        inside = inside.where("title <> short")  # equal titles on one date and time are one class
+    long, short = classes.join(inside, "title").alias("x"), classes.withColumnRenamed("title", "short").alias("y")
+    day, hour = F.col("x.date") == F.col("y.date"), F.col("x.time") == F.col("y.time")
+    same = F.col("x.short") == F.col("y.short")
+    for c in slot:
+        same &= F.col(f"x.{c}") == F.col(f"y.{c}")
+    # classes of one title meet once, from the side of the smaller key
+    once = (F.col("x.title") != F.col("x.short")) | (F.col("x.class") < F.col("y.class"))
+    pairs = long.join(short, same & once).select(
+        F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b"),
+        F.when(day & hour, 0.9).when(day, 0.7).otherwise(0.4).alias("score"))
+    return pairs, members
+
+
 def similarity(listing: DataFrame) -> DataFrame:
     """How closely listings resemble each other, per (title, date, time).
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -38,25 +39,106 @@ def parse_rows(df: DataFrame, source: str, parts: Column, parse) -> DataFrame:
         *[c for c in df.columns if c != source], F.inline_outer(F.transform(parts, lambda p: F.struct(*parse(p)))))
 
 
-def substrings(text: Column) -> Column:
-    """Every distinct nonempty substring of a short text."""
-    n = F.length(text)
-    pieces = F.transform(
-        F.sequence(F.lit(1), n),
-        lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substring(text, i, k)),
-    )
-    return F.when(n > 0, F.array_distinct(F.flatten(pieces)))
+#: Letters of the needles that one task holds as an automaton.
+SHARD_LETTERS = 4_000_000
+
+
+def occurring(texts: Iterable[str], needles: Iterable[str]) -> Iterator[tuple[str, str]]:
+    """(text, needle) of every needle in every text, each once, by an automaton with failure links.
+
+    A text is read once, one step a letter, whatever the number of needles.
+    """
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    for needle in needles:
+        automaton.add_word(needle, needle)
+    if not len(automaton):
+        return
+    automaton.make_automaton()
+    for text in texts:
+        for needle in {needle for _, needle in automaton.iter(text)}:
+            yield text, needle
 
 
 def containing(texts: DataFrame, needles: DataFrame, text: str = "text", needle: str = "needle") -> DataFrame:
-    """All (text, needle) pairs where the needle occurs in the text, as an equi join.
+    """All (text, needle) pairs where the needle occurs in the text.
+
+    A containment test is no join key, and comparing all pairs grows with the square. The
+    distinct needles are dealt to shards of a measured size and the distinct texts to
+    blocks; every block meets every shard in a task of its own, which reads each text once
+    through the shard's automaton. Only true pairs come out. Nulls and empty needles match nothing.
+    """
+    spark = texts.sparkSession
+    sought = written(needles.select(F.col(needle).alias("needle")).where("needle <> ''").distinct(), "needles")
+    shards = 1 + (sought.agg(F.sum(F.length("needle"))).first()[0] or 0) // SHARD_LETTERS
+    blocks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def dealt(df: DataFrame, column: str, own: str, n: int, other: str, m: int) -> DataFrame:
+        return df.select(column, F.pmod(F.xxhash64(column), F.lit(n)).cast("int").alias(own),
+                         F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other))
+
+    def found(left, right):
+        import pandas as pd
+
+        return pd.DataFrame(occurring(left["text"], right["needle"]), columns=["text", "needle"])
+
+    every = texts.select(F.col(text).alias("text")).where("text <> ''").distinct()
+    pairs = dealt(every, "text", "block", blocks, "shard", shards).groupBy("block", "shard").cogroup(
+        dealt(sought, "needle", "shard", shards, "block", blocks).groupBy("block", "shard")).applyInPandas(found, "text string, needle string")
+    return pairs.toDF(text, needle)
+
+
+def _roots(batches):
+    """(node, least node it is linked with) of the links of one task."""
+    import pyarrow as pa
+
+    parent: dict = {}
+
+    def root(x):
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    schema = None
+    for batch in batches:
+        schema = batch.schema
+        for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            x, y = root(a), root(b)
+            parent[max(x, y)] = min(x, y)
+    if schema is not None:
+        rows = [(x, root(x)) for x in list(parent)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], schema.field(i).type) for i in (0, 1)], schema=schema)
+
+
+def connected(links: DataFrame) -> DataFrame:
+    """(node, group) of the nodes of undirected (a, b) links; a group's name is its least node.
 
-    A containment test is no join key, and comparing all pairs grows with the square.
-    Titles are short, so each distinct title is expanded to its substrings, which join
-    on equality: the work is linear in the titles and only true pairs come out.
+    Each round first contracts the links that lie in one task, which are those of a range of
+    nodes, and then points every node at the least neighbour of its neighbours. Chains
+    shrink by far more than half in a round. A link of a node with itself names it as a node.
     """
-    pieces = texts.select(text).distinct().select(text, F.explode(substrings(F.col(text))).alias(needle))
-    return pieces.join(needles.select(needle).where(F.col(needle) != "").distinct(), needle).select(text, needle)
+    n = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kind = dict(links.dtypes)["a"]
+    edges, before = links.select("a", "b"), None
+    while True:
+        near = edges.repartitionByRange(n, "b", "a").mapInArrow(_roots, f"a {kind}, b {kind}").distinct()
+        both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = written(both.groupBy("a").agg(F.min("b").alias("m")), "group-least")
+        # the least neighbour of a node is joined with all its neighbours
+        edges = written(both.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).select(
+            F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "group-edges")
+        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if now == before:
+            return edges.groupBy("a").agg(F.min("b").alias("group")).withColumnRenamed("a", "node")
+        before = now
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows of ``df`` as a table that is written once, in the shared checkpoint folder."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:

@@ -203,3 +203,75 @@ def test_schedule_entry_without_times(spark):
     text = "## June 2024\n### Monday, June 3\n- **ALPHA** —\n- **BETA** — 6:00 PM\n"
     got = schedule_doc(spark.createDataFrame([("d", text)], "doc string, text string")).collect()
     assert [r.title for r in got] == ["BETA"]
+
+
+def test_long_texts_and_many_needles(spark, monkeypatch):
+    monkeypatch.setattr(S, "SHARD_LETTERS", 40)  # several shards
+    rnd = random.Random(8)
+    texts = ["".join(rnd.choice("abc ") for _ in range(n)) for n in (0, 1, 5, 40, 1000)] + ["ÄÖ ß", None]
+    needles = ["".join(rnd.choice("abc ") for _ in range(rnd.randint(0, 5))) for _ in range(60)] + ["ö", "Ö ", None]
+    got = S.containing(spark.createDataFrame([(t,) for t in texts * 2], "t string"), spark.createDataFrame([(n,) for n in needles], "n string"), "t", "n")
+    assert sorted(map(tuple, got.collect())) == sorted({(t, n) for t in texts for n in needles if t and n and n in t})
+    none = S.containing(spark.createDataFrame([("a",)], "text string"), spark.createDataFrame([], "needle string"))
+    assert none.collect() == []
+
+
+@pytest.mark.parametrize("least", [0.9, 0.7, 0.4])
+def test_similar_pairs_equal_all_pairs(spark, least):
+    rnd = random.Random(6)
+    titles = ["a", " AB", "abc", "bc", "x", "xab", "zzz", "", None, "a b c"]
+    rows = [(i, rnd.choice(titles), rnd.choice(["d1", "d2", None]), rnd.choice(["t1", ""])) for i in range(70)]
+    pairs, members = J.similar_pairs(spark.createDataFrame(rows, "ord int, title string, date string, time string"), least=least)
+    of = {r["ord"]: r["class"] for r in members.collect()}
+    between = {(r["a"], r["b"]): r["score"] for r in pairs.collect()}
+    assert len(between) == pairs.count()
+
+    def score(x, y):
+        a, b = ((t or "").lower().strip() for t in (x[1], y[1]))
+        if not a or not b or not (a in b or b in a):
+            return 0.0
+        day, hour = (x[2] or "") == (y[2] or ""), (x[3] or "") == (y[3] or "")
+        return 1.0 if a == b and day and hour else 0.9 if day and hour else 0.7 if day else 0.4
+
+    for x, y in itertools.combinations(rows, 2):
+        if x[0] in of and y[0] in of:
+            a, b = sorted((of[x[0]], of[y[0]]))
+            got = 1.0 if a == b else between.get((a, b), 0.0)
+        else:
+            got = 0.0
+        want = score(x, y)
+        assert got == (want if want >= least else 0.0), (x, y)
+
+
+def test_connected_groups(spark):
+    rnd = random.Random(4)
+    links = [(i, i + 1) for i in range(0, 3000) if i % 500] + [(rnd.randrange(4000, 4400), rnd.randrange(4000, 4400)) for _ in range(300)] + [(9000, 9000)]
+    rnd.shuffle(links)
+    group = {}
+    for a, b in links:
+        group.setdefault(a, {a}), group.setdefault(b, {b})
+        if group[a] is not group[b]:
+            small, large = sorted((group[a], group[b]), key=len)
+            large |= small
+            for x in small:
+                group[x] = large
+    got = {r["node"]: r["group"] for r in S.connected(spark.createDataFrame(links, "a int, b int")).collect()}
+    assert got == {x: min(g) for x, g in group.items()}
+
+
+def test_new_listings_of_a_long_chain(spark):
+    listings = [(i, [f"k{i}", f"k{i + 1}"]) for i in range(10_000)]
+    shows = spark.createDataFrame([(i, k) for i, keys in listings for k in keys], "ord int, showing_key string")
+    none = spark.createDataFrame([], "showing_key string")
+    want = sequential_new_listings(listings, [])
+    assert sorted(r["ord"] for r in J.new_listings(shows, none).collect()) == want
+    short = shows.where("ord < 20")  # a group beyond the bound is settled in rounds
+    assert sorted(r["ord"] for r in J.new_listings(short, none, group_rows=3).collect()) == [i for i in want if i < 20]
+
+
+def test_overrides_from_a_table(spark):
+    event = spark.createDataFrame([(1, "Weekly Story Club", "V", "book_club"), (2, "Story", "W", "movie"), (3, None, "V", None), (4, "Other", "W", "dance")],
+                                  "event_key long, title string, venue string, type string")
+    rules = spark.createDataFrame([(2, "STORY", None, 3), (1, "story club", "V", 8), (3, None, "V", 1)], "rule_no int, title string, venue string, rating int")
+    out = {r.event_key: r.override and r.override.rating for r in J.apply_overrides(event, rules).collect()}
+    assert out == {1: 8, 2: 3, 3: 1, 4: None}
