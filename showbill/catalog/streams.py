@@ -8,6 +8,7 @@ from showbill.operators.joins import showing_key
 from showbill.sources import signals as SG
 from showbill.sources import tables as T
 from showbill.streaming import jobs as ST
+from showbill.streaming import state as KS
 
 
 def event_stream(spark, sf):
@@ -57,6 +58,28 @@ def t02_bias(spark, sf):
     return ST.taste_bias(taste_log(spark, sf), T.event(spark, sf), "type")
 
 
+@query("t02_taste_keyed", f"WITH {TASTE}" + " SELECT user_id, k, CAST(COALESCE(thumb, 0) AS INTEGER) AS thumb, saved FROM folded")
+def t02_keyed(spark, sf):
+    signals, folder = SG.as_signals(T.stream(spark, sf, "events")), ST.work_folder(spark)
+    ST.run_now(KS.stream_keyed_taste(signals).writeStream.format("noop").outputMode("update"), folder)
+    return KS.taste_now(spark, f"{folder}/progress")
+
+
+@query("t03_silent_sources", """
+  WITH r AS (SELECT c_custkey AS user_id, TIMESTAMP '2024-01-10' AS since FROM customer WHERE c_custkey % 2 = 0),
+  e AS (SELECT user_id, max(ts) AS last_seen, count(*) AS rows FROM events GROUP BY user_id)
+  SELECT user_id, last_seen, CASE WHEN since > last_seen OR last_seen IS NULL THEN since ELSE last_seen END + INTERVAL 48 HOUR AS alarm_at, COALESCE(rows, 0) AS rows
+  FROM e FULL JOIN r USING (user_id)""")
+def t03_silent(spark, sf):
+    known = T.table(spark, sf, "customer").where("c_custkey % 2 = 0").select(
+        F.col("c_custkey").alias("user_id"), F.lit("2024-01-10").cast("timestamp").alias("since"))
+    alarms, folder = KS.silent_sources(event_stream(spark, sf), known, "user_id", "at"), ST.work_folder(spark)
+    KS.run_one_batch(alarms.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/out"), folder)
+    out = spark.read.parquet(f"{folder}/out")
+    return out.select(F.col("user_id").cast("long").alias("user_id"), F.col("last_seen").cast("timestamp_ntz").alias("last_seen"),
+                      F.col("alarm_at").cast("timestamp_ntz").alias("alarm_at"), "rows")
+
+
 @query("t03_quiet_sources", """
   WITH e AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events),
   s AS (SELECT user_id, ts, sum(CASE WHEN before IS NULL OR ts - before > INTERVAL 48 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM e),

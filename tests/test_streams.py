@@ -90,3 +90,56 @@ def test_quiet_source_alarm(spark, tmp_path):
     stream = spark.readStream.schema("s string, at timestamp").option("maxFilesPerTrigger", 1).parquet(f"{source}/part=*")
     out = spark.read.parquet(ST.to_table(ST.quiet_sources(stream, "s", "at"), str(tmp_path / "work")))
     assert [(r["s"], str(r["last_seen"])[:10]) for r in out.select("s", F.col("last_seen")).collect()] == [("a", "2024-01-01")]
+
+
+def test_keyed_taste_over_fifty_batches(spark, tmp_path):
+    from showbill.streaming import state
+
+    rows = signals(500, 2)
+    source = str(tmp_path / "in")
+    for i in range(50):
+        spark.createDataFrame(rows[i * 10:(i + 1) * 10], SIGNAL).coalesce(1).write.parquet(f"{source}/part={i:02d}")
+    stream = spark.readStream.schema(SIGNAL).option("maxFilesPerTrigger", 5).parquet(f"{source}/part=*")
+    sizes = []
+    for _ in range(2):  # the second run starts from the first one's state and finds nothing new
+        ST.run_now(state.stream_keyed_taste(stream).writeStream.format("noop").outputMode("update"), str(tmp_path / "work"))
+        now = state.taste_now(spark, str(tmp_path / "work/progress")).collect()
+        assert {(r["user_id"], r["k"]): (r["thumb"], r["saved"]) for r in now} == toggled(rows)
+        sizes.append(len(now))
+    assert sizes == [6, 6]
+
+
+def test_alarm_when_all_sources_fall_silent(spark, tmp_path):
+    import time
+
+    from showbill.streaming import state
+
+    source, schema = str(tmp_path / "in"), "s string, at timestamp"
+    now = dt.datetime.now()
+    spark.createDataFrame([("a", now), ("a", now), ("b", now + dt.timedelta(hours=1)), (None, now)], schema).coalesce(1).write.parquet(f"{source}/part=0")
+    registry = spark.createDataFrame([("a", now), ("never", now), ("new", now + dt.timedelta(hours=1))], "s string, since timestamp")
+    out = str(tmp_path / "out")
+
+    def watch(until):
+        stream = spark.readStream.schema(schema).parquet(f"{source}/part=*")
+        query = state.silent_sources(stream, registry, "s", "at", limit_seconds=2).writeStream.format("parquet").option("path", out).option(
+            "checkpointLocation", str(tmp_path / "progress")).trigger(processingTime="1 second").start()
+        end = time.time() + 90
+        while time.time() < end:
+            if query.exception():
+                raise query.exception()
+            try:
+                got = sorted((r["s"], r["last_seen"] is None, r["rows"]) for r in spark.read.parquet(out).collect())
+            except Exception:  # nothing is written yet
+                got = []
+            if len(got) >= until:
+                break
+            time.sleep(1)
+        query.stop()
+        return got
+
+    # one has stopped, one has never sent; the others are still within their time
+    assert watch(2) == [("a", False, 2), ("never", True, 0)]
+    # after a restart the state is known: a new row arms the timer again
+    spark.createDataFrame([("a", dt.datetime.now())], schema).coalesce(1).write.parquet(f"{source}/part=1")
+    assert watch(3) == [("a", False, 2), ("a", False, 3), ("never", True, 0)]
