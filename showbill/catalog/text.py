@@ -76,6 +76,18 @@ def p15(spark, sf):
     return raw(spark, sf, RAW_SLUG).select("ord", *[X.slug(F.col("raw"), d).alias(d) for d in X.SLUG_DIALECTS])
 
 
+#: Words that only compatibility decompositions fold, and what is left of them.
+UNICODE = (("5 ㎏ of 𝐀bc", "5 kg of abc"), ("㏑ Ⅷ", "ln viii"), ("Ｆｕｌｌ ǅ", "full dz"), ("ﷺ ½ €", "12"), ("", ""), ("한글 ẞ", ""))
+
+
+@query("p15_unicode_slugs", with_(SCREENING) + f"""
+  SELECT ord, trim({_hyphen("concat(title, ' ', CASE event_key % 6 " + ' '.join(f"WHEN {i} THEN '{p}'" for i, (_, p) in enumerate(UNICODE)) + " END)")}, '-') AS plain
+  FROM screening""")
+def p15_unicode(spark, sf):
+    word = F.element_at(F.array(*[F.lit(u) for u, _ in UNICODE]), (F.col("event_key") % 6 + 1).cast("int"))
+    return T.screening(spark, sf).select("ord", X.slug(F.concat("title", F.lit(" "), word)).alias("plain"))
+
+
 @query("p15_slug_of_text", f"""
   SELECT doc_id, trim({_hyphen(_fold('text'))}, '-') AS plain FROM documents""")
 def p15_text(spark, sf):

@@ -25,19 +25,23 @@ def strip_ws(col: Column) -> Column:
 # --- ASCII folding --------------------------------------------------------------
 
 
-@lru_cache(maxsize=1)
-def fold_table() -> tuple[str, str, tuple[tuple[str, str], ...]]:
-    """(from, to, multi) for folding the Latin blocks to ASCII, from the Unicode data.
+#: Latin letters, punctuation and letter-like signs, whose marks ``fold_marks`` removes.
+_LATIN_BLOCKS = ((0x80, 0x250), (0x1E00, 0x1F00), (0x2000, 0x20A0), (0x2100, 0x2190), (0x2460, 0x2500), (0xFB00, 0xFB07), (0xFF00, 0xFF60))
+_ALL_BLOCKS = ((0x80, 0xD800), (0xE000, 0x110000))
 
-    Letters that decompose to one ASCII character go into a ``translate`` table,
-    those that decompose to several (ligatures) into a short list of replacements.
-    Everything else that is not ASCII is deleted afterwards.
+
+@lru_cache(maxsize=2)
+def fold_table(blocks: tuple = _ALL_BLOCKS) -> tuple[str, str, tuple[tuple[str, str], ...]]:
+    """(from, to, multi) for folding code points to ASCII, from the compatibility decompositions of Unicode.
+
+    Characters that decompose to one ASCII character go into a ``translate`` table, those
+    that decompose to several (ligatures, units, numerals) into a list. Everything else
+    that is not ASCII is deleted afterwards.
     """
     src, dst, multi = [], [], []
-    blocks = (range(0x80, 0x250), range(0x1E00, 0x1F00), range(0x2000, 0x20A0), range(0x2100, 0x2190),
-              range(0x2460, 0x2500), range(0xFB00, 0xFB07), range(0xFF00, 0xFF60))
-    for code in (code for block in blocks for code in block):
-        char = chr(code)
+    for char in map(chr, (code for block in blocks for code in range(*block))):
+        if not unicodedata.decomposition(char):
+            continue
         plain = unicodedata.normalize("NFKD", char).encode("ascii", "ignore").decode("ascii")
         if len(plain) == 1:
             src.append(char)
@@ -48,24 +52,23 @@ def fold_table() -> tuple[str, str, tuple[tuple[str, str], ...]]:
 
 
 def fold_ascii(col: Column) -> Column:
-    """Accents removed; characters without an ASCII form vanish.
+    """Accents and compatibility forms removed; characters without an ASCII form vanish.
 
-    Text that is already ASCII, the usual case, skips the table.
+    Text that is already ASCII, the usual case, skips the table; text without characters
+    that become several is not taken apart.
     """
     src, dst, multi = fold_table()
-    out = col
-    ligatures = "[" + "".join(c for c, _ in multi) + "]"
-    replaced = col
-    for char, plain in multi:
-        replaced = F.replace(replaced, F.lit(char), F.lit(plain))
-    out = F.when(col.rlike(ligatures), replaced).otherwise(col)
+    several = "[" + "".join(c for c, _ in multi) + "]"
+    plain = F.map_from_arrays(F.lit([c for c, _ in multi]), F.lit([p for _, p in multi]))
+    spelt = F.array_join(F.transform(F.regexp_extract_all(col, F.lit("(?s)."), F.lit(0)), lambda c: F.coalesce(F.try_element_at(plain, c), c)), "")
+    out = F.when(col.rlike(several), spelt).otherwise(col)
     folded = F.regexp_replace(F.translate(out, src, dst), r"[^\x00-\x7F]", "")
     return F.when(col.rlike(r"[^\x00-\x7F]"), folded).otherwise(col)
 
 
 def fold_marks(col: Column) -> Column:
     """Accents removed; characters without an ASCII form stay."""
-    src, dst, multi = fold_table()
+    src, dst, _ = fold_table(_LATIN_BLOCKS)
     return F.regexp_replace(F.translate(col, src, dst), r"[̀-ͯ]", "")
 
 

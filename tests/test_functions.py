@@ -219,3 +219,15 @@ def test_main_text_prefers_main_and_drops_boilerplate(spark):
     html = "<body><nav>menu</nav><article>a<script>var x='</p>'</script></article><main>one<br>two &amp; three</main></body>"
     check(spark, [(html, "one | two & three"), ("<body><header>h</header>only</body>", "only"), ("<article>a</article>", "a")], P.main_text(x))
     check(spark, [("<main>abcdef</main>", "abc...")], P.main_text(x, max_chars=3))
+
+
+def test_fold_of_every_code_point(spark):
+    import unicodedata
+
+    from showbill.functions.text import fold_ascii
+
+    chars = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3400 or unicodedata.decomposition(chr(c)))]
+    texts = ["x" + "".join(chars[i:i + 50]) + "y" for i in range(0, len(chars), 50)] + ["", None]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(8).select("i", fold_ascii(F.col("t")).alias("f")).collect()
+    want = [None if t is None else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode() for t in texts]
+    assert [r["f"] for r in sorted(got)] == want
