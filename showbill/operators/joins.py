@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import groupby
+from operator import itemgetter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -166,12 +168,14 @@ def showing_key(title: Column, date: Column, time: Column, venue: Column) -> Col
 
 
 def _first_come(frame):
-    """Keys of the listings of one group that the sequential rule keeps."""
+    """Keys of the listings that the sequential rule keeps; the frame has whole groups, which share no showing."""
     import pandas as pd
 
-    key = frame.columns[1]
+    key = frame.columns[0]
+    frame = frame.sort_values(key, kind="stable")
     taken, kept = set(), []
-    for name, shows in frame.groupby(key, sort=True)["showing_key"]:
+    for name, rows in groupby(zip(frame[key], frame["showing_key"], strict=True), key=itemgetter(0)):
+        shows = [show for _, show in rows]
         if taken.isdisjoint(shows):
             taken.update(shows)
             kept.append(name)
@@ -214,7 +218,11 @@ def new_listings(shows: DataFrame, known: DataFrame, key: str = "ord", group_row
     sizes = rows.groupBy("group").agg((F.count("*") <= group_rows).alias("_small"))
     rows = written(rows.join(sizes, "group").select("group", key, "showing_key", "_small"), "listing-groups")
     kind = dict(rows.dtypes)[key]
-    kept = rows.where("_small").select("group", key, "showing_key").groupBy("group").applyInPandas(_first_come, f"`{key}` {kind}")
+    # many small groups go through one task together, about ``group_rows`` rows at most besides the last group
+    parts = max(int(shows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + rows.count() // group_rows)
+    part = F.pmod(F.xxhash64("group"), F.lit(parts)).alias("_part")
+    small = rows.where("_small").select(key, "showing_key", part).repartition(parts, "_part")
+    kept = small.groupBy("_part").applyInPandas(lambda frame: _first_come(frame[[key, "showing_key"]]), f"`{key}` {kind}")
     large = rows.where("not _small").select(key, "showing_key")
     if not large.isEmpty():
         kept = kept.unionByName(_kept_in_rounds(large, key))
