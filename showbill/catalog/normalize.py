@@ -427,6 +427,38 @@ def p42(spark, sf):
                       "end_date", "reject")
 
 
+@query("p42_venue_defaults", with_(SCREENING, LISTING) + f"""
+  , raw AS (
+    SELECT ord, supp_key, venue AS known_name, trim(title) AS title, end_date, event_key, n,
+      CASE WHEN n % 3 = 0 THEN 'Guest Hall' WHEN n % 3 = 1 THEN ' ' END AS own_venue,
+      CASE WHEN len(dates) = 0 AND supp_key % 7 = 0 THEN ['{TODAY}'] WHEN event_key % 7 = 2 THEN [] ELSE dates END AS dates,
+      CASE event_key % 7 WHEN 1 THEN list_transform(times, lambda t: strftime(strptime(t, '%I:%M %p'), '%H:%M')) ELSE times END AS t24 FROM listing),
+  judged AS (
+    SELECT *, CASE WHEN supp_key % 11 = 0 THEN FALSE ELSE supp_key % 2 = 0 END AS preserve, CASE WHEN title = '' THEN 'no title' WHEN len(dates) = 0 THEN 'no date'
+      WHEN COALESCE(end_date, list_max(dates)) < '{TODAY}' THEN 'finished' END AS reject FROM raw)
+  SELECT ord, title, reject,
+    CASE WHEN supp_key % 11 = 0 THEN CASE WHEN n % 3 = 0 THEN 'Guest Hall' END
+      WHEN preserve AND n % 3 = 0 THEN 'Guest Hall' ELSE known_name END AS venue,
+    CASE WHEN supp_key % 11 <> 0 AND supp_key % 4 = 0 THEN 'opera' ELSE 'other' END AS type,
+    CASE WHEN supp_key % 3 = 0 THEN 'free' ELSE '' END AS price,
+    array_to_string(list_transform(range(1, len(dates) + 1), lambda i: COALESCE(t24[i], CASE WHEN supp_key % 11 <> 0 AND supp_key % 5 = 0 THEN '18:30' ELSE '19:00' END)), ',') AS times
+  FROM judged QUALIFY reject IS NOT NULL OR row_number() OVER (PARTITION BY supp_key, lower(title), dates[1], reject ORDER BY ord) = 1""")
+def p42_venue(spark, sf):
+    n = F.col("n")
+    rows = T.listing(spark, sf).select(
+        "ord", F.col("supp_key").alias("venue_key"), "title", "dates", "times", "end_date", "url",
+        F.when(n % 3 == 0, "Guest Hall").when(n % 3 == 1, " ").alias("venue"), F.lit("").alias("price"))
+    k = F.col("venue_key")
+    supplier = T.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("venue_key"), F.col("s_name").alias("venue_name"))
+    venues = supplier.where(k % 11 != 0).select(
+        "*", F.when(k % 4 == 0, "opera").alias("category"), (k % 2 == 0).alias("preserve_venue_name"),
+        F.when(k % 5 == 0, "18:30").alias("default_time"), F.lit("https://example.org/").alias("page_url"))
+    defaults = supplier.where(k % 3 == 0).select("venue_key", F.lit("price").alias("field"), F.lit("free").alias("default_value")).unionByName(
+        supplier.where(k % 7 == 0).select("venue_key", F.lit("dates").alias("field"), F.lit(TODAY).alias("default_value")))
+    out = N.venue_rows(rows, venues, TODAY, defaults, ["price", "dates"])
+    return out.select("ord", "title", "reject", "venue", "type", "price", F.array_join("times", ",").alias("times"))
+
+
 @query("f02_drop_finished", with_(SCREENING, LISTING, STANDARD) + f"""
   SELECT ord FROM std WHERE COALESCE(COALESCE(end_date, list_max(CASE WHEN event_key % 7 = 2 THEN NULL ELSE dates END)) >= '{TODAY}', TRUE)""")
 def f02(spark, sf):

@@ -12,6 +12,7 @@ from showbill.functions.dates import as_date, day, match, short_day
 from showbill.functions.review import contains_any
 from showbill.functions.text import squeeze, strip_ws
 from showbill.values import (
+    DIRECTOR_PHRASINGS,
     CLOSING_SOON_DAYS, ENGLISH_COUNTRIES, FILM_LANGUAGES, GATE_BOOK_WORDS, GATE_DESCRIPTION_WORDS,
     GATE_LONG_DESCRIPTION, GATE_OVERRIDABLE, GATE_SERIES_WORDS, GATE_TITLE_WORDS,
     GATE_VAGUE_FILM, LIVE_MARKERS, MOVIE_ALIASES, NON_FILM_WORDS, SUPPORTED_TYPES,
@@ -57,13 +58,9 @@ def film_facts(text: Column) -> Column:
     )
 
 
-_NAME = r"([A-Z][a-zA-Z]+(?: [A-Z][a-zA-Z]+)+)"
-
-
 def director_in_review(text: Column) -> Column:
     """Director named in a review; four phrasings, the first that occurs in that order."""
-    phrasings = (rf"directed by {_NAME}", rf"directors?(?: is| was|:)? {_NAME}", rf"{_NAME} directs", rf"dir\. {_NAME}")
-    return F.coalesce(*[match(text, p, 1) for p in phrasings], F.lit(""))
+    return F.coalesce(*[match(text, p, 1) for p in DIRECTOR_PHRASINGS], F.lit(""))
 
 
 # --- categories -----------------------------------------------------------------

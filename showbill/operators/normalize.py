@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from showbill.functions.clock import loose_time
@@ -103,13 +103,13 @@ def apply_templates(df: DataFrame, categories: Sequence[str] = tuple(TEMPLATE_FI
     return table
 
 
-def fit_times(times: Column, n: Column, default: str) -> Column:
+def fit_times(times: Column, n: Column, default: str | Column) -> Column:
     """Times padded with the default, or trimmed, to one per date."""
     pad = F.array_repeat(F.lit(default), F.greatest(n - F.size(times), F.lit(0)))
     return F.slice(F.concat(times, pad), F.lit(1), F.greatest(n, F.lit(0)))
 
 
-def standardize(df: DataFrame, today, default_time: str, page_url: Column) -> DataFrame:
+def standardize(df: DataFrame, today, default_time: str | Column, page_url: Column) -> DataFrame:
     """Extracted rows in standard form; ``reject`` says why a row cannot be listed.
 
     Dates are read as ranges (a range's start is the date, its end the end date),
@@ -155,6 +155,52 @@ def standardize(df: DataFrame, today, default_time: str, page_url: Column) -> Da
     return out.withColumn("reject", reject).drop("_ranges", "_times", "date", "time", "start_date")
 
 
+def venue_rows(df: DataFrame, venues: DataFrame, today, defaults: DataFrame | None = None, fields: Sequence[str] = (),
+               default_time: str = "19:00", default_type: str = "other", order: str = "ord") -> DataFrame:
+    """Extracted rows of many venues in standard form, with what is known of their venue.
+
+    ``venues`` has one row per ``venue_key``: venue_name, category, preserve_venue_name,
+    default_time and page_url. ``defaults`` (venue_key, field, default_value) fill blank
+    ``fields`` before anything is read, so a default date or time counts like a written one.
+    The category is the venue's, else ``default_type``, whatever the row says. The venue is
+    the venue's name; where ``preserve_venue_name`` is set, the row's own comes first. A
+    venue's rows with equal title (in any case) and first date are one listing, the first by
+    ``order``. Rejected rows stay, each with its reason. Rows of an unknown venue keep their
+    own venue name and take the general defaults.
+    """
+    rows = df
+    if defaults is not None and fields:
+        wide = defaults.groupBy("venue_key").agg(
+            *[F.max(F.when(F.col("field") == f, F.col("default_value"))).alias(f"_given_{f}") for f in fields])
+        rows = rows.join(wide, "venue_key", "left")
+        for f in fields:
+            given = F.col(f"_given_{f}")
+            if f not in df.columns:
+                filled = given
+            elif df.schema[f].dataType.typeName() == "array":
+                own = F.filter(f, nonblank)
+                filled = F.when(F.size(own) > 0, F.col(f)).when(given.isNotNull(), F.array(given)).otherwise(F.col(f))
+            else:
+                filled = F.when(nonblank(F.col(f).cast("string")) | given.isNull(), F.col(f)).otherwise(given.cast(df.schema[f].dataType))
+            rows = rows.withColumn(f, filled)
+        rows = rows.drop(*[f"_given_{f}" for f in fields])
+    known = venues.groupBy("venue_key").agg(F.min(F.struct(
+        "venue_name", "category", "preserve_venue_name", "default_time", "page_url")).alias("_venue"))
+    rows = rows.join(known, "venue_key", "left")
+    time = F.coalesce(F.when(nonblank(F.col("_venue.default_time")), F.col("_venue.default_time")), F.lit(default_time))
+    out = standardize(rows, today, time, F.col("_venue.page_url"))
+    own = F.when(nonblank(F.col("venue")), F.trim("venue")) if "venue" in df.columns else F.lit(None).cast("string")
+    named = F.when(F.coalesce("_venue.preserve_venue_name", F.lit(False)), F.coalesce(own, "_venue.venue_name")).otherwise(
+        F.coalesce("_venue.venue_name", own))
+    category = F.when(nonblank(F.col("_venue.category")), F.col("_venue.category"))
+    out = out.withColumns({"venue": named, "type": F.coalesce(category, F.lit(default_type))}).drop("_venue")
+    # The first of equal listings; rejected rows are no listings and take no part.
+    listed = out.where(F.col("reject").isNull())
+    copies = Window.partitionBy("venue_key", F.lower("title"), F.get("dates", F.lit(0))).orderBy(order)
+    once = listed.withColumn("_copy", F.row_number().over(copies)).where("_copy = 1").drop("_copy")
+    return once.unionByName(out.where(F.col("reject").isNotNull()))
+
+
 def finished(end_date: Column, dates: Column, today) -> Column:
     """Has it ended? The end date decides when readable, else the latest date; else no."""
     def read(col: Column) -> Column:

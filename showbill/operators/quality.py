@@ -17,7 +17,7 @@ from showbill.functions.text import html_text
 from showbill.operators.grouping import keep_first
 from showbill.operators.ranking import sample_per_source
 from showbill.values import (
-    BANNED_PHRASES, CATEGORIES, DASH, DASH_LIMIT, FAILURE_PATTERNS, SECTION_EMOJI, STALE_HOURS,
+    BANNED_PHRASES, CATEGORIES, DASH, DASH_LIMIT, FAILURE_PATTERNS, PLAIN_LABEL, SECTION_EMOJI, SHOUTED_LABEL, STALE_HOURS,
 )
 
 
@@ -47,8 +47,8 @@ def reader_sections(df: DataFrame, key: str, html: str) -> tuple[DataFrame, Data
     bare_body = F.regexp_replace(
         F.regexp_replace(
             F.regexp_replace("body", lead, ""),
-            r"^[A-Z][A-Z\s',\-]{3,50}(?=[A-Z][a-z])", ""),
-        r"^[A-Z][a-zA-Z\s]{2,30}(?=\s*[A-Z][a-z])", "")
+            SHOUTED_LABEL, ""),
+        PLAIN_LABEL, "")
     bare_body = F.regexp_replace(bare_body, r"^[\s–—\-:,.]+|\s+$", "")
     rows = rows.withColumns({
         "body": F.when(canonical.isNotNull() & (plain_label == ""), bare_body).otherwise(F.col("body")),
@@ -154,7 +154,7 @@ def stale_sources(log: DataFrame, now_text: str, hours: int = STALE_HOURS) -> Da
 
 def quiet_venues(known: DataFrame, screening: DataFrame, today) -> DataFrame:
     """Known venues without a showing from today on."""
-    coming = screening.where(F.col("d") >= F.lit(day(today))).select("venue")
+    coming = screening.where(F.col("d") >= F.lit(day(today))).select("venue").distinct()
     return known.join(coming, "venue", "left_anti")
 
 

@@ -28,6 +28,30 @@ def position_in_group(df: DataFrame, keys: Sequence[str], text: str) -> DataFram
         "position", F.col("_rn") + F.col("_before")).drop("_part", "_rn", "_before")
 
 
+def carry_forward(df: DataFrame, key: str, order: str, columns: Sequence[str]) -> DataFrame:
+    """Every null of ``columns`` takes the latest value above it under the same key.
+
+    A key of any size is dealt to many tasks: rows lie in ranges of (key, order), each range
+    is filled on its own, and the last values of the ranges before are added for the few keys
+    that go on from one range to the next (at most one a range). Rows that tie in key and
+    order lie in the same range, and which of them is above the other is open.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = written(df.repartitionByRange(n, key, order).withColumn("_part", F.spark_partition_id()), "ranges")
+    ends = rows.groupBy("_part").agg(F.min(key).alias("_first"), F.max(key).alias("_last"))
+    before = Window.orderBy("_part")  # one row a range
+    going_on = ends.withColumn("_above", F.lag("_last").over(before)).where("_first = _above").select(F.col("_first").alias(key)).distinct()
+    latest = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in columns]
+    tails = rows.join(F.broadcast(going_on), key).groupBy(key, "_part").agg(*latest)
+    ranges_above = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # a key that goes on has at most one row for each of the n ranges
+    held = tails.select(key, "_part", *[F.last(c, ignorenulls=True).over(ranges_above).alias(f"_held_{c}") for c in columns])
+    inside = Window.partitionBy(key, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    filled = rows.withColumns({c: F.last(c, ignorenulls=True).over(inside) for c in columns}).join(F.broadcast(held), [key, "_part"], "left")
+    return filled.withColumns({c: F.coalesce(c, f"_held_{c}") for c in columns}).select(*df.columns)
+
+
 def parse_rows(df: DataFrame, source: str, parts: Column, parse) -> DataFrame:
     """One row per part of a text column, with the fields ``parse`` gives for it.
 

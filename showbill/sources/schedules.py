@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from showbill.functions.clock import to_24h
 from showbill.functions.dates import full_month_number, let, match, month_number, week_start
 from showbill.functions.facts import is_caps_title, is_live_title
 from showbill.functions.text import squeeze, unescape
-from showbill.operators.scale import parse_rows
+from showbill.operators.scale import carry_forward, parse_rows
 from showbill.values import WEEKDAYS_LONG
 
 
@@ -30,52 +30,73 @@ _DAY_HEAD = r"###[ \t]+(?:" + "|".join(WEEKDAYS_LONG) + r"),?[ \t]+([A-Za-z]+)[
 _ENTRY = r"^-[ \t]*\*\*(.+?)\*\*[ \t]*[—–-][ \t]*(.+?)[ \t]*$"
 
 
+def _heading_or_entry(line: Column) -> Column:
+    """What a line says: a month heading, a day heading or an entry; null for any other line.
+
+    ``set_month`` is there (with a null inside for an unknown name) where a line changes the month.
+    """
+    def said(year=None, set_month=None, day=None, title=None, times=None) -> Column:
+        fields = (("year", year, "string"), ("set_month", set_month, "struct<month:int>"), ("day", day, "string"), ("title", title, "string"), ("times", times, "string"))
+        return F.struct(*[(F.lit(None) if c is None else c).cast(kind).alias(name) for name, c, kind in fields])
+
+    def month(name: Column) -> Column:
+        return F.struct(full_month_number(name).cast("int").alias("month"))
+
+    day_month = month(match(line, _DAY_HEAD, 1))
+    return F.when(
+        F.startswith(line, F.lit("###")), F.when(line.rlike("^" + _DAY_HEAD), said(
+            set_month=F.when(day_month["month"].isNotNull(), day_month), day=match(line, _DAY_HEAD, 2)))
+    ).when(
+        F.startswith(line, F.lit("##")), F.when(line.rlike("^" + _MONTH_HEAD), said(
+            year=match(line, _MONTH_HEAD, 2), set_month=month(match(line, _MONTH_HEAD, 1))))
+    ).when(
+        F.startswith(line, F.lit("-")), F.when(line.rlike(_ENTRY), said(
+            title=squeeze(match(line, _ENTRY, 1)), times=match(line, _ENTRY, 2))))
+
+
+_CARRIED = ("year", "set_month", "day")
+
+
+def _film(df: DataFrame) -> DataFrame:
+    """Headings, and entries that are films; other entries carry nothing and need not move."""
+    return df.where(F.col("title").isNull() | is_caps_title(F.col("title")))
+
+
+def _showings(rows: DataFrame, doc: str) -> DataFrame:
+    """One row per readable time of the entries, which hold the headings above them."""
+    date = F.concat(
+        F.lpad("year", 4, "0"), F.lit("-"), F.lpad(F.col("set_month.month").cast("string"), 2, "0"), F.lit("-"), F.lpad("day", 2, "0"))
+    dated = rows.where(F.col("title").isNotNull()).select(doc, "title", date.alias("date"), F.explode(F.split("times", ",")).alias("chunk"))
+    return dated.select(doc, "title", "date", F.trim("chunk").alias("time_12"), to_24h(F.col("chunk")).alias("time_24")).where(
+        F.col("time_24").isNotNull() & F.col("date").isNotNull())
+
+
 def schedule_doc(docs: DataFrame, doc: str = "doc", text: str = "text") -> DataFrame:
     """Showings of a schedule with month and day headings; only titles in capitals are films.
 
-    A document is one row, and headings hold for what follows them, so the text is cut at
-    its month headings, these parts at their day headings, and these at their entries; no
-    row has to meet another one. Unreadable times are dropped.
+    Every line is read once. Headings and film entries become rows, and a running window
+    in the order of lines gives each entry the year, month and day that hold for it, so
+    the work is linear in the text. Each row of ``docs`` is a document of its own, even if
+    ``doc`` repeats. Unreadable times are dropped. Documents too long for a row come as
+    lines: see ``schedule_lines``.
+    """
+    lines = F.filter(F.split(text, r"\R"), lambda x: F.startswith(x, F.lit("##")) | F.startswith(x, F.lit("-")))
+    numbered = docs.select(doc, lines.alias("_lines"), F.monotonically_increasing_id().alias("_text"))
+    said = numbered.select(doc, "_text", F.posexplode(F.transform("_lines", _heading_or_entry)).alias("_pos", "_said"))
+    rows = _film(said.where(F.col("_said").isNotNull()).select(doc, "_text", "_pos", "_said.*"))
+    above = Window.partitionBy("_text").orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return _showings(rows.withColumns({c: F.last(c, ignorenulls=True).over(above) for c in _CARRIED}), doc)
+
+
+def schedule_lines(lines: DataFrame, doc: str = "doc") -> DataFrame:
+    """``schedule_doc`` of a line table (doc, pos, line), for documents of any length.
+
+    A document may span many tasks: see ``carry_forward``. Rows without document or
+    position are left out.
     """
-    months = F.split(text, rf"(?m)(?=^{_MONTH_HEAD})")
-
-    def entries(part: Column, year: Column, month: Column, day: Column) -> Column:
-        found = F.regexp_extract_all(part, F.lit("(?m)" + _ENTRY), F.lit(0))
-        date = F.concat(F.lpad(year, 4, "0"), F.lit("-"), F.lpad(month.cast("string"), 2, "0"), F.lit("-"), F.lpad(day, 2, "0"))
-        return let(date, lambda d: F.when(d.isNotNull(), F.transform(found, lambda e: F.struct(
-            d.alias("date"), squeeze(match(e, _ENTRY, 1)).alias("title"), match(e, _ENTRY, 2).alias("times")))))
-
-    def day_parts(part: Column, i: Column, head: Column) -> Column:
-        days = F.split(part, rf"(?m)(?=^{_DAY_HEAD})")
-
-        def named(x: Column) -> Column:
-            return full_month_number(match(x, "(?m)^" + _DAY_HEAD, 1))
-
-        # Before its first day heading a month goes on with the last day (and an unknown
-        # month name with the last known one) above.
-        above = F.array_join(F.slice(months, F.lit(1), i), "")
-        last_day = match(F.element_at(F.concat(F.array(F.lit("")), F.regexp_extract_all(
-            above, F.lit(rf"(?m)(^{_DAY_HEAD})"), F.lit(1))), -1), "(?m)" + _DAY_HEAD, 2)
-
-        def one(x: Column, j: Column) -> Column:
-            before = F.filter(F.transform(F.slice(days, F.lit(1), j), named), lambda m: m.isNotNull())
-            month = F.coalesce(named(x), F.get(before, F.size(before) - 1), head["month"])
-            day = F.when(j == 0, F.when(x.rlike("(?m)" + _ENTRY), last_day)).otherwise(match(x, "(?m)^" + _DAY_HEAD, 2))
-            return entries(x, head["year"], month, day)
-
-        return F.flatten(F.filter(F.transform(days, one), lambda x: x.isNotNull()))
-
-    def month_part(part: Column, i: Column) -> Column:
-        starts_month = part.rlike(r"(?m)\A" + _MONTH_HEAD)
-        head = F.struct(
-            match(part, "(?m)^" + _MONTH_HEAD, 2).alias("year"), full_month_number(match(part, "(?m)^" + _MONTH_HEAD, 1)).alias("month"))
-        return F.when(starts_month, let(head, lambda h: day_parts(part, i, h)))
-
-    found = F.flatten(F.filter(F.transform(months, month_part), lambda x: x.isNotNull()))
-    rows = docs.select(doc, F.inline_outer(found)).where(F.col("title").isNotNull())
-    rows = rows.where(is_caps_title(F.col("title"))).select(doc, "title", "date", F.explode(F.split("times", ",")).alias("chunk"))
-    return rows.select(doc, "title", "date", F.trim("chunk").alias("time_12"), to_24h(F.col("chunk")).alias("time_24")).where(
-        F.col("time_24").isNotNull())
+    rows = lines.where(F.col(doc).isNotNull() & F.col("pos").isNotNull()).select(doc, "pos", _heading_or_entry(F.col("line")).alias("_said"))
+    rows = _film(rows.where(F.col("_said").isNotNull()).select(doc, "pos", "_said.*"))
+    return _showings(carry_forward(rows, doc, "pos", _CARRIED), doc)
 
 
 _ROW = r"^([A-Za-z]{3,4})\s+(\d{1,2})\s*\t(.+?)\s*$"

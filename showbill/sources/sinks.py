@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from showbill.functions.text import split_escape
 from showbill.operators.grouping import keep_first
 from showbill.operators.publish import folded
+from showbill.sources import versions
 from showbill.values import ZONE
 
 
@@ -80,22 +81,13 @@ def write_lines(df: DataFrame, path: str, *order: Column) -> None:
 
 
 def publish(df: DataFrame, root: str, snapshot: str) -> str:
-    """A dated snapshot, then a further pointer to it; readers never see a half-written set.
-
-    Pointers are only added, so there is no moment without one.
-    """
-    spark, path = df.sparkSession, f"{root}/snapshot={snapshot}"
-    df.write.mode("overwrite").parquet(path)
-    pointer = spark.createDataFrame([(snapshot,)], "snapshot string").withColumn("at", F.unix_micros(F.current_timestamp()))
-    pointer.coalesce(1).write.mode("append").json(f"{root}/current")
-    return path
+    """A further version of a published set (see ``versions.commit``); returns the folder of its data."""
+    return versions.folder(df.sparkSession, root, versions.commit(df, root, snapshot))
 
 
 def read_current(spark: SparkSession, root: str) -> DataFrame:
-    """The snapshot the newest pointer names."""
-    pointers = spark.read.schema("snapshot string, at long").json(f"{root}/current")
-    snapshot = pointers.agg(F.max_by("snapshot", "at")).first()[0]
-    return spark.read.parquet(f"{root}/snapshot={snapshot}")
+    """The newest version of a published set."""
+    return versions.read(spark, root)
 
 
 def manifest_diff(before: DataFrame, after: DataFrame, generated: Column) -> DataFrame:

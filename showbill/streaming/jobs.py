@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from showbill.operators.grouping import keep_first
 from showbill.operators.ranking import collapse_signals
 from showbill.operators.scale import ensure_checkpoint_dir
+from showbill.streaming.state import use_rocks_db
 
 
 def work_folder(spark: SparkSession) -> str:
@@ -153,9 +154,10 @@ def signal_sessions(stream: DataFrame, at: str, gap: str, by: str, delay: str =
 # --- send once --------------------------------------------------------------------------------
 
 def digest_once(stream: DataFrame, sent: DataFrame, folder: str, subject: str = "subject") -> str:
-    """Digests that have not been sent, neither before the stream nor by an earlier batch."""
-    def unsent(batch: DataFrame, earlier: DataFrame | None) -> DataFrame:
-        fresh = batch.dropDuplicates([subject]).join(sent.select(subject), subject, "left_anti")
-        return fresh if earlier is None else fresh.join(earlier.select(subject), subject, "left_anti")
+    """Digests that have not been sent, neither before the stream nor by an earlier batch.
 
-    return each_batch(stream, folder, unsent)
+    The subjects of the stream are keyed state in the state store, one small entry each, so
+    no batch reads what earlier ones have written; ``sent`` is the table as it was before the stream.
+    """
+    use_rocks_db(stream.sparkSession)
+    return to_table(stream.dropDuplicates([subject]).join(sent.select(subject).distinct(), subject, "left_anti"), folder)

@@ -74,6 +74,25 @@ def test_headings_hold_until_the_next_one(spark):
     assert got == sorted((str(i), *row) for i, t in enumerate(texts) for row in sequential_schedule(t))
 
 
+def test_headings_hold_over_ranges_of_lines(spark):
+    rnd = random.Random(5)
+    months, days = ["April 2026", "June 2026", "Brumaire 2027"], ["Thursday, April 30", "Saturday, Juni 6", "Friday, May 1"]
+
+    def line(i):
+        kind = rnd.random()
+        return f"## {rnd.choice(months)}" if kind < 0.002 else f"### {rnd.choice(days)}" if kind < 0.004 else f"- **T{i}** — 6:00 PM, 7:15 PM"
+
+    texts = ["\n".join(line(i) for i in range(n)) for n in (6000, 1, 0, 40, 3000, 2)]
+    rows = [(str(i), pos, x) for i, t in enumerate(texts) for pos, x in enumerate(t.split("\n"))] + [(None, 1, "## June 2026"), ("0", None, "- **X** — 6:00 PM"), ("1", 9, None)]
+    lines = spark.createDataFrame(rows, "doc string, pos int, line string").repartition(5)
+    want = sorted((str(i), *row) for i, t in enumerate(texts) for row in sequential_schedule(t))
+    assert len(want) > 10000
+    assert sorted((r["doc"], r["title"], r["date"], r["time_12"]) for r in SC.schedule_lines(lines).collect()) == want
+    same_name = spark.createDataFrame([("d", texts[0]), ("d", texts[4]), ("d", None)], "doc string, text string")
+    assert SC.schedule_doc(same_name).count() == sum(len(sequential_schedule(texts[i])) for i in (0, 4))
+    assert SC.schedule_lines(lines.limit(0)).count() == 0
+
+
 def test_digest_archive_and_manifest(spark, tmp_path):
     weekly = tmp_path / "site" / "weekly"
     weekly.mkdir(parents=True)
@@ -100,6 +119,47 @@ def test_documents_and_snapshots(spark, tmp_path):
     assert SK.read_current(spark, str(tmp_path / "set")).count() == 1
 
 
+def test_two_writers_get_one_version_each(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    import pytest
+
+    from showbill.sources import versions as V
+
+    root = str(tmp_path / "set")
+    sets = [spark.range(i + 1) for i in range(6)]
+    with pytest.raises(ValueError):
+        V.read(spark, root)
+    assert V.commit(sets[0], root, base=0) == 1
+    held = V.read(spark, root, 1)
+    with ThreadPoolExecutor(4) as pool:
+        got = list(pool.map(lambda df: V.commit(df, root), sets[1:5]))
+    assert sorted(got) == [2, 3, 4, 5] == V.log(spark, root)[1:]
+    assert all(V.read(spark, root, v).count() == i + 2 for i, v in enumerate(got))
+
+    def against(df):
+        try:
+            return V.commit(df, root, base=5)
+        except V.VersionTaken:
+            return None
+
+    with ThreadPoolExecutor(3) as pool:  # all three were made from version 5
+        assert sorted(pool.map(against, sets[:3]), key=str) == [6, None, None]
+    assert len(list((tmp_path / "set/data").iterdir())) == 6  # the losers' data are gone
+    assert held.count() == 1
+    assert V.retain(spark, root, 2) == [1, 2, 3, 4] and V.log(spark, root) == [5, 6]
+    assert V.commit(sets[5], root) == 7 and V.read(spark, root).count() == 6
+    for version in (1, 9):
+        with pytest.raises(ValueError):
+            V.read(spark, root, version)
+
+
+def test_an_empty_set_is_a_version(spark, tmp_path):
+    root = str(tmp_path / "set")
+    SK.publish(spark.range(3).limit(0), root, "a")
+    assert SK.read_current(spark, root).columns == ["id"] and SK.read_current(spark, root).count() == 0
+
+
 def test_calendar_files(spark, tmp_path):
     title = "A long title, of many words; " * 5 + "é" * 60
     rows = spark.createDataFrame([("e", "u1", title, "v", "", "Movie", "x\ny")], "event_id string, uid string, summary string, venue string, url string, tags string, details string")

@@ -275,3 +275,28 @@ def test_overrides_from_a_table(spark):
     rules = spark.createDataFrame([(2, "STORY", None, 3), (1, "story club", "V", 8), (3, None, "V", 1)], "rule_no int, title string, venue string, rating int")
     out = {r.event_key: r.override and r.override.rating for r in J.apply_overrides(event, rules).collect()}
     assert out == {1: 8, 2: 3, 3: 1, 4: None}
+
+
+def test_venue_rows(spark):
+    from showbill.operators import normalize as N
+
+    schema = "ord int, venue_key string, title string, dates array<string>, times array<string>, venue string, price string"
+    rows = [
+        (1, "a", "Show", ["2026-05-01"], ["7 pm"], "Annex", None), (2, "a", "SHOW", ["2026-05-01"], [], None, "5"), (3, "a", "Show", ["2026-05-02"], [], " ", ""),
+        (4, "b", "Talk", [], None, "Annex", ""), (5, "b", " ", ["2026-05-01"], [], None, None), (6, "c", "Talk", None, [], "Annex", None),
+        (7, None, "Talk", ["2026-05-01", "2026-05-03"], [], "Annex", "9"), (8, "a", "Old", ["2020-01-01"], [], None, None), (9, "a", "old", ["2020-01-01"], [], None, None)]
+    venues = spark.createDataFrame([("a", "Hall A", "opera", True, None, "https://a"), ("b", "Hall B", "", False, "20:00", "https://b"), ("b", "Hall B", "", False, "20:00", "https://b")],
+                                   "venue_key string, venue_name string, category string, preserve_venue_name boolean, default_time string, page_url string")
+    defaults = spark.createDataFrame([("a", "price", "free"), ("b", "dates", "2026-06-01"), ("b", "note", "n")], "venue_key string, field string, default_value string")
+    out = N.venue_rows(spark.createDataFrame(rows, schema), venues, "2026-04-01", defaults, ["price", "dates", "note"])
+    got = {r.ord: (r.venue, r.type, r.dates, r.times, r.price, r.note, r.url, r.reject) for r in out.collect()}
+    assert got == {
+        1: ("Annex", "opera", ["2026-05-01"], ["19:00"], "free", None, "https://a", None),
+        3: ("Hall A", "opera", ["2026-05-02"], ["19:00"], "free", None, "https://a", None),
+        4: ("Hall B", "other", ["2026-06-01"], ["20:00"], "", "n", "https://b", None),
+        5: ("Hall B", "other", ["2026-05-01"], ["20:00"], None, "n", "https://b", "no title"),
+        6: ("Annex", "other", [], [], None, None, None, "no date"),
+        7: ("Annex", "other", ["2026-05-01", "2026-05-03"], ["19:00", "19:00"], "9", None, None, None),
+        8: ("Hall A", "opera", ["2020-01-01"], ["19:00"], "free", None, "https://a", "finished"),
+        9: ("Hall A", "opera", ["2020-01-01"], ["19:00"], "free", None, "https://a", "finished")}
+    assert N.venue_rows(spark.createDataFrame([], schema), venues, "2026-04-01").count() == 0
