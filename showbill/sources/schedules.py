@@ -25,50 +25,49 @@ def split_lines(docs: DataFrame, doc: str = "doc", text: str = "text") -> DataFr
 
 
 # Headings and entries are lines: blanks within them are never line ends.
-_MONTH_HEAD = r"##[ \t]+([A-Za-z]+)[ \t]+(\d{4})[ \t]*$"
-_DAY_HEAD = r"###[ \t]+(?:" + "|".join(WEEKDAYS_LONG) + r"),?[ \t]+([A-Za-z]+)[ \t]+(\d{1,2})[ \t]*$"
+_MONTH_HEAD = r"^##[ \t]+([A-Za-z]+)[ \t]+(\d{4})[ \t]*$"
+_DAY_HEAD = r"^###[ \t]+(?:" + "|".join(WEEKDAYS_LONG) + r"),?[ \t]+([A-Za-z]+)[ \t]+(\d{1,2})[ \t]*$"
 _ENTRY = r"^-[ \t]*\*\*(.+?)\*\*[ \t]*[—–-][ \t]*(.+?)[ \t]*$"
 
 
-def _heading_or_entry(line: Column) -> Column:
-    """What a line says: a month heading, a day heading or an entry; null for any other line.
+def _said(lines: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """Headings and film entries among the lines; other lines carry nothing and need not move.
 
-    ``set_month`` is there (with a null inside for an unknown name) where a line changes the month.
+    ``set_month`` is there (with a null inside for an unknown name) where a line changes the
+    month. The fields come out of a generator, so each line is read once.
     """
+    line = F.col("line")
+
     def said(year=None, set_month=None, day=None, title=None, times=None) -> Column:
         fields = (("year", year, "string"), ("set_month", set_month, "struct<month:int>"), ("day", day, "string"), ("title", title, "string"), ("times", times, "string"))
         return F.struct(*[(F.lit(None) if c is None else c).cast(kind).alias(name) for name, c, kind in fields])
 
-    def month(name: Column) -> Column:
-        return F.struct(full_month_number(name).cast("int").alias("month"))
+    def group(pattern: str, i: int) -> Column:  # only asked for where the pattern holds; no group of these can be empty
+        return F.regexp_extract(line, pattern, i)
 
-    day_month = month(match(line, _DAY_HEAD, 1))
-    return F.when(
-        F.startswith(line, F.lit("###")), F.when(line.rlike("^" + _DAY_HEAD), said(
-            set_month=F.when(day_month["month"].isNotNull(), day_month), day=match(line, _DAY_HEAD, 2)))
-    ).when(
-        F.startswith(line, F.lit("##")), F.when(line.rlike("^" + _MONTH_HEAD), said(
-            year=match(line, _MONTH_HEAD, 2), set_month=month(match(line, _MONTH_HEAD, 1))))
+    def month(pattern: str) -> Column:
+        return F.struct(full_month_number(group(pattern, 1)).cast("int").alias("month"))
+
+    read = F.when(
+        line.rlike(_DAY_HEAD), said(set_month=F.when(month(_DAY_HEAD)["month"].isNotNull(), month(_DAY_HEAD)), day=group(_DAY_HEAD, 2))
     ).when(
-        F.startswith(line, F.lit("-")), F.when(line.rlike(_ENTRY), said(
-            title=squeeze(match(line, _ENTRY, 1)), times=match(line, _ENTRY, 2))))
+        line.rlike(_MONTH_HEAD), said(year=group(_MONTH_HEAD, 2), set_month=month(_MONTH_HEAD))
+    ).when(line.rlike(_ENTRY), said(title=squeeze(group(_ENTRY, 1)), times=group(_ENTRY, 2)))
+    rows = lines.where(F.startswith(line, F.lit("##")) | F.startswith(line, F.lit("-"))).select(*keep, F.inline_outer(F.array(read)))
+    heading = F.col("year").isNotNull() | F.col("day").isNotNull()
+    return rows.where(heading | (F.col("title").isNotNull() & is_caps_title(F.col("title"))))
 
 
 _CARRIED = ("year", "set_month", "day")
 
 
-def _film(df: DataFrame) -> DataFrame:
-    """Headings, and entries that are films; other entries carry nothing and need not move."""
-    return df.where(F.col("title").isNull() | is_caps_title(F.col("title")))
-
-
 def _showings(rows: DataFrame, doc: str) -> DataFrame:
     """One row per readable time of the entries, which hold the headings above them."""
     date = F.concat(
         F.lpad("year", 4, "0"), F.lit("-"), F.lpad(F.col("set_month.month").cast("string"), 2, "0"), F.lit("-"), F.lpad("day", 2, "0"))
-    dated = rows.where(F.col("title").isNotNull()).select(doc, "title", date.alias("date"), F.explode(F.split("times", ",")).alias("chunk"))
-    return dated.select(doc, "title", "date", F.trim("chunk").alias("time_12"), to_24h(F.col("chunk")).alias("time_24")).where(
-        F.col("time_24").isNotNull() & F.col("date").isNotNull())
+    dated = rows.where(F.col("title").isNotNull()).select(doc, "title", date.alias("date"), "times").where(F.col("date").isNotNull())
+    read = parse_rows(dated, "times", F.split("times", ","), lambda chunk: [F.trim(chunk).alias("time_12"), to_24h(chunk).alias("time_24")])
+    return read.where(F.col("time_24").isNotNull())
 
 
 def schedule_doc(docs: DataFrame, doc: str = "doc", text: str = "text") -> DataFrame:
@@ -80,10 +79,8 @@ def schedule_doc(docs: DataFrame, doc: str = "doc", text: str = "text") -> DataF
     ``doc`` repeats. Unreadable times are dropped. Documents too long for a row come as
     lines: see ``schedule_lines``.
     """
-    lines = F.filter(F.split(text, r"\R"), lambda x: F.startswith(x, F.lit("##")) | F.startswith(x, F.lit("-")))
-    numbered = docs.select(doc, lines.alias("_lines"), F.monotonically_increasing_id().alias("_text"))
-    said = numbered.select(doc, "_text", F.posexplode(F.transform("_lines", _heading_or_entry)).alias("_pos", "_said"))
-    rows = _film(said.where(F.col("_said").isNotNull()).select(doc, "_text", "_pos", "_said.*"))
+    numbered = docs.select(doc, F.split(text, r"\R").alias("_lines"), F.monotonically_increasing_id().alias("_text"))
+    rows = _said(numbered.select(doc, "_text", F.posexplode("_lines").alias("_pos", "line")), [doc, "_text", "_pos"])
     above = Window.partitionBy("_text").orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return _showings(rows.withColumns({c: F.last(c, ignorenulls=True).over(above) for c in _CARRIED}), doc)
 
@@ -94,8 +91,7 @@ def schedule_lines(lines: DataFrame, doc: str = "doc") -> DataFrame:
     A document may span many tasks: see ``carry_forward``. Rows without document or
     position are left out.
     """
-    rows = lines.where(F.col(doc).isNotNull() & F.col("pos").isNotNull()).select(doc, "pos", _heading_or_entry(F.col("line")).alias("_said"))
-    rows = _film(rows.where(F.col("_said").isNotNull()).select(doc, "pos", "_said.*"))
+    rows = _said(lines.where(F.col(doc).isNotNull() & F.col("pos").isNotNull()), [doc, "pos"])
     return _showings(carry_forward(rows, doc, "pos", _CARRIED), doc)
 
 
