@@ -137,17 +137,18 @@ def merge_companions(event: DataFrame, screening: DataFrame, hint: DataFrame) ->
     """
     films = event.where(F.col("type").isin("movie", "screening")).select(
         F.col("event_key").alias("film_key"), F.lower("title").alias("film_title"))
+    films = written(films, "films")
     shown = screening.select(F.col("event_key").alias("film_key"), F.col("date").alias("hint_date")).distinct()
     by_title = films.join(shown, "film_key").groupBy("film_title", "hint_date").agg(
         F.min("film_key").alias("first_key"), F.max("film_key").alias("film_key"))
-    wanted = hint.withColumn("needle", F.lower(F.trim("hint_title"))).where(F.col("needle") != "")
+    wanted = written(hint.withColumn("needle", F.lower(F.trim("hint_title"))).where(F.col("needle") != ""), "hints")
     pairs = containing(films.select(F.col("film_title").alias("text")), wanted).withColumnRenamed("text", "film_title")
     # From the films' side each title leads to few hints; from the hints' side a common word
     # would lead to every film.
     best = by_title.join(pairs, "film_title").join(
         wanted.select("needle", "hint_date"), ["needle", "hint_date"], "left_semi").groupBy("needle", "hint_date").agg(
         F.min_by("film_key", "first_key").alias("film_key"))
-    matched = wanted.join(best, ["needle", "hint_date"]).select("event_key", "film_key", "hint_title", "hint_date")
+    matched = written(wanted.join(best, ["needle", "hint_date"]).select("event_key", "film_key", "hint_title", "hint_date"), "companions")
     own = ("title", "venue", "url", "description")
     fields = event.select("event_key", *[
         F.coalesce(F.col(c), F.lit("")).alias(c) if c in event.columns else F.lit("").alias(c) for c in own])

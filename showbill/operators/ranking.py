@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from showbill.functions.dates import as_date, day, iso_week, week_bounds
 from showbill.functions.facts import nonblank
 from showbill.functions.text import slug
+from showbill.operators.scale import written
 from showbill.values import (
     DIGEST_LIMIT, FEED_LIMIT, GROUP_LIMIT, PICKS_LIMIT, SECTION_ORDER, TEXT_DUMP_LIMIT,
     TOP_PICK_RATING,
@@ -201,17 +202,25 @@ def leader(weighted: DataFrame, by: str) -> DataFrame:
     ).select(by, "lead.title", (-F.col("lead.w")).alias("weight"))
 
 
+def _bias_and_leader(weighted: DataFrame, by: str, key: str, tag: str) -> DataFrame:
+    """``taste_bias`` and ``leader`` of every category or venue from one aggregate."""
+    liked = (F.col("weight") > 0) & (F.coalesce("title", F.lit("")) != "")
+    return weighted.groupBy(F.lower(F.col(by)).alias(key)).agg(
+        F.sum("weight").alias(f"{tag}_bias"),
+        F.min(F.when(liked, F.struct((-F.col("weight")).alias("w"), "title"))).alias("_lead"),
+    ).select(key, f"{tag}_bias", F.col("_lead.title").alias(f"{tag}_leader"))
+
+
 def attach_taste(picks: DataFrame, weighted: DataFrame) -> DataFrame:
     """Category and venue bias and leaders on every pick.
 
-    The four sides have a row per category or venue; Spark broadcasts the ones
-    its statistics show to be small.
+    The reader's weighted events are written once; the two sides have a row per category
+    or venue, and Spark broadcasts those its statistics show to be small.
     """
+    weighted = written(weighted, "weighted")
     out = picks.withColumns({"cat_key": F.lower("type"), "venue_key": F.lower("venue")})
     for by, key, tag in (("type", "cat_key", "cat"), ("venue", "venue_key", "venue")):
-        bias = taste_bias(weighted, by).select(F.col(by).alias(key), F.col("bias").alias(f"{tag}_bias"))
-        lead = leader(weighted, by).select(F.col(by).alias(key), F.col("title").alias(f"{tag}_leader"))
-        out = out.join(bias, key, "left").join(lead, key, "left")
+        out = out.join(_bias_and_leader(weighted, by, key, tag), key, "left")
     return out
 
 

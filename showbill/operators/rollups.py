@@ -11,7 +11,7 @@ from showbill.functions.facts import nonblank
 from showbill.functions.text import clean_name, labelled, slug
 from showbill.operators.grouping import first_row, upcoming
 from showbill.operators.filters import reader_label
-from showbill.operators.scale import position_in_group
+from showbill.operators.scale import position_in_group, written
 from showbill.values import CATEGORIES, LABELS_API, ROLE_OF_TYPE, SUGGEST_LIMIT
 
 
@@ -139,21 +139,33 @@ def merge_prospects(prospect: DataFrame) -> DataFrame:
         F.count("*").alias("mentions"))
 
 
-def person_pages(event: DataFrame, fields: Sequence[str], min_events: int = 2) -> DataFrame:
+def person_pages(event: DataFrame, fields: Sequence[str], min_events: int = 2, sharing_rows: int = 1_000_000) -> DataFrame:
     """People with enough events, each with a page name no one else has.
 
-    The first of a shared slug keeps it; the others get their role and a number.
+    The first of a shared slug keeps it; the others get their role and a number. Where no
+    slug is shared by more than ``sharing_rows`` people, each is numbered by one task.
     """
     rows = event_people(event, fields, clean=True).withColumn("name_key", F.lower("name"))
     totals = rows.groupBy("role", "name_key").agg(F.count("*").alias("total_events"), F.min_by("name", "event_key").alias("name"))
     pages = totals.where(F.col("total_events") >= min_events).withColumn(
         "slug", F.coalesce(F.nullif(slug(F.col("name")), F.lit("")), F.concat("role", F.lit("-unknown"))))
-    leading = pages.groupBy("slug").agg(F.min("role").alias("_lead_role"))
-    numbered = position_in_group(pages, ["slug", "role"], "name_key").join(leading, "slug")
+    # Only slugs that several people share need numbers, and few do.
+    pages = written(pages, "person-pages")
+    sharing = pages.groupBy("slug").agg(F.min("role").alias("_lead_role"), F.count("*").alias("_sharing"))
+    shared = written(sharing.where("_sharing > 1"), "shared-slugs")
+    fields = ["role", "name", "slug", "page", "total_events"]
+    alone = pages.join(shared, "slug", "left_anti").withColumn("page", F.col("slug")).select(*fields)
+    if shared.isEmpty():
+        return alone
+    rows = pages.join(shared, "slug")
+    if shared.agg(F.max("_sharing")).first()[0] <= sharing_rows:
+        at = F.row_number().over(Window.partitionBy("slug", "role").orderBy("name_key"))
+        numbered = rows.withColumn("position", at)
+    else:
+        numbered = position_in_group(rows, ["slug", "role"], "name_key")
     number = F.col("position") + F.when(F.col("role") == F.col("_lead_role"), 0).otherwise(1)
-    return numbered.withColumn(
-        "page", F.when(number == 1, F.col("slug")).otherwise(F.concat_ws("-", "slug", "role", number.cast("string")))
-    ).select("role", "name", "slug", "page", "total_events")
+    return alone.unionByName(numbered.withColumn(
+        "page", F.when(number == 1, F.col("slug")).otherwise(F.concat_ws("-", "slug", "role", number.cast("string")))).select(*fields))
 
 
 def reader_groups(event: DataFrame, screening: DataFrame) -> tuple[DataFrame, DataFrame]:
