@@ -6,11 +6,13 @@ from showbill.catalog.base import (
     LISTING, MONTH_NAME, MONTH_SHORT, SCREENING, TODAY, WEEKDAY_NAME, query, with_,
 )
 from showbill.catalog.normalize import DD, H12, HALF, MIN
+from showbill.sources import calls as CL
 from showbill.sources import pages as P
 from showbill.sources import responses as RS
 from showbill.sources import schedules as SC
 from showbill.sources import season as SE
 from showbill.sources import tables as T
+from showbill.streaming.jobs import work_folder
 
 
 # S01 ------------------------------------------------------------------------------------------
@@ -300,6 +302,19 @@ def x01(spark, sf):
     return out.select("doc_id", "content", F.col("error").isNotNull().alias("failed"))
 
 
+@query("x01_call_log", """
+  SELECT doc_id, 'review: ' || len(text) AS content, text IS NOT NULL AND NOT bool_or(doc_id % 2 = 0) OVER (PARTITION BY text) AS asked FROM documents""")
+def x01_log(spark, sf):
+    """The second run asks only what the first one, over the even documents, has not."""
+    def stub(prompts):
+        return "review: " + prompts.str.len().astype(str)
+
+    rows = T.table(spark, sf, "documents").select("doc_id", F.col("text").alias("prompt"))
+    log = f"{work_folder(spark)}/calls"
+    CL.run_logged(rows.where("doc_id % 2 = 0"), stub, log, "stub", "doc_id", buckets=8, batch=100)
+    return CL.run_logged(rows, stub, log, "stub", "doc_id", buckets=8, batch=100).drop("error")
+
+
 # S14, S15 -------------------------------------------------------------------------------------
 @query("s14_digest_entries", with_(SCREENING) + """
   , w AS (SELECT strftime(d, '%G-W%V') AS label, strftime(d - dow, '%Y-%m-%d') AS monday, count(*) AS n FROM screening GROUP BY ALL)

@@ -209,6 +209,75 @@ def test_model_seam_marks_only_its_own_failures(spark):
     assert got[3] == (None, "RuntimeError: no") and got[1] == ("P1", None)
 
 
+def test_logged_calls_are_never_repeated(spark, tmp_path):
+    from showbill.sources import calls as CL
+
+    log, seen = str(tmp_path / "log"), tmp_path / "seen"
+    seen.mkdir()
+
+    def fn(prompts, broken=("bad",)):
+        import uuid as u
+
+        for p in prompts:
+            (seen / f"{p}-{u.uuid4().hex}").write_text("")
+        if any(p in broken for p in prompts):
+            raise RuntimeError("no")
+        return prompts.str.upper()
+
+    def asked():
+        return sorted(f.name.rsplit("-", 1)[0] for f in seen.iterdir())
+
+    rows = spark.createDataFrame([(i, f"p{i % 4}") for i in range(8)] + [(8, "bad"), (9, None)], "event_key int, prompt string")
+    first = {r.event_key: tuple(r)[1:] for r in CL.run_logged(rows, fn, log, "m", buckets=3, tries=2, pause=0.01).collect()}
+    assert first == {i: (f"P{i % 4}", None, True) for i in range(8)} | {8: (None, "RuntimeError: no", False), 9: (None, None, False)}
+    assert asked() == ["bad", "bad", "p0", "p1", "p2", "p3"]  # equal prompts once, the failing one twice
+    more = rows.union(spark.createDataFrame([(10, "p9")], rows.schema))
+    again = {r.event_key: tuple(r)[1:] for r in CL.run_logged(more, lambda x: fn(x, ()), log, "m", buckets=3, pause=0.01).collect()}
+    assert again[0] == ("P0", None, False) and again[8] == ("BAD", None, True) and again[10] == ("P9", None, True)
+    assert asked() == ["bad"] * 3 + ["p0", "p1", "p2", "p3", "p9"]
+    assert CL.run_logged(rows.limit(1), fn, log, "other model", buckets=3).first().asked  # another model is another call
+    CL.compact_calls(spark, log, str(tmp_path / "small"))
+    assert CL.read_calls(spark, str(tmp_path / "small")).count() == CL.read_calls(spark, log).count() == 7
+
+
+def test_a_killed_run_goes_on_where_it_was(spark, tmp_path):
+    import os
+
+    import pytest
+
+    from showbill.sources import calls as CL
+
+    log, calls = str(tmp_path / "log"), tmp_path / "calls"
+    calls.mkdir()
+
+    def dying(prompts):
+        import uuid as u
+
+        if len(list(calls.iterdir())) >= 5:
+            os._exit(1)  # the worker is lost, with no chance to clean up
+        (calls / u.uuid4().hex).write_text("")
+        return prompts.str.upper()
+
+    rows = spark.createDataFrame([(i, f"p{i}") for i in range(12)], "event_key int, prompt string")
+    with pytest.raises(Exception):  # noqa: B017
+        CL.run_logged(rows, dying, log, "m", buckets=1)
+    assert CL.read_calls(spark, log).count() == 5
+    out = CL.run_logged(rows, lambda p: p.str.lower(), log, "m", buckets=1).collect()
+    assert sum(r.asked for r in out) == 7 and sorted(r.content for r in out)[:5] == sorted(r.content for r in out if not r.asked)
+
+
+def test_an_outage_ends_soon(spark, tmp_path):
+    from showbill.sources import calls as CL
+
+    def down(prompts):
+        raise OSError("down")
+
+    rows = spark.createDataFrame([(i, f"p{i}") for i in range(30)], "event_key int, prompt string")
+    out = CL.run_logged(rows, down, str(tmp_path / "log"), "m", buckets=1, tries=1, budget=4).collect()
+    assert sorted(r.error for r in out) == ["OSError: down"] * 4 + ["not asked: too many failures"] * 26
+    assert CL.run_logged(rows.limit(0), down, str(tmp_path / "log"), "m").count() == 0
+
+
 def test_parser_follows_nesting(spark):
     html = '<div class="item">a<div>b<div>c</div></div>d</div><div class="item x"><b>e</b></div><p class="item">f</p>'
     got = P.parse_blocks(spark.createDataFrame([(1, html), (2, None)], "id int, html string"), "id", "div", "item").collect()

@@ -300,3 +300,16 @@ def test_venue_rows(spark):
         8: ("Hall A", "opera", ["2020-01-01"], ["19:00"], "free", None, "https://a", "finished"),
         9: ("Hall A", "opera", ["2020-01-01"], ["19:00"], "free", None, "https://a", "finished")}
     assert N.venue_rows(spark.createDataFrame([], schema), venues, "2026-04-01").count() == 0
+
+
+def test_person_pages_by_tasks_and_by_ranges(spark):
+    from showbill.operators import rollups as RU
+
+    rnd = random.Random(4)
+    names = ["Ann Lee", "Ann  Lee", "ann-lee", "Ánn Lee", "Bo", "BO!", "Cy Young", "!!!", "???"]
+    from showbill.values import ROLE_OF_TYPE
+
+    rows = [(i, rnd.choice(sorted(ROLE_OF_TYPE)), rnd.choice(names), rnd.choice(names)) for i in range(300)]
+    event = spark.createDataFrame(rows, "event_key int, type string, director string, composer string")
+    got = [sorted(map(tuple, RU.person_pages(event, ["director", "composer"], sharing_rows=n).collect()), key=str) for n in (0, 1_000_000)]
+    assert got[0] == got[1] and len({r[3] for r in got[0]}) == len(got[0]) > 8
