@@ -7,10 +7,12 @@ from showbill.catalog.ranking import SIGNAL
 from showbill.functions.text import slug
 from showbill.operators import filters as FL
 from showbill.operators import grouping as G
+from showbill.operators import postings as PO
 from showbill.operators import ranking as R
 from showbill.operators.publish import valid_events
 from showbill.sources import signals
 from showbill.sources import tables as T
+from showbill.streaming.jobs import work_folder
 
 
 @query("f01_valid_events", with_(SCREENING, EVENT) + """
@@ -67,6 +69,23 @@ def f06(spark, sf):
     return FL.search(T.event(spark, sf), T.showings(spark, sf), " Bolt ", TODAY).select("event_key", "title")
 
 
+SEARCHED = ("bolt", " B ", "er", "book club", "t 1", "no such text")
+
+
+@query("f06_search_postings", with_(SCREENING, EVENT) + f"""
+  , q AS (SELECT unnest({list(SEARCHED)}) AS q)
+  SELECT q, event_key FROM event, q WHERE contains(lower(title), lower(trim(q))) OR contains(lower(venue), lower(trim(q))) OR contains(type, lower(trim(q)))
+    OR contains(CASE type WHEN 'movie' THEN 'film' ELSE replace(type, '_', ' ') END, lower(trim(q)))""")
+def f06_postings(spark, sf):
+    root = work_folder(spark)
+    PO.write_postings(T.event(spark, sf), root, shard_rows=2000)
+    parts = [PO.matching_events(spark, root, q).select(F.lit(q).alias("q"), "event_key") for q in SEARCHED]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 @query("f06_search_label_or_date", with_(SCREENING, EVENT) + """
   SELECT event_key, 'book club' AS q FROM event WHERE type = 'book_club'
   UNION ALL SELECT event_key, 'june 15' FROM event WHERE event_key IN (SELECT event_key FROM screening WHERE month(d) = 6 AND day(d) = 15)""")

@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import os
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -71,7 +72,7 @@ def folder(spark: SparkSession, root: str, version: int) -> str:
     return f"{root.rstrip('/')}/{_details(spark, root, version)['folder']}"
 
 
-def commit(df: DataFrame, root: str, snapshot: str = "", base: int | None = None) -> int:
+def commit(df: DataFrame, root: str, snapshot: str = "", base: int | None = None, partition_by: Sequence[str] = ()) -> int:
     """Writes the rows as the next version and returns its number.
 
     With ``base``, the version the rows were made from, the commit holds only if that is
@@ -81,7 +82,7 @@ def commit(df: DataFrame, root: str, snapshot: str = "", base: int | None = None
     """
     spark = df.sparkSession
     data = f"data/{uuid.uuid4().hex}"
-    df.write.parquet(f"{root.rstrip('/')}/{data}")
+    df.write.partitionBy(*partition_by).parquet(f"{root.rstrip('/')}/{data}")
     entry = json.dumps({"snapshot": snapshot, "folder": data, "schema": df.schema.json()})
     version = max(log(spark, root), default=0) if base is None else base
     while True:

@@ -313,3 +313,22 @@ def test_person_pages_by_tasks_and_by_ranges(spark):
     event = spark.createDataFrame(rows, "event_key int, type string, director string, composer string")
     got = [sorted(map(tuple, RU.person_pages(event, ["director", "composer"], sharing_rows=n).collect()), key=str) for n in (0, 1_000_000)]
     assert got[0] == got[1] and len({r[3] for r in got[0]}) == len(got[0]) > 8
+
+
+def test_search_by_postings(spark, tmp_path):
+    from showbill.operators import filters as FL
+    from showbill.operators import postings as PO
+
+    rnd = random.Random(12)
+    rows = [(i, "".join(rnd.choice("aBé %_.") for _ in range(rnd.randint(0, 12))), rnd.choice(["Hall A", "", None]), rnd.choice(["movie", "book_club", None])) for i in range(300)]
+    rows += [(300, "ab" * 2000, "Hall A", "movie"), (301, None, None, None)]
+    event = spark.createDataFrame(rows, "event_key long, title string, venue string, type string")
+    for n, root in ((50, str(tmp_path / "many")), (10_000, str(tmp_path / "one"))):
+        assert PO.write_postings(event, root, shard_rows=n) == 1
+        for query in ("a", "AB", "é", "%_", "a é", "baé", "book club", "hall", "ab" * 15, "zzz", " "):
+            got = sorted(r[0] for r in PO.matching_events(spark, root, query).collect())
+            want = event.where(FL.text_match(query)) if query.strip() else PO.searchable(event).select("event_key").distinct()
+            assert got == sorted(r.event_key for r in want.collect()), query
+    assert [r[0] for r in PO.matching_values(spark, root, "HALL", "venue").collect()] == ["Hall A"]
+    assert PO.write_postings(event.limit(0), root) == 2 and PO.matching_events(spark, root, "a").count() == 0
+    assert PO.matching_events(spark, root, "book club", version=1).count() > 0  # a held version stays
