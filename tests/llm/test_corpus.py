@@ -5,8 +5,10 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from showbill.llm import (
@@ -375,6 +377,80 @@ def test_alignment_finds_all_segments_in_budget():
                 assert found[s] == best, (trial, s)
 
 
+def test_every_occurrence_and_part(spark):
+    """Items that stand twice, in part, edited, with a common opening and across the borders of pieces."""
+    rng = random.Random(41)
+    opening = syllables(rng, 40)[:160]
+    items = [(i, opening + syllables(rng, 40)) for i in range(5)] + [(9, syllables(rng, 60)), (9, syllables(rng, 12))]
+    whole = items[5][1]
+    rows = [(1, syllables(rng, 30) + ". " + whole + ". " + syllables(rng, 30) + ". " + whole),
+            (2, syllables(rng, 30) + ". " + whole[:100] + ". " + syllables(rng, 30)),
+            (3, syllables(rng, 10) + ". " + opening + ". " + syllables(rng, 30)),
+            (4, " ".join([items[6][1]] * 7)), (5, whole[::-1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("item_id", F.lit("x")).withColumn("_lower", F.lit(1))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = defaultdict(list)
+    for r in sorted(decontaminate.contaminated(docs, benchmark).collect(), key=lambda r: r.start):
+        got[r.doc_id, r.item_id].append((r.start, r.end, r.share))
+    text = rows[0][1]
+    first = text.index(whole)
+    assert got[1, 9] == [(p, p + len(whole), 1.0) for p in (first, text.index(whole, first + 1))]
+    (start, end, share), = got[2, 9]
+    assert 0 < share < 0.5 and whole[:100].startswith(rows[1][1][start:end])
+    assert [(len(got[3, i]), got[3, i][0][1] - got[3, i][0][0]) for i in range(5)] == [(1, 160)] * 5
+    assert len(got[4, 9]) == 7 and {s for *_, s in got[4, 9]} == {1.0}
+    assert {d for d, _ in got} == {1, 2, 3, 4}
+    kept = decontaminate.drop_contaminated(docs, benchmark)
+    # 160 bytes of an item in one run are enough, whatever its length
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 5]
+    assert sorted(r.doc_id for r in decontaminate.drop_contaminated(docs, benchmark, share=0.01).collect()) == [5]
+
+
+def test_segment_places_match_brute_force():
+    """Every place of a segment within its budget overlaps with a found one that is no worse, at any block size."""
+    rng = random.Random(43)
+    items = [(i, syllables(rng, 25).encode()) for i in range(4)]
+    index = decontaminate.Index(items)
+    for trial in range(6):
+        text = []
+        for _ in range(6):
+            part = list(rng.choice(items)[1].decode())
+            for _ in range(rng.randrange(0, 14)):
+                p = rng.randrange(len(part))
+                part[p:p + 1] = rng.choice([["q"], [], [part[p], "z"]])
+            text += [syllables(rng, rng.randint(0, 4)), "".join(part)]
+        raw_text = " ".join(text).encode()
+        data = decontaminate.normalised(raw_text)[0]
+        found = index._located([raw_text])
+        for hits in (1, 50):
+            assert (index._located([raw_text], hits=hits) == found).all()
+        for s, part in enumerate(index.texts):
+            row = list(range(len(part) + 1))
+            ends = []
+            for e, c in enumerate(data.tobytes(), 1):
+                old, row = row, [0]
+                for j, x in enumerate(part, 1):
+                    row.append(min(old[j - 1] + (c != x), old[j] + 1, row[j - 1] + 1))
+                if row[-1] <= index.budget[s]:
+                    ends.append((e, row[-1]))
+            mine = [(int(e), int(k)) for _, t, e, k in found if t == s]
+            assert set(mine) <= set(ends)
+            for e, k in ends:
+                assert any(abs(e - at) < len(part) - index.budget[s] and least <= k for at, least in mine), (trial, s, e, k)
+
+
+def test_pieces_of_a_long_text():
+    rng = random.Random(47)
+    item = syllables(rng, 30)
+    index = decontaminate.Index([(1, item.encode())])
+    text = " ".join(x for _ in range(40) for x in (item, syllables(rng, rng.randint(20, 60)))).encode()
+    whole, cut = ([np.stack([c.astype(np.int64) for c in m], axis=1).tolist() for m in index.matches([b"", text, b"x"], piece_bytes=size)]
+                  for size in (1 << 20, 1500))
+    assert whole == cut and sum(map(len, whole)) == 40
+    few = [r for m in index.matches([text], rows=1) for r in m[4].tolist()]
+    assert few == [r[4] for m in whole for r in m]
+
+
 def test_licenses(spark, docs, empty):
     rng = random.Random(23)
     names = list(licenses.TEMPLATES)
