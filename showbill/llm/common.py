@@ -45,6 +45,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def placed(docs: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """The rows with columns named _0, _1, ... by place, which no other name meets, and where ``names`` are among them."""
+    def place(name):
+        if name in docs.columns:
+            return docs.columns.index(name)
+        return [c.lower() for c in docs.columns].index(name)
+
+    return docs.toDF(*[f"_{i}" for i in range(len(docs.columns))]), [f"_{place(n)}" for n in names]
+
+
 def id_or_least(name: str = "doc_id"):
     """The id as a long that is never null."""
     return F.coalesce(F.col(name).cast("long"), F.lit(NULL_ID))

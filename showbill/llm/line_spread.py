@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from showbill.llm.common import id_or_least, stored
+from showbill.llm.common import id_or_least, placed, stored
 
 #: Sites on which a line must stand to count as boilerplate.
 MIN_SITES = 10
@@ -14,8 +14,8 @@ MIN_SITES = 10
 ERROR = 0.1
 
 
-def _lines():
-    return F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")
+def _lines(text: str = "text"):
+    return F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), "\n")
 
 
 def _positions(docs: DataFrame, *kept: str) -> DataFrame:
@@ -47,7 +47,8 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, error: float = ERRO
     return rows.select("doc_id", "text_hash", "pos", "line").join(lines.select("line", "first"), "line")
 
 
-def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, error: float = ERROR) -> DataFrame:
+def drop_boilerplate(
+        docs: DataFrame, min_sites: int = MIN_SITES, error: float = ERROR, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
     """All rows and columns of ``docs`` with boilerplate lines cut from ``text``, plus n_lines and n_removed.
 
     Lines are the parts between line feeds; they are compared without the blanks around
@@ -55,22 +56,35 @@ def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, error: float =
     (a null source is no site) stays where it stands first (smallest doc_id, position) and
     goes everywhere else. A null text has one blank line and stays null; a null doc_id
     counts as the smallest. Equal rows that repeat a doc_id stand at the same place and
-    fare alike. An empty table gives no rows. Columns named n_lines or n_removed are
-    replaced.
+    fare alike. An empty table gives no rows. ``counts`` names the two numbers, which replace
+    columns of these names; columns of any other name are kept.
     """
     found = boilerplate(docs, min_sites, error)
     cuts = found.where(F.struct("doc_id", "text_hash", "pos") != F.col("first")).groupBy(
         F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).agg(F.array_sort(F.collect_set("pos")).alias("_cut"))
-    columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    rows = docs.select(*columns, id_or_least().alias("_own"), F.xxhash64("text").alias("_own_hash")).join(
+    kept = docs.drop(*counts)
+    rows, (doc_id, text) = placed(kept, "doc_id", "text")
+    rows = rows.withColumns({"_own": id_or_least(doc_id), "_own_hash": F.xxhash64(text)}).join(
         cuts, (F.col("_own") == F.col("_doc")) & (F.col("_own_hash") == F.col("_hash")), "left")
     lines, cut = F.col("_lines"), F.col("_cut")
     bounds = F.concat(F.array(F.lit(-1)), cut, F.array(F.size(lines)))
     # whole stretches between cuts, so that the work is linear in the lines
     stretches = F.transform(F.sequence(F.lit(0), F.size(cut)), lambda i: F.slice(
         lines, F.element_at("_bounds", i + 1) + 2, F.element_at("_bounds", i + 2) - F.element_at("_bounds", i + 1) - 1))
-    rows = rows.withColumn("_lines", _lines()).withColumn("_bounds", bounds)
-    text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(stretches), "\n"))
+    rows = rows.withColumn("_lines", _lines(text)).withColumn("_bounds", bounds)
+    new = F.when(F.col("_cut").isNull(), F.col(text)).otherwise(F.array_join(F.flatten(stretches), "\n"))
     return rows.select(
-        *[text.alias("text") if c == "text" else F.col(c) for c in columns],
-        F.size("_lines").cast("long").alias("n_lines"), F.coalesce(F.size("_cut"), F.lit(0)).cast("long").alias("n_removed"))
+        *[(new if f"_{i}" == text else F.col(f"_{i}")).alias(c) for i, c in enumerate(kept.columns)],
+        F.size("_lines").cast("long").alias(counts[0]), F.coalesce(F.size("_cut"), F.lit(0)).cast("long").alias(counts[1]))
+
+
+def drop_emptied(docs: DataFrame, min_sites: int = MIN_SITES, error: float = ERROR) -> DataFrame:
+    """The rows and columns of ``docs`` without boilerplate lines; a row that held no other line goes.
+
+    Rows that were null, empty or blank before stay. Columns of any name are kept.
+    """
+    fresh = max(map(len, docs.columns)) * "_" + "_"
+    out = drop_boilerplate(docs, min_sites, error, (f"{fresh}lines", f"{fresh}removed"))
+    rows, (text, removed) = placed(out, "text", f"{fresh}removed")
+    emptied = (F.col(removed) > 0) & (F.trim(F.regexp_replace(text, "\n", "")) == "")
+    return rows.where(F.coalesce(~emptied, F.lit(True))).toDF(*out.columns).select(*[f"`{c}`" for c in docs.columns])

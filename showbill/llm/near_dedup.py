@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from showbill.llm.common import batch_of, id_or_least, id_or_null, raw_texts, stored, text_blocks
+from showbill.llm.common import batch_of, id_or_least, id_or_null, placed, raw_texts, stored, text_blocks
 from showbill.llm.words import mixed, shingle_sets
 
 #: Minima of a signature at most.
@@ -33,9 +33,9 @@ _B = _RNG.integers(0, 2**64, MINIMA, dtype=_U)
 _ROW = _RNG.integers(0, 2**64, MINIMA, dtype=_U) | _U(1)
 _BAND = _RNG.integers(0, 2**64, MINIMA, dtype=_U)
 
-_SIGNED = "doc_id long, n_shingles long, set_id binary, bands array<long>, signature binary"
+_SIGNED = "doc_id long, text_hash long, n_shingles long, set_id binary, bands array<long>, signature binary"
 _SIGNED_ARROW = pa.schema([
-    ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary()),
+    ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary()),
     ("bands", pa.list_(pa.int64())), ("signature", pa.binary())])
 
 
@@ -81,7 +81,7 @@ def _signed(n_bands: int, n_rows: int):
             ends = np.cumsum(sizes)
             names = [hashlib.blake2b(values[e - n:e].tobytes(), digest_size=16).digest() if n else None
                      for e, n in zip(ends, sizes, strict=True)]
-            yield batch_of(_SIGNED_ARROW, [rows.column(0), sizes, names, bands, marks])
+            yield batch_of(_SIGNED_ARROW, [rows.column(0), rows.column(2), sizes, names, bands, marks])
 
     return run
 
@@ -100,7 +100,9 @@ def _pieces(sizes: np.ndarray, limit: int = 1 << 14):
 def signatures(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """Per row: set size, id of the shingle set, band hashes and the shortened signature."""
     bands, rows, _ = banding(similarity)
-    return docs.select(id_or_least().alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_signed(bands, rows), _SIGNED)
+    text = F.col("text").cast("string")
+    return docs.select(id_or_least().alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash")).mapInArrow(
+        _signed(bands, rows), _SIGNED)
 
 
 def _agreeing(n: int, least: float):
@@ -291,6 +293,12 @@ def near_duplicates(docs: DataFrame, family: int = FAMILY, similarity: int = SIM
     one component anyway, and classes whose smallest doc_id is the same are one vertex. An
     empty table gives no rows; other columns than doc_id and text are not read.
     """
+    return _judged(docs, family, similarity).select(
+        id_or_null(F.col("doc_id")).alias("doc_id"), "n_shingles", id_or_null(F.col("component")).alias("component_id"), "kept")
+
+
+def _judged(docs: DataFrame, family: int, similarity: int) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component and kept of every row; a null id is the least number."""
     signed = stored(signatures(docs, similarity), "near-signed")
     full = signed.where("n_shingles > 0")
     classes = stored(full.groupBy("set_id").agg(
@@ -307,14 +315,24 @@ def near_duplicates(docs: DataFrame, family: int = FAMILY, similarity: int = SIM
         found = stored(components(stored(links.unionByName(more), "near-links"), "near-all"), "near-all")
     names = classes.select("set_id", "rep").join(found, F.col("rep") == F.col("node"), "left").select(
         "set_id", F.coalesce("component", "rep").alias("component"))
-    rows = signed.select("doc_id", "n_shingles", "set_id").join(names, "set_id", "left")
+    rows = signed.select("doc_id", "text_hash", "n_shingles", "set_id").join(names, "set_id", "left")
     component = F.coalesce("component", "doc_id")
-    return rows.select(
-        id_or_null(F.col("doc_id")).alias("doc_id"), "n_shingles", id_or_null(component).alias("component_id"),
-        (F.col("doc_id") == component).alias("kept"))
+    return rows.select("doc_id", "text_hash", "n_shingles", component.alias("component"), (F.col("doc_id") == component).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, family: int = FAMILY, similarity: int = SIMILARITY) -> DataFrame:
-    """The documents that stand for their group, each once, with all their columns."""
-    kept = near_duplicates(docs, family, similarity).where("kept").select(id_or_least().alias("_kept")).distinct()
-    return docs.join(kept, id_or_least() == F.col("_kept"), "left_semi").dropDuplicates(["doc_id", "text"])
+    """The documents that stand for their group, each once, with all their columns.
+
+    A row is known by its doc_id and text: of texts that repeat an id, those that are copies of
+    another document go and the others stay. Rows that repeat both stay once. A null or empty
+    text, or one of blanks, is linked with nothing, and all its rows stay, also under one id or
+    none. An empty table gives no rows; columns of any name are kept.
+    """
+    rows, (doc_id, text) = placed(docs, "doc_id", "text")
+    plain = rows.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    kept = _judged(plain, family, similarity).where("kept and n_shingles > 0").select(
+        F.col("doc_id").alias("_own"), F.col("text_hash").alias("_own_hash")).distinct()
+    worded = F.coalesce(F.col(text).cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    stay = rows.where(worded).join(
+        kept, (id_or_least(doc_id) == F.col("_own")) & (F.xxhash64(F.col(text).cast("string")) == F.col("_own_hash")), "left_semi")
+    return stay.dropDuplicates([doc_id, text]).unionByName(rows.where(~worded)).toDF(*docs.columns)

@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from showbill.llm.common import placed
+
 #: Half rounds of the Feistel network.
 ROUNDS = 10
 #: Letters or digits of a mail name that are permuted together.
@@ -315,17 +317,19 @@ def pseudonymize(docs: DataFrame, key: str) -> DataFrame:
     +1 (ddd) ddd-dddd may have any digits). A value becomes another of
     its kind and form, one to one under the key; dates agree over all notations. A null text
     stays null with nothing found, an empty text stays empty. Repeated rows fare alike, ids
-    are not read, and an empty table gives no rows. A column named found is replaced.
+    are not read, and an empty table gives no rows. A column named found is replaced; columns
+    of any other name are kept.
     """
-    text = F.col("text").cast("string")
-    columns = [c for c in docs.columns if c != "found"]
+    kept = docs.drop("found")
+    rows, (own,) = placed(kept, "text")
+    text = F.col(own).cast("string")
     # texts without a digit or @ have no value and are not searched
     matches = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(f"({_ANY})"), F.lit(1))).otherwise(F.array().cast("array<string>"))
-    rows = docs.select(*columns, matches.alias("_matches"))
+    rows = rows.withColumn("_matches", matches)
     rows = rows.withColumn("_new", F.transform("_matches", lambda v: pseudonym(v, key)))
     pieces = F.zip_with(
         F.split(text, _ANY, -1), F.transform("_new", lambda p: p["text"]),
         lambda piece, value: F.concat(piece, F.coalesce(value, F.lit(""))))
     changed = F.when(F.size("_matches") > 0, F.array_join(pieces, "")).otherwise(text)
     found = F.coalesce(F.flatten(F.transform("_new", lambda p: p["found"])), F.array().cast("array<struct<kind:string,new:string>>"))
-    return rows.select(*[changed.alias("text") if c == "text" else F.col(c) for c in columns], found.alias("found"))
+    return rows.select(*[(changed if f"_{i}" == own else F.col(f"_{i}")).alias(c) for i, c in enumerate(kept.columns)], found.alias("found"))

@@ -673,6 +673,40 @@ def test_stages_keep_columns(spark, docs, rows, tmp_path):
     assert Counter(r.doc_id for r in near.collect()) == Counter(list(want) + [13])
 
 
+HELPERS = ["_kept", "_own", "_own_hash", "_doc", "_hash", "_cut", "_lines", "_bounds", "_matches", "_new", "_lower", "_0", "_1", "n_lines",
+           "n_removed", "found", "kept", "set_id", "component", "n_shingles", "text_hash", "pos", "line", "first", "sites", "a.b"]
+
+
+def test_clashing_columns(spark, tmp_path):
+    """Columns named like helpers and results come back with their values."""
+    rng = random.Random(53)
+    line = "the same line on every site"
+    texts = [syllables(rng, 80) + "\n" + line for _ in range(12)] + [line]
+    rows = [(i, t, "en", f"s{i}", *[100 * i + k for k in range(len(HELPERS))]) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "lang", "source", *HELPERS])
+    spark.createDataFrame([(1, syllables(rng, 30))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for _, stage in corpus_pipeline.STAGES[1:-1]:
+        done = stage(spark, docs, str(tmp_path))
+        assert done.columns == docs.columns and done.dtypes == docs.dtypes
+        got = {r[0]: r[4:] for r in done.collect()}
+        assert set(range(12)) <= set(got) and all(v == rows[i][4:] for i, v in got.items())
+    for done, own in ((line_spread.drop_boilerplate(docs), ("n_lines", "n_removed")), (pseudonyms.pseudonymize(docs, "k"), ("found",))):
+        theirs = [c for c in docs.columns if c not in own]
+        assert done.columns == [*theirs, *own]
+        keep = [docs.columns.index(c) for c in theirs if c != "text"]
+        assert sorted([r[done.columns.index(docs.columns[k])] for k in keep] for r in done.collect()) == [[r[k] for k in keep] for r in rows]
+
+
+def test_repeated_ids_of_near_duplicates(spark):
+    """A copy under a repeated id goes; what has no words is linked with nothing and stays."""
+    rng = random.Random(59)
+    base, other = syllables(rng, 60), syllables(rng, 60)
+    rows = [(1, base), (2, base), (2, other), (2, other), (None, None), (None, None), (None, ""), (None, ""), (3, " "), (3, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = Counter(rows) - Counter([(2, base), (2, other)])
+    assert Counter(map(tuple, near_dedup.drop_near_duplicates(docs).collect())) == want
+
+
 def test_pipeline(spark, sf_dir):
     got = corpus_pipeline.run(spark, sf_dir).collect()
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
