@@ -21,9 +21,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without cross-site lines; one that held nothing else goes with them."""
-    out = line_spread.drop_boilerplate(docs)
-    emptied = (F.col("n_removed") > 0) & (F.trim(F.regexp_replace("text", "\n", "")) == "")
-    return out.where(F.coalesce(~emptied, F.lit(True))).select(*docs.columns)
+    return line_spread.drop_emptied(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
