@@ -56,14 +56,16 @@ def apply_overrides(event: DataFrame, rules: Sequence[dict] | DataFrame) -> Data
     A rule names any of title (contained, any case), venue and type (equal). Every rule is
     one key, title piece, venue and type with a mark for each that it leaves open, and every
     event looks up the four combinations of its venue and type with the pieces of its title:
-    an equi join for any number of rules. A null title, venue or type fits only rules that
-    leave it open.
+    an equi join for any number of rules. Of the rules with one key only the first can count,
+    so an event meets at most one rule a key. A null title, venue or type fits only rules
+    that leave it open.
     """
     if not isinstance(rules, DataFrame):
         rules = event.sparkSession.createDataFrame(
             [(no, r.get("title"), r.get("venue"), r.get("type"), r["rating"], r.get("summary")) for no, r in enumerate(rules, 1)],
             "rule_no int, title string, venue string, type string, rating int, summary string")
-    table = override_rules(rules)
+    key = ["needle", "any_v", "v", "any_t", "t"]
+    table = override_rules(rules).groupBy(*key).agg(F.min(F.struct("rule_no", "rating", "summary")).alias("rule"))
 
     def either(field: str) -> list[tuple[Column, Column]]:
         return [(F.lit(False), F.col(field)), (F.lit(True), F.lit(""))]
@@ -73,8 +75,7 @@ def apply_overrides(event: DataFrame, rules: Sequence[dict] | DataFrame) -> Data
     keyed = event.select("event_key", F.lower("title").alias("text"), F.explode(combos).alias("c")).select("event_key", "text", "c.*")
     pieces = containing(event.select(F.lower("title").alias("text")).distinct(), table)
     looked = keyed.join(pieces, "text").unionByName(keyed.withColumn("needle", F.lit(""))).drop("text")
-    best = looked.join(table, ["needle", "any_v", "v", "any_t", "t"]).groupBy("event_key").agg(
-        F.min(F.struct("rule_no", "rating", "summary")).alias("override"))
+    best = looked.join(table, key).groupBy("event_key").agg(F.min("rule").alias("override"))
     return event.join(best, "event_key", "left")
 
 

@@ -332,3 +332,15 @@ def test_search_by_postings(spark, tmp_path):
     assert [r[0] for r in PO.matching_values(spark, root, "HALL", "venue").collect()] == ["Hall A"]
     assert PO.write_postings(event.limit(0), root) == 2 and PO.matching_events(spark, root, "a").count() == 0
     assert PO.matching_events(spark, root, "book club", version=1).count() > 0  # a held version stays
+
+
+def test_of_rules_with_one_key_only_the_first_is_joined(spark):
+    rules = spark.createDataFrame([(no, "Ring", None if no % 2 else "Hall", no % 7) for no in range(40, 0, -1)],
+                                  "rule_no int, title string, venue string, rating int")
+    event = spark.createDataFrame([(i, f"the ring {i}", "Hall" if i % 3 else "Cellar", "movie") for i in range(30)],
+                                  "event_key int, title string, venue string, type string")
+    out = J.apply_overrides(event, rules)
+    assert {(r.override.rule_no, r.override.rating) for r in out.collect()} == {(1, 1)}
+    assert {r.override.rule_no for r in J.apply_overrides(event, rules.where("rule_no <> 1")).where("venue = 'Hall'").collect()} == {2}
+    # an event meets one rule a key, so the rules are grouped by their key below the join
+    assert "Aggregate [needle" in out._jdf.queryExecution().optimizedPlan().toString()
