@@ -79,6 +79,23 @@ def response_events(responses: DataFrame, schema: str, text: str = "text") -> Da
     return easy.unionByName(hard).select(*keep, "pos", "e.*")
 
 
+def _answered(frames: Iterator[pd.DataFrame], fn: Callable[[pd.Series], pd.Series], key: str, batch: int) -> Iterator[pd.DataFrame]:
+    """The answers to each frame of prompts as one frame; handing on a frame costs more than a small call."""
+    for frame in frames:
+        prompts, content, error = frame["prompt"], [], []
+        for at in range(0, len(frame), batch):
+            part = prompts.iloc[at:at + batch]
+            try:
+                got, failed = fn(part).tolist(), None
+            except Exception as exc:  # the caller's function may raise anything
+                got, failed = [None] * len(part), f"{type(exc).__name__}: {exc}"
+            if len(got) != len(part):
+                raise ValueError(f"{len(got)} answers for {len(part)} prompts")
+            content += got
+            error += [failed] * len(part)
+        yield pd.DataFrame({key: frame[key].tolist(), "content": content, "error": error})
+
+
 def run_model(requests: DataFrame, fn: Callable[[pd.Series], pd.Series], key: str = "event_key",
               partitions: int | None = None, batch: int = 100) -> DataFrame:
     """(key, content, error) of the caller's function over (key, prompt) rows.
@@ -86,17 +103,7 @@ def run_model(requests: DataFrame, fn: Callable[[pd.Series], pd.Series], key: st
     ``partitions`` caps how many calls run at the same time (as many as the rows have, if it
     is not given), ``batch`` how many prompts one call gets. A call that fails marks its own prompts only.
     """
-    def call(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for at in range(0, len(frame), batch):
-                part = frame.iloc[at:at + batch]
-                try:
-                    content, error = fn(part["prompt"]).tolist(), [None] * len(part)
-                except Exception as exc:  # the caller's function may raise anything
-                    content, error = [None] * len(part), [f"{type(exc).__name__}: {exc}"] * len(part)
-                yield pd.DataFrame({key: part[key].tolist(), "content": content, "error": error})
-
     kind = dict(requests.dtypes)[key]
     rows = requests.select(key, "prompt")
-    return (rows.repartition(partitions) if partitions else rows).mapInPandas(call, f"{key} {kind}, content string, error string")
+    return (rows.repartition(partitions) if partitions else rows).mapInPandas(lambda frames: _answered(frames, fn, key, batch), f"{key} {kind}, content string, error string")
 

@@ -322,3 +322,21 @@ def test_empty_and_unclosed_elements(spark):
     rows = spark.createDataFrame([("<div class='a'></div>x",), ("<div class=a>open <div>in</div> on",), ("<p>none</p>",), (None,)], "html string")
     texts = [r[0] for r in rows.select(P.element(F.col("html"), "div", "a")).collect()]
     assert texts == [None, "open <div>in</div> on", None, None]
+
+
+def test_answers_to_a_frame_are_handed_on_as_one_frame():
+    calls = []
+
+    def fn(prompts):
+        calls.append(len(prompts))
+        if "bad" in prompts.tolist():
+            raise RuntimeError("no")
+        return prompts.str.upper()
+
+    frame = pd.DataFrame({"k": [1, 2, 3, 4, 5], "prompt": ["a", "b", "bad", "c", "d"]})
+    out = list(RS._answered(iter([frame, frame]), fn, "k", 2))
+    assert calls == [2, 2, 1] * 2 and len(out) == 2
+    assert out[0]["content"].tolist() == ["A", "B", None, None, "D"]
+    assert out[0]["error"].tolist() == [None, None, "RuntimeError: no", "RuntimeError: no", None]
+    with pytest.raises(ValueError):
+        list(RS._answered(iter([frame]), lambda prompts: prompts[:0], "k", 2))
