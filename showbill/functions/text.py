@@ -58,18 +58,26 @@ def fold_ascii(col: Column) -> Column:
     that become several is not taken apart.
     """
     src, dst, multi = fold_table()
-    several = "[" + "".join(c for c, _ in multi) + "]"
-    plain = F.map_from_arrays(F.lit([c for c, _ in multi]), F.lit([p for _, p in multi]))
-    spelt = F.array_join(F.transform(F.regexp_extract_all(col, F.lit("(?s)."), F.lit(0)), lambda c: F.coalesce(F.try_element_at(plain, c), c)), "")
-    out = F.when(col.rlike(several), spelt).otherwise(col)
-    folded = F.regexp_replace(F.translate(out, src, dst), r"[^\x00-\x7F]", "")
-    return F.when(col.rlike(r"[^\x00-\x7F]"), folded).otherwise(col)
+    apart = r"[^\x00-\x7F]"
+    spellings = F.lit([p for _, p in multi])
+    among = F.lit("".join(c for c, _ in multi))
+
+    def plain(char: Column) -> Column:  # what one character beyond ASCII becomes
+        return let(F.instr(among, char), lambda at: F.when(at > 0, F.try_element_at(spellings, at)).otherwise(""))
+
+    def spelt(text: Column) -> Column:  # only these characters are looked up, the pieces between them stay
+        return let(F.translate(text, src, dst), lambda t: F.array_join(F.zip_with(
+            F.split(t, apart, -1), F.regexp_extract_all(t, F.lit(apart), F.lit(0)),
+            lambda piece, char: F.concat(piece, F.coalesce(plain(char), F.lit("")))), ""))
+
+    return let(col, lambda text: F.when(text.rlike(apart), spelt(text)).otherwise(text))
 
 
 def fold_marks(col: Column) -> Column:
     """Accents removed; characters without an ASCII form stay."""
     src, dst, _ = fold_table(_LATIN_BLOCKS)
-    return F.regexp_replace(F.translate(col, src, dst), r"[̀-ͯ]", "")
+    bare = F.regexp_replace(F.translate(col, src, dst), r"[̀-ͯ]", "")
+    return F.when(col.rlike(r"[^\x00-\x7F]"), bare).otherwise(col)
 
 
 # --- slugs ----------------------------------------------------------------------
@@ -96,8 +104,7 @@ def slug(col: Column, dialect: str = "plain") -> Column:
     if dialect == "plain":
         return strip(hyphenate(fold_ascii(text)))
     if dialect == "safe":
-        body = strip(hyphenate(fold_ascii(text)))
-        return F.when(body == "", "event").otherwise(body)
+        return let(strip(hyphenate(fold_ascii(text))), lambda body: F.when(body == "", "event").otherwise(body))
     if dialect == "event_id":
         return F.translate(F.lower(text), " '\":,", "-")
     if dialect == "file":
@@ -106,8 +113,7 @@ def slug(col: Column, dialect: str = "plain") -> Column:
     if dialect == "cross":
         return strip(hyphenate(F.trim(text)))
     if dialect == "share":
-        body = strip(hyphenate(fold_marks(text)))
-        return F.when(text == "", "").when(body == "", "event").otherwise(body)
+        return F.when(text == "", "").otherwise(let(strip(hyphenate(fold_marks(text))), lambda body: F.when(body == "", "event").otherwise(body)))
     raise ValueError(f"unknown slug dialect {dialect!r}")
 
 

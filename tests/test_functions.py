@@ -231,3 +231,13 @@ def test_fold_of_every_code_point(spark):
     got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(8).select("i", fold_ascii(F.col("t")).alias("f")).collect()
     want = [None if t is None else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode() for t in texts]
     assert [r["f"] for r in sorted(got)] == want
+
+
+def test_fold_looks_up_only_what_is_beyond_ascii(spark):
+    from showbill.functions.text import fold_ascii, fold_marks
+
+    rows = spark.createDataFrame([("plain",), ("5 ㎏ of 𝐀bc €é",), ("ﬃ",), ("Ｆｕｌｌ ǅ",), ("",), (None,)], "t string")
+    out = rows.select("t", fold_ascii(F.col("t")).alias("f"), fold_marks(F.col("t")).alias("m"))
+    assert [r["f"] for r in out.collect()] == ["plain", "5 kg of Abc e", "ffi", "Full Dz", "", None]
+    assert [r["m"] for r in out.where("t = 'plain' or t = '' or t is null").collect()] == ["plain", "", None]
+    assert "(?s)." not in out._jdf.queryExecution().optimizedPlan().toString()
