@@ -259,7 +259,7 @@ RAW_BULLETS = """concat('- [ ] Before (other) — x\n<!-- BEGIN -->\n- [ ] ', ti
   UNION ALL SELECT ord, 'Third', 'dance', 'plain text', '' FROM screening""")
 def s12(spark, sf):
     docs = T.screening(spark, sf).select("ord", F.expr(RAW_BULLETS).alias("text"))
-    return SC.prospect_bullets(SC.split_lines(docs, "ord"), "ord", ("BEGIN", "END")).drop("pos")
+    return SC.prospect_docs(docs, "ord", ("BEGIN", "END")).drop("pos")
 
 
 # S13, X03 -------------------------------------------------------------------------------------

@@ -123,15 +123,20 @@ def _no_refs(col: Column) -> Column:
 
 def between_markers(lines: DataFrame, doc: str, begin: str, end: str) -> DataFrame:
     """Lines between the first ``begin`` and the first ``end`` line of each document."""
-    spans = lines.groupBy(doc).agg(
+    spans = lines.where(F.col("line").contains(begin) | F.col("line").contains(end)).groupBy(doc).agg(
         F.min(F.when(F.col("line").contains(begin), F.col("pos"))).alias("_from"),
         F.min(F.when(F.col("line").contains(end), F.col("pos"))).alias("_to"))
     return lines.join(spans, doc).where((F.col("pos") > F.col("_from")) & (F.col("pos") < F.col("_to"))).drop("_from", "_to")
 
 
 def prospect_bullets(lines: DataFrame, doc: str = "doc", markers: tuple[str, str] | None = None) -> DataFrame:
-    """"- [ ] Name (category) — text — url" lines; the last link counts."""
-    rows = lines if markers is None else between_markers(lines, doc, *markers)
+    """"- [ ] Name (category) — text — url" lines; the last link counts.
+
+    The lines of a document may come from many rows. Documents that are rows: see ``prospect_docs``.
+    """
+    rows = lines
+    if markers is not None:  # only bullets and marker lines meet
+        rows = between_markers(lines.where(F.col("line").rlike(_BULLET) | F.col("line").contains(markers[0]) | F.col("line").contains(markers[1])), doc, *markers)
     rows = parse_rows(rows.where(F.col("line").rlike(_BULLET)), "line", F.array("line"), lambda line: [
         _no_refs(match(line, _BULLET, 1)).alias("name"),
         F.replace(F.lower(F.trim(match(line, _BULLET, 2))), F.lit(" "), F.lit("_")).alias("category"),
@@ -145,6 +150,30 @@ def prospect_bullets(lines: DataFrame, doc: str = "doc", markers: tuple[str, str
         doc, "pos", "name", "category", _no_refs(F.when(url != "", before).otherwise(text)).alias("description"), url.alias("url"))
 
 
+def prospect_docs(docs: DataFrame, doc: str = "doc", markers: tuple[str, str] | None = None, text: str = "text") -> DataFrame:
+    """``prospect_bullets`` of whole documents, one a row: the markers are sought inside the row and nothing moves.
+
+    Rows without ``doc`` are left out where there are markers; rows that repeat ``doc`` are each read on their own.
+    """
+    lines = F.split(text, r"\r?\n")
+    if markers is None:
+        return prospect_bullets(split_lines(docs, doc, text), doc)
+
+    def first(lines: Column, marker: str) -> Column:
+        return F.array_position(F.transform(lines, lambda x: x.contains(marker)), F.lit(True)).cast("int")
+
+    def within(lines: Column) -> Column:
+        def cut(span: Column) -> Column:
+            numbered = F.transform(lines, lambda x, i: F.struct(i.alias("pos"), x.alias("line")))
+            held = (span["a"] > 0) & (span["b"] > span["a"] + 1)
+            return F.when(held, F.slice(numbered, span["a"] + 1, span["b"] - span["a"] - 1))
+
+        return let(F.struct(first(lines, markers[0]).alias("a"), first(lines, markers[1]).alias("b")), cut)
+
+    rows = docs.where(F.col(doc).isNotNull()).select(doc, F.inline(let(lines, within)))
+    return prospect_bullets(rows, doc)
+
+
 _WEEK_FILE = r"^(\d{4}-W\d{2})\.html$"
 _META = r'(?i)<meta\s+name="description"\s+content="([^"]*)"'
 _PICK = r'(?i)(<li[^>]*class="[^"]*\bweekly-pick\b[^"]*")'

@@ -340,3 +340,13 @@ def test_answers_to_a_frame_are_handed_on_as_one_frame():
     assert out[0]["error"].tolist() == [None, None, "RuntimeError: no", "RuntimeError: no", None]
     with pytest.raises(ValueError):
         list(RS._answered(iter([frame]), lambda prompts: prompts[:0], "k", 2))
+
+
+def test_prospects_of_whole_documents_equal_those_of_their_lines(spark):
+    texts = ["- [ ] a (x)\nBEGIN\n- [x] b (y) — see https://a.org/b\r\nno\nEND\n- [ ] c (z)", "BEGIN\nEND\n- [ ] d (x)", "END\nBEGIN\n- [ ] e (x)",
+             "- [ ] f (x)\nEND", "BEGIN\n- [ ] g (x)", "BEGIN END\n- [ ] h (x)\nEND", "BEGIN\n- [ ] BEGIN i (x)\nEND\nEND", "", None]
+    docs = spark.createDataFrame([*enumerate(texts), (None, texts[0])], "doc int, text string")
+    for markers in (("BEGIN", "END"), None):
+        whole = SC.prospect_docs(docs, "doc", markers)
+        assert sorted(whole.collect(), key=str) == sorted(SC.prospect_bullets(SC.split_lines(docs), "doc", markers).collect(), key=str)
+        assert whole.count() > 0 and "Exchange" not in whole._jdf.queryExecution().executedPlan().toString()
