@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -111,14 +111,15 @@ class Taste(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("taste", "thumb int, saved boolean")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        signals = pd.concat(list(rows)).sort_values(["ts", "ord"], kind="stable")
-        thumb, saved = self.state.get() if self.state.exists() else (0, False)
-        for value in signals["thumb"].dropna():
-            thumb = 0 if thumb == value else int(value)
-        saved ^= bool(signals["saved"].sum() % 2)
-        self.state.update((thumb, bool(saved)))
-        yield pd.DataFrame({"user_id": [key[0]], "k": [key[1]], "thumb": [thumb], "saved": [bool(saved)]})
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        signals = sorted(rows, key=lambda r: (r.ts is None, r.ts, r.ord is None, r.ord))
+        thumb, saved = self.state.get() or (0, False)
+        for signal in signals:
+            if signal.thumb is not None:
+                thumb = 0 if thumb == signal.thumb else signal.thumb
+            saved ^= signal.saved
+        self.state.update((thumb, saved))
+        yield Row(user_id=key[0], k=key[1], thumb=thumb, saved=saved)
 
     def close(self) -> None:
         pass
@@ -128,11 +129,12 @@ def stream_keyed_taste(signals: DataFrame) -> DataFrame:
     """The new thumb and save of every (reader, event) that a batch has signals for.
 
     Signals without reader or event are left out; within a batch they count by ts, then ord.
+    The many small groups go through as rows, since a frame for each would cost more than its work.
     """
     use_rocks_db(signals.sparkSession)
     rows = signals.where("user_id is not null and k is not null").select(
         F.col("user_id").cast("long").alias("user_id"), F.col("k").cast("long").alias("k"), "thumb", F.coalesce("saved", F.lit(False)).alias("saved"), "ts", "ord")
-    return rows.groupBy("user_id", "k").transformWithStateInPandas(
+    return rows.groupBy("user_id", "k").transformWithState(
         statefulProcessor=Taste(), outputStructType="user_id long, k long, thumb int, saved boolean", outputMode="Update", timeMode="None")
 
 

@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from showbill.streaming import jobs as ST
+from showbill.streaming import state as KS
 
 SIGNAL = "user_id int, k int, thumb int, saved boolean, ts timestamp, ord int"
 
@@ -143,3 +144,17 @@ def test_alarm_when_all_sources_fall_silent(spark, tmp_path):
     # after a restart the state is known: a new row arms the timer again
     spark.createDataFrame([("a", dt.datetime.now())], schema).coalesce(1).write.parquet(f"{source}/part=1")
     assert watch(3) == [("a", False, 2), ("a", False, 3), ("never", True, 0)]
+
+
+def test_keyed_taste_counts_by_time_then_number_and_takes_nulls_last(spark, tmp_path):
+    rows = [(1, 1, 1, False, "2024-01-02", 1), (1, 1, -1, False, "2024-01-01", 9), (1, 1, 1, False, "2024-01-02", 2), (2, 1, 1, False, None, 1),
+            (2, 1, -1, False, "2024-01-01", 2), (3, 1, None, True, "2024-01-01", 1), (3, 1, None, None, "2024-01-01", None), (None, 1, 1, False, "2024-01-01", 1)]
+    spark.createDataFrame(rows, "user_id long, k long, thumb int, saved boolean, ts string, ord long").withColumn(
+        "ts", F.col("ts").cast("timestamp")).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).parquet(str(tmp_path / "in"))
+    out = KS.stream_keyed_taste(stream)
+    # groups go through as rows, not as a frame each
+    assert "InPandas" not in out._jdf.queryExecution().logical().toString()
+    ST.run_now(out.writeStream.format("noop").outputMode("update"), str(tmp_path / "work"))
+    got = {(r.user_id, r.k): (r.thumb, r.saved) for r in KS.taste_now(spark, str(tmp_path / "work/progress")).collect()}
+    assert got == {(1, 1): (0, False), (2, 1): (1, False), (3, 1): (0, True)}
