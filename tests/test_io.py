@@ -350,3 +350,14 @@ def test_prospects_of_whole_documents_equal_those_of_their_lines(spark):
         whole = SC.prospect_docs(docs, "doc", markers)
         assert sorted(whole.collect(), key=str) == sorted(SC.prospect_bullets(SC.split_lines(docs), "doc", markers).collect(), key=str)
         assert whole.count() > 0 and "Exchange" not in whole._jdf.queryExecution().executedPlan().toString()
+
+
+def test_dealt_rows_are_the_same_in_even_tasks(spark, sf_dir):
+    from showbill.sources import tables as T
+
+    rows = T.dealt(spark, sf_dir, "lineitem")
+    plain = T.table(spark, sf_dir, "lineitem")
+    assert rows.exceptAll(plain).isEmpty() and plain.exceptAll(rows).isEmpty()
+    sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    assert rows.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+    assert max(sizes) < 3 * sum(sizes) / rows.rdd.getNumPartitions()
