@@ -289,17 +289,19 @@ def wrap(col: Column, width: int, max_lines: int) -> Column:
 
     def add(lines: Column, word: Column) -> Column:
         joined = F.concat(F.coalesce(F.get(lines, F.size(lines) - 1), F.lit("")), F.lit(" "), word)
-        fits = (F.size(lines) > 0) & (F.length(joined) <= width)
-        kept = F.when(fits, F.slice(lines, F.lit(1), F.size(lines) - 1)).otherwise(lines)
-        return F.concat(kept, F.array(F.when(fits, joined).otherwise(word)))
-
-    lines = F.aggregate(words, F.array().cast("array<string>"), add)
-    last = F.concat(F.substring(F.get(lines, F.lit(max_lines - 1)), 1, width - 1), F.lit("…"))
-    return (
-        F.when(F.size(lines) == 0, F.array(F.lit("")))
-        .when(F.size(lines) > max_lines, F.concat(F.slice(lines, 1, max_lines - 1), F.array(last)))
-        .otherwise(lines)
-    )
+        return let(joined, lambda line: F.when(
+            (F.size(lines) > 0) & (F.length(line) <= width), F.concat(F.slice(lines, F.lit(1), F.size(lines) - 1), F.array(line))).otherwise(
+            F.concat(lines, F.array(word))))
+
+    def cut(lines: Column) -> Column:
+        last = F.concat(F.substring(F.get(lines, F.lit(max_lines - 1)), 1, width - 1), F.lit("…"))
+        return (
+            F.when(F.size(lines) == 0, F.array(F.lit("")))
+            .when(F.size(lines) > max_lines, F.concat(F.slice(lines, 1, max_lines - 1), F.array(last)))
+            .otherwise(lines)
+        )
+
+    return let(F.aggregate(words, F.array().cast("array<string>"), add), cut)
 
 
 # --- names ----------------------------------------------------------------------

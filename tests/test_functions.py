@@ -241,3 +241,24 @@ def test_fold_looks_up_only_what_is_beyond_ascii(spark):
     assert [r["f"] for r in out.collect()] == ["plain", "5 kg of Abc e", "ffi", "Full Dz", "", None]
     assert [r["m"] for r in out.where("t = 'plain' or t = '' or t is null").collect()] == ["plain", "", None]
     assert "(?s)." not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_wrap_equals_the_greedy_rule_and_lays_lines_once(spark):
+    from showbill.functions.text import wrap
+
+    def greedy(text, width, most):
+        lines = []
+        for word in (text or "").split():
+            word = word[:width - 1] + "…" if len(word) > width else word
+            if lines and len(lines[-1]) + 1 + len(word) <= width:
+                lines[-1] += " " + word
+            else:
+                lines.append(word)
+        return lines[:most - 1] + [lines[most - 1][:width - 1] + "…"] if len(lines) > most else lines or [""]
+
+    texts = ["a bb ccc dddd eeeee ffffff", "extraordinarily long", "one", "a b c d e f g h i j k l m n", "", "  ", None, "abcdefg hi", "xx " * 30]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for width, most in ((7, 3), (4, 2), (14, 1)):
+        out = rows.select("t", wrap(F.col("t"), width, most).alias("w"))
+        assert [r["w"] for r in out.collect()] == [greedy(t, width, most) for t in texts]
+        assert out._jdf.queryExecution().logical().toString().lower().count("aggregate(") + out._jdf.queryExecution().logical().toString().lower().count("reduce(") == 1
