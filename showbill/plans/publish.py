@@ -22,13 +22,18 @@ def group_listings(listing: DataFrame, fields: Sequence[str]) -> tuple[DataFrame
     keyed = listing.where(F.size("dates") > 0).withColumn("group_key", F.when(by_title, F.col("title")).otherwise(
         grouping.unique_key(F.col("title"), F.col("dates"), F.col("times"))))
     wanted = ["ord", *fields]
-    # one pass gives first and last rows; the last listing of an event brings its showings along
+    # One pass gives first and last rows; the last listing of an event brings its showings along. A row goes
+    # into one of the results only, and these lie by key alone, as the showings do that meet them.
     of_event = ("dates", "times", "type", "venue", "url")
     row = F.struct(*dict.fromkeys([*wanted, *of_event]))
-    kept = keyed.groupBy("group_key", by_title.alias("_film")).agg(
-        F.when(F.col("_film"), F.min_by(row, "ord")).otherwise(F.max_by(row, "ord")).alias("_row"))
+    film, other = F.coalesce(by_title, F.lit(False)), F.coalesce(~by_title, F.lit(False))
+    results = {"film": (film, F.min_by), "other": (other, F.max_by), "untyped": (by_title.isNull(), F.max_by)}
+    found = keyed.groupBy("group_key").agg(*[c for name, (holds, take) in results.items() for c in (
+        F.bool_or(holds).alias(f"_is_{name}"), take(row, F.when(holds, F.col("ord"))).alias(name))])
+    kept = found.select("group_key", F.inline(F.array_compact(F.array(*[
+        F.when(F.col(f"_is_{name}"), F.struct(F.lit(name).alias("_kind"), F.col(name).alias("_row"))) for name in results]))))
     events = kept.select("group_key", *[F.col(f"_row.{f}").alias(f) for f in wanted])
-    others = kept.where("not _film").select("group_key", *[F.col(f"_row.{f}").alias(f) for f in ("ord", *of_event)])
+    others = kept.where("_kind = 'other'").select("group_key", *[F.col(f"_row.{f}").alias(f) for f in ("ord", *of_event)])
     listed = keyed.where(by_title).select("group_key", "ord", *of_event).unionByName(others)
     return events, grouping.zip_dates_times(listed).select("group_key", "ord", "type", "date", "time", "venue", "url")
 
