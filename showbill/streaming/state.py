@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -42,28 +41,27 @@ class Silence(StatefulProcessor):
         self.state = handle.getValueState("seen", "seen long, rows long, alive long")
 
     def _arm(self, alive: int) -> None:
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
         self.handle.registerTimer(alive // 1000 + self.limit_ms)
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        since = int(initialState["since"].max())
-        self.state.update((None, 0, since))
-        self._arm(since)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        seen, n, alive = self.state.get() if self.state.exists() else (None, 0, None)
-        for frame in rows:
-            last = int(frame["seen"].max())
-            seen, n = last if seen is None else max(seen, last), n + int(frame["rows"].sum())
-        alive = seen if alive is None else max(alive, seen)
-        self.state.update((seen, n, alive))
-        self._arm(alive)
-        yield pd.DataFrame()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.update((None, 0, initialState.since))
+        self._arm(initialState.since)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        held = self.state.get()
+        seen, n, alive = held or (None, 0, None)
+        for row in rows:
+            seen, n = row.seen if seen is None else max(seen, row.seen), n + row.rows
+        now = seen if alive is None else max(alive, seen)
+        self.state.update((seen, n, now))
+        if held and alive // 1000 != now // 1000:  # the timer before, if it has not gone off
+            self.handle.deleteTimer(alive // 1000 + self.limit_ms)
+        self._arm(now)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         seen, n, alive = self.state.get()
-        yield pd.DataFrame({"source": [key[0]], "seen": pd.array([seen], "Int64"), "alarm": [alive + 1000 * self.limit_ms], "rows": [n]})
+        yield Row(source=key[0], seen=seen, alarm=alive + 1000 * self.limit_ms, rows=n)
 
     def close(self) -> None:
         pass
@@ -90,14 +88,15 @@ def silent_sources(stream: DataFrame, registry: DataFrame, source: str, at: str,
     sources of the ``registry`` (source, since) that have never sent. Out come source,
     last_seen (null if it never sent), alarm_at and the number of rows so far. Rows without
     source or time are no sign of life. Each task hands on one row per source, so that a
-    source with very many rows sends few.
+    source with very many rows sends few. The many small groups go through as rows, and a
+    source's timer is known from its state.
     """
     use_rocks_db(stream.sparkSession)
     alive = stream.select(F.col(source).cast("string").alias("source"), F.unix_micros(F.col(at).cast("timestamp")).alias("seen")).where(
         "source is not null and seen is not null").mapInArrow(_latest, "source string, seen long, rows long")
     known = registry.select(F.col(source).cast("string").alias("source"), F.unix_micros(F.col("since").cast("timestamp")).alias("since")).where(
-        "source is not null and since is not null")
-    alarms = alive.groupBy("source").transformWithStateInPandas(
+        "source is not null and since is not null").groupBy("source").agg(F.max("since").alias("since"))
+    alarms = alive.groupBy("source").transformWithState(
         statefulProcessor=Silence(limit_seconds * 1000), outputStructType="source string, seen long, alarm long, rows long",
         outputMode="Append", timeMode="ProcessingTime", initialState=known.groupBy("source"))
     return alarms.select(F.col("source").alias(source), F.timestamp_micros("seen").alias("last_seen"), F.timestamp_micros("alarm").alias("alarm_at"), "rows")
