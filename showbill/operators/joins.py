@@ -184,17 +184,24 @@ def _first_come(frame):
     return pd.DataFrame({key: kept})
 
 
+def _round(open_: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(listings that are first on all their showings, pairs that are open without these and what they block).
+
+    A showing is taken if its first listing wins, since a winner is the first on all of its own.
+    """
+    first = open_.groupBy("showing_key").agg(F.min(key).alias("_first"))
+    judged = written(open_.join(first, "showing_key"), "listing-judged")
+    winners = written(judged.groupBy(key).agg(F.bool_and(F.col(key) == F.col("_first")).alias("_wins")).where("_wins").select(key), "listing-winners")
+    settled = judged.join(winners.withColumnRenamed(key, "_first"), "_first", "left_semi").select(key).distinct()
+    return winners, written(open_.join(settled, key, "left_anti"), "listing-open")
+
+
 def _kept_in_rounds(open_: DataFrame, key: str) -> DataFrame:
     """What the sequential rule keeps, settled in as many rounds as the longest chain of overlaps is long."""
     kept = open_.select(key).limit(0)
     while not open_.isEmpty():
-        first = open_.groupBy("showing_key").agg(F.min(key).alias("_first"))
-        judged = open_.join(first, "showing_key")
-        winners = written(judged.groupBy(key).agg(F.bool_and(F.col(key) == F.col("_first")).alias("_wins")).where("_wins").select(key), "listing-winners")
+        winners, open_ = _round(open_, key)
         kept = kept.unionByName(winners)
-        taken = open_.join(winners, key, "left_semi").select("showing_key").distinct()
-        settled = open_.join(taken, "showing_key", "left_semi").select(key).distinct()
-        open_ = written(open_.join(settled, key, "left_anti"), "listing-open")
     return kept
 
 
@@ -203,32 +210,52 @@ def new_listings(shows: DataFrame, known: DataFrame, key: str = "ord", group_row
 
     ``shows`` has one row per (listing, showing_key); ``known`` the stored showing keys.
     The rule is sequential: an earlier listing that is itself dropped blocks nobody. A
-    listing with no shared showing stays. The others fall into groups that overlap, found by
-    contraction in a number of rounds that grows with the logarithm of the longest chain,
-    and each group is settled in order by one task. Only a group of more than ``group_rows``
-    rows is settled in rounds across tasks, one for each link of its longest chain.
+    listing with no shared showing stays. The others and their shared showings get numbers
+    in the order of their keys, and only numbers move from there on. They are settled in
+    rounds across tasks while a round leaves less than half of the rows open. What is left,
+    such as long chains, falls into groups that overlap, found by contraction in a number of
+    rounds that grows with the logarithm of the longest chain, and each group is settled in
+    order by one task. Only a group of more than ``group_rows`` rows is settled in rounds
+    to its end, one for each link of its longest chain.
     """
+    n = int(shows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = shows.select(key, "showing_key").distinct()
     blocked = pairs.join(known.select("showing_key").distinct(), "showing_key", "left_semi").select(key).distinct()
     open_ = written(pairs.join(blocked, key, "left_anti"), "listing-open")
-    shared = open_.groupBy("showing_key").agg(F.min(key).alias("_first"), F.max(key).alias("_last")).where("_first < _last")
-    links = written(open_.join(shared, "showing_key").select(F.col(key).alias("a"), F.col("_first").alias("b"), "showing_key"), "listing-links")
-    free = open_.select(key).distinct().join(links.select(F.col("a").alias(key)), key, "left_anti")
     # a showing that one listing has alone takes no part in the rule
-    groups = connected(links.select("a", "b"))
-    rows = links.select(F.col("a").alias(key), "showing_key").join(groups.withColumnRenamed("node", key), key)
+    shared = open_.groupBy("showing_key").agg(F.min(key).alias("_first"), F.max(key).alias("_last")).where("_first < _last")
+    shared = written(shared.select("showing_key", F.monotonically_increasing_id().alias("_show")), "listing-shared")
+    links = open_.join(shared, "showing_key").select(key, "_show")
+    # the ids of sorted ranges rise with the key
+    numbers = written(links.where(F.col(key).isNotNull()).select(key).distinct().repartitionByRange(n, key).sortWithinPartitions(key).withColumn(
+        "_no", F.monotonically_increasing_id()), "listing-numbers")
+    free = open_.select(key).distinct().join(numbers.select(key), key, "left_anti")
+    left = written(links.join(numbers, key).select("_no", F.col("_show").alias("showing_key")), "listing-links")
+    kept, before, rows = left.select("_no").limit(0), 0, left.count()
+    while rows and (not before or 2 * rows < before):
+        winners, left = _round(left, "_no")
+        kept, before, rows = kept.unionByName(winners), rows, left.count()
+    if rows:
+        kept = kept.unionByName(_kept_in_groups(left, "_no", n, group_rows))
+    return free.unionByName(numbers.join(kept, "_no", "left_semi").select(key))
+
+
+def _kept_in_groups(open_: DataFrame, key: str, n: int, group_rows: int) -> DataFrame:
+    """What the sequential rule keeps, group by group of overlapping listings."""
+    first = open_.groupBy("showing_key").agg(F.min(key).alias("b"))
+    groups = connected(open_.join(first, "showing_key").select(F.col(key).alias("a"), "b"))
+    rows = open_.join(groups.withColumnRenamed("node", key), key)
     sizes = rows.groupBy("group").agg((F.count("*") <= group_rows).alias("_small"))
     rows = written(rows.join(sizes, "group").select("group", key, "showing_key", "_small"), "listing-groups")
-    kind = dict(rows.dtypes)[key]
     # many small groups go through one task together, about ``group_rows`` rows at most besides the last group
-    parts = max(int(shows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + rows.count() // group_rows)
+    parts = max(n, 1 + rows.count() // group_rows)
     part = F.pmod(F.xxhash64("group"), F.lit(parts)).alias("_part")
     small = rows.where("_small").select(key, "showing_key", part).repartition(parts, "_part")
-    kept = small.groupBy("_part").applyInPandas(lambda frame: _first_come(frame[[key, "showing_key"]]), f"`{key}` {kind}")
+    kept = small.groupBy("_part").applyInPandas(lambda frame: _first_come(frame[[key, "showing_key"]]), f"`{key}` {dict(rows.dtypes)[key]}")
     large = rows.where("not _small").select(key, "showing_key")
     if not large.isEmpty():
         kept = kept.unionByName(_kept_in_rounds(large, key))
-    return free.unionByName(kept)
+    return kept
 
 
 def new_names(candidate: DataFrame, known: DataFrame, name: str = "name") -> DataFrame:
@@ -253,9 +280,13 @@ def refresh_regressions(old: DataFrame, new: DataFrame, protected: Sequence[str]
     Both tables have venue, title, ord, dates and the protected text fields. Titles are
     compared trimmed and lower-cased, the last row of a title counts.
     """
-    def index(df: DataFrame) -> DataFrame:
-        keyed = df.withColumn("title_key", F.lower(F.trim("title"))).where(F.col("title_key") != "")
-        return first_row(keyed, ["venue", "title_key"], ["title", "dates", *protected], last=True)
+    def length(name: str) -> Column:
+        return F.length(F.trim(F.coalesce(name, F.lit(""))))
+
+    def keyed(df: DataFrame, is_new: bool) -> DataFrame:
+        row = F.struct("title", "dates", F.array(*[length(f) for f in protected]).alias("lengths"))
+        return df.select("venue", F.lower(F.trim("title")).alias("title_key"), "ord", F.lit(is_new).alias("new"), row.alias("row")).where(
+            F.col("venue").isNotNull() & (F.col("title_key") != ""))
 
     counts = old.groupBy("venue").agg(F.count("*").alias("n"))
     kept = new.select("venue").distinct()
@@ -263,23 +294,25 @@ def refresh_regressions(old: DataFrame, new: DataFrame, protected: Sequence[str]
     whole = emptied.select("venue", F.lit(None).cast("string").alias("title"), F.concat(
         F.lit("would drop all "), F.col("n").cast("string"), F.lit(" events")).alias("problem"))
 
-    before, after = index(old).join(kept, "venue", "left_semi"), index(new)
-    after = after.select("venue", "title_key", *[F.col(c).alias(f"new_{c}") for c in ("title", "dates", *protected)])
-    both = before.join(after, ["venue", "title_key"], "left")
-    gone = F.col("new_title").isNull()
-    lost = F.array_sort(F.array_except("dates", "new_dates"))
-    checks = [
-        F.when(gone, F.lit("disappeared")),
-        F.when(~gone & (F.size(lost) > 0), F.concat(F.lit("lost dates "), F.array_join(lost, ", "))),
-    ]
-    for f in protected:
-        a, b = F.trim(F.coalesce(f, F.lit(""))), F.trim(F.coalesce(f"new_{f}", F.lit("")))
-        blanked = (a != "") & (b == "")
-        shrank = (a != "") & (F.length(b) < F.floor(F.length(a) / 2))
-        checks.append(F.when(~gone & blanked, F.lit(f"blanked {f}")).when(~gone & shrank, F.concat(
-            F.lit(f"{f} shrank from "), F.length(a).cast("string"), F.lit(" to "), F.length(b).cast("string"))))
+    # Old and new rows of a title meet in one aggregate. Texts are only compared by their length, so that no more is moved.
+    def last(of_new: Column) -> Column:
+        return F.max_by("row", F.when(of_new, F.col("ord")))
+
+    both = keyed(old, False).unionByName(keyed(new, True)).groupBy("venue", "title_key").agg(
+        F.bool_or(~F.col("new")).alias("was"), last(~F.col("new")).alias("a"), last(F.col("new")).alias("b")).where("was")
+    both = both.select("venue", F.col("a.title").alias("title"), "a", "b")
+    gone = F.col("b").isNull()
+    lost = F.array_sort(F.array_except("a.dates", "b.dates"))
+    checks = [F.when(F.size(lost) > 0, F.concat(F.lit("lost dates "), F.array_join(lost, ", ")))]
+    for i, f in enumerate(protected):
+        x, y = (F.coalesce(F.col(side)["lengths"][i], F.lit(0)) for side in ("a", "b"))
+        checks.append(F.when((x > 0) & (y == 0), F.lit(f"blanked {f}")).when((x > 0) & (y < F.floor(x / 2)), F.concat(
+            F.lit(f"{f} shrank from "), x.cast("string"), F.lit(" to "), y.cast("string"))))
+    # a title can only be gone from a venue that is still there; where it is not gone the venue is
+    vanished = both.where(gone).select("venue", "title", F.lit("disappeared").alias("problem")).join(kept, "venue", "left_semi")
+    both = both.where(~gone)
     rows = both.select("venue", "title", F.explode(F.filter(F.array(*checks), lambda x: x.isNotNull())).alias("problem"))
-    return whole.unionByName(rows)
+    return whole.unionByName(vanished).unionByName(rows)
 
 
 def pair_score(a: Column, b: Column) -> Column:
