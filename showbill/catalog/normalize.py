@@ -422,7 +422,7 @@ std AS (
       WHEN COALESCE(end_date, list_max(clean_dates)) < '{TODAY}' THEN 'finished' END AS reject
   FROM std""")
 def p42(spark, sf):
-    out = N.standardize(T.listing(spark, sf), TODAY, "19:00", F.lit("https://example.org/"))
+    out = N.standardize(T.listing(spark, sf, lineitem=T.dealt(spark, sf, "lineitem")), TODAY, "19:00", F.lit("https://example.org/"))
     return out.select("ord", "title", F.array_join("dates", ",").alias("dates"), F.array_join("times", ",").alias("times"),
                       "end_date", "reject")
 
@@ -445,7 +445,7 @@ def p42(spark, sf):
   FROM judged QUALIFY reject IS NOT NULL OR row_number() OVER (PARTITION BY supp_key, lower(title), dates[1], reject ORDER BY ord) = 1""")
 def p42_venue(spark, sf):
     n = F.col("n")
-    rows = T.listing(spark, sf).select(
+    rows = T.listing(spark, sf, lineitem=T.dealt(spark, sf, "lineitem")).select(
         "ord", F.col("supp_key").alias("venue_key"), "title", "dates", "times", "end_date", "url",
         F.when(n % 3 == 0, "Guest Hall").when(n % 3 == 1, " ").alias("venue"), F.lit("").alias("price"))
     k = F.col("venue_key")

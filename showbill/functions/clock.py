@@ -63,7 +63,7 @@ def loose_time(col: Column) -> Column:
             c["h"].between(0, 23) & c["m"].between(0, 59), hhmm(c["h"], c["m"])
         ))
 
-    return let(F.trim(col), lambda t: F.when(~t.rlike(r"^\d{4}-\d{2}-\d{2}"), read(t)))
+    return let(F.trim(col), lambda t: F.when(t.rlike(r"\A(?:[01]\d|2[0-3]):[0-5]\d\z"), t).when(~t.rlike(r"^\d{4}-\d{2}-\d{2}"), read(t)))
 
 
 _STRICT = r"(?i)^\s*(\d{1,2}):(\d{2})\s*([AP]M)\s*$"

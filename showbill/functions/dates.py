@@ -104,7 +104,8 @@ def normalize_dates(arr: Column) -> Column:
 def partial_date(col: Column) -> Column:
     """Leading ``YYYY-MM`` or ``YYYY-MM-DD``; a month alone means its first day."""
     head = r"^\s*(\d{4})-(\d{2})(?:-(\d{2}))?"
-    return iso(match(col, head, 1), match(col, head, 2), F.coalesce(match(col, head, 3), F.lit("01")))
+    read = iso(match(col, head, 1), match(col, head, 2), F.coalesce(match(col, head, 3), F.lit("01")))
+    return F.when(col.rlike(r"\A\d{4}-\d{2}-\d{2}\z"), col.try_cast("date").cast("string")).otherwise(read)
 
 
 # --- dates without a year -----------------------------------------------------
@@ -142,9 +143,12 @@ def date_range(col: Column, today: str | date) -> Column:
     def parts(token: Column) -> tuple[Column, Column]:
         return month_number(F.substring(token, 1, 3)), match(token, r"(\d{1,2})$", 1).cast("int")
 
+    def token_date(token: Column) -> Column:  # a token is YYYY-MM or YYYY-MM-DD
+        return F.when(F.length(token) == 7, F.concat(token, F.lit("-01"))).otherwise(token).try_cast("date").cast("string")
+
     def from_iso(found: Column) -> Column:
-        last = F.when(F.size(found) > 1, partial_date(F.get(found, F.size(found) - 1)))
-        return F.struct(partial_date(F.get(found, F.lit(0))).alias("start"), last.alias("end"))
+        last = F.when(F.size(found) > 1, token_date(F.get(found, F.size(found) - 1)))
+        return F.struct(token_date(F.get(found, F.lit(0))).alias("start"), last.alias("end"))
 
     def with_start(found: Column, year: Column, start: Column) -> Column:
         m, d = parts(F.get(found, F.size(found) - 1))

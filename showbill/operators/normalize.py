@@ -12,6 +12,7 @@ from showbill.functions.clock import loose_time
 from showbill.functions.dates import as_date, date_range, day, partial_date
 from showbill.functions.facts import nonblank
 from showbill.functions.text import md_to_html
+from showbill.operators.scale import written
 from showbill.values import DEFAULT_ALIASES, FIELD_DEFAULTS, TEMPLATE_FIELDS
 
 
@@ -194,6 +195,7 @@ def venue_rows(df: DataFrame, venues: DataFrame, today, defaults: DataFrame | No
         F.coalesce("_venue.venue_name", own))
     category = F.when(nonblank(F.col("_venue.category")), F.col("_venue.category"))
     out = out.withColumns({"venue": named, "type": F.coalesce(category, F.lit(default_type))}).drop("_venue")
+    out = written(out, "venue-rows")  # both parts read the same rows, which are judged once
     # The first of equal listings; rejected rows are no listings and take no part.
     listed = out.where(F.col("reject").isNull())
     copies = Window.partitionBy("venue_key", F.lower("title"), F.get("dates", F.lit(0))).orderBy(order)

@@ -158,7 +158,7 @@ def event(spark: SparkSession, sf_dir: str, person: bool = False, keys: DataFram
     return _with_lookups(first, spark, sf_dir, person).select(*[c.alias(n) for n, c in columns.items()])
 
 
-def listing(spark: SparkSession, sf_dir: str, person: bool = False) -> DataFrame:
+def listing(spark: SparkSession, sf_dir: str, person: bool = False, lineitem: DataFrame | None = None) -> DataFrame:
     """Raw listings with parallel ``dates`` and ``times`` arrays, one per source row.
 
     ``damage`` (part key modulo 7) makes the faults the normalizers repair: 1 12-hour
@@ -166,7 +166,7 @@ def listing(spark: SparkSession, sf_dir: str, person: bool = False) -> DataFrame
     date in the past. A line number divisible by 4 has no dates at all.
     """
     k, i = F.col("n") % 4, F.col("i")
-    rows = screening(spark, sf_dir, person).withColumn("damage", F.col("event_key") % 7)
+    rows = screening(spark, sf_dir, person, lineitem).withColumn("damage", F.col("event_key") % 7)
     slots = F.when(k > 0, F.sequence(F.lit(0), k - 1)).otherwise(F.array().cast("array<int>"))
 
     def date_text(i):
