@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from showbill.operators import joins, normalize, quality
+from showbill.operators.scale import written
 from showbill.sources import sinks
 
 #: Types a season file may hold.
@@ -14,7 +15,8 @@ SEASON_TYPES = ("concert", "opera", "dance")
 
 def check_refresh(stored: DataFrame, incoming: DataFrame, expected_type: str, expected_venue: str | None) -> tuple[DataFrame, DataFrame]:
     """(rows to store, problems). Problems are rejects, invalid fields and losses."""
-    rows = normalize.season_row(incoming, expected_type, expected_venue)
+    # every check reads the same rows, which are judged once
+    rows = written(normalize.season_row(incoming, expected_type, expected_venue), "season-rows")
     kept = rows.where(F.col("reject").isNull()).drop("reject")
     rejects = rows.where(F.col("reject").isNotNull()).select(
         F.col("venue_name").alias("venue"), "title", F.concat(F.lit("rejected: "), "reject").alias("problem"))
