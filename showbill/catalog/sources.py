@@ -241,7 +241,7 @@ RAW_SCHEDULE = f"""concat('# Season', '\n## ', {MONTH_NAME}, ' ', CAST(year(d) A
   UNION ALL SELECT ord, '8 1/2', date, '9:30 AM', '09:30' FROM screening
   UNION ALL SELECT ord, 'NIGHT SHOW', concat(year(d), '-12-05'), '10:00 pm', '22:00' FROM screening""")
 def s10(spark, sf):
-    docs = T.screening(spark, sf).select("ord", F.expr(RAW_SCHEDULE).alias("text"))
+    docs = parsed_rows(spark, sf).select("ord", F.expr(RAW_SCHEDULE).alias("text"))
     return SC.schedule_doc(docs, "ord")
 
 
@@ -254,7 +254,7 @@ RAW_TABBED = f"""concat('Schedule\n', {MONTH_SHORT}, ' ', {DD}, '\t', title, '\n
   UNION ALL SELECT doc, title, concat(regexp_extract(doc, '(\\d{4})', 1), strftime(d, '-%m-%d')), TRUE FROM e
   UNION ALL SELECT doc, concat(venue, ' Film Festival'), concat(regexp_extract(doc, '(\\d{4})', 1), '-09-03'), TRUE FROM e""")
 def s11(spark, sf):
-    docs = T.screening(spark, sf).select(F.concat("ord", F.lit("-"), F.year("d").cast("string"), F.lit(".md")).alias("doc"), F.expr(RAW_TABBED).alias("text"))
+    docs = parsed_rows(spark, sf).select(F.concat("ord", F.lit("-"), F.year("d").cast("string"), F.lit(".md")).alias("doc"), F.expr(RAW_TABBED).alias("text"))
     return SC.schedule_table(SC.split_lines(docs)).select("doc", "title", "date", "live")
 
 
@@ -286,7 +286,7 @@ RAW_REPLY_JSON = f"""CASE event_key % 6
   SELECT ord, CAST(i AS INTEGER) AS pos, CASE WHEN i = 0 THEN title ELSE 'Br{ace "q" ]' END AS title, CASE WHEN i = 0 THEN date END AS date
   FROM (SELECT *, unnest([0, 1]) AS i FROM screening WHERE event_key % 6 < 4)""")
 def s13(spark, sf):
-    rows = T.screening(spark, sf).select("ord", F.expr(RAW_REPLY_JSON).alias("text"))
+    rows = parsed_rows(spark, sf).select("ord", F.expr(RAW_REPLY_JSON).alias("text"))
     return RS.response_events(rows, "title:string,date:string")
 
 

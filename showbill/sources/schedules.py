@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+import unicodedata
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from showbill.functions.clock import to_24h
@@ -12,7 +14,7 @@ from showbill.functions.dates import full_month_number, let, match, month_number
 from showbill.functions.facts import is_caps_title, is_live_title
 from showbill.functions.text import squeeze, unescape
 from showbill.operators.scale import carry_forward, parse_rows
-from showbill.values import WEEKDAYS_LONG
+from showbill.values import MONTHS_LONG, WEEKDAYS_LONG
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -70,19 +72,69 @@ def _showings(rows: DataFrame, doc: str) -> DataFrame:
     return read.where(F.col("time_24").isNotNull())
 
 
+#: Ends of lines and blanks as Java's patterns know them.
+_LINE_END = re.compile("\r\n|[\n\x0b\x0c\r\x85\u2028\u2029]")
+_NO_END = re.compile("[\x1c-\x1e]")
+_BLANKS = re.compile(r"[ \t\n\x0b\f\r]+")
+_TIME = re.compile(r"[ \t\n\x0b\f\r]*([0-9]{1,2}):([0-9]{2})[ \t\n\x0b\f\r]*([AaPp])[Mm][ \t\n\x0b\f\r]*")
+_IN_MONTH, _IN_DAY, _FILM = (re.compile(p.replace(r"\d", "[0-9]")) for p in (_MONTH_HEAD, _DAY_HEAD, _ENTRY))
+_MONTH_NO = {m.lower(): i for i, m in enumerate(MONTHS_LONG, 1)}
+
+
+def _all_caps(title: str) -> bool:
+    """``is_caps_title`` of a text."""
+    if title.isascii():
+        return title == title.upper()
+    return all(unicodedata.category(c) in ("Lu",) or not unicodedata.category(c).startswith("L") for c in title)
+
+
+def _doc_showings(text: str) -> Iterator[tuple[str, str, str, str]]:
+    """(title, date, 12-hour time, 24-hour time) of one document, line by line with the headings that hold."""
+    year = month = day = None
+    # splitlines has three ends of lines more, which are rare
+    for line in _LINE_END.split(text) if _NO_END.search(text) else text.splitlines():
+        if line.startswith("###"):
+            if found := _IN_DAY.match(line):
+                month, day = _MONTH_NO.get(found[1].lower(), month), found[2].rjust(2, "0")
+        elif line.startswith("##"):
+            if found := _IN_MONTH.match(line):
+                year, month = found[2], _MONTH_NO.get(found[1].lower())
+        elif line.startswith("-") and year and month and day and (found := _FILM.match(line)):
+            title = _BLANKS.sub(" ", found[1]).strip(" ")
+            if not _all_caps(title):
+                continue
+            for chunk in found[2].split(","):
+                if clock := _TIME.fullmatch(chunk):
+                    hour, late = int(clock[1]), clock[3] in "Pp"
+                    hour = hour + 12 if late and hour != 12 else 0 if not late and hour == 12 else hour
+                    yield title, f"{year}-{month:02d}-{day}", chunk.strip(" "), f"{str(hour)[:2].rjust(2, '0')}:{clock[2]}"
+
+
+def _read_docs(batches, doc: str):
+    """The showings of every document of a task."""
+    import pyarrow as pa
+
+    for batch in batches:
+        at, rows = [], []
+        for i, text in enumerate(batch.column(1).to_pylist()):
+            found = list(_doc_showings(text)) if text is not None else []
+            at += [i] * len(found)
+            rows += found
+        fields = [pa.array(column, pa.string()) for column in (zip(*rows) if rows else [()] * 4)]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *fields], [doc, "title", "date", "time_12", "time_24"])
+
+
 def schedule_doc(docs: DataFrame, doc: str = "doc", text: str = "text") -> DataFrame:
     """Showings of a schedule with month and day headings; only titles in capitals are films.
 
-    Every line is read once. Headings and film entries become rows, and a running window
-    in the order of lines gives each entry the year, month and day that hold for it, so
-    the work is linear in the text. Each row of ``docs`` is a document of its own, even if
-    ``doc`` repeats. Unreadable times are dropped. Documents too long for a row come as
-    lines: see ``schedule_lines``.
+    A document is read inside its row, line by line with the headings that hold, so the
+    work is linear in the text and nothing moves. Each row of ``docs`` is a document of its
+    own, even if ``doc`` repeats. Unreadable times are dropped. Documents too long for a row
+    come as lines: see ``schedule_lines``.
     """
-    numbered = docs.select(doc, F.split(text, r"\R").alias("_lines"), F.monotonically_increasing_id().alias("_text"))
-    rows = _said(numbered.select(doc, "_text", F.posexplode("_lines").alias("_pos", "line")), [doc, "_text", "_pos"])
-    above = Window.partitionBy("_text").orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return _showings(rows.withColumns({c: F.last(c, ignorenulls=True).over(above) for c in _CARRIED}), doc)
+    kind = docs.schema[doc].dataType.simpleString()
+    shape = f"`{doc}` {kind}, title string, date string, time_12 string, time_24 string"
+    return docs.select(doc, text).mapInArrow(lambda batches: _read_docs(batches, doc), shape)
 
 
 def schedule_lines(lines: DataFrame, doc: str = "doc") -> DataFrame:
