@@ -205,13 +205,42 @@ def _kept_in_rounds(open_: DataFrame, key: str) -> DataFrame:
     return kept
 
 
+def _numbered(shows: DataFrame, key: str, n: int) -> DataFrame:
+    """One row per listing: its key, a number that rises with the key, and its distinct showings."""
+    rows = shows.select(key, "showing_key").repartitionByRange(n, key).groupBy(key).agg(F.collect_set("showing_key").alias("_shows"))
+    # the ids of sorted ranges rise with the key
+    return written(rows.sortWithinPartitions(key).select(key, F.monotonically_increasing_id().alias("_no"), "_shows"), "listing-numbers")
+
+
+def _first_round(listings: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """As ``_round``, for numbered listings with their showings as texts; a known showing is taken by nobody's number, -1.
+
+    A listing wins if it is the first on as many showings as it has. Texts are only met with the
+    showings that another listing has too or that are known, and leave as numbers.
+    """
+    pairs = listings.select("_no", F.size("_shows").alias("_n"), F.explode("_shows").alias("showing_key"))
+    stored = known.select(F.lit(-1).cast("long").alias("_no"), F.lit(0).alias("_n"), "showing_key").where("showing_key is not null")
+    first = pairs.unionByName(stored).groupBy("showing_key").agg(F.min(F.struct("_no", "_n")).alias("_at"), F.count("*").alias("_rows"))
+    # a showing that one listing has alone counts for it, but takes no other part
+    first = written(first.select(F.when(F.col("_rows") > 1, F.col("showing_key")).alias("showing_key"), "_at._no", "_at._n",
+                                 F.monotonically_increasing_id().alias("_show")), "listing-first")
+    winners = written(first.where("_no >= 0").groupBy("_no", "_n").agg(F.count("*").alias("_firsts")).where("_firsts = _n").select("_no"), "listing-winners")
+    shared = first.where("showing_key is not null").select("showing_key", "_show", F.col("_no").alias("_first"))
+    taken = shared.join(winners.select(F.col("_no").alias("_first"), F.lit(True).alias("_won")), "_first", "left").select(
+        "showing_key", "_show", (F.col("_won").isNotNull() | (F.col("_first") < 0)).alias("_taken"))
+    left = pairs.select("_no", "showing_key").join(taken, "showing_key").groupBy("_no").agg(
+        F.bool_or("_taken").alias("_settled"), F.collect_list("_show").alias("_shows")).where("not _settled")
+    return winners, written(left.select("_no", F.explode("_shows").alias("showing_key")), "listing-open")
+
+
 def new_listings(shows: DataFrame, known: DataFrame, key: str = "ord", group_rows: int = 100_000) -> DataFrame:
     """Listings none of whose showings is known or belongs to an earlier kept listing.
 
     ``shows`` has one row per (listing, showing_key); ``known`` the stored showing keys.
-    The rule is sequential: an earlier listing that is itself dropped blocks nobody. A
-    listing with no shared showing stays. The others and their shared showings get numbers
-    in the order of their keys, and only numbers move from there on. They are settled in
+    The rule is sequential: an earlier listing that is itself dropped blocks nobody. Listings
+    get numbers in the order of their keys when they are gathered, and only numbers are moved
+    after the first round, in which a listing without a shared showing stays and one with a
+    known one goes. They are settled in
     rounds across tasks while a round leaves less than half of the rows open. What is left,
     such as long chains, falls into groups that overlap, found by contraction in a number of
     rounds that grows with the logarithm of the longest chain, and each group is settled in
@@ -219,25 +248,19 @@ def new_listings(shows: DataFrame, known: DataFrame, key: str = "ord", group_row
     to its end, one for each link of its longest chain.
     """
     n = int(shows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = shows.select(key, "showing_key").distinct()
-    blocked = pairs.join(known.select("showing_key").distinct(), "showing_key", "left_semi").select(key).distinct()
-    open_ = written(pairs.join(blocked, key, "left_anti"), "listing-open")
-    # a showing that one listing has alone takes no part in the rule
-    shared = open_.groupBy("showing_key").agg(F.min(key).alias("_first"), F.max(key).alias("_last")).where("_first < _last")
-    shared = written(shared.select("showing_key", F.monotonically_increasing_id().alias("_show")), "listing-shared")
-    links = open_.join(shared, "showing_key").select(key, "_show")
-    # the ids of sorted ranges rise with the key
-    numbers = written(links.where(F.col(key).isNotNull()).select(key).distinct().repartitionByRange(n, key).sortWithinPartitions(key).withColumn(
-        "_no", F.monotonically_increasing_id()), "listing-numbers")
-    free = open_.select(key).distinct().join(numbers.select(key), key, "left_anti")
-    left = written(links.join(numbers, key).select("_no", F.col("_show").alias("showing_key")), "listing-links")
-    kept, before, rows = left.select("_no").limit(0), 0, left.count()
-    while rows and (not before or 2 * rows < before):
+    numbers = _numbered(shows, key, n)
+    listings = numbers.where(F.col(key).isNotNull())
+    # without a showing nothing can be taken, and what has no key is no listing before or after another
+    free = numbers.where(F.col(key).isNull() | (F.size("_shows") == 0)).select(key)
+    before = listings.agg(F.sum(F.size("_shows"))).first()[0] or 0
+    kept, left = _first_round(listings, known)
+    rows = left.count()
+    while rows and 2 * rows < before:
         winners, left = _round(left, "_no")
         kept, before, rows = kept.unionByName(winners), rows, left.count()
     if rows:
         kept = kept.unionByName(_kept_in_groups(left, "_no", n, group_rows))
-    return free.unionByName(numbers.join(kept, "_no", "left_semi").select(key))
+    return free.unionByName(numbers.select(key, "_no").join(kept, "_no", "left_semi").select(key))
 
 
 def _kept_in_groups(open_: DataFrame, key: str, n: int, group_rows: int) -> DataFrame:

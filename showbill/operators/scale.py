@@ -161,7 +161,7 @@ def connected(links: DataFrame) -> DataFrame:
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of ``df`` as a table that is written once, in the shared checkpoint folder."""
     path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

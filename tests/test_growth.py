@@ -119,3 +119,18 @@ def test_an_element_ends_at_its_own_closing_tag(spark):
     texts = {"a</div>b": "a", "a<div>b</DIV>c</div>d": "a<div>b</DIV>c", "</div>x": "", "a<div>b</div>c": "a<div>b</div>c", "a</divx></div >b": "a</divx>", "a<divx>b": "a<divx>b"}
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", pages.inner(F.col("t"), "div").alias("x"))
     assert {r["t"]: r["x"] for r in rows.collect()} == texts
+
+
+def test_listings_move_as_numbers_after_the_first_round(spark, monkeypatch):
+    kinds, written = {}, J.written
+
+    def noted(df, name):
+        kinds.setdefault(name, set()).update(kind for _, kind in df.dtypes)
+        return written(df, name)
+
+    monkeypatch.setattr(J, "written", noted)
+    pairs = [("a", "x"), ("a", "x"), ("a", "y"), ("b", "y"), ("c", None), ("d", "k"), ("d", "w"), (None, "x"), (None, "k"), ("e", "y"), ("e", "z"), ("f", "z"), ("g", "w")]
+    known = spark.createDataFrame([("k",), ("k",), (None,)], "showing_key string")
+    got = [r["ord"] for r in J.new_listings(spark.createDataFrame(pairs, "ord string, showing_key string"), known).collect()]
+    assert sorted(got, key=str) == [None, "a", "c", "f", "g"]
+    assert kinds["listing-open"] == {"bigint"} and [n for n, k in kinds.items() if "string" in k] == ["listing-numbers", "listing-first"]
