@@ -1,6 +1,7 @@
 """Work that must not grow with copies, repeated readings or uneven files."""
 
 import re
+import time
 
 import pytest
 from pyspark.sql import Row
@@ -10,6 +11,7 @@ import __spark_entry__ as contract
 from showbill.functions import dates as D
 from showbill.operators import joins as J
 from showbill.operators import normalize as N
+from showbill.operators import scale
 from showbill.plans import publish, refresh
 from showbill.sources import pages, responses, schedules
 from showbill.streaming.state import Silence
@@ -134,3 +136,18 @@ def test_listings_move_as_numbers_after_the_first_round(spark, monkeypatch):
     got = [r["ord"] for r in J.new_listings(spark.createDataFrame(pairs, "ord string, showing_key string"), known).collect()]
     assert sorted(got, key=str) == [None, "a", "c", "f", "g"]
     assert kinds["listing-open"] == {"bigint"} and [n for n, k in kinds.items() if "string" in k] == ["listing-numbers", "listing-first"]
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def shuffled():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return {f for f in files.split("\n") if "shuffle_" in f}
+
+    held, before = spark.conf.get(setting, None), shuffled()
+    rows = scale.written(spark.range(1000).repartition(3).groupBy((F.col("id") % 7).alias("k")).count(), "sevens")
+    until = time.time() + 20
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffled() - before and spark.conf.get(setting, None) == held and rows.count() == 7
